@@ -104,10 +104,8 @@ def parse_cppcheck(raw: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def read_cppcheck(spark: SparkSession, path: str) -> DataFrame:
-    """The split-friendly reader: rowTag finds the <error> elements of all files under path."""
-    rows = spark.read.format("xml").option("rowTag", "error").option("recursiveFileLookup", "true").schema(CPPCHECK_ERROR).load(path)
-    rows = rows.where("_id is not null").select(F.col("_metadata.file_path").alias("file"), F.struct("*").alias("x"))
-    return _cppcheck_rows(rows.withColumn("pos", F.monotonically_increasing_id()), ["file"])
+    """Findings of all outputs under path/<class>/<project>/; banners and cut-off ends, which an XML reader refuses, are fine."""
+    return parse_cppcheck(read_outputs(spark, path), ["class_name", "project", "file"])
 
 
 def _hyphened(name: Column) -> Column:
