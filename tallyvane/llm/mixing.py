@@ -36,7 +36,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, lists: list[list[str]]
         F.log1p(F.col("spaces")), _share_removed(F.col("text"), CAPITALS), _share_removed(F.col("text"), MARKS[5:]), _share_removed(F.col("text"), "0123456789"),
         F.size("words") / F.col("spaces"), *(F.log1p(F.size(F.array_intersect("words", F.array(*map(F.lit, words))))) if words else F.lit(0.0) for words in lists),
     ]
-    tokens = F.when(F.length(F.trim("text")) > 0, F.col("spaces")).otherwise(0.0)
+    tokens = F.when(F.col("text").rlike(r"\S"), F.col("spaces")).otherwise(0.0)
     return rows.select("doc_id", tokens.alias("tokens"), *(c.cast("double").alias(f"f{k}") for k, c in enumerate(columns)))
 
 
