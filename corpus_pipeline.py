@@ -16,7 +16,7 @@ from tallyvane.llm import langid, mixing, packing, simhash
 from tallyvane.llm._common import ensure_checkpoint_dir, fold
 from tallyvane.llm.exact_dedup import exact_dedup
 from tallyvane.llm.labelled import labelled_rows
-from tallyvane.llm.queries import DOMAIN
+from tallyvane.llm.queries import labelled_domain
 
 #: Clean good text keeps nearly all its tokens; the other domains are thinned to these shares of what is kept.
 WEIGHTS = {"q1t0": 0.93, "q1t1": 0.01, "q0t0": 0.05, "q0t1": 0.01}
@@ -42,7 +42,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep each document with the probability that is its rate (0 to 1), drawn from a hash of its id."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    known = labelled_rows(docs, labels, F.lit(True), ["quality", "toxic"], bound=20_000).select("text", DOMAIN.alias("domain"))
+    known = labelled_rows(docs, labels, F.lit(True), ["quality", "toxic"], bound=20_000).select("text", labelled_domain().alias("domain"))
     rates = mixing.mix(docs, known, WEIGHTS, max_rate=1.0)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
     dropped = rates.where(draw >= F.col("rate")).select("doc_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvane.llm import ann, chat, exact_dedup, html_text, langid, mixing, packing, quality, simhash, toxicity
@@ -11,7 +11,11 @@ from tallyvane.llm.labelled import labelled_rows
 
 #: Token shares of the mixing query: domains are the labelled classes of quality and toxicity.
 MIX_WEIGHTS = {"q1t0": 0.90, "q1t1": 0.02, "q0t0": 0.07, "q0t1": 0.01}
-DOMAIN = F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"))
+
+
+def labelled_domain() -> Column:
+    """q<quality>t<toxic>; null if either label is missing."""
+    return F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +75,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     known = labelled_rows(docs, labels, F.lit(True), ["quality", "toxic"], bound=20_000)
-    return mixing.mix(docs, known.select("text", DOMAIN.alias("domain")), MIX_WEIGHTS)
+    return mixing.mix(docs, known.select("text", labelled_domain().alias("domain")), MIX_WEIGHTS)
 
 
 def queries() -> dict:
