@@ -25,7 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = fold("doc_id", 5, 0)
-    model = toxicity.fit_toxicity(docs, labelled_rows(docs, labels, ~held_out, ["toxic"]))
+    model = toxicity.fit_toxicity(docs, labelled_rows(docs, labels, ~held_out, ["toxic"], distinct=True))
     return toxicity.score_toxicity(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )

@@ -208,13 +208,13 @@ class ToxicityModel:
         return np.concatenate(out) if out else np.empty(0)
 
 
-def fit_toxicity(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic", text_col: str = "text") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic", text_col: str = "text", share: float = 0.01) -> ToxicityModel:
     """Learn from rows (doc_id, text, label): which beginnings of words occur in toxic documents and hardly elsewhere.
 
     docs, all of them, give the character model. Each labelled text is restored first. A sequence is a candidate if it is
     in at least two toxic documents and its smoothed precision is 0.6 or more. Each toxic document then stands for its
-    candidate with the most evidence; candidates that no two different texts stand for are chance and go. The lexicon has
-    at most BUCKETS entries. Without toxic labels every score is the base, 0.
+    candidate with the most evidence; candidates that no two different texts stand for, or that are in less than `share`
+    of the toxic documents, are chance or one copied text, and go. The lexicon has at most BUCKETS entries. Without toxic labels every score is the base, 0.
     """
     characters = learn_character_model(docs, text_col)
 
@@ -259,6 +259,7 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic",
     support = toxic.mapInPandas(stand, "at long, text long").groupBy("at").agg(F.approx_count_distinct("text", 0.02).alias("texts"), F.count("*").alias("n")).toPandas()
     missed = int(support.loc[support["at"] < 0, "n"].sum())
     chosen = np.sort(support.loc[(support["at"] >= 0) & (support["texts"] >= 2), "at"].to_numpy().astype(np.int64))
+    chosen = chosen[k1[chosen] >= share * n1]
     return ToxicityModel(characters, b[chosen], precision[chosen], min(0.4, (missed + prior) / (n0 + missed + 1)))
 
 

@@ -198,7 +198,7 @@ def test_mixing_matches_targets(spark, make_docs, odd_rows):
     rng = random.Random(10)
     plain = lambda: " ".join(rng.choice(["river", "house", "over"]) for _ in range(rng.randint(5, 60)))
     loud = lambda: " ".join(rng.choice(["BUY", "NOW!!", "CHEAP$"]) for _ in range(rng.randint(5, 60)))
-    rows = [(k, plain() if k % 3 else loud(), "en") for k in range(300)]
+    rows = [(k, plain() if k % 3 else loud(), "en") for k in range(1000, 1300)]
     labelled = spark.createDataFrame([(t, "good" if k % 3 else "bad") for k, t, _ in rows[:150]] + [(None, "good")], "text string, domain string")
     out = mixing.mix(make_docs(rows + odd_rows), labelled, {"good": 0.9, "bad": 0.1}).collect()
     assert len(out) == len(rows) + len(odd_rows) and all(r["rate"] >= 0 and abs(sum(r["posteriors"]) - 1) < 1e-9 for r in out)
