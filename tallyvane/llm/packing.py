@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+@cache
 def _encoder(ranks_path: str, pattern: str):
     import tiktoken
 
@@ -111,18 +113,19 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     go by hash, doc_id and piece. An empty table gives an empty result.
     """
     pieces = cut(pieces)
-    spread = max(1, -(-pieces.count() // 20_000))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(spread)).cast("int"))
-    cells = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
+    lengths = cut(pieces.groupBy("length").agg(F.count("*").alias("n")))
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in lengths.collect():
+        counts[row["length"]] = row["n"]
+    groups = lengths.select("length", F.ceil(F.col("n") / F.greatest(F.lit(500.0), F.sqrt("n"))).alias("groups"))
+    salted = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), "groups")).drop("groups")
+    cells = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("r", F.row_number().over(within)).join(starts, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("base") + F.col("r") - 1)
 
-    counts = np.zeros(capacity + 1, np.int64)
-    for row in cells.groupBy("length").agg(F.sum("n").alias("n")).collect():
-        counts[row["length"]] = row["n"]
     # For each length, the ranks at which a run of equal bins begins, with what places its pieces.
     runs: dict[int, list[tuple[int, int, int, int]]] = {}
     taken, sequence = np.zeros(capacity + 1, np.int64), 0
