@@ -18,7 +18,7 @@ from tallyvane.llm.exact_dedup import exact_dedup
 from tallyvane.llm.labelled import labelled_rows
 from tallyvane.llm.queries import labelled_domain
 
-#: Clean good text keeps nearly all its tokens; the other domains are thinned to these shares of what is kept.
+#: Clean good text sets the budget and keeps nearly all its tokens; the other domains are thinned to these shares.
 WEIGHTS = {"q1t0": 0.93, "q1t1": 0.01, "q0t0": 0.05, "q0t1": 0.01}
 
 

@@ -124,16 +124,21 @@ def fit_rates(members: DataFrame, targets: list[float], max_rate: float | None =
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", max_rate: float | None = None) -> DataFrame:
     """(doc_id, tokens, posteriors array<double> in the order of weights, rate) of every row.
 
-    weights: the share of tokens that each domain is to have. The budget is all tokens of docs, or with max_rate as many
-    as the scarcest domain allows. Null and empty texts have no tokens. Extra columns are left out, and an empty table
-    gives an empty result.
+    weights: the share of tokens that each domain is to have; domains that no document belongs to are left out of the
+    shares. The budget is all tokens of docs. With max_rate it is what the domain of the largest weight can give, and no
+    target is above what its domain has. Null and empty texts have no tokens. Extra columns are left out, and an empty
+    table gives an empty result.
     """
     domains = list(weights)
     members = cut(domain_posteriors(docs, labelled, domains, id_col, text_col))
     have = members.agg(*(F.sum(F.col("tokens") * F.col(f"p{k}")).alias(f"h{k}") for k in range(len(domains)))).first()
-    held, share = [have[f"h{k}"] or 0.0 for k in range(len(domains))], sum(weights.values())
-    budget = sum(held)
+    held = [have[f"h{k}"] or 0.0 for k in range(len(domains))]
+    wanted = [v if h > 0 else 0.0 for h, v in zip(held, weights.values())]
+    share = sum(wanted) or 1.0
+    targets = [sum(held) * v / share for v in wanted]
     if max_rate is not None:
-        budget = min([budget * max_rate, *(max_rate * h * share / v for h, v in zip(held, weights.values()) if v > 0)])
-    rates = fit_rates(members, [budget * v / share for v in weights.values()], max_rate)
+        main = max(range(len(domains)), key=lambda k: wanted[k])
+        scale = max_rate * held[main] / targets[main] if targets[main] else 0.0
+        targets = [min(scale * t, max_rate * h) for t, h in zip(targets, held)]
+    rates = fit_rates(members, targets, max_rate)
     return rates.select("doc_id", "tokens", F.array(*(f"p{k}" for k in range(len(domains)))).alias("posteriors"), "rate")
