@@ -13,11 +13,14 @@ from tallyvane.session import cut
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
-    """(cwe, ancestor), each pair once and never a CWE itself; safe with cycles, as it stops when no pair is new."""
-    step = cut(edges.select(F.col("child").alias("cwe"), F.col("parent").alias("ancestor")).distinct())
-    closed, n = step, step.count()
+    """(cwe, ancestor), each pair once and never a CWE itself; safe with cycles, as it stops when no pair is new.
+
+    Each round joins the pairs found so far with themselves, so rounds grow with the logarithm of the depth.
+    """
+    closed = cut(edges.select(F.col("child").alias("cwe"), F.col("parent").alias("ancestor")).distinct())
+    n = closed.count()
     while True:
-        further = closed.join(step.select(F.col("cwe").alias("ancestor"), F.col("ancestor").alias("above")), "ancestor").select("cwe", F.col("above").alias("ancestor"))
+        further = closed.join(closed.select(F.col("cwe").alias("ancestor"), F.col("ancestor").alias("above")), "ancestor").select("cwe", F.col("above").alias("ancestor"))
         closed = cut(closed.union(further).distinct())
         if (now := closed.count()) == n:
             return closed.where("cwe <> ancestor")
@@ -97,6 +100,34 @@ def descendants(members: DataFrame, children: DataFrame, max_depth: int | None =
     return found if max_depth is None else found.where(F.col("depth") <= max_depth)
 
 
+def view_membership(views: DataFrame, members: DataFrame) -> DataFrame:
+    """(view_id, parent, child, depth, visit) of every membership below each view, one row per way to reach it.
+
+    views: (view_id, cwe, ord), the direct members; members: (owner, member, ord) of categories. visit, the positions from
+    the view down, orders memberships as a walk does that finishes each category before the next. A way never enters a
+    category twice, so cycles end.
+    """
+    level = cut(views.select("view_id", F.col("view_id").alias("parent"), F.col("cwe").alias("child"), F.array("ord").alias("visit"), F.array("view_id", "cwe").alias("way")))
+    out = level
+    while not level.isEmpty():
+        down = level.join(members, F.col("child") == F.col("owner")).where(~F.array_contains("way", F.col("member")))
+        level = cut(down.select("view_id", F.col("owner").alias("parent"), F.col("member").alias("child"), F.concat("visit", F.array("ord")).alias("visit"), F.concat("way", F.array("member")).alias("way")))
+        out = out.union(level)
+    return out.select("view_id", "parent", "child", F.size("visit").alias("depth"), "visit")
+
+
+def view_parents(membership: DataFrame) -> DataFrame:
+    """(view_id, cwe, parent): of several parents in a view, the one visited last."""
+    return membership.groupBy("view_id", F.col("child").alias("cwe")).agg(F.max_by("parent", "visit").alias("parent"))
+
+
+def category_descendants(starts: DataFrame, members: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(start, cwe, depth) below each start (cwe) by category membership alone; a weakness has none."""
+    views = starts.select(F.col("cwe").alias("owner")).join(members, "owner").select(F.col("owner").alias("view_id"), F.col("member").alias("cwe"), "ord")
+    found = view_membership(views, members).select(F.col("view_id").alias("start"), F.col("child").alias("cwe"), "depth")
+    return found if max_depth is None else found.where(F.col("depth") <= max_depth)
+
+
 def with_names(rows: DataFrame, catalog: DataFrame, cwe: Column) -> DataFrame:
     """Add name and kind from (cwe, name, kind); what the catalog lacks is Unknown."""
     named = catalog.select(F.col("cwe").alias("__cwe"), "name", "kind")

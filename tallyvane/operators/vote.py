@@ -69,13 +69,15 @@ def agreement_hubs(findings: DataFrame, related: DataFrame | None) -> DataFrame:
 def components(findings: DataFrame, hubs: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(project, filename, finding_idx, label): label is the smallest finding_idx that shared hubs reach, itself included.
 
-    No hub spans two files, so the edges are dealt out by file once; every round is two windows over that layout (least
-    label per hub, then per finding) and needs no further shuffle.
+    No hub spans two files, so the edges are dealt out by file once; every step is two windows over that layout (least
+    label per hub, then per finding) and needs no further shuffle. A round, which is written out, takes two steps.
     """
     edges = cut(hubs.distinct().repartition(*FILE).withColumn("label", F.col("finding_idx")))
     by_hub, by_finding = Window.partitionBy(*FILE, "hub"), Window.partitionBy(*FILE, "finding_idx")
     for _ in range(max_rounds):
-        moved = edges.withColumn("at_hub", F.min("label").over(by_hub)).withColumn("new", F.min("at_hub").over(by_finding))
+        moved = edges.withColumn("new", F.col("label"))
+        for _ in range(2):
+            moved = moved.withColumn("at_hub", F.min("new").over(by_hub)).withColumn("new", F.min("at_hub").over(by_finding))
         moved = cut(moved.select(*FILE, "finding_idx", "hub", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
         edges = moved.drop("moved")
         if moved.where("moved").isEmpty():

@@ -225,6 +225,12 @@ def _(t: Tables) -> DataFrame:
     return docs.select(*PROJECT, "LOC", F.coalesce(rule["tot_vulns"], F.lit(0)).alias("tot_vulns"), F.coalesce(F.size(rule["unique_cwes"]).cast("long"), F.lit(0)).alias("cwes"))
 
 
+@query("b06_voting_totals", "SELECT rule, count(*) AS votes FROM clusters WHERE mode <> 2 GROUP BY rule UNION ALL SELECT 'TOTAL', count(*) FROM clusters WHERE mode <> 2")
+def _(t: Tables) -> DataFrame:
+    found = flagship.clusters_of(t).where(F.col("rule").rlike("out_of_four$")).rollup("rule").agg(F.count("*").alias("votes"))
+    return found.select(F.coalesce("rule", F.lit("TOTAL")).alias("rule"), "votes")
+
+
 # Scalar functions
 
 @query("c01_first_cwe", "SELECT CASE WHEN cwe IS NOT NULL THEN concat('CWE-', substr(cwe, 5)) END AS cwe, count(*) AS n FROM findings GROUP BY ALL")
@@ -235,6 +241,26 @@ def _(t: Tables) -> DataFrame:
     return t.get("findings").select(fn.first_cwe(shaped).alias("cwe")).groupBy("cwe").agg(F.count("*").alias("n"))
 
 
+@query("c02_tag_cwe", "SELECT concat('CWE-', CAST(l_suppkey AS STRING)) AS cwe, count(*) AS n FROM lineitem WHERE l_linenumber <> 3 GROUP BY ALL UNION ALL SELECT NULL, count(*) FROM lineitem WHERE l_linenumber = 3")
+def _(t: Tables) -> DataFrame:
+    key = F.col("l_suppkey").cast("string")
+    tag = F.when(F.col("l_linenumber") == 3, F.concat(F.lit("cwe-"), key, F.lit("x"))).otherwise(F.concat(F.lit("external/CWE/cwe-"), key))
+    tags = F.array(F.lit("security"), F.lit("xcwe-9"), tag, F.lit("cwe"))
+    return t.base("lineitem").select(fn.tag_cwe(tags).alias("cwe")).groupBy("cwe").agg(F.count("*").alias("n"))
+
+
+@query("c04_cwe_number", "SELECT CAST(l_partkey % 90 AS INTEGER) AS number, count(*) AS n FROM lineitem WHERE l_partkey % 7 <> 0 GROUP BY ALL UNION ALL SELECT NULL, count(*) FROM lineitem WHERE l_partkey % 7 = 0")
+def _(t: Tables) -> DataFrame:
+    text = F.when(F.col("l_partkey") % 7 == 0, "NVD-other").otherwise(F.concat(F.when(F.col("l_linenumber") % 2 == 0, "CWE-00").otherwise("0"), (F.col("l_partkey") % 90).cast("string")))
+    return t.base("lineitem").select(fn.cwe_number(text).alias("number")).groupBy("number").agg(F.count("*").alias("n"))
+
+
+@query("c11_project_keys", "SELECT split_part(key, ' ', 1) AS code, key, count(*) AS n FROM (SELECT lower(trim(c_mktsegment || ' X ')) AS key FROM customer) GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    key = fn.project_key(F.concat(F.lit("  "), "c_mktsegment", F.lit(" X ")))
+    return t.base("customer").select(fn.category_code(key).alias("code"), key.alias("key")).groupBy("code", "key").agg(F.count("*").alias("n"))
+
+
 @query("c03_canonical_cwe", "SELECT concat('CWE-', CASE WHEN length(d) < 3 THEN lpad(d, 3, '0') ELSE d END) AS cwe, count(*) AS n FROM (SELECT CAST(l_partkey % 1200 AS STRING) AS d FROM lineitem) GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     text = F.concat(F.lit("xcwe 00"), (F.col("l_partkey") % 1200).cast("string"), F.lit("; CWE-5"))
@@ -310,6 +336,11 @@ def _(t: Tables) -> DataFrame:
     return _prepared(t).select(*PROJECT, "finding_idx", F.col("position").cast("long").alias("position"))
 
 
+@query("d02_completed_runs", "SELECT class_name, project, tool, findings FROM run_rows")
+def _(t: Tables) -> DataFrame:
+    return _runs(t).select(*PROJECT, "tool", "findings")
+
+
 @query("d03_first_projects", "SELECT class_name, project FROM (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY loc NULLS FIRST, project) AS r FROM metadata) WHERE r <= 7")
 def _(t: Tables) -> DataFrame:
     return audit.first_projects(t.get("metadata").withColumn("ord", F.struct("loc", "project")), limit=7).select(*PROJECT)
@@ -329,6 +360,15 @@ def _(t: Tables) -> DataFrame:
     return joined.select("project", "finding_idx", (F.col("everyone") - F.col("mine")).alias("partners")).where("partners > 0")
 
 
+@query("e05_function_pairs", """SELECT project, function, count(*) AS pairs FROM (SELECT DISTINCT a.project, a.function, a.tool, a.num, b.tool AS t2, b.num AS n2 FROM placed a
+ JOIN placed b ON a.project = b.project AND a.function = b.function AND a.tool < b.tool JOIN rel ON rel.a = a.num AND rel.b = b.num) GROUP BY ALL""")
+def _(t: Tables) -> DataFrame:
+    rows = cut(vote.attach_functions(_prepared(t), t.get("spans")))
+    hubs = vote.agreement_hubs(rows, hierarchy.related_pairs(hierarchy.ancestors(t.get("edges")))).where("hub like 'p|%'")
+    parts = hubs.select("project", F.get(F.split("hub", r"\|"), F.lit(1)).alias("function"), "hub").distinct()
+    return parts.groupBy("project", "function").agg(F.count("*").alias("pairs"))
+
+
 @query("e06_metadata_join", "SELECT class_name, project, loc, vulns FROM vulns")
 def _(t: Tables) -> DataFrame:
     return density.with_metadata(_totals(t).withColumnRenamed("tot_vulns", "vulns"), t.get("metadata")).select(*PROJECT, "loc", "vulns")
@@ -382,6 +422,19 @@ def _(t: Tables) -> DataFrame:
     return hierarchy.with_names(rows, catalog, F.col("number")).drop("kind")
 
 
+@query("e09_full_outer", "SELECT class_name, project, CASE WHEN tot_vulns % 3 = 0 THEN 1 WHEN tot_vulns % 2 = 0 THEN 2 END AS vulns FROM totals WHERE tot_vulns % 3 = 0 OR tot_vulns % 2 = 0")
+def _(t: Tables) -> DataFrame:
+    summary = _totals(t).where("tot_vulns % 2 = 0").select(*PROJECT, F.lit(2).alias("tot_vulns"))
+    detail = _totals(t).where("tot_vulns % 3 = 0").select(*PROJECT, F.lit(1).alias("clusters"))
+    return density.vulnerability_counts(summary, detail).withColumn("vulns", F.col("vulns").cast("int"))
+
+
+@query("e15_top_members", "SELECT class_name, project, CAST(sum(n) AS BIGINT) AS n FROM counts WHERE num IN (111, 121, 300) GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    top = t.get("view_members").where("view_id = 1435").select(F.col("cwe").alias("number"))
+    return _counts(t).join(F.broadcast(top), "number", "left_semi").groupBy(*PROJECT).agg(F.sum("n").alias("n"))
+
+
 # Aggregations
 
 @query("f01_report_summary", "SELECT class_name, project, count(*) AS tools, count(CASE WHEN status = 'completed' THEN 1 END) AS completed, CAST(0 AS BIGINT) AS failed, count(CASE WHEN status = 'timeout' THEN 1 END) AS timeout, CAST(0 AS BIGINT) AS unavailable, CAST(coalesce(sum(findings), 0) AS BIGINT) AS findings FROM run_rows GROUP BY ALL")
@@ -499,6 +552,35 @@ def _(t: Tables) -> DataFrame:
     return _counts(t).drop("cwe").join(F.broadcast(closure), F.col("number") == closure["cwe"]).groupBy("ancestor").agg(F.sum("n").alias("n"))
 
 
+@query("g02_related", "SELECT a.num AS x, b.num AS y, count(*) AS projects FROM counts a JOIN counts b ON a.project = b.project JOIN (SELECT a, b FROM rel GROUP BY ALL) r ON r.a = a.num AND r.b = b.num WHERE a.num <> b.num GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    pairs = hierarchy.related_pairs(hierarchy.ancestors(t.get("edges")))
+    one = _counts(t).select("project", F.col("number").alias("x")).join(F.broadcast(pairs), F.col("x") == F.col("a"))
+    two = _counts(t).select("project", F.col("number").alias("y"))
+    return one.join(two, (one["project"] == two["project"]) & (F.col("b") == F.col("y"))).groupBy("x", "y").agg(F.count("*").alias("projects"))
+
+
+@query("g07_view_members", """SELECT view_id, parent, count(*) AS n FROM (SELECT CAST(n_regionkey AS BIGINT) AS view_id, CASE WHEN c_custkey % 10 = 0 AND m.last IS NOT NULL THEN m.last ELSE 1000 + c_nationkey END AS parent FROM customer
+ JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT n_regionkey AS r, max(n_nationkey) + 1000 AS last FROM nation GROUP BY ALL) m ON m.r = n_regionkey) GROUP BY ALL""")
+def _(t: Tables) -> DataFrame:
+    """Regions as views, nations as their categories, customers as members; every tenth is in its region's last nation too."""
+    nation, customer = t.base("nation"), t.base("customer").join(t.base("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    views = nation.select(F.col("n_regionkey").cast("long").alias("view_id"), (F.col("n_nationkey") + 1000).cast("long").alias("cwe"), F.col("n_nationkey").cast("long").alias("ord"))
+    person = (F.col("c_custkey") + 1_000_000).cast("long").alias("member")
+    last = nation.groupBy("n_regionkey").agg((F.max("n_nationkey") + 1000).cast("long").alias("owner"))
+    members = customer.select((F.col("n_nationkey") + 1000).cast("long").alias("owner"), person, F.col("c_custkey").cast("long").alias("ord"))
+    again = customer.where("c_custkey % 10 = 0").join(F.broadcast(last), "n_regionkey").select("owner", person, F.col("c_custkey").cast("long").alias("ord"))
+    found = hierarchy.view_parents(hierarchy.view_membership(views, members.union(again)))
+    return found.where("cwe >= 1000000").groupBy("view_id", "parent").agg(F.count("*").alias("n"))
+
+
+@query("g10_category_members", "SELECT CAST(s AS BIGINT) AS start, CASE WHEN p_partkey = s THEN 0 ELSE CAST(floor(log2(p_partkey // s)) AS INTEGER) END AS depth, count(*) AS n FROM part, (SELECT * FROM (VALUES (2), (5)) AS v(s)) WHERE p_partkey > s AND p_partkey // CAST(pow(2, floor(log2(p_partkey)) - floor(log2(s))) AS BIGINT) = s AND floor(log2(p_partkey)) - floor(log2(s)) <= 5 GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    members = t.base("part").where("p_partkey > 1").select(F.expr("p_partkey div 2").alias("owner"), F.col("p_partkey").alias("member"), F.col("p_partkey").alias("ord"))
+    starts = t.base("part").where("p_partkey in (2, 5)").select(F.col("p_partkey").alias("cwe"))
+    return hierarchy.category_descendants(starts, members, 5).groupBy("start", "depth").agg(F.count("*").alias("n"))
+
+
 @query("g03_representatives", "SELECT c.class_name, c.project, c.rule, c.cluster_id, r.representative FROM clusters c LEFT JOIN reps r ON c.project = r.project AND c.rule = r.rule AND c.cluster_id = r.cluster_id WHERE c.mode > 0")
 def _(t: Tables) -> DataFrame:
     return flagship.clusters_of(t).where("rule <> 'one_out_of_four'").select(*PROJECT, "rule", F.col("cluster_id").cast("long").alias("cluster_id"), "representative")
@@ -545,6 +627,17 @@ def _(t: Tables) -> DataFrame:
 
 # Windows and sets
 
+@query("h01_cluster_ids", "SELECT project, rule, count(*) AS n, max(cluster_id) AS last_id FROM clusters GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return flagship.clusters_of(t).groupBy("project", "rule").agg(F.count("*").alias("n"), F.max("cluster_id").cast("long").alias("last_id"))
+
+
+@query("h08_first_wins", "SELECT key, arg_min(category, row_no) AS category FROM (SELECT lower(c_mktsegment) || CAST(c_nationkey AS STRING) AS key, CAST(c_custkey AS STRING) AS category, c_custkey AS row_no FROM customer) GROUP BY key")
+def _(t: Tables) -> DataFrame:
+    rows = t.base("customer").select(F.concat(F.upper("c_mktsegment"), F.col("c_nationkey").cast("string"), F.lit(" ")).alias("repo"), F.col("c_custkey").cast("string").alias("category"), F.lit("").alias("subcategory"), F.col("c_custkey").alias("row_no"))
+    return documents.application_taxonomy(rows).select("key", "category")
+
+
 @query("h02_report_order", "SELECT project, arrival, row_number() OVER (PARTITION BY project ORDER BY filename, coalesce(line, -1), tool, rule, arrival) - 1 AS finding_idx FROM (SELECT *, finding_idx AS arrival FROM findings)")
 def _(t: Tables) -> DataFrame:
     return audit.ordered_findings(t.get("findings").withColumnRenamed("finding_idx", "arrival")).select("project", "arrival", "finding_idx")
@@ -595,6 +688,14 @@ def _(t: Tables) -> DataFrame:
     return _round(stats.benjamini_yekutieli(rows, "p", "project"), "q").select("project", "q")
 
 
+@query("d05_significant_after_q", """, p AS (SELECT project, (tot_vulns % 97 + 1) / 1000.0 AS p FROM totals), m AS (SELECT count(*) AS m FROM p), h AS (SELECT sum(1.0 / k) AS h FROM (SELECT row_number() OVER () AS k FROM p)),
+ r AS (SELECT project, p, row_number() OVER (ORDER BY p, project) AS rank FROM p)
+ SELECT * FROM (SELECT project, round(p, 6) AS p, round(least(min(p * h * m / rank) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS q FROM r, m, h) WHERE p < 0.05""")
+def _(t: Tables) -> DataFrame:
+    rows = _totals(t).select("project", ((F.col("tot_vulns") % 97 + 1) / 1000.0).alias("p"))
+    return _round(stats.benjamini_yekutieli(rows, "p", "project").where("p < 0.05"), "p", "q").select("project", "p", "q")
+
+
 @query("j03_bootstrap")
 def _(t: Tables) -> DataFrame:
     return _round(stats.bootstrap_mann_whitney(_shares(t), "cwe", draws=200), "p_low", "p_high", "delta_low", "delta_high")
