@@ -30,12 +30,15 @@ def attach_functions(findings: DataFrame, spans: DataFrame) -> DataFrame:
     """
     bucket = lambda line: F.floor(line / BUCKET)
     pieces = spans.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start_line")), bucket(F.col("end_line")))))
-    placed = findings.where("line is not null").select(*FILE, "finding_idx", "line").withColumn("bucket", bucket(F.col("line")))
-    held = placed.join(pieces, [*FILE, "bucket"]).where("line between start_line and end_line")
-    size = F.col("end_line") - F.col("start_line")
-    best = held.groupBy(*FILE, "finding_idx").agg(F.min(F.struct(size, "start_line", "end_line", "name", F.coalesce("scope", F.lit("")).alias("scope"))).alias("s"))
-    named = best.select(*FILE, "finding_idx", function_id(F.col("filename"), F.col("s.scope"), F.col("s.name"), F.col("s.start_line"), F.col("s.end_line")).alias("function"))
-    return findings.join(named, [*FILE, "finding_idx"], "left")
+    key, rest = [*FILE, "finding_idx"], [c for c in findings.columns if c not in (*FILE, "finding_idx")]
+    rows, held = findings.withColumn("bucket", bucket(F.col("line"))).alias("f"), pieces.alias("s")
+    same = [F.col(f"f.{c}") == F.col(f"s.{c}") for c in (*FILE, "bucket")]
+    inside = F.col("f.line").between(F.col("s.start_line"), F.col("s.end_line"))
+    joined = rows.join(held, [*same, inside], "left")
+    span = F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "start_line", "end_line", "name", F.coalesce("scope", F.lit("")).alias("scope"))
+    best = joined.groupBy(*(F.col(f"f.{c}") for c in key)).agg(*(F.first(f"f.{c}").alias(c) for c in rest), F.min(F.when(F.col("name").isNotNull(), span)).alias("s"))
+    named = function_id(F.col("filename"), F.col("s.scope"), F.col("s.name"), F.col("s.start_line"), F.col("s.end_line"))
+    return best.withColumn("function", F.when(F.col("s").isNotNull(), named)).drop("s")
 
 
 def _shared(findings: DataFrame, place: str, kind: str) -> DataFrame:
@@ -69,14 +72,14 @@ def agreement_hubs(findings: DataFrame, related: DataFrame | None) -> DataFrame:
 def components(findings: DataFrame, hubs: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(project, filename, finding_idx, label): label is the smallest finding_idx that shared hubs reach, itself included.
 
-    No hub spans two files, so the edges are dealt out by file once; every step is two windows over that layout (least
-    label per hub, then per finding) and needs no further shuffle. A round, which is written out, takes two steps.
+    No hub spans two files, so a round deals the edges out by file once; each of its three steps is two windows on that
+    layout (least label per hub, then per finding) and needs no further shuffle. Rounds are written out.
     """
-    edges = cut(hubs.distinct().repartition(*FILE).withColumn("label", F.col("finding_idx")))
+    edges = cut(hubs.distinct().withColumn("label", F.col("finding_idx")))
     by_hub, by_finding = Window.partitionBy(*FILE, "hub"), Window.partitionBy(*FILE, "finding_idx")
     for _ in range(max_rounds):
-        moved = edges.withColumn("new", F.col("label"))
-        for _ in range(2):
+        moved = edges.repartition(*FILE).withColumn("new", F.col("label"))
+        for _ in range(3):
             moved = moved.withColumn("at_hub", F.min("new").over(by_hub)).withColumn("new", F.min("at_hub").over(by_finding))
         moved = cut(moved.select(*FILE, "finding_idx", "hub", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
         edges = moved.drop("moved")

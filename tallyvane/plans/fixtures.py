@@ -25,13 +25,12 @@ LEFT JOIN (SELECT * FROM (VALUES (1,100),(2,110),(3,111),(4,112),(5,120),(6,121)
 DIGITS = "(SELECT * FROM (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9)) AS v({0}))"
 
 SPANS = f"""
-SELECT class_name, project, filename, name, scope, start_line, end_line FROM (
+WITH s AS (
   SELECT {CLASS.replace("{key}", "s_suppkey")}, concat('src/f', CAST(10 * h + d AS STRING), '.c') AS filename, 10 * a + b AS k
   FROM {{supplier}} AS supplier CROSS JOIN {DIGITS.format("a")} AS ta CROSS JOIN {DIGITS.format("b")} AS tb
-  CROSS JOIN {DIGITS.format("h")} AS th CROSS JOIN {DIGITS.format("d")} AS td WHERE a < 4 AND h < 2) AS s
-CROSS JOIN LATERAL (
-  SELECT concat('fn', CAST(k AS STRING)) AS name, CASE WHEN k % 3 = 0 THEN 'ns' END AS scope, 10 * k + 1 AS start_line, 10 * k + 9 AS end_line
-  UNION ALL SELECT 'inner', NULL, 10 * k + 3, 10 * k + 5 WHERE k % 2 = 0) AS f
+  CROSS JOIN {DIGITS.format("h")} AS th CROSS JOIN {DIGITS.format("d")} AS td WHERE a < 4 AND h < 2)
+SELECT class_name, project, filename, concat('fn', CAST(k AS STRING)) AS name, CASE WHEN k % 3 = 0 THEN 'ns' END AS scope, 10 * k + 1 AS start_line, 10 * k + 9 AS end_line FROM s
+UNION ALL SELECT class_name, project, filename, 'inner', NULL, 10 * k + 3, 10 * k + 5 FROM s WHERE k % 2 = 0
 """
 
 METADATA = f"""
