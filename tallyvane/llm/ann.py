@@ -88,8 +88,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     their k + 1 smallest ids, which is all that any answer can need. The rotation is learned from at most `sample` rows
     (smallest hashes). The radius is the `reach` quantile of the code distance of the true neighbours of at most `probes`
     queries, found against all rows. Every row is indexed, in blocks of about `block` rows; queries in groups of about
-    `group` visit each block. Where fewer than k + 1 rows of a block are within the radius, it grows until there are, or
-    all are taken, so each query gets min(k, candidates) answers. Rows that repeat an id and a vector count once.
+    `group` visit each block and take what is within the radius there. Queries that have fewer than k + 1 rows in all
+    search again with a radius that grows, in each block, until it holds k + 1 or all are taken, so each query gets
+    min(k, candidates) answers. Rows that repeat an id and a vector count once.
     """
     rows = cut(usable(vectors, id_col, vector_col))
     spark, result = rows.sparkSession, "query_id long, rank int, vec_id long, score double"
@@ -122,26 +123,36 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     found = index.mapInPandas(scan, "q long, score double, d int").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     radius = int(np.ceil(found.agg(F.percentile("d", F.lit(reach))).first()[0]))
 
-    blocks, groups = max(1, -(-index.count() // block)), max(1, -(-queries.count() // group))
-    left = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = queries.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(asked):
-            return pd.DataFrame({"q": [], "vec_id": [], "score": []}).astype({"q": "int64", "vec_id": "int64"})
-        v, names = np.stack(rows["v"].array), rows["vec_id"].to_numpy()
-        points = np.stack(asked["v"].array)
-        index, out = SubstringIndex(encode(v, rotation)), []
-        for q, point, code in zip(asked["q"].to_numpy(), points, encode(points, rotation)):
-            within = radius
-            while len(near := index.within(code, within)) <= k and within < BITS:
-                within += BITS // PART
-            score = inner(v[near], point)
-            top = np.lexsort((names[near], -score))[: k + 1]
-            out.append(pd.DataFrame({"q": q, "vec_id": names[near[top]], "score": score[top]}))
-        return pd.concat(out, ignore_index=True)
-
-    parts = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(search, "q long, vec_id long, score double")
+    size = index.count()
+    blocks = max(1, -(-size // block))
+
+    def search_all(queries: DataFrame, grow: bool) -> DataFrame:
+        groups = max(1, -(-queries.count() // group))
+        left = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        right = queries.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+        def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"q": [], "vec_id": [], "score": []}).astype({"q": "int64", "vec_id": "int64", "score": "float64"})]
+            if not len(rows) or not len(asked):
+                return out[0]
+            v, names = np.stack(rows["v"].array), rows["vec_id"].to_numpy()
+            points, index = np.stack(asked["v"].array), SubstringIndex(encode(np.stack(rows["v"].array), rotation))
+            for q, point, code in zip(asked["q"].to_numpy(), points, encode(points, rotation)):
+                within = radius
+                while len(near := index.within(code, within)) <= k and grow and within < BITS:
+                    within += BITS // PART
+                score = inner(v[near], point)
+                top = np.lexsort((names[near], -score))[: k + 1]
+                out.append(pd.DataFrame({"q": q, "vec_id": names[near[top]], "score": score[top]}))
+            return pd.concat(out, ignore_index=True)
+
+        return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(search, "q long, vec_id long, score double")
+
+    parts = cut(search_all(queries, False))
+    enough = parts.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= min(k + 1, size))
+    short = cut(queries.join(enough, "q", "left_anti"))
+    if not short.isEmpty():
+        parts = parts.join(enough, "q", "left_semi").union(search_all(short, True))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     lists = parts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     lists = lists.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))

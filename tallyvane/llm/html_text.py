@@ -74,17 +74,30 @@ def build(page: str) -> Node:
     return root
 
 
+def _holds_article(node: Node) -> bool:
+    stack = [node]
+    while stack:
+        kids = [k for k in stack.pop().kids if not isinstance(k, str)]
+        if any(k.tag in {"article", "main"} for k in kids):
+            return True
+        stack += kids
+    return False
+
+
 def _noise(node: Node, inside: bool) -> bool:
     if node.tag in DROP or node.tag == "header" and not inside:
         return True
-    if not node.attrs or node.tag in {"body", "html", "article", "main"}:
+    if not node.attrs or node.tag in {"body", "html", "main"}:
         return False
     if HIDDEN.search(node.attrs):
         return True
     if node.tag in INLINE or node.tag in HEADINGS:
         return False
-    words = {w for m in HINT.finditer(node.attrs) for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & NOISE) or "header" in words and not inside
+    names = [(m[1] or m[2] or m[3] or "").lower() for m in HINT.finditer(node.attrs)]
+    if node.tag == "article":
+        return any(t in NOISE or t.startswith("comment-") for name in names for t in name.split())
+    words = {w for name in names for w in WORDS.findall(name)}
+    return (bool(words & NOISE) or "header" in words and not inside) and not _holds_article(node)
 
 
 def prune(root: Node) -> None:

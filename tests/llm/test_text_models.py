@@ -82,6 +82,8 @@ def test_html_main_text():
     assert html_text.main_text(page) == "Title & more First paragraph goes on. Second with a link and 1 < 2."
     plain = "<body><div id=menu><a href=1>One</a> <a href=2>Two</a></div><div><p>" + "Words of the text. " * 9 + "</p><p>" + "More of the text. " * 9 + "</p></div><div class=footer>c</div></body>"
     assert html_text.main_text(plain) == ("Words of the text. " * 9 + "More of the text. " * 9).strip()
+    framed = '<body><div class="page with-sidebar"><article class="post has-menu"><p>The story itself.</p></article><article class="comment"><p>Reader says no.</p></article></div></body>'
+    assert html_text.main_text(framed) == "The story itself."
     for odd in (None, "", "   ", "<", "<<<>>>", "</p></div>", "<p", "just text", "<!-- <p>x</p>", "<script>x", "<div>" * 3000 + "deep" + "</div>" * 3000):
         assert isinstance(html_text.main_text(odd), str)
     assert html_text.main_text("just text") == "just text"
