@@ -161,20 +161,26 @@ def poisson_test(totals: DataFrame) -> DataFrame:
     return rows.select("chi2", erfc(F.sqrt(F.col("chi2") / 2)).alias("chi2_p"), p.alias("p")).withColumn("significant", F.col("p") < 0.05)
 
 
-def kendall(rows: DataFrame, by: list[str], x: str, y: str, key: str, least: int = 4) -> DataFrame:
+def kendall(rows: DataFrame, by: list[str], x: str, y: str, least: int = 4) -> DataFrame:
     """(by, n, concordance, tau): Kendall's tau-b of x and y over rows that have both; null tau under `least` rows.
 
-    Pairs are formed within a key of `by` (projects of a class), each once; their signs are only summed up.
+    No pairs are built. Of two different ranks of y, one has a 0 and the other a 1 in their highest differing bit; so for
+    each bit, among rows whose higher bits agree, rows with a 1 count those with a 0 that have a smaller or larger x. That
+    is one running sum per bit.
     """
-    kept = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    other = kept.select(*by, F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = kept.join(other, by).where("id < id2")
-    signs = pairs.groupBy(*by).agg(F.sum(F.signum(F.col("x") - F.col("x2")) * F.signum(F.col("y") - F.col("y2"))).alias("s"))
+    kept = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rank = lambda c: (F.dense_rank().over(Window.partitionBy(*by).orderBy(c)) - 1).cast("int")
+    ranked = kept.withColumn("rx", rank("x")).withColumn("ry", rank("y")).withColumn("top", F.max("ry").over(Window.partitionBy(*by)))
+    bits = ranked.withColumn("level", F.explode(F.sequence(F.lit(0), F.length(F.bin("top")) - 1))).withColumn("high", F.expr("shiftright(ry, level + 1)")).withColumn("one", F.expr("shiftright(ry, level) & 1"))
+    here = Window.partitionBy(*by, "level", "high").orderBy("rx")
+    zeros = lambda frame: F.coalesce(F.sum(1 - F.col("one")).over(frame), F.lit(0))
+    gain = zeros(here.rangeBetween(Window.unboundedPreceding, -1)) - zeros(here.rangeBetween(1, Window.unboundedFollowing))
+    signs = bits.withColumn("gain", F.col("one") * gain).groupBy(*by).agg(F.sum("gain").cast("double").alias("s"))
     ties = lambda c: kept.groupBy(*by, c).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"ties_{c}"))
-    out = kept.groupBy(*by).agg(F.count("*").alias("n")).join(signs, by, "left").join(ties("x"), by).join(ties("y"), by)
+    out = kept.groupBy(*by).agg(F.count("*").alias("n")).join(signs, by).join(ties("x"), by).join(ties("y"), by)
     half = F.col("n") * (F.col("n") - 1) / 2
     tau = F.col("s") / F.nullif(F.sqrt((half - F.col("ties_x")) * (half - F.col("ties_y"))), F.lit(0.0))
-    return out.select(*by, "n", F.coalesce("s", F.lit(0.0)).alias("concordance"), F.when(F.col("n") >= least, tau).alias("tau"))
+    return out.select(*by, "n", F.col("s").alias("concordance"), F.when(F.col("n") >= least, tau).alias("tau"))
 
 
 def tau_b(x: np.ndarray, y: np.ndarray) -> float:

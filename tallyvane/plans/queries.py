@@ -733,7 +733,7 @@ def _(t: Tables) -> DataFrame:
  SELECT g.class_name, n, CAST(c AS DOUBLE) AS concordance, CASE WHEN n >= 4 THEN round(c / sqrt((pairs - tx) * (pairs - ty)), 6) END AS tau FROM g JOIN (SELECT class_name, count(*) AS n FROM s GROUP BY ALL) k ON g.class_name = k.class_name""")
 def _(t: Tables) -> DataFrame:
     rows = density.with_densities(_vulns(t)).withColumn("size", F.col("functions") + F.col("loc"))
-    return _round(stats.kendall(rows, ["class_name"], "size", "per_kloc", "project"), "tau")
+    return _round(stats.kendall(rows, ["class_name"], "size", "per_kloc"), "tau")
 
 
 @query("j08_kendall_intervals")

@@ -137,7 +137,12 @@ def test_mann_whitney_and_kendall(spark):
     assert stats.tau_b(x, y) == pytest.approx(11 / 15) and stats.kendall_p(x, y) == pytest.approx(2 * 20 / 720)
     assert stats.kendall_p(np.repeat(x, 2), np.repeat(y, 2)) < 0.01
     table = spark.createDataFrame([("k", f"p{k}", a, b) for k, (a, b) in enumerate(zip(x.tolist(), y.tolist()))], "class_name string, project string, x double, y double")
-    assert stats.kendall(table, ["class_name"], "x", "y", "project").first()["tau"] == pytest.approx(11 / 15)
+    assert stats.kendall(table, ["class_name"], "x", "y").first()["tau"] == pytest.approx(11 / 15)
+    tied = [("k" if k % 3 else "a", float(v), float(w)) for k, (v, w) in enumerate(rng.integers(0, 9, (90, 2)))]
+    got = {r["class_name"]: (r["n"], r["tau"]) for r in stats.kendall(spark.createDataFrame(tied, "class_name string, x double, y double"), ["class_name"], "x", "y").collect()}
+    for c in "ka":
+        v = np.array([r[1:] for r in tied if r[0] == c])
+        assert got[c] == (len(v), pytest.approx(stats.tau_b(v[:, 0], v[:, 1])))
     first, second = (stats.kendall_intervals(table, ["class_name"], "x", "y", "project", draws=50).first() for _ in range(2))
     assert first == second and first["low"] <= first["tau"] <= first["high"]
 
