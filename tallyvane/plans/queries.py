@@ -216,6 +216,23 @@ def _(t: Tables) -> DataFrame:
 
 # Sinks
 
+@query("b01_report_documents", """SELECT r.class_name, r.project, r.tools, r.completed, r.findings, coalesce(f.n, 0) AS listed, f.first_file FROM (SELECT class_name, project, count(*) AS tools, count(CASE WHEN status = 'completed' THEN 1 END) AS completed,
+ CAST(coalesce(sum(findings), 0) AS BIGINT) AS findings FROM run_rows GROUP BY ALL) r LEFT JOIN (SELECT project, count(*) AS n, arg_min(filename, finding_idx) AS first_file FROM findings GROUP BY project) f ON r.project = f.project""")
+def _(t: Tables) -> DataFrame:
+    docs = audit.report_documents(_runs(t), t.get("findings"))
+    first = F.get("findings", F.lit(0))["filename"].alias("first_file")
+    return docs.select(*PROJECT, "summary.tools", "summary.completed", "summary.findings", F.size(F.col("findings")).cast("long").alias("listed"), first)
+
+
+@query("b04_project_metadata", r"""SELECT m.project, coalesce(c.files, 0) AS files, coalesce(c.loc, 0) AS loc, s.functions FROM metadata m
+ LEFT JOIN (SELECT concat('p', CAST(doc_id % 70 AS STRING)) AS project, count(*) AS files, CAST(sum(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')))) AS BIGINT) AS loc FROM documents GROUP BY 1) c ON m.project = c.project
+ LEFT JOIN (SELECT project, count(*) AS functions FROM spans GROUP BY project) s ON m.project = s.project""")
+def _(t: Tables) -> DataFrame:
+    files = t.base("documents").select(F.concat(F.lit("p"), (F.col("doc_id") % 70).cast("string")).alias("project"), "text")
+    rows = corpus.project_metadata(t.get("metadata").select("project"), corpus.lines_of_code(files, ["project"]), corpus.function_counts(t.get("spans"), ["project"]), ["project"])
+    return rows.select("project", "files", "loc", "functions")
+
+
 @query("b03_class_documents", "SELECT m.class_name, m.project, m.loc AS \"LOC\", coalesce(t.n, 0) AS tot_vulns, coalesce(t.k, 0) AS cwes FROM metadata m LEFT JOIN (SELECT project, count(*) AS n, count(DISTINCT cwe) AS k FROM prep GROUP BY project) t ON m.project = t.project")
 def _(t: Tables) -> DataFrame:
     findings = vote.prepare(t.get("findings")).withColumn("function", F.lit(None).cast("string"))
