@@ -135,7 +135,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_clusters(found, str(tmp_path / "c"))
     assert (tmp_path / "c" / "class_name=kernel" / "project=a" / "rule=two_out_of_four").is_dir()
     sinks.write_table(found, str(tmp_path / "t"))
-    assert next((tmp_path / "t").glob("*.csv")).read_text().splitlines() == ["class_name,project,rule,v,w", "kernel,a,two_out_of_four,1.25,"]
+    assert {line for f in (tmp_path / "t").glob("*.csv") for line in f.read_text().splitlines()} == {"class_name,project,rule,v,w", "kernel,a,two_out_of_four,1.25,"}
     totals = sinks.rule_totals(found, found, ["one_out_of_four", "two_out_of_four"]).collect()
     assert sorted((r["rule"], r["tot_vulns"]) for r in totals) == [("one_out_of_four", 0), ("two_out_of_four", 1)]
     sinks.write_documents(found, str(tmp_path / "d"))
