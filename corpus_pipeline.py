@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvane.llm import langid, mixing, packing, simhash
-from tallyvane.llm._common import ensure_checkpoint_dir, fold
+from tallyvane.llm._common import ensure_checkpoint_dir, fold, without
 from tallyvane.llm.exact_dedup import exact_dedup
 from tallyvane.llm.labelled import labelled_rows
 from tallyvane.llm.queries import labelled_domain
@@ -36,7 +36,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each component of linked fingerprints."""
     dropped = simhash.simhash_components(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, dropped, "doc_id")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     rates = mixing.mix(docs, known, WEIGHTS, max_rate=1.0)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
     dropped = rates.where(draw >= F.col("rate")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, dropped, "doc_id")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

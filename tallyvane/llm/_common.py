@@ -26,3 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
 def fold(id_col: str, modulus: int, remainder: int) -> Column:
     """True for held-out rows: crc32 of the id as text has that remainder. A null id counts as not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == remainder, F.lit(False))
+
+
+def without(docs: DataFrame, dropped: DataFrame, on: str | Column, bound: int = 200_000) -> DataFrame:
+    """The rows of docs that have no partner in dropped, a table of keys, with their columns as they are.
+
+    Up to `bound` dropped rows are broadcast, so that no text moves; beyond it, docs and keys are shuffled and joined.
+    """
+    dropped = cut(dropped)
+    few = dropped.limit(bound + 1).count() <= bound
+    return docs.join(F.broadcast(dropped) if few else dropped, on, "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyvane.llm._common import cut
+from tallyvane.llm._common import cut, without
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 1e-3) -> DataFrame:
@@ -54,4 +54,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(F.col("doc_id").alias("__drop_id"), F.col("text_sha256").alias("__drop_sha"))
         .distinct()
     )
-    return docs.join(dropped, (docs[id_col].eqNullSafe(F.col("__drop_id"))) & (digest == F.col("__drop_sha")), "left_anti")
+    return without(docs, dropped, docs[id_col].eqNullSafe(F.col("__drop_id")) & (digest == F.col("__drop_sha")))

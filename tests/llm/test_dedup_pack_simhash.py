@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from tallyvane.llm import exact_dedup, graph, packing, simhash
+from tallyvane.llm._common import without
 
 
 def as_dict(df, key="doc_id"):
@@ -33,6 +34,14 @@ def test_exact_groups_match_brute_force(make_docs):
     assert kept.columns == make_docs(rows).columns
 
 
+@pytest.mark.parametrize("bound", [0, 100])
+def test_without_gives_the_same_rows_broadcast_or_shuffled(spark, make_docs, bound):
+    docs = make_docs([(k if k % 7 else None, f"t{k}", "en") for k in range(50)])
+    dropped = spark.createDataFrame([(3,), (4,), (99,)], "doc_id long")
+    got = without(docs, dropped, "doc_id", bound)
+    assert got.columns == docs.columns and sorted(r["text"] for r in got.collect()) == sorted(f"t{k}" for k in range(50) if k not in (3, 4))
+
+
 def test_exact_odd_rows_and_empty_table(make_docs, odd_rows):
     got = exact_dedup.exact_groups(make_docs(odd_rows)).collect()
     assert len(got) == len(odd_rows)
