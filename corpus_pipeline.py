@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvane.llm import langid, mixing, packing, simhash
-from tallyvane.llm._common import ensure_checkpoint_dir, fold, without
+from tallyvane.llm._common import cut, ensure_checkpoint_dir, fold, without
 from tallyvane.llm.exact_dedup import exact_dedup
 from tallyvane.llm.labelled import labelled_rows
 from tallyvane.llm.queries import labelled_domain
@@ -34,9 +34,13 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each component of linked fingerprints."""
-    dropped = simhash.simhash_components(docs).where("component_id <> doc_id").select("doc_id")
-    return without(docs, dropped, "doc_id")
+    """Keep the smallest id of each component of texts that share four fifths of their five-word shingles."""
+    linked = cut(simhash.similar_components(docs).where("doc_id is not null").distinct())
+    first = linked.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    dropped = linked.join(first, "component_id").where(F.struct("doc_id", "node") != F.col("first"))
+    dropped = dropped.select(F.col("doc_id").alias("__drop_id"), F.col("node").alias("__drop_node"))
+    node = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return without(docs, dropped, (docs["doc_id"] == F.col("__drop_id")) & (node == F.col("__drop_node")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,14 +23,21 @@ UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ROW_COST, PAIR_COST = 1.0, 0.02
 
 
-def simhash(text: str | None, width: int = 3) -> int:
-    """The 64-bit fingerprint of one whole text: bit b is 1 if it is set in over half of its shingles' XXH64 values."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of each shingle of one whole text, in order; a text of fewer words is one shingle, one without words has none."""
     words = WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(UPPER))
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[k:] for k in range(width))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, 42) for s in shingles), "<u8")
+    return np.fromiter((digest(s, 42) for s in shingles), "<u8")
+
+
+def simhash(text: str | None, width: int = 3) -> int:
+    """The 64-bit fingerprint of one whole text: bit b is 1 if it is set in over half of its shingles' XXH64 values."""
+    hashes = shingle_hashes(text, width)
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 8192):
         ones += np.unpackbits(hashes[k : k + 8192].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.uint32)
@@ -111,6 +118,8 @@ def allocate(n: int, both: np.ndarray, radius: int = 3) -> list[tuple[list[int],
                     if key not in following or total + c < following[key][0]:
                         following[key] = (total + c, [*chosen, t])
             state = following
+        if radius + 1 not in state:
+            continue
         total, chosen = state[radius + 1]
         if total < best[0]:
             best = (total, [(bits, t) for bits, t in zip(groups, chosen) if t >= 0])
@@ -231,3 +240,73 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
     return marked.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each of the sorted sets, the first one that links of at least this Jaccard similarity reach."""
+    sizes, label = np.array([len(s) for s in sets]), np.arange(len(sets))
+    for i, own in enumerate(sets):
+        least, most = np.minimum(sizes[i], sizes), np.maximum(sizes[i], sizes)
+        at = np.flatnonzero((label != label[i]) & (np.arange(len(sets)) > i) & (least > 0) & (least >= similarity * most))
+        if not len(at):
+            continue
+        every = np.concatenate([sets[j] for j in at])
+        place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+        both = np.add.reduceat((own[place] == every).astype(np.int64), np.cumsum([0, *sizes[at][:-1]]))
+        joined = np.unique(np.append(label[at[both >= similarity * (sizes[i] + sizes[at] - both) - 1e-9]], label[i]))
+        label[np.isin(label, joined)] = joined[0]
+    return label
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 11, width: int = 5,
+                       similarity: float = 0.8, block: int = 512) -> DataFrame:
+    """(doc_id, node, component_id) for each row of docs whose text links to another text; node is the hash of the text.
+
+    Candidates are the components of fingerprints within the radius. Inside each, two texts link if the Jaccard similarity
+    of their sets of shingles, all of them, is at least `similarity`; component_id is the smallest node that links reach.
+    A component with more than `block` texts is split into blocks, and each two of its blocks meet in one group.
+    """
+    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    near = simhash_components(docs.select(node.alias("node"), text_col), "node", text_col, radius, width)
+    near = cut(near.select(F.col("doc_id").alias("node"), F.col("component_id").alias("near")).distinct())
+    sizes = near.groupBy("near").agg(F.count("*").alias("n")).where("n > 1").select("near", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    members = cut(near.join(sizes, "near"))
+    few = members.limit(200_001).count() <= 200_000
+    texts = docs.select(node.alias("node"), F.col(text_col).alias("text")).join(F.broadcast(members) if few else members, "node")
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in batch["text"].array]
+            yield batch.drop(columns="text").assign(shingles=sets)
+
+    rows = texts.select("node", "near", "blocks", "text").mapInPandas(shingled, "node long, near long, blocks int, shingles binary")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.least(b, mine) * F.col("blocks") + F.greatest(b, mine))
+    rows = rows.withColumn("pair", F.explode(pairs)).drop("blocks")
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, nodes, sets = None, [], []
+
+        def edges() -> pd.DataFrame:
+            label = alike(sets, similarity)
+            rest, nodes_ = label != np.arange(len(nodes)), np.array(nodes, np.int64)
+            return pd.DataFrame({"u": nodes_[rest], "v": nodes_[label[rest]]})
+
+        for batch in batches:
+            for near_, pair, n, s in zip(batch["near"], batch["pair"], batch["node"], batch["shingles"]):
+                if (near_, pair) != key:
+                    if len(nodes) > 1:
+                        yield edges()
+                    key, nodes, sets = (near_, pair), [], []
+                if not nodes or nodes[-1] != n:
+                    nodes.append(n)
+                    sets.append(np.frombuffer(s, "<u8"))
+        if len(nodes) > 1:
+            yield edges()
+
+    links = rows.repartition("near", "pair").sortWithinPartitions("near", "pair", "node").mapInPandas(link, "u long, v long")
+    components = cut(connected_components(links))
+    few = components.limit(200_001).count() <= 200_000
+    return docs.select(F.col(id_col).alias("doc_id"), node.alias("node")).join(
+        F.broadcast(components) if few else components, "node"
+    ).select("doc_id", "node", F.col("component").alias("component_id"))

@@ -92,3 +92,20 @@ def test_rates_match_dense_projected_gradient(spark):
         rate = np.maximum(0, rate - p @ (step * weight * (p.T @ (rate * tokens) - targets) / w))
     assert np.allclose([got[k] for k in range(200)], rate)
     assert np.abs(p.T @ (rate * tokens) - targets).max() < 0.02 * w
+
+
+def test_near_stage_links_five_word_jaccard(spark, tmp_path):
+    rng, texts = random.Random(5), {}
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    for k in range(0, 60, 2):
+        base = words(60)
+        texts[k] = " ".join(base)
+        cut_at = 20 if k % 4 else 0
+        texts[k + 1] = " ".join([*base[:-3], *words(3)] if cut_at == 0 else [*words(20), *base[20:]])
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in texts.items() if (w := t.split())}
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    expected = {i for i in texts if i % 2 == 0 or jaccard(i - 1, i) < 0.8}
+    assert 30 < len(expected) < 60
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in stage("simhash_near_dedup")(spark, docs, "").collect()} == expected
