@@ -27,12 +27,13 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "attrs", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.best = self
 
 
 def build(page: str) -> Node:
@@ -138,24 +139,43 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def select(order: list[Node]) -> Node:
-    """The subtree with the largest density sum, raised while siblings reach the threshold of its path to the body."""
+def select(order: list[Node]) -> list[Node]:
+    """The subtrees of the main text in page order, by the threshold of the path from the largest density sum to the body.
+
+    The first is the subtree with the largest density sum, raised while siblings reach the threshold, or the outermost
+    article or main around it. To it comes every other block that reaches the threshold, wherever it stands, with its own
+    subtree of the largest density sum; beside an article or main, these are the other articles and mains.
+    """
     best = max(order, key=lambda n: n.total)
     if best.total == 0:
-        return order[0]
+        return [order[0]]
     path = [best]
     while path[-1].parent is not None and path[-1].tag != "body":
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    for node in reversed(path):
-        if node.tag in {"article", "main"}:
-            return node
-    for node in path[1:]:
-        near = [k for k in node.kids if not isinstance(k, str) and k is not best and k.chars]
-        if node.tag in {"body", "html", "#root"} or not any(k.density >= threshold and k.link_chars * 2 < k.chars for k in near):
-            break
-        best = node
-    return best
+    reaches = lambda k: k.chars and k.density >= threshold and k.link_chars * 2 < k.chars
+    named = next((n for n in reversed(path) if n.tag in {"article", "main"}), None)
+    if named is None:
+        for node in path[1:]:
+            near = [k for k in node.kids if not isinstance(k, str) and k is not best]
+            if node.tag in {"body", "html", "#root"} or not any(reaches(k) for k in near):
+                break
+            best = node
+    for node in reversed(order):
+        node.best = max([node, *(k.best for k in node.kids if not isinstance(k, str))], key=lambda n: n.total)
+    above, kept, out, stack = set(path), {named or best}, [], [order[0]]
+    while stack:
+        node = stack.pop()
+        if node not in kept and node not in above and reaches(node):
+            if named is None and node.tag not in INLINE and node.tag not in VOID:
+                kept.add(node.best)
+            elif node.tag in {"article", "main"}:
+                kept.add(node)
+        if node in kept:
+            out.append(node)
+        else:
+            stack += [k for k in reversed(node.kids) if not isinstance(k, str)]
+    return out
 
 
 def blocks(node: Node) -> str:
@@ -193,7 +213,7 @@ def main_text(page: str | None) -> str:
     root = build(page)
     body = next((k for h in [root, *[k for k in root.kids if not isinstance(k, str)]] for k in h.kids if not isinstance(k, str) and k.tag == "body"), root)
     prune(body)
-    return blocks(select(measure(body)))
+    return " ".join(filter(None, map(blocks, select(measure(body)))))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

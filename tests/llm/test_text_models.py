@@ -89,6 +89,18 @@ def test_html_main_text():
     assert html_text.main_text("just text") == "just text"
 
 
+def test_html_keeps_sibling_parts():
+    part = lambda k: [f"Part {k} sentence {j} goes on with some more words of running text." for j in range(3)]
+    inner = lambda k: "".join(f"<p>{p}</p>" for p in part(k))
+    expected = " ".join(p for k in range(2) for p in part(k))
+    for tag in ("section", "article", "div"):
+        page = "<html><body>" + "".join(f"<{tag}>{inner(k)}</{tag}>" for k in range(2)) + "</body></html>"
+        assert html_text.main_text(page) == expected
+    expected = " ".join(p for k in range(3) for p in part(k))
+    nested = f"<body><section>{inner(0)}</section><div><section>{inner(1)}</section><section>{inner(2)}</section></div></body>"
+    assert html_text.main_text(nested) == expected
+
+
 def test_html_query_shape(spark):
     rows = [(1, "u", None, "t", 5), (1, "u", None, "t", 5), (None, None, "<p>x</p>", "t", 5)]
     out = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")).collect()
