@@ -55,7 +55,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place every document's tokens in sequences of 1024."""
-    return packing.best_fit_pack(docs)
+    return packing.best_fit_pack(docs, special=True)
 
 
 STAGES = [

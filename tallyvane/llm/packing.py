@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tallyvane.llm._common import cut
 
+#: The added token of byte_bpe_50k.json, which the rank file does not hold.
+SPECIAL = {"<|endoftext|>": 50256}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -24,7 +26,7 @@ def _encoder(ranks_path: str, pattern: str):
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -35,17 +37,19 @@ def tokenizer_paths() -> tuple[str, str]:
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2,
-                 tokenizer: tuple[str, str] | None = None) -> DataFrame:
+                 tokenizer: tuple[str, str] | None = None, special: bool = False) -> DataFrame:
     """Tokenise each whole text, append end_id, and cut documents of more than capacity ids into pieces.
 
     The remainder is the first piece, all later ones are full. Null text is an empty one: a single piece [end_id].
     The rank file gives the same ids as the JSON file of that vocabulary, several times faster (a test compares them).
-    Text that looks like a special token is ordinary text.
+    With `special`, the added token of the JSON file gets its own id wherever texts hold it, as tokenizers does with that
+    file; without, text that looks like it is ordinary text.
     """
     ranks_path, pattern = tokenizer or tokenizer_paths()
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(ranks_path, pattern).encode_ordinary
+        encoder = _encoder(ranks_path, pattern)
+        encode = partial(encoder.encode, allowed_special=set(SPECIAL)) if special else encoder.encode_ordinary
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"].array, batch["text"].array):
@@ -155,6 +159,6 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 
 
 def best_fit_pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: tuple[str, str] | None = None,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
     """Tokenise, cut and pack whole documents; see token_pieces and pack. Repeated rows are packed as often as they occur."""
-    return pack(token_pieces(docs, id_col, text_col, capacity, end_id, tokenizer), capacity)
+    return pack(token_pieces(docs, id_col, text_col, capacity, end_id, tokenizer, special), capacity)

@@ -36,7 +36,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_pack(_table(spark, sf_dir, "documents"))
+    return packing.best_fit_pack(_table(spark, sf_dir, "documents"), special=True)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,3 +192,18 @@ def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 100)] + [(200, k) for k in range(201, 260)] + [(300, 300), (None, 5)]
     got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 0 for k in range(101)} | {k: 200 for k in range(200, 260)}
+
+
+def test_packing_gives_the_added_token_its_id(spark, make_docs, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tallyvane.llm import queries
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny", "<|endoftext |> none", "it's 1,234  <|endoftext|>  é 漢字"]
+    make_docs([(k, t, "en") for k, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.queries()["op3_best_fit_packing"](spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert (got[k]["length"], got[k]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
