@@ -715,7 +715,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("j03_bootstrap")
 def _(t: Tables) -> DataFrame:
-    return _round(stats.bootstrap_mann_whitney(_shares(t), "cwe", draws=200), "p_low", "p_high", "delta_low", "delta_high")
+    return _round(stats.bootstrap_mann_whitney(_shares(t), "cwe"), "p_low", "p_high", "delta_low", "delta_high")
 
 
 @query("j03_bootstrap_parity")
@@ -756,7 +756,9 @@ def _(t: Tables) -> DataFrame:
 @query("j08_kendall_intervals")
 def _(t: Tables) -> DataFrame:
     rows = density.with_densities(_vulns(t))
-    return _round(stats.kendall_intervals(rows, ["class_name"], "loc", "per_kloc", "project", draws=200), "tau", "p", "low", "high")
+    rows = rows.unionByName(rows.withColumn("class_name", F.lit("combined")))
+    loc, functions = (stats.kendall_intervals(rows, ["class_name"], size, per, "project", draws=10_000).withColumn("size", F.lit(size)) for size, per in (("loc", "per_kloc"), ("functions", "per_kfunctions")))
+    return _round(loc.unionByName(functions), "tau", "p", "low", "high")
 
 
 @query("flagship_vote_density", ", v AS (SELECT m.*, coalesce(c.n, 0) AS vulns FROM metadata m LEFT JOIN (SELECT project, count(*) AS n FROM clusters WHERE rule = 'two_out_of_four' GROUP BY ALL) c ON m.project = c.project) " + _TOTALS.format("v"))

@@ -174,3 +174,23 @@ def test_stream_replay_equals_batch(spark, tmp_path):
         assert query.exception() is None
     got = spark.read.parquet(str(tmp_path / "store" / "v=1")).collect()
     assert sorted((r["tool"], r["line"]) for r in got) == [("codeql", 3), ("semgrep", 2)]
+
+
+def test_registered_bootstraps_run_all_draws(spark, monkeypatch):
+    from tallyvane.plans import queries
+
+    called = []
+
+    def mann_whitney(samples, key, value="share", draws=2000, seed=42):
+        called.append(draws)
+        return spark.createDataFrame([("a", 0.0, 0.0, 0.0, 0.0)], "cwe string, p_low double, p_high double, delta_low double, delta_high double")
+
+    def intervals(rows, by, x, y, key, draws=1000, seed=42):
+        called.append((x, y, draws, "combined" in {r[0] for r in rows.select("class_name").distinct().collect()}))
+        return spark.createDataFrame([("a", 0.0, 0.0, 0.0, 0.0)], "class_name string, tau double, p double, low double, high double")
+
+    monkeypatch.setattr(queries.stats, "bootstrap_mann_whitney", mann_whitney)
+    monkeypatch.setattr(queries.stats, "kendall_intervals", intervals)
+    queries.QUERIES["j03_bootstrap"](spark, "/root/testdata/sf0.001")
+    queries.QUERIES["j08_kendall_intervals"](spark, "/root/testdata/sf0.001")
+    assert called == [2000, ("loc", "per_kloc", 10_000, True), ("functions", "per_kfunctions", 10_000, True)]
