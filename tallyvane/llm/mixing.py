@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tallyvane.llm._common import cut
 
-MARKS = "\n\t\r.,;:!?*&$%#|()[]{}<>\"'/\\-_+=~@"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Characters that part words beside the space; the rarer of them count as marks.
+STOPS = "\n\t\r.,"
+MARKS = ";:!?*&$%#|()[]{}<>\"'/\\-_+=~@"
+WORD = "[^ " + re.escape(STOPS + MARKS) + "]+"
 
 
 def _all(columns: list[Column]) -> Column:
@@ -19,30 +23,39 @@ def _all(columns: list[Column]) -> Column:
 
 
 def document_words(text: Column) -> Column:
-    """The distinct lower-cased words of a whole text, as an array."""
-    return F.array_distinct(F.split(F.translate(F.lower(text), MARKS, " " * len(MARKS)), " "))
+    """The lower-cased words of a whole text, in order, as an array; empty if it has none."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def _share_removed(text: Column, chars: str) -> Column:
-    return 1 - F.length(F.translate(text, chars, "")) / F.greatest(F.length(text), F.lit(1))
+def _share(text: Column, kind: str) -> Column:
+    return F.regexp_count(text, F.lit(kind)) / F.greatest(F.length(text), F.lit(1))
+
+
+def _told(words: list[str]) -> Column:
+    return F.log1p(F.size(F.filter("told", lambda w: w.isin(words)))) if words else F.lit(0.0)
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, lists: list[list[str]]) -> DataFrame:
-    """(doc_id, tokens, f0 ...): the figures that the classifier sees. Null text counts as empty; tokens are words."""
+    """(doc_id, tokens, f0 ...): the figures that the classifier sees. Null text counts as empty; tokens are words.
+
+    A text is split into words once, and its distinct words meet the telling words of all domains once; each domain is
+    then counted in that short array.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", "text", document_words(F.col("text")).alias("words"), (F.length("text") - F.length(F.translate("text", " \n\t\r", "")) + 1).cast("double").alias("spaces"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("words", document_words(F.col("text")))
+    rows = rows.select("doc_id", "text", F.size("words").cast("double").alias("tokens"), F.array_distinct("words").alias("words"))
+    telling = sorted({w for words in lists for w in words})
+    rows = rows.withColumn("told", F.array_intersect("words", F.array(*map(F.lit, telling))) if telling else F.expr("cast(array() as array<string>)"))
     columns = [
-        F.log1p(F.col("spaces")), _share_removed(F.col("text"), CAPITALS), _share_removed(F.col("text"), MARKS[5:]), _share_removed(F.col("text"), "0123456789"),
-        F.size("words") / F.col("spaces"), *(F.log1p(F.size(F.array_intersect("words", F.array(*map(F.lit, words))))) if words else F.lit(0.0) for words in lists),
+        F.log1p("tokens"), _share(F.col("text"), "[A-Z]"), _share(F.col("text"), "[" + re.escape(MARKS) + "]"), _share(F.col("text"), "[0-9]"),
+        F.size("words") / F.greatest("tokens", F.lit(1.0)), *(_told(words) for words in lists),
     ]
-    tokens = F.when(F.col("text").rlike(r"\S"), F.col("spaces")).otherwise(0.0)
-    return rows.select("doc_id", tokens.alias("tokens"), *(c.cast("double").alias(f"f{k}") for k, c in enumerate(columns)))
+    return rows.select("doc_id", "tokens", *(c.cast("double").alias(f"f{k}") for k, c in enumerate(columns)))
 
 
 def telling_words(labelled: DataFrame, domains: list[str], each: int = 40, least: int = 3) -> list[list[str]]:
     """For each domain, the words with the highest smoothed odds of occurring in its documents rather than others'."""
-    words = labelled.select("domain", F.explode(document_words(F.coalesce("text", F.lit("")))).alias("word")).where("word <> ''")
+    words = labelled.select("domain", F.explode(F.array_distinct(document_words(F.coalesce("text", F.lit(""))))).alias("word"))
     counts = words.groupBy("word").agg(*(F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)))
     totals = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     counts, n, out = cut(counts.where(F.greatest(*(F.col(f"n{k}") for k in range(len(domains))), F.lit(0)) >= least)), sum(totals.values()), []
@@ -87,13 +100,14 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str],
     return rows.select("doc_id", "tokens", *((F.col(f"e{k}") / whole).alias(f"p{k}") for k in range(len(domains))))
 
 
-def fit_rates(members: DataFrame, targets: list[float], max_rate: float | None = None, rounds: int = 40, tolerance: float = 1e-3) -> DataFrame:
+def fit_rates(members: DataFrame, targets: list[float], max_rate: float | None = None, rounds: int = 60, tolerance: float = 1e-3) -> DataFrame:
     """Add to (doc_id, tokens, p0 ...) a column rate >= 0, so that the sums of rate * tokens * p_k come near targets.
 
     Projected gradient on the weighted least squares of the totals, from rate 1, in the metric of tokens: each round is
     one aggregation of as many numbers as there are domains, and the step is r <- max(0, r - sum of c_k p_k), at most
-    max_rate if given. Stops when every total is within the tolerance (as a share of all target tokens). Documents without
-    tokens keep their place at rates that cost nothing.
+    max_rate if given. Ends when every total is within the tolerance (as a share of all target tokens). Ends with a
+    warning that names totals and targets when a round no longer lowers the squared error by a millionth, as no rates of
+    that range give the targets, or after `rounds`. Documents without tokens keep their place at rates that cost nothing.
     """
     k = range(len(targets))
     members = cut(members)
@@ -107,12 +121,17 @@ def fit_rates(members: DataFrame, targets: list[float], max_rate: float | None =
     weight = [1 / max(gram[i][i], 1e-9) for i in k]
     # The largest eigenvalue of the scaled Gram matrix is at most its largest row sum.
     step = 1 / max(sum(abs(gram[i][j]) * math.sqrt(weight[i] * weight[j]) for j in k) for i in k)
-    total = sum(targets) or 1.0
-    for turn in range(rounds):
+    total, before = sum(targets) or 1.0, math.inf
+    for turn in range(rounds + 1):
         sums = rates.agg(*(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p{i}")).alias(f"s{i}") for i in k)).first()
         errors = [sums[f"s{i}"] - targets[i] for i in k]
         if max(map(abs, errors)) <= tolerance * total:
-            break
+            return rates
+        loss = sum(v * e * e for v, e in zip(weight, errors))
+        if turn == rounds or loss >= before * (1 - 1e-6):
+            warnings.warn(f"mixing totals {[round(e + t) for e, t in zip(errors, targets)]} instead of {[round(t) for t in targets]} after {turn} rounds", stacklevel=2)
+            return rates
+        before = loss
         moved = F.col("rate") - _all([F.lit(step * weight[i] * errors[i] / w) * F.col(f"p{i}") for i in k])
         moved = F.greatest(moved, F.lit(0.0))
         rates = rates.withColumn("rate", F.least(moved, F.lit(float(max_rate))) if max_rate is not None else moved)
@@ -127,7 +146,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
     weights: the share of tokens that each domain is to have; domains that no document belongs to are left out of the
     shares. The budget is all tokens of docs. With max_rate it is what the domain of the largest weight can give, and no
     target is above what its domain has. Null and empty texts have no tokens. Extra columns are left out, and an empty
-    table gives an empty result.
+    table gives an empty result. Repeated rows have the same rate, and count as often as they occur.
     """
     domains = list(weights)
     members = cut(domain_posteriors(docs, labelled, domains, id_col, text_col))
