@@ -1,4 +1,4 @@
-"""Toxicity: noisy-channel restoration of obfuscated words, then a lexicon of learned beginnings of words."""
+"""Toxicity: noisy-channel restoration of obfuscated words, then a logistic score of words and beginnings of words."""
 
 from __future__ import annotations
 
@@ -15,15 +15,13 @@ from tallyvane.llm.langid import SPACE, _letters, letters
 
 #: Which letters a symbol can stand for (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
-SYMBOLS = re.escape("".join(LEET))
-LETTER = r"[^\W\d_]"
-#: Inside a word: symbols before a letter, or a letter three times. Between words: four or more single characters.
-OBSCURED = re.compile(rf"{LETTER}[{SYMBOLS}]+{LETTER}|(?<!\S)[{SYMBOLS}]+{LETTER}|({LETTER})\1\1")
-SPACED = re.compile(rf"(?<![\w@$])(?:{LETTER}|[{SYMBOLS}])(?:[ .\-_*/]{{1,2}}(?:{LETTER}|[{SYMBOLS}])){{3,}}(?![\w@$])")
-TOKEN, RUN = re.compile(r"\S*"), re.compile(r"(.)\1+", re.S)
-EDGES, LONGEST_WORD = ".,;:!?*&%#|()[]{}<>\"'=~", 24
+#: What may part the letters of one word, up to three at a time; symbols that also end ordinary words.
+SEPARATORS, ENDINGS = " .-_*/", "!|+(*$"
+UNIT, PARTED = re.compile(r"[ .\-_/]+|(.)\1*", re.S), re.compile(r"[ .\-_/]+")
 BUCKETS, SHORTEST, LONGEST = 1 << 22, 3, 10
-SIGNS = 28  # a to z, any other letter, the space
+SIGNS, GAP = 28, 27  # a to z, any other letter, the space
+#: The channel, as log-probabilities: a letter doubled, a symbol for a letter, a symbol that is none.
+DOUBLED, SWAPPED, AS_IT_IS = -8.0, -1.0, -7.0
 
 
 def chunks(texts: list[str], chars: int = 200_000) -> Iterator[list[str]]:
@@ -62,159 +60,252 @@ def learn_character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray
     return np.log(counts / counts.sum(2, keepdims=True))
 
 
-def _options(char: str, run: int, spaced: bool) -> list[tuple[str, float]]:
-    """What one observed character, repeated `run` times, can stand for, with the channel's log-probability."""
-    if spaced and char in " .-_/":
-        return [("", 0.0)]
+def _options(char: str, run: int, doubled: float, edge: bool) -> list[tuple[str, float]]:
+    """What one observed character, repeated `run` times, can stand for, with the channel's log-probability.
+
+    doubled: the share of the span's letters that are doubled, which makes each of them less of a surprise.
+    """
     if char.isalpha():
         if run == 1:
             return [(char, 0.0)]
-        return [(char * 2, 0.0 if run == 2 else -1.5), (char, -1.0 if run == 2 else -0.5)]
+        return [(char * 2, 0.0 if run == 2 else -1.5), (char, DOUBLED * (1 - doubled) if run == 2 else -0.5)]
     stands = LEET.get(char, "")
-    return [(c, -1.0) for c in stands] + [(c * 2, -2.0) for c in stands if run == 2] + [("", -9.0 if stands else -0.5)]
+    out = [(" ", 0.0 if not stands or edge and char in ENDINGS else AS_IT_IS)] + [(c, SWAPPED) for c in stands]
+    return out + [(c * 2, 2 * SWAPPED) for c in stands if run == 2] + ([("", -4.0)] if char in SEPARATORS else [])
+
+
+def _gap(gap: str, k: int, sizes: list[int]) -> list[tuple[str, float]]:
+    """The same for the separators after the k-th part of a span; parts have these sizes.
+
+    Single characters in a row are spelled out: a single separator between them is likely none, a wider one and those
+    around them likely stand. Else a part is the less likely broken off the longer it is.
+    """
+    left, right = sizes[k], sizes[k + 1]
+    spelled = left == 1 and k > 0 and sizes[k - 1] == 1 or right == 1 and k + 2 < len(sizes) and sizes[k + 2] == 1
+    if spelled and left == right == 1 and len(gap) == 1:
+        return [("", 0.0), (" ", -6.0)]
+    return [(" ", 0.0), ("", -9.0 if spelled else -3.0 - 1.5 * min(left, right, 4))]
+
 
+def viterbi(span: str, model: list) -> str:
+    """The likeliest words behind one span: the best path through the lattice of its characters' readings.
 
-def viterbi(span: str, model: np.ndarray, spaced: bool = False) -> str:
-    """The likeliest word behind one obfuscated span: the best path through the lattice of its characters' readings."""
-    units: list[tuple[str, int]] = []
-    for char in span:
-        if units and units[-1][0] == char:
-            units[-1] = (char, units[-1][1] + 1)
+    model[a][b][c] is the log-probability of sign c after a and b. A state is the last two letters of a reading; it keeps
+    its best predecessor, so time and memory are linear in the span.
+    """
+    units = [(m[0], m[1]) for m in UNIT.finditer(span)]
+    sizes = [*map(len, PARTED.split(span))]
+    letters_, twice = (sum(c is not None and c.isalpha() and len(u) in n for u, c in units) for n in ((1, 2), (2,)))
+    states, back, part = {(GAP, GAP): 0.0}, [], 0
+    for k, (unit, char) in enumerate(units):
+        if char is None:
+            options, part = _gap(unit, part, sizes), part + 1
         else:
-            units.append((char, 1))
-    states: dict[tuple[int, int], tuple[float, str]] = {(27, 27): (0.0, "")}
-    for char, run in units:
-        following: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (logp, out) in states.items():
-            for reading, cost in _options(char, run, spaced):
-                x, y, p = a, b, logp + cost
+            options = _options(char, len(unit), twice / max(letters_, 1), k in (0, len(units) - 1))
+        following: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for state, logp in states.items():
+            for reading, cost in options:
+                (x, y), p = state, logp
+                if reading != " " or y != GAP or not k:
+                    p += cost
                 for c in reading:
-                    s = ord(c) - 97 if "a" <= c <= "z" else 26
-                    p, x, y = p + model[x, y, s], y, s
-                if (x, y) not in following or p > following[x, y][0]:
-                    following[x, y] = (p, out + reading)
+                    z = ord(c) - 97 if "a" <= c <= "z" else GAP if c == " " else 26
+                    if z != GAP or y != GAP:
+                        p, x, y = p + model[x][y][z], y, z
+                if (x, y) not in following or p > following[x, y]:
+                    following[x, y], came[x, y] = p, (state, reading)
         states = following
-    return max(((p + model[a, b, 27], out) for (a, b), (p, out) in states.items()), default=(0.0, span))[1]
+        back.append(came)
+    state, out = max(states, key=lambda s: states[s] + (model[s[0]][s[1]][GAP] if s[1] != GAP else 0.0)), []
+    for came in reversed(back):
+        state, reading = came[state]
+        out.append(reading)
+    return "".join(reversed(out))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
 @cache
 def _kinds() -> np.ndarray:
-    """For each code point: 1 a letter, 2 a symbol that can stand for one, 3 white space or a separator, else 0."""
+    """For each code point: 1 a letter, 2 a symbol that can stand for one, 3 a separator, else 0; * is a separator."""
     kinds = (_letters() != SPACE).astype(np.uint8)
     for char in LEET:
         kinds[ord(char)] = 2
-    for char in " \t\n\r.-_*/":
+    for char in SEPARATORS:
         kinds[ord(char)] = 3
     return kinds
 
 
-def suspects(texts: list[str]) -> np.ndarray:
-    """Which lower-cased texts may hold an obfuscated word: a quick test that lets none of them through."""
-    codes = _codes("\n".join(texts))
+def suspects(codes: np.ndarray, model: np.ndarray, doubt: float = 6.0) -> np.ndarray:
+    """Positions of lower-cased text around which a reading other than the literal one may be likelier.
+
+    Letters beside a symbol; a letter three times running, or twice where the model finds one of them much likelier; gaps
+    of one to three separators that the model would rather not have, and single letters in a row. Endings such as the ! of
+    an ordinary word count only before a letter.
+    """
     kinds = _kinds()[codes]
     letter, symbol = kinds == 1, (kinds == 2) | (codes == ord("*"))
     hit = np.zeros(len(codes), bool)
     hit[1:] |= symbol[:-1] & letter[1:]
-    hit[2:] |= (codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2]) & letter[2:]
-    single = (letter | symbol)[1:-1] & (kinds[:-2] == 3) & (kinds[2:] == 3)
-    hit[3:-1] |= single[2:] & single[:-2]
-    hit[4:-1] |= single[3:] & single[:-3]
-    starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-    return np.logical_or.reduceat(hit, np.minimum(starts, max(len(hit) - 1, 0))) if len(hit) else np.zeros(len(texts), bool)
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    near = np.flatnonzero(symbol[1:] & letter[:-1])
+    hit[near[~np.isin(codes[near + 1], [*map(ord, ENDINGS)])]] = True
+    at = np.flatnonzero(letter)
+    if len(at) < 2:
+        return np.flatnonzero(hit)
+    signs, apart = np.concatenate([_sign(codes[at].astype(np.uint64)), [GAP]]), np.append(np.diff(at) > 1, True)
+
+    def around(k: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Letters k and k + 1, the one before and the one after them, as far as they touch."""
+        before = np.where((k > 0) & ~apart[k - 1], signs[k - 1], GAP)
+        return before, signs[k], signs[k + 1], np.where(apart[k + 1], GAP, signs[k + 2])
+
+    gaps = np.flatnonzero(apart[:-1] & (np.diff(at) <= 4))
+    other = np.cumsum(np.append(0, kinds != 3))
+    gaps = gaps[other[at[gaps + 1]] == other[at[gaps] + 1]]
+    a, b, c, d = around(gaps)
+    gain = model[a, b, c] + model[b, c, d] - model[a, b, GAP] - model[b, GAP, c] - model[GAP, c, d]
+    found = [gaps[(gain > doubt) | (a == GAP) & (d == GAP)]]
+    doubles = np.flatnonzero((codes[at[1:]] == codes[at[:-1]]) & ~apart[:-1])
+    a, b, c, d = around(doubles)
+    found.append(doubles[model[a, b, d] - model[a, b, c] - model[b, c, d] > doubt])
+    found.append(doubles[1:][np.diff(doubles) == 1])
+    found = np.concatenate(found)
+    hit[at[found]] = hit[at[found + 1]] = True
+    return np.flatnonzero(hit)
 
 
 class Restorer:
-    """Puts the likeliest words in the place of obfuscated spans of whole lower-cased texts; all else stays as it is."""
+    """Puts the likeliest words in the place of suspect spans of whole lower-cased texts; all else stays as it is."""
 
     def __init__(self, model: np.ndarray):
-        self.decode = lru_cache(100_000)(lambda span, spaced: viterbi(span, model, spaced))
-
-    def words(self, text: str) -> Iterator[str]:
-        at = 0
-        for hit in OBSCURED.finditer(text):
-            if hit.start() < at:
-                continue
-            start = max(at, *(text.rfind(c, at, hit.start()) + 1 for c in " \n\t"))
-            token = TOKEN.match(text, start)[0]
-            yield text[at:start]
-            word = token.strip(EDGES)
-            yield self.decode(word, False) if len(RUN.sub(r"\1", word)) <= LONGEST_WORD else token
-            at = start + len(token)
-        yield text[at:]
-
-    def restore(self, text: str) -> str:
-        if SPACED.search(text):
-            text = SPACED.sub(lambda m: f" {self.decode(m[0], True)} ", text)
-        return "".join(self.words(text))
+        self.model, rows = model, model.tolist()
+        self.decode = lru_cache(100_000)(lambda span: viterbi(span, rows))
 
     def __call__(self, texts: list[str]) -> list[str]:
-        return [self.restore(t) if s else t for t, s in zip(texts, suspects(texts).tolist())]
+        out, codes = list(texts), _codes("\n".join(texts))
+        at = suspects(codes, self.model)
+        if not len(at):
+            return out
+        # A piece is a run of letters and symbols; a span is the pieces of suspects that only separators part.
+        kinds = _kinds()[codes]
+        edges = np.concatenate([[-1], np.flatnonzero((kinds == 0) | (kinds == 3) & (codes != ord("*"))), [len(codes)]])
+        k = np.searchsorted(edges, at)
+        starts, stops = edges[k - 1] + 1, edges[k]
+        other = np.cumsum(np.append(0, kinds != 3))
+        apart = (starts[1:] - stops[:-1] > 3) | (other[starts[1:]] > other[np.minimum(stops[:-1], starts[1:])])
+        first = np.flatnonzero(np.append(True, apart))
+        starts, stops = starts[first], np.maximum.reduceat(stops, first)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        owner = np.searchsorted(begins, starts, "right") - 1
+        for i in np.unique(owner).tolist():
+            mine, done, parts = owner == i, 0, []
+            for a, b in zip((starts[mine] - begins[i]).tolist(), (stops[mine] - begins[i]).tolist()):
+                parts += [texts[i][done:a], self.decode(texts[i][a:b])]
+                done = b
+            out[i] = "".join([*parts, texts[i][done:]])
+        return out
+
+
+MIX, BASE = np.uint64(0xD6E8FEB86659FD93), 0x9E3779B97F4A7C15
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the power of 1 to n, modulo 2 ** 64, and the inverses."""
+    return tuple(np.cumprod(np.full(n, x, np.uint64)) for x in (BASE, pow(BASE, -1, 1 << 64)))
 
 
 def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed word beginnings of SHORTEST to LONGEST letters, and whole words up to that length, of lower-cased texts.
+    """Hashed word beginnings of SHORTEST to LONGEST letters, and whole words of any length, of lower-cased texts.
 
-    Returns the buckets and, for each, the number of its text.
+    Returns the buckets and, for each, the number of its text. A hash is a difference of running sums, so that a word of
+    any length costs the same.
     """
     codes = np.append(_letters()[_codes("\n" + "\n".join(texts))], SPACE).astype(np.uint64)
     space = codes == SPACE
-    at = np.flatnonzero(space[:-1] & ~space[1:])
-    text = np.searchsorted(np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]), at, "right") - 1
-    mixed, found, owner = np.full(len(at), 7, np.uint64), [], []
-    for k in range(1, LONGEST + 2):
-        inside = at + k < len(codes)
-        if not inside.all():
-            at, mixed, text = at[inside], mixed[inside], text[inside]
-        mixed = (mixed ^ codes[at + k]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        going = ~space[at + k]
-        keep = slice(None) if SHORTEST <= k <= LONGEST else ~going
-        found.append(mixed[keep])
-        owner.append(text[keep])
-        at, mixed, text = at[going], mixed[going], text[going]
-    return (np.concatenate(found) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(42)).astype(np.int64), np.concatenate(owner)
+    at, end = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+    owner = np.searchsorted(np.cumsum([1, *(len(t) + 1 for t in texts[:-1])]), at, "right") - 1
+    up, down = _powers(1 << len(codes).bit_length())
+    mixed = codes * MIX
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((mixed ^ mixed >> np.uint64(29)) * up[: len(codes)])])
+    found, owners = [(sums[end] - sums[at]) * down[at] ^ MIX], [owner]
+    for k in range(SHORTEST, LONGEST + 1):
+        long = end - at >= k
+        at, end, owner = at[long], end[long], owner[long]
+        found.append((sums[at + k] - sums[at]) * down[at])
+        owners.append(owner)
+    hashes = np.concatenate(found)
+    hashes ^= hashes >> np.uint64(32)
+    return (hashes * MIX >> np.uint64(42)).astype(np.int64), np.concatenate(owners)
 
 
 def distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """sequences, each bucket once per text."""
     found, owner = sequences(texts)
-    both = np.sort(owner << 22 | found)
-    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    both = np.unique(owner << 22 | found)
     return both & (BUCKETS - 1), both >> 22
 
 
+_tables: dict[bytes, np.ndarray] = {}
+
+
 class ToxicityModel:
-    """Lexicon: bucket numbers with their precision; base is the score without any of them."""
+    """A character model, and the logistic weights of some buckets; base is the log-odds of a text without any of them."""
+
+    def __init__(self, characters: np.ndarray, buckets: np.ndarray, weights: np.ndarray, base: float):
+        self.characters, self.buckets, self.weights, self.base = characters, buckets, weights, base
 
-    def __init__(self, characters: np.ndarray, buckets: np.ndarray, precision: np.ndarray, base: float):
-        self.characters, self.buckets, self.precision, self.base = characters, buckets, precision, base
+    def _table(self) -> np.ndarray:
+        """The weight of every bucket; a worker keeps the table of the last model."""
+        key = self.buckets.tobytes() + self.weights.tobytes()
+        if key not in _tables:
+            _tables.clear()
+            _tables[key] = np.zeros(BUCKETS, np.float32)
+            _tables[key][self.buckets] = self.weights
+        return _tables[key]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """The highest precision of a lexicon entry in each text, after restoration; base where there is none."""
-        table = np.full(BUCKETS, self.base, np.float64)
-        table[self.buckets] = np.maximum(self.precision, self.base)
-        restore, out = Restorer(self.characters), []
+        """The probability of each restored text, from all its weighted words and beginnings, each counted once."""
+        table, restore, out = self._table(), Restorer(self.characters), []
         for part in chunks([(t or "").lower() for t in texts]):
             found, owner = sequences(restore(part))
-            best = np.full(len(part), self.base)
-            values = table[found]
-            up = values > self.base
-            np.maximum.at(best, owner[up], values[up])
-            out.append(best)
+            weighted = table[found] != 0
+            both = np.unique(owner[weighted] << 22 | found[weighted])
+            odds = self.base + np.bincount(both >> 22, table[both & (BUCKETS - 1)], len(part))
+            out.append(1 / (1 + np.exp(-odds)))
         return np.concatenate(out) if out else np.empty(0)
 
 
-def fit_toxicity(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic", text_col: str = "text", share: float = 0.01) -> ToxicityModel:
-    """Learn from rows (doc_id, text, label): which beginnings of words occur in toxic documents and hardly elsewhere.
+def fit_logistic(rows: np.ndarray, features: np.ndarray, y: np.ndarray, n: np.ndarray, size: int, ridge: float = 0.5, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and base of a ridge logistic regression on sparse 0/1 features, by accelerated gradient steps.
 
-    docs, all of them, give the character model. Each labelled text is restored first. A sequence is a candidate if it is
-    in at least two toxic documents and its smoothed precision is 0.6 or more. Each toxic document then stands for its
-    candidate with the most evidence; candidates that no two different texts stand for, or that are in less than `share`
-    of the toxic documents, are chance or one copied text, and go. The lexicon has at most BUCKETS entries. Without toxic labels every score is the base, 0.
+    (rows, features) are the ones of the matrix; each row has a label y and stands for n texts. The base is not penalised.
+    """
+    w, momentum, t = np.zeros(size + 1), np.zeros(size + 1), 1.0
+    w[-1] = momentum[-1] = np.log((n @ y + 0.5) / (n @ (1 - y) + 0.5))
+    per_row = np.bincount(rows, minlength=len(y)) + 1.0
+    # Each feature has its own step: half the sum, over its rows, of what bounds the curvature there.
+    curve = 0.25 * np.append(np.bincount(features, (n * per_row)[rows], size), n @ per_row) + ridge
+    for _ in range(rounds):
+        odds = momentum[-1] + np.bincount(rows, momentum[features], len(y))
+        error = n * (1 / (1 + np.exp(-odds)) - y)
+        slope = np.append(np.bincount(features, error[rows], size) + ridge * momentum[:-1], error.sum())
+        new, t_new = momentum - slope / curve, (1 + np.sqrt(1 + 4 * t * t)) / 2
+        momentum = new + (t - 1) / t_new * (new - w)
+        w, t = new, t_new
+    return w[:-1], float(w[-1])
+
+
+def fit_toxicity(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic", text_col: str = "text", evidence: float = 8.0) -> ToxicityModel:
+    """Learn from rows (doc_id, text, label): a logistic score of the words and beginnings of words that tell the labels.
+
+    docs, all of them, give the character model. Each labelled text is restored first. A bucket is a feature if its
+    log-likelihood ratio against the base rate, over the labelled texts, is at least `evidence` and it speaks for the
+    label: a fixed bar, however many texts there are. labelled is a bounded sample (labelled_rows), so the driver may fit
+    the weights on what it holds of the features, equal rows summed up before. Without toxic labels every score is 0.
     """
     characters = learn_character_model(docs, text_col)
 
@@ -230,43 +321,39 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic",
 
     rows = labelled.where(F.col(label_col).isin(0, 1)).select("text", F.col(label_col).cast("int").alias("y"))
     sums = rows.mapInPandas(count, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    found = sums.where("bucket = -1 or (n1 >= 2 and n1 >= n0)").orderBy("bucket").toPandas()
+    found = sums.where("bucket = -1 or (n1 >= 2 and n1 >= n0 / 8)").orderBy("bucket").toPandas()
     if not len(found) or not found["n1"].iloc[0]:
-        return ToxicityModel(characters, np.empty(0, np.int64), np.empty(0), 0.0)
+        return ToxicityModel(characters, np.empty(0, np.int64), np.empty(0), -np.inf)
     n0, n1 = (int(found[c].iloc[0]) for c in ("n0", "n1"))
-    prior = n1 / (n0 + n1)
-    b, k0, k1 = (found[c].to_numpy()[1:].astype(np.int64) for c in ("bucket", "n0", "n1"))
-    precision = (k1 + 2 * prior) / (k0 + k1 + 2)
-    keep = precision >= 0.6
-    b, k0, k1, precision = b[keep], k0[keep], k1[keep], precision[keep]
-    evidence = k1 * np.log(precision / prior) + k0 * np.log((1 - precision) / (1 - prior))
-
-    def stand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.full(BUCKETS, -1, np.int64)
-        ranking = np.argsort(evidence, kind="stable")
-        table[b[ranking]] = np.arange(len(b))
-        restore = Restorer(characters)
+    prior = (n1 + 0.5) / (n0 + n1 + 1)
+    buckets, k0, k1 = (found[c].to_numpy()[1:].astype(np.int64) for c in ("bucket", "n0", "n1"))
+    share = (k1 + 0.5) / (k0 + k1 + 1)
+    told = (share > prior) & (k1 * np.log(share / prior) + k0 * np.log((1 - share) / (1 - prior)) >= evidence)
+    buckets = buckets[told]
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        restore, place = Restorer(characters), np.full(BUCKETS, -1, np.int32)
+        place[buckets] = np.arange(len(buckets))
         for batch in batches:
-            best = []
+            has = []
             for part in chunks([(t or "").lower() for t in batch["text"].array]):
-                found, owner = sequences(restore(part))
-                top = np.full(len(part), -1)
-                np.maximum.at(top, owner, table[found])
-                best.append(np.where(top < 0, -1, ranking[top]))
-            yield pd.DataFrame({"at": np.concatenate(best or [np.empty(0, np.int64)]), "text": batch["sha"]})
+                found, owner = distinct(restore(part))
+                mine = place[found] >= 0
+                has += np.split(place[found[mine]], np.searchsorted(owner[mine], np.arange(1, len(part))))
+            yield pd.DataFrame({"y": batch["y"], "has": has})
 
-    toxic = rows.where("y = 1").select("text", F.xxhash64("text").alias("sha"))
-    support = toxic.mapInPandas(stand, "at long, text long").groupBy("at").agg(F.approx_count_distinct("text", 0.02).alias("texts"), F.count("*").alias("n")).toPandas()
-    missed = int(support.loc[support["at"] < 0, "n"].sum())
-    chosen = np.sort(support.loc[(support["at"] >= 0) & (support["texts"] >= 2), "at"].to_numpy().astype(np.int64))
-    chosen = chosen[k1[chosen] >= share * n1]
-    return ToxicityModel(characters, b[chosen], precision[chosen], min(0.4, (missed + prior) / (n0 + missed + 1)))
+    points = rows.mapInPandas(held, "y int, has array<int>").groupBy("y", "has").agg(F.count("*").alias("n")).orderBy("y", "has").toPandas()
+    sizes = points["has"].map(len).to_numpy()
+    features = np.concatenate([np.empty(0, np.int64), *points["has"]]).astype(np.int64)
+    weights, base = fit_logistic(np.repeat(np.arange(len(points)), sizes), features, points["y"].to_numpy(float), points["n"].to_numpy(float), len(buckets))
+    return ToxicityModel(characters, buckets, weights, base)
 
 
 def toxicity(text: Column, model: ToxicityModel) -> Column:
-    """The score, 0 to 1, of each whole text: the highest precision of a lexicon entry that the restored text holds.
+    """The score, 0 to 1, of each whole text, restored first.
 
-    Null and empty texts, and those without any entry, get the base score.
+    Null and empty texts, and those without any learned word or beginning, get the base score. Nothing is cut: tokens and
+    texts of any length are read to their end. Equal texts have equal scores.
     """
 
     def run(texts: pd.Series) -> pd.Series:
@@ -276,5 +363,8 @@ def toxicity(text: Column, model: ToxicityModel) -> Column:
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row; other columns are left out. Repeated rows give repeated results."""
+    """(doc_id, score) of every row; other columns are left out, so their names cannot clash.
+
+    Null texts score as empty ones, repeated rows give repeated results, ties stay ties, and an empty table gives none.
+    """
     return docs.select(F.col(id_col).alias("doc_id"), toxicity(F.col(text_col), model).alias("score"))

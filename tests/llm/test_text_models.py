@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -107,23 +108,80 @@ def test_html_query_shape(spark):
     assert sorted((r["text"], r["n_chars"]) for r in out) == [("", 0), ("", 0), ("x", 1)]
 
 
-def test_viterbi_restores_words():
-    text = " ".join(["the idiot was stupid and a loser in the trash with a clown"] * 20)
+def character_model(text):
     s = toxicity._sign(toxicity.letters(text))
     counts = np.bincount((s[:-2] * 28 + s[1:-1]) * 28 + s[2:], minlength=28**3).reshape(28, 28, 28) + 0.1
-    restore = toxicity.Restorer(np.log(counts / counts.sum(2, keepdims=True)))
-    given = ["1d10t", "$tup1d", "i d i o t", "l.o.s.e.r", "stuuupid", "tr@sh", "cl0wn", "nothing here", "", "a b"]
-    got = [x.strip() for x in restore(given)]
-    assert got == ["idiot", "stupid", "idiot", "loser", "stupid", "trash", "clown", "nothing here", "", "a b"]
-
-
-def test_suspects_let_no_match_through():
-    rng = random.Random(7)
-    texts = ["".join(rng.choice("ab1@$ .-*\n!xy") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
-    flagged = toxicity.suspects(texts)
-    for text, flag in zip(texts, flagged):
-        if toxicity.OBSCURED.search(text) or toxicity.SPACED.search(text):
-            assert flag, text
+    return np.log(counts / counts.sum(2, keepdims=True))
+
+
+INSULTS = " ".join(["the idiot was stupid and a loser in the trash with a clown at the house by a moron of scum"] * 20)
+
+
+def test_viterbi_restores_words():
+    restore = toxicity.Restorer(character_model(INSULTS))
+    pairs = {
+        "1d10t": "idiot", "$tup1d": "stupid", "i d i o t": "idiot", "l.o.s.e.r": "loser", "stuuupid": "stupid", "stuupid": "stupid", "mmoorroonn": "moron", "tr@sh": "trash", "cl0wn": "clown",
+        "idi07": "idiot", "s c u m": "scum", "sc um": "scum", "id-iot": "idiot", "the,1d10t;l0ser": "the,idiot;loser", "the i d i o t": "the idiot", "nothing here": "nothing here", "": "", "a house": "a house",
+    }
+    assert dict(zip(pairs, restore(list(pairs)))) == pairs
+    long = "x" * 30 + "m0r0n" + "y" * 30_000
+    assert "moron" in restore([long])[0]
+    assert restore(["line\n1d10t\n", "l0ser"]) == ["line\nidiot\n", "loser"]
+
+
+def every_reading(span, model):
+    """The highest log-probability of each reading of a span, with each option of each unit tried with each other."""
+    units = [(m[0], m[1]) for m in toxicity.UNIT.finditer(span)]
+    sizes, part, options = [*map(len, toxicity.PARTED.split(span))], 0, []
+    letters = [u for u, c in units if c and c.isalpha() and len(u) < 3]
+    doubled = sum(len(u) == 2 for u in letters) / max(len(letters), 1)
+    for k, (unit, char) in enumerate(units):
+        if char is None:
+            options.append(toxicity._gap(unit, part, sizes))
+            part += 1
+        else:
+            options.append(toxicity._options(char, len(unit), doubled, k in (0, len(units) - 1)))
+    best = {}
+    for chosen in itertools.product(*options):
+        logp, x, y = 0.0, 27, 27
+        for k, (reading, cost) in enumerate(chosen):
+            logp += 0 if reading == " " and y == 27 and k else cost
+            for c in reading:
+                z = 27 if c == " " else ord(c) - 97
+                if z != 27 or y != 27:
+                    logp, x, y = logp + model[x, y, z], y, z
+        logp += model[x, y, 27] if y != 27 else 0
+        reading = "".join(r for r, _ in chosen)
+        best[reading] = max(best.get(reading, -np.inf), logp)
+    return best
+
+
+def test_viterbi_finds_the_best_of_all_readings():
+    rng, model = random.Random(7), character_model(INSULTS)
+    for _ in range(400):
+        span = "".join(rng.choice("aidost1@$0! .-*") * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randint(1, 6)))
+        found = every_reading(span, model)
+        assert abs(found[toxicity.viterbi(span, model.tolist())] - max(found.values())) < 1e-9, span
+
+
+def test_sequences_have_whole_words_of_any_length():
+    long = "unbelievablydisgusting"
+    same = toxicity.sequences([long])[0].tolist()
+    assert len(same) == 1 + toxicity.LONGEST - toxicity.SHORTEST + 1
+    found, owner = toxicity.sequences(["a word", "", f"some {long}, {long}s"])
+    by = [set(found[owner == k].tolist()) for k in range(3)]
+    assert set(same) <= by[2] and not by[1] and len(by[0]) == 4
+    assert len(set(toxicity.sequences([long + "x"])[0].tolist()) & set(same)) == len(same) - 1
+
+
+def test_logistic_fit_reaches_the_minimum():
+    rng = np.random.default_rng(3)
+    x = (rng.random((80, 6)) < 0.3).astype(float)
+    y, n = (rng.random(80) < 0.2 + 0.6 * x[:, 0]).astype(float), rng.integers(1, 5, 80).astype(float)
+    rows, features = np.nonzero(x)
+    w, base = toxicity.fit_logistic(rows, features, y, n, 6, ridge=0.5, rounds=3000)
+    error = n * (1 / (1 + np.exp(-(base + x @ w))) - y)
+    assert np.abs(np.append(x.T @ error + 0.5 * w, error.sum())).max() < 1e-6
 
 
 def toxic_rows(n, seed):
