@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -11,32 +14,36 @@ from pyspark.sql import functions as F
 
 from tallyvane.llm._common import cut
 
-BITS, PART = 64, 8
-MASKS = [np.array([v for v in range(1 << PART) if v.bit_count() <= t], np.int64) for t in range(PART + 1)]
+#: Bits of a code, and of each of the substrings that are indexed.
+BITS, PART = 256, 64
+PARTS = BITS // PART
 
 
-def learn_rotation(sample: np.ndarray, rounds: int = 30, seed: int = 5) -> np.ndarray:
-    """Projections (dimensions x BITS) whose signs are the code: orthogonal rotations fitted to the sample's own signs.
+class Coder:
+    """Rotated binary codes: the signs of the centred vectors after orthogonal rotations that were fitted to a sample.
 
     Alternates between the signs of the rotated sample and the rotation that is nearest to them. With fewer dimensions
     than BITS, several rotations, each from another start, stand side by side; with more, the leading directions rotate.
     """
-    rng, d = np.random.default_rng(seed), sample.shape[1]
-    _, vectors = np.linalg.eigh(sample.T @ sample)
-    basis = vectors[:, ::-1][:, : min(d, BITS)]
-    inside, out, width = sample @ basis, [], 0
-    while width < BITS:
-        turn = np.linalg.qr(rng.normal(size=(inside.shape[1],) * 2))[0]
-        for _ in range(rounds):
-            u, _, vt = np.linalg.svd(np.sign(inside @ turn).T @ inside)
-            turn = (u @ vt).T
-        out.append(basis @ turn)
-        width += turn.shape[1]
-    return np.hstack(out)[:, :BITS]
 
-
-def encode(vectors: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    return np.packbits(vectors @ rotation > 0, axis=1, bitorder="little").view("<u8").ravel()
+    def __init__(self, sample: np.ndarray, rounds: int = 30, seed: int = 5):
+        self.mean = sample.mean(axis=0)
+        sample, rng = sample - self.mean, np.random.default_rng(seed)
+        _, vectors = np.linalg.eigh(sample.T @ sample)
+        basis = vectors[:, ::-1][:, : min(sample.shape[1], BITS)]
+        inside, out, width = sample @ basis, [], 0
+        while width < BITS:
+            turn = np.linalg.qr(rng.normal(size=(inside.shape[1],) * 2))[0]
+            for _ in range(rounds):
+                u, _, vt = np.linalg.svd(np.sign(inside @ turn).T @ inside)
+                turn = (u @ vt).T
+            out.append(basis @ turn)
+            width += turn.shape[1]
+        self.rotation = np.hstack(out)[:, :BITS]
+
+    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+        """One row of PARTS unsigned words for each vector."""
+        return np.packbits((vectors - self.mean) @ self.rotation > 0, axis=1, bitorder="little").view("<u8")
 
 
 def inner(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -44,30 +51,44 @@ def inner(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (vectors * query).sum(axis=1)
 
 
+@cache
+def flips(threshold: int) -> np.ndarray:
+    """All differences of up to `threshold` bits of a substring."""
+    return np.array([sum(1 << b for b in bits) for n in range(threshold + 1) for bits in combinations(range(PART), n)], np.uint64)
+
+
 class SubstringIndex:
-    """For each byte of the codes, the rows in the order of its value."""
+    """For each substring of the codes, the values that occur, in order, and which rows have them."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        parts = codes.view(np.uint8).reshape(-1, BITS // PART)
-        self.orders = [np.argsort(parts[:, s], kind="stable") for s in range(BITS // PART)]
-        self.starts = [np.searchsorted(parts[o, s], np.arange((1 << PART) + 1)) for s, o in enumerate(self.orders)]
-
-    def within(self, code: np.uint64, radius: int) -> np.ndarray:
-        """All rows at most `radius` bits from code: one byte of each must be within radius // number of bytes."""
-        if not len(self.codes):
-            return np.empty(0, np.int64)
-        masks = MASKS[min(radius // (BITS // PART), PART)]
-        if len(masks) == 1 << PART:
-            rows = np.arange(len(self.codes))
-        else:
-            seen = np.zeros(len(self.codes), bool)
-            for s in range(BITS // PART):
-                value = int(code) >> (PART * s) & ((1 << PART) - 1)
-                for v in (masks ^ value).tolist():
-                    seen[self.orders[s][self.starts[s][v] : self.starts[s][v + 1]]] = True
-            rows = np.flatnonzero(seen)
-        return rows[np.bitwise_count(self.codes[rows] ^ code) <= radius]
+        self.tables = [np.unique(codes[:, s], return_inverse=True) for s in range(PARTS)]
+
+    def candidates(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows of which some substring is within its threshold; the thresholds plus one add up to radius + 1.
+
+        By the pigeonhole principle no row within the radius is left out. The values within a threshold are looked up
+        while they are fewer than those that occur, and else the values that occur are compared.
+        """
+        seen = np.zeros(len(self.codes), bool)
+        for s, (values, rows) in enumerate(self.tables):
+            threshold = (radius + 1) // PARTS - 1 + (s < (radius + 1) % PARTS)
+            if threshold < 0:
+                continue
+            if threshold <= 3 and sum(comb(PART, n) for n in range(threshold + 1)) < len(values):
+                probes = flips(threshold) ^ code[s]
+                at = np.minimum(np.searchsorted(values, probes), len(values) - 1)
+                hit = np.zeros(len(values), bool)
+                hit[at[values[at] == probes]] = True
+            else:
+                hit = np.bitwise_count(values ^ code[s]) <= threshold
+            seen |= hit[rows]
+        return np.flatnonzero(seen)
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """All rows at most `radius` bits from code."""
+        rows = self.candidates(code, radius)
+        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -81,16 +102,17 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 20_000,
-            probes: int = 200, reach: float = 0.98, block: int = 8192, group: int = 4096) -> DataFrame:
+            probes: int = 200, reach: float = 0.95, block: int = 8192, group: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by inner product of each row whose id is divisible by `every`.
 
     Candidates are all usable rows but the query's own; ties go to the smaller vec_id. Equal vectors are indexed once with
-    their k + 1 smallest ids, which is all that any answer can need. The rotation is learned from at most `sample` rows
+    their k + 1 smallest ids, which is all that any answer can need. The rotations are learned from at most `sample` rows
     (smallest hashes). The radius is the `reach` quantile of the code distance of the true neighbours of at most `probes`
     queries, found against all rows. Every row is indexed, in blocks of about `block` rows; queries in groups of about
     `group` visit each block and take what is within the radius there. Queries that have fewer than k + 1 rows in all
     search again with a radius that grows, in each block, until it holds k + 1 or all are taken, so each query gets
-    min(k, candidates) answers. Rows that repeat an id and a vector count once.
+    min(k, candidates) answers. Rows that repeat an id and a vector count once; other columns are left out; an empty table
+    gives an empty result.
     """
     rows = cut(usable(vectors, id_col, vector_col))
     spark, result = rows.sparkSession, "query_id long, rank int, vec_id long, score double"
@@ -100,9 +122,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     ranked = Window.partitionBy("v").orderBy("vec_id")
     index = cut(rows.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1).drop("r"))
     asked = rows.where(F.col("vec_id") % every == 0)
-    queries = cut(asked.groupBy("v").agg(F.min("vec_id").alias("q")))
+    queries = cut(asked.groupBy("v").agg(F.min("vec_id").alias("q"), F.count("*").alias("copies")))
     picked = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()["v"]
-    rotation = learn_rotation(np.stack(picked.array))
+    coder = Coder(np.stack(picked.array))
 
     tests = queries.orderBy(F.xxhash64("q"), "q").limit(probes).toPandas()
     if not len(tests):
@@ -110,14 +132,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     ids, points = tests["q"].to_numpy(), np.stack(tests["v"].array)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = encode(points, rotation)
+        codes = coder(points)
         for batch in batches:
             v = np.stack(batch["v"].array)
-            own = encode(v, rotation)
-            for q, point, code in zip(ids, points, codes):
-                score = inner(v, point)
-                top = np.argpartition(-score, min(k + 1, len(score) - 1))[: k + 1]
-                yield pd.DataFrame({"q": q, "score": score[top], "d": np.bitwise_count(own[top] ^ code).astype(np.int32)})
+            own, scores = coder(v), points @ v.T
+            top = np.argpartition(-scores, min(k + 1, len(v) - 1), axis=1)[:, : k + 1]
+            far = np.bitwise_count(own[top] ^ codes[:, None, :]).sum(axis=2)
+            yield pd.DataFrame({"q": np.repeat(ids, top.shape[1]), "score": np.take_along_axis(scores, top, 1).ravel(), "d": far.ravel().astype(np.int32)})
 
     best = Window.partitionBy("q").orderBy(F.desc("score"))
     found = index.mapInPandas(scan, "q long, score double, d int").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
@@ -129,22 +150,22 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     def search_all(queries: DataFrame, grow: bool) -> DataFrame:
         groups = max(1, -(-queries.count() // group))
         left = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        right = queries.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        right = queries.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
 
         def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            out = [pd.DataFrame({"q": [], "vec_id": [], "score": []}).astype({"q": "int64", "vec_id": "int64", "score": "float64"})]
-            if not len(rows) or not len(asked):
-                return out[0]
-            v, names = np.stack(rows["v"].array), rows["vec_id"].to_numpy()
-            points, index = np.stack(asked["v"].array), SubstringIndex(encode(np.stack(rows["v"].array), rotation))
-            for q, point, code in zip(asked["q"].to_numpy(), points, encode(points, rotation)):
-                within = radius
-                while len(near := index.within(code, within)) <= k and grow and within < BITS:
-                    within += BITS // PART
-                score = inner(v[near], point)
-                top = np.lexsort((names[near], -score))[: k + 1]
-                out.append(pd.DataFrame({"q": q, "vec_id": names[near[top]], "score": score[top]}))
-            return pd.concat(out, ignore_index=True)
+            found: dict[str, list] = {"q": [np.empty(0, np.int64)], "vec_id": [np.empty(0, np.int64)], "score": [np.empty(0)]}
+            if len(rows) and len(asked):
+                v, names, points = np.stack(rows["v"].array), rows["vec_id"].to_numpy(), np.stack(asked["v"].array)
+                index = SubstringIndex(coder(v))
+                for q, point, code in zip(asked["q"].to_numpy(), points, coder(points)):
+                    within = radius
+                    while len(near := index.within(code, within)) <= k and grow and within < BITS:
+                        within += 4 * PARTS
+                    score = inner(v[near], point)
+                    top = np.lexsort((names[near], -score))[: k + 1]
+                    for name, values in (("q", np.full(len(top), q)), ("vec_id", names[near[top]]), ("score", score[top])):
+                        found[name].append(values)
+            return pd.DataFrame({name: np.concatenate(parts) for name, parts in found.items()})
 
         return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(search, "q long, vec_id long, score double")
 
@@ -155,7 +176,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         parts = parts.join(enough, "q", "left_semi").union(search_all(short, True))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     lists = parts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
-    lists = lists.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
-    answers = asked.withColumnRenamed("vec_id", "query_id").join(queries, "v").select("query_id", "q").join(lists, "q")
+    lists = cut(queries.join(lists.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near")), "q"))
+    # Vectors with many copies among the queries, at most one for each 500th part of the queries, go to theirs by broadcast.
+    many = max(n // 10_000, 10_000)
+    hot = F.broadcast(lists.where(F.col("copies") > many))
+    answers = asked.join(hot, "v").unionByName(asked.join(hot.select("v"), "v", "left_anti").join(lists.where(F.col("copies") <= many), "v"))
     mine = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return answers.select("query_id", F.posexplode(mine).alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    return answers.select(F.col("vec_id").alias("query_id"), "near").select("query_id", F.posexplode(mine).alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -5,24 +5,34 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-HINT = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?(?:until|false))|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: Comments, declarations and tags. A quote counts only after an equals sign, and nothing is tried again, so that a page of
+#: any shape is read in time linear in its length. PLAIN takes the rest of a page whose last tag never ends.
+OTHER = r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/[^a-zA-Z])[^>]*(?:>|\Z)"
+TOKEN = re.compile(OTHER + r"|<(/?)([a-zA-Z][^\s/>]*+)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s\"'>][^\s>]*+|[^=>]|=)*+)(>|\Z)", re.S)
+PLAIN = re.compile(OTHER + r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+#: What is never the article: scripts and styles, forms, menus, footers and sidebars.
 DROP = {"script", "style", "noscript", "template", "svg", "math", "canvas", "iframe", "object", "form", "button", "select", "input", "textarea", "label", "nav", "menu", "footer", "aside", "head", "title", "dialog", "video", "audio"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+ARTICLE = {"article", "main"}
+TOP = {"body", "html", "#root"}
 #: What a start tag closes, of the open elements above the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NO_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
-#: Words in class, id or role that mark what is not the article.
-NOISE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "sidebar", "sidenav", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "masthead", "topbar", "share", "sharing", "social", "related", "recommended", "widget", "comment", "comments", "disqus", "reply", "replies", "respond", "contentinfo", "complementary", "search", "login", "toolbar", "skip"}
+#: Words in class, id or role that mark adverts and reader comments, anywhere, and other parts, outside articles.
+ADVERTS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "comment", "comments", "disqus"}
+NOISE = ADVERTS | {"banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "sidebar", "sidenav", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "masthead", "topbar", "share", "sharing", "social", "related", "recommended", "widget", "reply", "replies", "respond", "contentinfo", "complementary", "search", "login", "toolbar", "skip"}
 WORDS = re.compile(r"[a-z]+")
 
 
@@ -35,89 +45,139 @@ class Node:
         self.density = self.total = 0.0
         self.best = self
 
+    def elements(self) -> list[Node]:
+        return [k for k in self.kids if not isinstance(k, str)]
+
 
 def build(page: str) -> Node:
-    """A DOM good enough for pages as they are: void and raw-text elements, implied end tags, stray end tags, cut-off ends."""
+    """A DOM good enough for pages as they are: void and raw-text elements, implied end tags, stray end tags, cut-off ends.
+
+    A tag that the page's end cuts off counts up to its first >, or to the end if there is none.
+    """
     root = top = Node("#root", "", None)
-    at, size = 0, len(page)
+    opened, pattern, at, size = Counter(), TOKEN, 0, len(page)
+
+    def close(node: Node) -> Node:
+        nonlocal top
+        while top is not node.parent:
+            opened[top.tag] -= 1
+            top = top.parent
+        return top
+
     while at < size:
-        token = TOKEN.search(page, at)
+        token = pattern.search(page, at)
         if token is None:
             top.kids.append(page[at:])
             break
         if token.start() > at:
             top.kids.append(page[at : token.start()])
+        if token[2] and not token[4] and pattern is TOKEN:
+            at, pattern = token.start(), PLAIN
+            continue
         at = token.end()
-        if not (tag := (token[2] or "").lower()):
+        if not (tag := (token[2] or "").lower()) or not token[4]:
             continue
         if token[1]:
-            node = top
+            node = top if opened[tag] else root
             while node is not root and node.tag != tag:
-                node = node.parent
+                node = root if tag in INLINE and node.tag not in INLINE else node.parent
             if node is not root:
-                top = node.parent
+                close(node)
             continue
-        closing = {"p"} if tag in NO_P else CLOSES.get(tag)
-        if closing:
+        closing = {"p"} if tag in NO_P else CLOSES.get(tag, ())
+        if any(opened[t] for t in closing):
             node = top
-            while node is not root and (node.tag in INLINE or node.tag in closing):
-                if node.tag in closing:
-                    top = node.parent
+            while node is not root and node.tag in INLINE and node.tag not in closing:
                 node = node.parent
+            while node is not root and node.tag in closing:
+                node = close(node)
         node = Node(tag, token[3], top)
         top.kids.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             node.kids.append(page[at : end.start() if end else size])
             at = end.end() if end else size
         elif tag not in VOID and not token[3].endswith("/"):
+            opened[tag] += 1
             top = node
     return root
 
 
-def _holds_article(node: Node) -> bool:
-    stack = [node]
+def walk(root: Node) -> Iterator[Node]:
+    """All elements in page order, parents first; iterative, so depth does not matter."""
+    stack = [root]
     while stack:
-        kids = [k for k in stack.pop().kids if not isinstance(k, str)]
-        if any(k.tag in {"article", "main"} for k in kids):
-            return True
-        stack += kids
-    return False
-
-
-def _noise(node: Node, inside: bool) -> bool:
-    if node.tag in DROP or node.tag == "header" and not inside:
-        return True
-    if not node.attrs or node.tag in {"body", "html", "main"}:
-        return False
-    if HIDDEN.search(node.attrs):
-        return True
-    if node.tag in INLINE or node.tag in HEADINGS:
-        return False
-    names = [(m[1] or m[2] or m[3] or "").lower() for m in HINT.finditer(node.attrs)]
-    if node.tag == "article":
-        return any(t in NOISE or t.startswith("comment-") for name in names for t in name.split())
-    words = {w for name in names for w in WORDS.findall(name)}
-    return (bool(words & NOISE) or "header" in words and not inside) and not _holds_article(node)
+        node = stack.pop()
+        yield node
+        stack += reversed(node.elements())
+
+
+def attributes(node: Node) -> dict[str, str]:
+    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(node.attrs)} if node.attrs else {}
 
 
 def prune(root: Node) -> None:
-    """Take out scripts, forms, menus and the like, then comments marked as such; iterative, so depth does not matter."""
-    stack = [(root, False)]
-    while stack:
-        node, inside = stack.pop()
-        inside = inside or node.tag in {"article", "main"}
-        node.kids = [k for k in node.kids if isinstance(k, str) or not _noise(k, inside)]
-        stack += [(k, inside) for k in node.kids if not isinstance(k, str)]
+    """Take out scripts, forms, menus and the like by their tags, and what hides itself.
+
+    Headers of the page go as well, those of an article stay.
+    """
+    inside = {root: False}
+    for node in walk(root):
+        within = inside[node] or node.tag in ARTICLE
+        kept = []
+        for k in node.kids:
+            if not isinstance(k, str):
+                if k.tag in DROP or k.tag == "header" and not within:
+                    continue
+                if k.attrs and k.tag not in TOP:
+                    said = attributes(k)
+                    if said.get("hidden", "until-found") != "until-found" or said.get("aria-hidden") == "true" or INVISIBLE.search(said.get("style", "")):
+                        continue
+                inside[k] = within
+            kept.append(k)
+        node.kids = kept
+
+
+def prune_named(root: Node) -> None:
+    """Take out adverts, reader comments, notices and sidebars that class, id or role name as such.
+
+    Outside articles any word of a name counts; inside, the whole name, or its first word where that marks adverts or
+    comments, so that a section called related-work stays. What holds an article is not noise, whatever its name; on a page
+    without any, nor is what holds half of the text outside links, unless it is named as adverts or comments.
+    """
+    whole, holds = root.chars - root.link_chars, set()
+    for node in walk(root):
+        if node.tag in ARTICLE:
+            while (node := node.parent) is not None and node not in holds:
+                holds.add(node)
+    inside = {root: False}
+    for node in walk(root):
+        within = inside[node] or node.tag in ARTICLE
+        kept = []
+        for k in node.kids:
+            if not isinstance(k, str):
+                if k.attrs and k.tag not in INLINE and k.tag not in HEADINGS and k.tag not in TOP and k.tag != "main" and k not in holds:
+                    said = attributes(k)
+                    names = " ".join(said.get(a, "") for a in ("class", "id", "role", "aria-label")).split()
+                    words = [WORDS.findall(n) for n in names]
+                    if any(w[:1] and w[0] in ADVERTS for w in words):
+                        continue
+                    if within or k.tag == "article":
+                        noise = any(n in NOISE for n in names)
+                    else:
+                        noise = any(x in NOISE or x == "header" for w in words for x in w) and (holds or 2 * (k.chars - k.link_chars) < whole)
+                    if noise:
+                        continue
+                inside[k] = within
+            kept.append(k)
+        node.kids = kept
 
 
 def measure(root: Node) -> list[Node]:
     """Fill in characters, tags and links of every node, its composite density, and the sum of its children's densities."""
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack += [k for k in node.kids if not isinstance(k, str)]
+    order = [*walk(root)]
+    for node in order:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
     for node in reversed(order):
         for kid in node.kids:
             if isinstance(kid, str):
@@ -131,20 +191,21 @@ def measure(root: Node) -> list[Node]:
     whole = max(root.chars, 1)
     for node in order:
         c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.link_tags
+        node.density = 0.0
         if c:
             base = math.log(c / max(c - lc, 1) * lc + root.link_chars / whole * c + math.e)
             node.density = c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1) + 1) / math.log(base + 1)
     for node in order:
-        node.total = sum(k.density for k in node.kids if not isinstance(k, str) and k.tag not in INLINE and k.tag not in VOID)
+        node.total = sum(k.density for k in node.elements() if k.tag not in INLINE and k.tag not in VOID)
     return order
 
 
 def select(order: list[Node]) -> list[Node]:
     """The subtrees of the main text in page order, by the threshold of the path from the largest density sum to the body.
 
-    The first is the subtree with the largest density sum, raised while siblings reach the threshold, or the outermost
-    article or main around it. To it comes every other block that reaches the threshold, wherever it stands, with its own
-    subtree of the largest density sum; beside an article or main, these are the other articles and mains.
+    The first is the subtree with the largest density sum (the first of equal ones), raised below the body while siblings
+    reach the threshold. To it comes every other block that reaches the threshold, wherever it stands, with its own subtree
+    of the largest density sum, and the headings that stand before a part among its siblings or those of its ancestors.
     """
     best = max(order, key=lambda n: n.total)
     if best.total == 0:
@@ -154,31 +215,38 @@ def select(order: list[Node]) -> list[Node]:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
     reaches = lambda k: k.chars and k.density >= threshold and k.link_chars * 2 < k.chars
-    named = next((n for n in reversed(path) if n.tag in {"article", "main"}), None)
-    if named is None:
-        for node in path[1:]:
-            near = [k for k in node.kids if not isinstance(k, str) and k is not best]
-            if node.tag in {"body", "html", "#root"} or not any(reaches(k) for k in near):
-                break
-            best = node
+    for node in path[1:]:
+        if node.tag in TOP or not any(reaches(k) for k in node.elements() if k is not best):
+            break
+        best = node
     for node in reversed(order):
-        node.best = max([node, *(k.best for k in node.kids if not isinstance(k, str))], key=lambda n: n.total)
-    above, kept, out, stack = set(path), {named or best}, [], [order[0]]
+        node.best = max([node, *(k.best for k in node.elements())], key=lambda n: n.total)
+    above, kept, stack = set(path), {best}, [order[0]]
+    while stack:
+        node = stack.pop()
+        if node not in kept and node not in above and reaches(node) and node.tag not in INLINE and node.tag not in VOID:
+            kept.add(node.best)
+        if node not in kept:
+            stack += node.elements()
+    for node in [*kept]:
+        while node.parent is not None and node.tag not in TOP:
+            near = node.parent.elements()
+            kept.update(k for k in near[: near.index(node)] if k.tag in HEADINGS)
+            node = node.parent
+            if node in kept:
+                break
+    out, stack = [], [order[0]]
     while stack:
         node = stack.pop()
-        if node not in kept and node not in above and reaches(node):
-            if named is None and node.tag not in INLINE and node.tag not in VOID:
-                kept.add(node.best)
-            elif node.tag in {"article", "main"}:
-                kept.add(node)
         if node in kept:
             out.append(node)
         else:
-            stack += [k for k in reversed(node.kids) if not isinstance(k, str)]
+            stack += reversed(node.elements())
     return out
 
 
 def blocks(node: Node) -> str:
+    """All text below a node, block by block."""
     out, run, stack = [], [], [node]
 
     def flush() -> None:
@@ -195,8 +263,6 @@ def blocks(node: Node) -> str:
             run.append(kid)
         elif kid.tag == "br":
             run.append(" ")
-        elif kid.tag in {"ul", "ol", "div", "section"} and kid is not node and kid.link_tags >= 3 and kid.link_chars > 0.8 * kid.chars:
-            flush()
         elif kid.tag in INLINE:
             stack += reversed(kid.kids)
         else:
@@ -211,16 +277,19 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = build(page)
-    body = next((k for h in [root, *[k for k in root.kids if not isinstance(k, str)]] for k in h.kids if not isinstance(k, str) and k.tag == "body"), root)
+    body = next((k for h in [root, *root.elements()] for k in h.elements() if k.tag == "body"), root)
     prune(body)
+    measure(body)
+    prune_named(body)
     return " ".join(filter(None, map(blocks, select(measure(body)))))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row: the page's main text and its code points. Other columns are left out.
 
-    Null or empty html, and pages without text, give an empty text; repeated rows give repeated results. Rows are
-    independent, so the work is one scan without a shuffle.
+    Null or empty html, pages without text, and an empty table give empty texts or no rows; repeated rows give repeated
+    results. Of subtrees with equal density sums the first in page order counts. Pages of any length and depth are read to
+    their end, in time linear in them. Rows are independent, so the work is one scan without a shuffle.
     """
 
     def run(pages: pd.Series) -> pd.Series:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyvane.llm._common import cut
 from tallyvane.llm.langid import SPACE, _letters, letters
 
 #: Which letters a symbol can stand for (fixed values).
@@ -320,16 +321,15 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic",
         yield pd.DataFrame({"bucket": np.append(at, -1), "n0": np.append(have[0, at], rows[0]), "n1": np.append(have[1, at], rows[1])})
 
     rows = labelled.where(F.col(label_col).isin(0, 1)).select("text", F.col(label_col).cast("int").alias("y"))
-    sums = rows.mapInPandas(count, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    found = sums.where("bucket = -1 or (n1 >= 2 and n1 >= n0 / 8)").orderBy("bucket").toPandas()
-    if not len(found) or not found["n1"].iloc[0]:
+    sums = cut(rows.mapInPandas(count, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    total = sums.where("bucket = -1").first()
+    if total is None or not total["n1"]:
         return ToxicityModel(characters, np.empty(0, np.int64), np.empty(0), -np.inf)
-    n0, n1 = (int(found[c].iloc[0]) for c in ("n0", "n1"))
-    prior = (n1 + 0.5) / (n0 + n1 + 1)
-    buckets, k0, k1 = (found[c].to_numpy()[1:].astype(np.int64) for c in ("bucket", "n0", "n1"))
-    share = (k1 + 0.5) / (k0 + k1 + 1)
-    told = (share > prior) & (k1 * np.log(share / prior) + k0 * np.log((1 - share) / (1 - prior)) >= evidence)
-    buckets = buckets[told]
+    prior = (total["n1"] + 0.5) / (total["n0"] + total["n1"] + 1)
+    share = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
+    told = F.col("n1") * F.log(share / prior) + F.col("n0") * F.log((1 - share) / (1 - prior))
+    found = sums.where((F.col("bucket") >= 0) & (share > prior) & (told >= evidence)).select("bucket").orderBy("bucket").collect()
+    buckets = np.array([r["bucket"] for r in found], np.int64)
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restore, place = Restorer(characters), np.full(BUCKETS, -1, np.int32)
@@ -339,12 +339,12 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic",
             for part in chunks([(t or "").lower() for t in batch["text"].array]):
                 found, owner = distinct(restore(part))
                 mine = place[found] >= 0
-                has += np.split(place[found[mine]], np.searchsorted(owner[mine], np.arange(1, len(part))))
+                has += [x.tobytes() for x in np.split(place[found[mine]], np.searchsorted(owner[mine], np.arange(1, len(part))))]
             yield pd.DataFrame({"y": batch["y"], "has": has})
 
-    points = rows.mapInPandas(held, "y int, has array<int>").groupBy("y", "has").agg(F.count("*").alias("n")).orderBy("y", "has").toPandas()
-    sizes = points["has"].map(len).to_numpy()
-    features = np.concatenate([np.empty(0, np.int64), *points["has"]]).astype(np.int64)
+    points = rows.mapInPandas(held, "y int, has binary").groupBy("y", "has").agg(F.count("*").alias("n")).orderBy("y", "has").toPandas()
+    sizes = points["has"].map(len).to_numpy() // 4
+    features = np.frombuffer(b"".join(points["has"]), np.int32).astype(np.int64)
     weights, base = fit_logistic(np.repeat(np.arange(len(points)), sizes), features, points["y"].to_numpy(float), points["n"].to_numpy(float), len(buckets))
     return ToxicityModel(characters, buckets, weights, base)
 

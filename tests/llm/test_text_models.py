@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -102,6 +103,71 @@ def test_html_keeps_sibling_parts():
     assert html_text.main_text(nested) == expected
 
 
+def test_html_reads_tags_as_browsers_do():
+    assert html_text.main_text("<p title=don't>First para</p><p>It's second</p><p>third</p>") == "First para It's second third"
+    assert html_text.main_text('<body><p>start <a href="unclosed>link</a> more words here</p><p>end</p></body>') == "start link more words here end"
+    assert html_text.main_text('<div class="overflow-hidden"><p>shown text here</p></div>') == "shown text here"
+    assert html_text.main_text("<p>one</p><p hidden>two</p><p style='display: none'>three</p><p>four</p>") == "one four"
+
+
+def test_html_keeps_all_of_the_article():
+    page = """<article><p>Intro text that is long enough to matter.</p><section id="related-work"><p>Earlier work did this.</p></section>
+    <div class="search-results"><p>We searched and found.</p></div><ul><li><a href=1>one</a></li><li><a href=2>two</a></li><li><a href=3>three</a></li></ul>
+    <div class="ad-slot">Buy now.</div><div class="comment-list"><p>I disagree.</p></div></article>"""
+    assert html_text.main_text(page) == "Intro text that is long enough to matter. Earlier work did this. We searched and found. one two three"
+
+
+def test_html_time_grows_with_the_page():
+    shapes = ['<a href="x ', '<a b=">" ', "<!", "<a ", "<p title='", "<b><i></b>", "<li><b></li>", "<ul><li>", '<a b="']
+    halves = [("<div>", "</p>"), ("<b>", "<p>"), ("<p>", "</b>")]
+    pages = [lambda n, s=s: s * n for s in shapes] + [lambda n, a=a, b=b: a * n + b * n for a, b in halves]
+    for page in pages:
+        began = time.perf_counter()
+        html_text.main_text(page(40_000))
+        assert time.perf_counter() - began < 8, page(2)
+
+
+def dense(node, root):
+    """Characters, tags, link characters, link tags and composite density of a subtree, from its definition."""
+    text = lambda n: sum(len(" ".join(k.split())) if isinstance(k, str) else text(k) for k in n.kids)
+    tags = lambda n, want: sum((k.tag in want if want else 1) + tags(k, want) for k in n.elements())
+    links = lambda n: text(n) if n.tag == "a" else sum(links(k) for k in n.elements())
+    c, t, lc, lt = text(node), max(tags(node, ()), 1), links(node), tags(node, {"a"})
+    if not c:
+        return 0.0
+    base = np.log(c / max(c - lc, 1) * lc + links(root) / max(text(root), 1) * c + np.e)
+    return c / t * np.log(max(c / max(lc, 1) * t / max(lt, 1), 1) + 1) / np.log(base + 1)
+
+
+def test_html_selects_by_density_sums():
+    rng = random.Random(13)
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.2:
+            words = " ".join("word" * rng.randint(1, 2) for _ in range(rng.choice([1, 3, 10, 40])))
+            return f"<p>{words}</p>" if rng.random() < 0.7 else f"<p><a href=x>{words}</a></p>"
+        return "<div>" + "".join(part(depth - 1) for _ in range(rng.randint(1, 4))) + "</div>"
+
+    for _ in range(150):
+        order = html_text.measure(html_text.build("<body>" + "".join(part(3) for _ in range(3)) + "</body>"))
+        root, block = order[0], lambda k: k.tag not in html_text.INLINE
+        density = {id(n): dense(n, root) for n in order}
+        total = {id(n): sum(density[id(k)] for k in n.elements() if block(k)) for n in order}
+        assert all(abs(n.density - density[id(n)]) < 1e-9 and abs(n.total - total[id(n)]) < 1e-9 for n in order)
+        best = max(order, key=lambda n: total[id(n)])
+        path, node = [best], best
+        while (node := node.parent) is not None and path[-1].tag != "body":
+            path.append(node)
+        threshold = min(density[id(n)] for n in path)
+        chosen = html_text.select(order)
+        inside = {id(n) for c in chosen for n in html_text.walk(c)}
+        assert id(best) in inside or total[id(best)] == 0
+        for node in order:
+            ancestors = {id(n) for n in path}
+            if id(node) not in ancestors and block(node) and node.chars and density[id(node)] >= threshold and 2 * node.link_chars < node.chars and total[id(best)] > 0:
+                assert id(node) in inside or any(id(n) in inside for n in html_text.walk(node)), "a part at the threshold is lost"
+
+
 def test_html_query_shape(spark):
     rows = [(1, "u", None, "t", 5), (1, "u", None, "t", 5), (None, None, "<p>x</p>", "t", 5)]
     out = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")).collect()
@@ -233,12 +299,15 @@ def test_pool_adjacent_is_isotonic_least_squares():
 
 def test_substring_index_finds_every_code_in_the_radius():
     rng = np.random.default_rng(8)
-    codes = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
-    codes[:100] = codes[0] ^ (np.uint64(1) << rng.integers(0, 64, 100).astype(np.uint64))
+    codes = rng.integers(0, 1 << 63, (3000, ann.PARTS), dtype=np.uint64)
+    codes[:1000] = codes[0]
+    for _ in range(9):
+        codes[np.arange(1000), rng.integers(0, ann.PARTS, 1000)] ^= np.uint64(1) << rng.integers(0, 63, 1000).astype(np.uint64)
     index = ann.SubstringIndex(codes)
-    for radius in (0, 3, 8, 15, 24, 40, 64):
-        want = np.flatnonzero(np.bitwise_count(codes ^ codes[0]) <= radius)
-        assert (index.within(codes[0], radius) == want).all()
+    for radius in (0, 1, 3, 7, 11, 15, 40, 100, 120, 256):
+        want = np.flatnonzero(np.bitwise_count(codes ^ codes[0]).sum(1) <= radius)
+        assert (index.within(codes[0], radius) == want).all() and set(want) <= set(index.candidates(codes[0], radius))
+    assert len(index.candidates(codes[0], 11)) < 1200 and len(ann.SubstringIndex(codes[:0]).within(codes[0], 5)) == 0
 
 
 def test_nearest_recall_ties_and_odd_vectors(spark):
