@@ -300,13 +300,15 @@ def fit_logistic(rows: np.ndarray, features: np.ndarray, y: np.ndarray, n: np.nd
     return w[:-1], float(w[-1])
 
 
-def fit_toxicity(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic", text_col: str = "text", evidence: float = 8.0) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic", text_col: str = "text", evidence: float = 8.0,
+                 lift: float = 4.0) -> ToxicityModel:
     """Learn from rows (doc_id, text, label): a logistic score of the words and beginnings of words that tell the labels.
 
     docs, all of them, give the character model. Each labelled text is restored first. A bucket is a feature if its
-    log-likelihood ratio against the base rate, over the labelled texts, is at least `evidence` and it speaks for the
-    label: a fixed bar, however many texts there are. labelled is a bounded sample (labelled_rows), so the driver may fit
-    the weights on what it holds of the features, equal rows summed up before. Without toxic labels every score is 0.
+    log-likelihood ratio against the base rate, over the labelled texts, is at least `evidence`, and the odds of the label
+    with it are at least `lift` times those of all texts: fixed bars, however many texts there are. labelled is a bounded
+    sample (labelled_rows), so the driver may fit the weights on what it holds of the features, equal rows summed up
+    before. Without toxic labels every score is 0.
     """
     characters = learn_character_model(docs, text_col)
 
@@ -328,7 +330,7 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic",
     prior = (total["n1"] + 0.5) / (total["n0"] + total["n1"] + 1)
     share = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
     told = F.col("n1") * F.log(share / prior) + F.col("n0") * F.log((1 - share) / (1 - prior))
-    found = sums.where((F.col("bucket") >= 0) & (share > prior) & (told >= evidence)).select("bucket").orderBy("bucket").collect()
+    found = sums.where((F.col("bucket") >= 0) & (share / (1 - share) >= lift * prior / (1 - prior)) & (told >= evidence)).select("bucket").orderBy("bucket").collect()
     buckets = np.array([r["bucket"] for r in found], np.int64)
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
