@@ -105,8 +105,8 @@ def name_candidates(repository: Column) -> Column:
     return F.array_distinct(F.array(whole, last, F.substring_index(whole, "/", 1), F.regexp_replace(last, "[-_]src$", "")))
 
 
-#: A string or character literal, which stays, or a comment.
-CODE = re.compile(r"(\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')|//[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
+#: A comment, or a string or character literal, which stays; both may span lines, and one that never ends is plain text.
+CODE = re.compile(r"//[^\n]*|/\*.*?\*/|('(?:\\.|[^\\'])*'|\"(?:\\.|[^\\\"])*\")", re.S)
 
 
 @F.pandas_udf(StringType())

@@ -71,3 +71,19 @@ def report_documents(runs: DataFrame, findings: DataFrame) -> DataFrame:
     summary = report_summary(runs).select(*PROJECT, F.struct("tools", "completed", "failed", "timeout", "unavailable", "findings").alias("summary"))
     drop = lambda name, first: F.transform(F.coalesce(F.col(name), F.array()), lambda x: x.dropFields(first))
     return summary.join(tools, PROJECT).join(rows, PROJECT, "left").select(*PROJECT, "summary", drop("t", "ord").alias("tools"), drop("f", "finding_idx").alias("findings"))
+
+
+def select_tools(runs: DataFrame, tools: list[str]) -> DataFrame:
+    """Runs of the selected tools; the filter reaches the scan."""
+    return runs.where(F.col("tool").isin(tools))
+
+
+def select_classes(rows: DataFrame, requested: list[str] | None = None) -> DataFrame:
+    """Rows of the requested classes, of all where none is; by class folders it prunes partitions."""
+    return rows.where(F.col("class_name").isin(requested)) if requested else rows
+
+
+def classes(rows: DataFrame, first: tuple[str, ...] = ("kernel", "application")) -> DataFrame:
+    """(class_name, place) of the classes that occur: the usual ones, then others by name whatever its case."""
+    usual = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, first)), F.col("class_name")), F.lit(0)), F.lit(len(first) + 1))
+    return rows.select("class_name").distinct().withColumn("place", F.row_number().over(Window.orderBy(usual, F.lower("class_name"), "class_name")))

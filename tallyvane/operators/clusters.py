@@ -20,42 +20,46 @@ def _rules(rules: dict[int, str]) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("least"), F.lit(name).alias("rule")) for k, name in rules.items()))
 
 
-def build(labelled: DataFrame, rules: dict[int, str]) -> DataFrame:
+def build(labelled: DataFrame, rules: dict[int, str], members: bool = True) -> DataFrame:
     """One row per cluster and rule whose threshold its distinct tools reach; thresholds are cumulative.
 
     Tools are sorted, CWEs distinct and in numeric order, findings by file, line (none first), tool, CWE and position.
-    cluster_id counts each project's clusters of a rule from 1 by their earliest finding, after the threshold.
+    cluster_id counts each project's clusters of a rule from 1 by their earliest finding, after the threshold. Without
+    members the findings are left out: a summary then moves bounded rows, however large a cluster.
     """
     number = F.substr("cwe", F.lit(5)).cast("int")
     entry = F.struct("filename", F.coalesce("line", F.lit(-1)).alias("at"), "tool", "cwe", "finding_idx", "line", "function")
+    lists = [F.array_sort(F.collect_list(entry)).alias("entries")] if members else []
     rows = labelled.groupBy(*PROJECT, "label").agg(
-        F.min("finding_idx").alias("min_idx"), F.array_sort(F.collect_set("tool")).alias("tools"), F.array_sort(F.collect_set(number)).alias("cwes"),
-        F.array_sort(F.collect_list(entry)).alias("entries"), F.count("*").alias("size"),
-    )
+        F.min("finding_idx").alias("min_idx"), F.array_sort(F.collect_set("tool")).alias("tools"), F.array_sort(F.collect_set(number)).alias("cwes"), F.count("*").alias("size"), *lists
+    )
     rows = rows.withColumn("r", F.explode(F.filter(_rules(rules), lambda r: r["least"] <= F.size("tools")))).withColumn("rule", F.col("r.rule"))
     findings = F.transform("entries", lambda e: F.struct(e["tool"].alias("tool"), e["filename"].alias("filename"), e["line"].alias("line"), e["cwe"].alias("cwe"), e["function"].alias("function")))
     place = Window.partitionBy(*PROJECT, "rule").orderBy("min_idx")
-    return rows.withColumn("cluster_id", F.row_number().over(place)).select(*PROJECT, "rule", "cluster_id", "min_idx", "tools", "cwes", "size", findings.alias("findings"))
+    rows = rows.withColumn("cluster_id", F.row_number().over(place))
+    return rows.select(*PROJECT, "rule", "cluster_id", "min_idx", "tools", "cwes", "size", *([findings.alias("findings")] if members else []))
 
 
-def single_clusters(findings: DataFrame) -> DataFrame:
+def single_clusters(findings: DataFrame, members: bool = True) -> DataFrame:
     """The first rule: every finding with a CWE is a cluster, whose id is its position."""
-    one = F.array(F.struct("tool", "filename", "line", "cwe", "function"))
-    return findings.select(*PROJECT, F.lit(CWE_RULES[1]).alias("rule"), F.col("position").alias("cluster_id"), F.col("finding_idx").alias("min_idx"), F.array("tool").alias("tools"), F.array(F.substr("cwe", F.lit(5)).cast("int")).alias("cwes"), F.lit(1).cast("long").alias("size"), one.alias("findings"))
+    one = [F.array(F.struct("tool", "filename", "line", "cwe", "function")).alias("findings")] if members else []
+    return findings.select(*PROJECT, F.lit(CWE_RULES[1]).alias("rule"), F.col("position").alias("cluster_id"), F.col("finding_idx").alias("min_idx"), F.array("tool").alias("tools"), F.array(F.substr("cwe", F.lit(5)).cast("int")).alias("cwes"), F.lit(1).cast("long").alias("size"), *one)
 
 
-def all_clusters(findings: DataFrame, edges: DataFrame) -> DataFrame:
+def all_clusters(findings: DataFrame, edges: DataFrame, members: bool = True) -> DataFrame:
     """The clusters of all seven rules, with their representative CWE; findings are prepared and have functions."""
     findings, closure = cut(findings), cut(ancestors(edges))
     by_cwe = components(findings, agreement_hubs(findings, related_pairs(closure)))
     by_place = components(findings, agreement_hubs(findings, None))
     more = {k: v for k, v in CWE_RULES.items() if k > 1}
-    return add_representatives(single_clusters(findings).union(build(by_cwe, more)).union(build(by_place, ANY_RULES)), closure)
+    voted = cut(build(by_cwe, more, members).union(build(by_place, ANY_RULES, members)))
+    # A single finding is its own representative, so only voted clusters are looked up.
+    single = single_clusters(findings, members).withColumn("representative", F.get("cwes", F.lit(0)))
+    return single.unionByName(add_representatives(voted, closure))
 
 
 def add_representatives(clusters: DataFrame, closure: DataFrame) -> DataFrame:
     """Add representative; it is found once per distinct set of CWEs, of which there are few."""
-    clusters = cut(clusters)
     return clusters.join(representatives(clusters.select("cwes").distinct(), closure), "cwes", "left")
 
 

@@ -19,8 +19,8 @@ def function_counts(spans: DataFrame, by: list[str]) -> DataFrame:
 
 
 def clean_code(files: DataFrame, text: str = "text") -> DataFrame:
-    """text without comments, non-ASCII characters and runs of blank lines."""
-    return files.withColumn(text, collapse_blank_lines(ascii_only(strip_comments(F.col(text)))))
+    """text without non-ASCII characters, then without comments, then without runs of blank lines."""
+    return files.withColumn(text, collapse_blank_lines(strip_comments(ascii_only(F.col(text)))))
 
 
 def project_metadata(projects: DataFrame, code: DataFrame, functions: DataFrame, by: list[str]) -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tallyvane.functions.findings import dominance, effect_label
+from tallyvane.session import cut
 
 
 @F.pandas_udf(DoubleType())
@@ -26,12 +25,15 @@ def average_ranks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return ranked
 
 
-def mann_whitney(samples: DataFrame, by: list[str], value: str = "share", group: str = "class_name", first: str = "kernel", second: str = "application") -> DataFrame:
+def mann_whitney(samples: DataFrame, by: list[str], value: str = "share", group: str = "class_name", first: str = "kernel", second: str = "application", weight: str | None = None) -> DataFrame:
     """One row per key that both groups have: n1, n2, u, delta, z of the two-sided test with ties and continuity, means.
 
     Ranks need no sort of pairs: equal values are counted first, and a running sum over distinct values gives their ranks.
+    weight is a column that says how many times a row counts.
     """
-    counts = samples.groupBy(*by, value).agg(F.count_if(F.col(group) == first).alias("k1"), F.count_if(F.col(group) == second).alias("k2"))
+    times = F.col(weight) if weight else F.lit(1).cast("long")
+    count = lambda name: F.sum(F.when(F.col(group) == name, times).otherwise(F.lit(0).cast("long")))
+    counts = samples.groupBy(*by, value).agg(count(first).alias("k1"), count(second).alias("k2"))
     before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     t = F.col("k1") + F.col("k2")
     ranked = counts.withColumn("rank", F.coalesce(F.sum(t).over(before), F.lit(0)) + (t + 1) / 2.0)
@@ -52,13 +54,24 @@ def with_p(tested: DataFrame) -> DataFrame:
 
 
 def benjamini_yekutieli(rows: DataFrame, p: str = "p", key: str = "cwe") -> DataFrame:
-    """Add q over all rows. The rows are tests, one per catalog entry; a single ordered window is enough for them."""
-    m = rows.count()
-    harmonic = sum(1 / k for k in range(1, m + 1))
-    rank = F.row_number().over(Window.orderBy(p, key))
-    after = Window.orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("rank", rank).withColumn("raw", F.col(p) * harmonic * m / F.col("rank"))
-    return rows.withColumn("q", F.least(F.min("raw").over(after), F.lit(1.0))).drop("rank", "raw")
+    """Add q over all rows, whose number is not bounded: they are dealt out by ranges of (p, key).
+
+    A rank is the number of rows in earlier ranges and the place in its own; the minimum over later ranks likewise that of
+    the rest of its range and of later ranges. Only one row per range is gathered.
+    """
+    dealt = cut(rows.repartitionByRange(p, key).withColumn("__range", F.spark_partition_id()))
+    own, one = Window.partitionBy("__range"), Window.orderBy("__range")
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("n"))
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(one.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    m = dealt.count()
+    harmonic = sum(1 / k for k in range(1, m + 1)) if m < 1_000_000 else math.log(m) + 0.5772156649015329 + 1 / (2 * m) - 1 / (12 * m * m)
+    ranked = dealt.join(F.broadcast(starts), "__range").withColumn("__rank", F.col("start") + F.row_number().over(own.orderBy(p, key)))
+    ranked = ranked.withColumn("__raw", F.col(p) * harmonic * m / F.col("__rank"))
+    least = ranked.groupBy("__range").agg(F.min("__raw").alias("least"))
+    later = least.withColumn("later", F.min("least").over(one.rowsBetween(1, Window.unboundedFollowing))).drop("least")
+    here = F.min("__raw").over(own.orderBy("__rank").rowsBetween(0, Window.unboundedFollowing))
+    out = ranked.withColumn("__here", here).join(F.broadcast(later), "__range")
+    return out.withColumn("q", F.least("__here", "later", F.lit(1.0))).select(*rows.columns, "q")
 
 
 def compare_classes(samples: DataFrame, key: str = "cwe", alpha: float = 0.05) -> DataFrame:
@@ -91,12 +104,22 @@ def bootstrap_mann_whitney(samples: DataFrame, key: str, value: str = "share", d
     weights = drawn.join(members, ["class_name", "at"]).select("class_name", "project", "rep", "w")
     both = samples.groupBy(key).agg(F.count_distinct("class_name").alias("c")).where("c = 2").select(key)
     rows = samples.join(F.broadcast(both), key).join(weights, ["class_name", "project"])
-    repeated = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("w"))))
-    tested = with_p(mann_whitney(repeated, [key, "rep"], value))
+    tested = cut(with_p(mann_whitney(rows, [key, "rep"], value, weight="w")).select(key, "p", "delta"))
     p, delta = percentile_interval(tested, [key], "p"), percentile_interval(tested, [key], "delta")
     return p.select(key, F.col("low").alias("p_low"), F.col("high").alias("p_high")).join(delta.select(key, F.col("low").alias("delta_low"), F.col("high").alias("delta_high")), key)
 
 
+def _u_test(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(p, delta) of two samples: the normal approximation with ties and continuity; p is 1 if all values are equal."""
+    n1, n2, ordered = len(x), len(y), np.sort(y)
+    u = float(np.searchsorted(ordered, x, "left").sum() + np.searchsorted(ordered, x, "right").sum()) / 2
+    ties = np.unique(np.concatenate([x, y]), return_counts=True)[1].astype(float)
+    n = n1 + n2
+    spread = math.sqrt(n1 * n2 / 12 * (n + 1 - float((ties**3 - ties).sum()) / (n * (n - 1))))
+    z = (max(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / spread if spread > 0 else 0.0
+    return min(1.0, math.erfc(z / math.sqrt(2))), 2 * u / (n1 * n2) - 1
+
+
 def bootstrap_exact_parity(samples: DataFrame, key: str, value: str = "share", draws: int = 2000, seed: int = 42) -> DataFrame:
     """The same intervals with numpy's generator restarted for each key, the first class drawn before the second.
 
@@ -106,16 +129,16 @@ def bootstrap_exact_parity(samples: DataFrame, key: str, value: str = "share", d
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = (rows.loc[rows["class_name"] == c].sort_values("project")[value].to_numpy() for c in ("kernel", "application"))
         if not len(a) or not len(b):
-            return pd.DataFrame({key: [], "delta_low": [], "delta_high": []})
-        rng, deltas = np.random.default_rng(seed), []
+            return pd.DataFrame({key: [], "p_low": [], "p_high": [], "delta_low": [], "delta_high": []})
+        rng, found = np.random.default_rng(seed), []
         for _ in range(draws):
-            x, y = a[rng.integers(0, len(a), len(a))], np.sort(b[rng.integers(0, len(b), len(b))])
-            deltas.append((np.searchsorted(y, x, "left").sum() - (len(y) - np.searchsorted(y, x, "right")).sum()) / (len(x) * len(y)))
-        low, high = np.percentile(deltas, [2.5, 97.5])
-        return pd.DataFrame({key: [rows[key].iloc[0]], "delta_low": [low], "delta_high": [high]})
+            x = a[rng.integers(0, len(a), len(a))]
+            found.append(_u_test(x, b[rng.integers(0, len(b), len(b))]))
+        ends = np.percentile(found, [2.5, 97.5], axis=0).T.ravel()
+        return pd.DataFrame([[rows[key].iloc[0], *ends]], columns=[key, "p_low", "p_high", "delta_low", "delta_high"])
 
     kind = dict(samples.dtypes)[key]
-    return samples.groupBy(key).applyInPandas(one, f"{key} {kind}, delta_low double, delta_high double")
+    return samples.groupBy(key).applyInPandas(one, f"{key} {kind}, p_low double, p_high double, delta_low double, delta_high double")
 
 
 def poisson_rates(totals: DataFrame) -> DataFrame:
@@ -162,7 +185,8 @@ def poisson_test(totals: DataFrame) -> DataFrame:
 
 
 def kendall(rows: DataFrame, by: list[str], x: str, y: str, least: int = 4) -> DataFrame:
-    """(by, n, concordance, tau): Kendall's tau-b of x and y over rows that have both; null tau under `least` rows.
+    """(by, n, concordance, tau, z): Kendall's tau-b of x and y over rows that have both, and the size of its normal
+    deviate with the variance of ties; both null under `least` rows or where x or y is constant.
 
     No pairs are built. Of two different ranks of y, one has a 0 and the other a 1 in their highest differing bit; so for
     each bit, among rows whose higher bits agree, rows with a 1 count those with a 0 that have a smaller or larger x. That
@@ -176,30 +200,59 @@ def kendall(rows: DataFrame, by: list[str], x: str, y: str, least: int = 4) -> D
     zeros = lambda frame: F.coalesce(F.sum(1 - F.col("one")).over(frame), F.lit(0))
     gain = zeros(here.rangeBetween(Window.unboundedPreceding, -1)) - zeros(here.rangeBetween(1, Window.unboundedFollowing))
     signs = bits.withColumn("gain", F.col("one") * gain).groupBy(*by).agg(F.sum("gain").cast("double").alias("s"))
-    ties = lambda c: kept.groupBy(*by, c).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"ties_{c}"))
+    t = F.col("t")
+
+    def ties(c: str) -> DataFrame:
+        counts = kept.groupBy(*by, c).agg(F.count("*").cast("double").alias("t"))
+        sums = (t * (t - 1), t * (t - 1) * (t - 2), t * (t - 1) * (2 * t + 5))
+        return counts.groupBy(*by).agg(*(F.sum(v).alias(f"{c}{k}") for k, v in enumerate(sums, 1)))
+
     out = kept.groupBy(*by).agg(F.count("*").alias("n")).join(signs, by).join(ties("x"), by).join(ties("y"), by)
-    half = F.col("n") * (F.col("n") - 1) / 2
-    tau = F.col("s") / F.nullif(F.sqrt((half - F.col("ties_x")) * (half - F.col("ties_y"))), F.lit(0.0))
-    return out.select(*by, "n", F.col("s").alias("concordance"), F.when(F.col("n") >= least, tau).alias("tau"))
+    n = F.col("n").cast("double")
+    pairs = n * (n - 1)
+    free = (pairs - F.col("x1")) * (pairs - F.col("y1"))
+    spread = (pairs * (2 * n + 5) - F.col("x3") - F.col("y3")) / 18 + F.col("x1") * F.col("y1") / (2 * pairs) + F.col("x2") * F.col("y2") / (9 * pairs * (n - 2))
+    known = (F.col("n") >= least) & (free > 0)
+    return out.select(*by, "n", F.col("s").alias("concordance"), F.when(known, 2 * F.col("s") / F.sqrt(free)).alias("tau"), F.when(known, F.abs("s") / F.sqrt(spread)).alias("z"))
 
 
 def tau_b(x: np.ndarray, y: np.ndarray) -> float:
-    sx, sy = (np.sign(v[:, None] - v[None, :]) for v in (x, y))
-    scale = math.sqrt(float((sx != 0).sum()) * float((sy != 0).sum()))
-    return float((sx * sy).sum()) / scale if scale else math.nan
+    """Kendall's tau-b; nan if either is constant. Pairs are counted as in kendall, one running sum for each bit of y's ranks."""
+    n, order = len(x), np.lexsort((y, x))
+    rx, ry = (np.unique(v[order], return_inverse=True)[1] for v in (x, y))
+    pairs = n * (n - 1) / 2
+    free = [pairs - float((c * (c - 1)).sum()) / 2 for c in map(np.bincount, (rx, ry))]
+    if min(free) <= 0:
+        return math.nan
+    total = 0
+    for level in range(int(ry.max()).bit_length()):
+        group = np.argsort(ry >> level + 1, kind="stable")
+        high, one = ry[group] >> level + 1, ry[group] >> level & 1
+        zeros = np.concatenate([[0], np.cumsum(1 - one)])
+        block = np.searchsorted(high, high, "left")
+        # Within a group rows are still in the order of x; equal x are a run of it.
+        run = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (rx[group][1:] != rx[group][:-1])]))
+        length = np.diff(np.append(run, n))
+        begin, end = np.repeat(run, length), np.repeat(run + length, length)
+        rest = np.searchsorted(high, high, "right")
+        total += int((one * ((zeros[begin] - zeros[block]) - (zeros[rest] - zeros[end]))).sum())
+    return total / math.sqrt(free[0] * free[1])
 
 
 def kendall_p(x: np.ndarray, y: np.ndarray) -> float:
     """Two-sided p: exact by counting inversions for up to 33 values without ties, else normal with the variance of ties."""
-    n = len(x)
-    s = float(np.sign(np.subtract.outer(x, x)).ravel() @ np.sign(np.subtract.outer(y, y)).ravel()) / 2
-    if n <= 33 and len(set(x)) == n and len(set(y)) == n:
+    n, tau = len(x), tau_b(x, y)
+    if math.isnan(tau):
+        return 1.0
+    t, u = (np.unique(v, return_counts=True)[1].astype(float) for v in (x, y))
+    pairs = n * (n - 1) / 2
+    s = round(tau * math.sqrt((pairs - (t * (t - 1)).sum() / 2) * (pairs - (u * (u - 1)).sum() / 2)))
+    if n <= 33 and len(t) == n and len(u) == n:
         ways = np.array([1.0])
         for k in range(2, n + 1):
             ways = np.convolve(ways, np.ones(k)) / k
-        inverted = round((n * (n - 1) / 2 - abs(s)) / 2)
+        inverted = round((pairs - abs(s)) / 2)
         return min(1.0, 2 * float(ways[: inverted + 1].sum()))
-    t, u = (np.unique(v, return_counts=True)[1].astype(float) for v in (x, y))
     v0, vt, vu = (float((c * (c - 1) * (2 * c + 5)).sum()) for c in (np.array([float(n)]), t, u))
     v1 = float((t * (t - 1)).sum() * (u * (u - 1)).sum()) / (2 * n * (n - 1))
     v2 = float((t * (t - 1) * (t - 2)).sum() * (u * (u - 1) * (u - 2)).sum()) / (9 * n * (n - 1) * (n - 2)) if n > 2 else 0.0
@@ -207,28 +260,34 @@ def kendall_p(x: np.ndarray, y: np.ndarray) -> float:
     return math.erfc(abs(s) / spread / math.sqrt(2)) if spread else 1.0
 
 
-def kendall_intervals(rows: DataFrame, by: list[str], x: str, y: str, key: str, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """(by, tau, p, low, high): each replicate is a task of its own over a class's projects; constant samples are dropped.
+def kendall_intervals(rows: DataFrame, by: list[str], x: str, y: str, key: str, draws: int = 1000, seed: int = 42, block: int = 250) -> DataFrame:
+    """(by, tau, p, low, high) of groups of at least four rows that have both values.
 
-    A class's sample, one pair of numbers per project, goes to each of `draws` replicates; draws are fixed by the seed.
+    Draws come from one numpy generator per group, in the order of key, and constant samples do not count, so the ends are
+    those of a plain loop. A task holds a group's sample, one pair of numbers per project, for `block` draws, and skips
+    those of earlier blocks; a draw costs n log n.
     """
     kept = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    sample = kept.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(key), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("sample"))
-
-    def per_row(f: Callable[[np.ndarray, np.ndarray, int], float]) -> Callable[[pd.Series, pd.Series], pd.Series]:
-        def run(samples: pd.Series, reps: pd.Series) -> pd.Series:
-            return pd.Series([f(np.array([p["x"] for p in s]), np.array([p["y"] for p in s]), int(r)) for s, r in zip(samples, reps)], dtype=float)
-
-        return run
-
-    def draw(a: np.ndarray, b: np.ndarray, rep: int) -> float:
-        at = np.random.default_rng((seed, rep)).integers(0, len(a), len(a))
-        return tau_b(a[at], b[at])
-
-    replicate = F.pandas_udf(per_row(draw), "double")
-    whole = F.pandas_udf(per_row(lambda a, b, _: tau_b(a, b)), "double")
-    p_value = F.pandas_udf(per_row(lambda a, b, _: kendall_p(a, b)), "double")
-    sample = sample.where(F.size("sample") >= 4)
-    points = sample.select(*by, whole("sample", F.lit(0)).alias("tau"), p_value("sample", F.lit(0)).alias("p"))
-    reps = sample.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition("rep").select(*by, replicate("sample", "rep").alias("t"))
+    pair = F.struct(F.col(key), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    sample = kept.groupBy(*by).agg(F.array_sort(F.collect_list(pair)).alias("s")).where(F.size("s") >= 4).select(*by, F.col("s.x").alias("x"), F.col("s.y").alias("y"))
+
+    @F.pandas_udf("tau double, p double")
+    def whole(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(tau_b(np.array(a), np.array(b)), kendall_p(np.array(a), np.array(b))) for a, b in zip(xs, ys)], columns=["tau", "p"])
+
+    @F.pandas_udf("array<double>")
+    def replicate(xs: pd.Series, ys: pd.Series, blocks: pd.Series) -> pd.Series:
+        out = []
+        for a, b, k in zip(xs.map(np.array), ys.map(np.array), blocks):
+            rng, taus = np.random.default_rng(seed), []
+            for i in range(min((k + 1) * block, draws)):
+                at = rng.integers(0, len(a), size=len(a))
+                if i >= k * block:
+                    taus.append(tau_b(a[at], b[at]))
+            out.append(taus)
+        return pd.Series(out)
+
+    points = sample.select(*by, whole("x", "y").alias("w")).select(*by, "w.tau", "w.p")
+    blocks = sample.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // block) - 1)))).repartition(*by, "block")
+    reps = blocks.select(*by, F.explode(replicate("x", "y", "block")).alias("t"))
     return points.join(percentile_interval(reps, by, "t"), by)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvane.functions.findings import canonical_cwe, function_id, normalize_path
+from tallyvane.operators.graph import connected_components
 from tallyvane.session import cut, small
 
 PROJECT = ["class_name", "project"]
@@ -42,10 +43,10 @@ def attach_functions(findings: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def _shared(findings: DataFrame, place: str, kind: str) -> DataFrame:
-    """Hubs at places (lines or functions) where at least two tools report."""
+    """Hubs at places (lines or functions) where at least two tools report; the test is a combined aggregate."""
     here = findings.where(F.col(place).isNotNull())
-    tools = F.size(F.collect_set("tool").over(Window.partitionBy(*FILE, place)))
-    return here.withColumn("tools", tools).where("tools > 1").select(*FILE, "finding_idx", F.concat(F.lit(kind), F.col(place).cast("string")).alias("hub"))
+    agreed = here.groupBy(*FILE, place).agg(F.min("tool").alias("a"), F.max("tool").alias("b")).where("a <> b").select(*FILE, place)
+    return here.join(agreed, [*FILE, place], "left_semi").select(*FILE, "finding_idx", F.concat(F.lit(kind), F.col(place).cast("string")).alias("hub"))
 
 
 def agreement_hubs(findings: DataFrame, related: DataFrame | None) -> DataFrame:
@@ -69,23 +70,15 @@ def agreement_hubs(findings: DataFrame, related: DataFrame | None) -> DataFrame:
     return hubs.union(findings.join(ends, [*FILE, "function", "tool", "cwe"]).select(*FILE, "finding_idx", "hub"))
 
 
-def components(findings: DataFrame, hubs: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(project, filename, finding_idx, label): label is the smallest finding_idx that shared hubs reach, itself included.
+def components(findings: DataFrame, hubs: DataFrame) -> DataFrame:
+    """findings with label, the smallest finding_idx that shared hubs reach, itself included.
 
-    No hub spans two files, so a round deals the edges out by file once; each of its three steps is two windows on that
-    layout (least label per hub, then per finding) and needs no further shuffle. Rounds are written out.
+    Findings of a hub hang on its first one, so edges are linear in them; components then come from star contractions,
+    whose minima combine before each shuffle: neither a hub nor a file, however many findings it has, is one group.
     """
-    edges = cut(hubs.distinct().withColumn("label", F.col("finding_idx")))
-    by_hub, by_finding = Window.partitionBy(*FILE, "hub"), Window.partitionBy(*FILE, "finding_idx")
-    for _ in range(max_rounds):
-        moved = edges.repartition(*FILE).withColumn("new", F.col("label"))
-        for _ in range(3):
-            moved = moved.withColumn("at_hub", F.min("new").over(by_hub)).withColumn("new", F.min("at_hub").over(by_finding))
-        moved = cut(moved.select(*FILE, "finding_idx", "hub", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
-        edges = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
-    labels = edges.select(*FILE, "finding_idx", "label").distinct()
-    return findings.join(labels, [*FILE, "finding_idx"], "left").withColumn("label", F.coalesce("label", "finding_idx"))
+    hubs = cut(hubs.distinct())
+    first = hubs.groupBy(*FILE, "hub").agg(F.min("finding_idx").alias("v"))
+    edges = hubs.join(first, [*FILE, "hub"]).select(*PROJECT, F.col("finding_idx").alias("u"), "v")
+    found = connected_components(edges, PROJECT)
+    labels = found.select(*PROJECT, F.col("node").alias("finding_idx"), F.col("component").alias("label"))
+    return findings.join(labels, [*PROJECT, "finding_idx"], "left").withColumn("label", F.coalesce("label", "finding_idx"))

@@ -37,12 +37,13 @@ METADATA = f"""
 SELECT {CLASS.replace("{key}", "s_suppkey")},
        CASE WHEN s_suppkey % 11 = 4 THEN NULL ELSE 1000 + 37 * s_suppkey END AS loc,
        CASE WHEN s_suppkey % 7 = 3 THEN NULL ELSE CAST(1200 AS BIGINT) END AS functions,
-       CAST(20 AS BIGINT) AS source_files, r_name AS category
+       CAST(20 AS BIGINT) AS source_files, r_name AS category, CASE WHEN s_suppkey % 5 = 0 THEN CAST(s_suppkey % 4 AS INT) END AS n_folders
 FROM {{supplier}} AS supplier JOIN {{nation}} AS nation ON s_nationkey = n_nationkey JOIN {{region}} AS region ON n_regionkey = r_regionkey
 """
 
 RUNS = f"""
-SELECT {CLASS.replace("{key}", "s_suppkey")}, t.tool, t.ord, CASE WHEN (s_suppkey + t.ord) % 9 = 0 THEN 'timeout' ELSE 'completed' END AS status
+SELECT {CLASS.replace("{key}", "s_suppkey")}, t.tool, t.ord, CASE WHEN (s_suppkey + t.ord) % 9 = 0 THEN 'timeout' WHEN (s_suppkey + 3 * t.ord) % 31 = 5 THEN 'failed'
+       WHEN (s_suppkey + 3 * t.ord) % 31 = 11 THEN 'skipped' WHEN (s_suppkey + 3 * t.ord) % 31 = 17 THEN 'unavailable' ELSE 'completed' END AS status
 FROM {{supplier}} AS supplier CROSS JOIN (SELECT * FROM (VALUES ('codeql',0),('cppcheck',1),('flawfinder',2),('semgrep',3)) v(tool,ord)) t
 """
 
@@ -51,7 +52,19 @@ NODES = "SELECT * FROM (VALUES (100),(110),(111),(112),(120),(121),(200),(210),(
 #: Members of view 1000 and of the Top-25 view 1435.
 VIEW_MEMBERS = "SELECT * FROM (VALUES (1000,100,0),(1000,200,1),(1435,111,0),(1435,121,1),(1435,300,2)) AS v(view_id, cwe, ord)"
 
-TEXTS = {"findings": FINDINGS, "spans": SPANS, "metadata": METADATA, "runs": RUNS, "edges": EDGES, "nodes": NODES, "view_members": VIEW_MEMBERS}
+#: A weakness forest that grows with the table: roots 1 to 10, a first parent each, and a second one for every seventh.
+FOREST_EDGES = """
+SELECT p_partkey AS child, CAST(floor(p_partkey / 3) AS BIGINT) AS parent, 0 AS ord FROM {part} AS part WHERE p_partkey > 10 AND p_partkey < 30
+UNION ALL SELECT p_partkey, CAST(floor(p_partkey / 10) AS BIGINT), 0 FROM {part} AS part WHERE p_partkey >= 30
+UNION ALL SELECT p_partkey, CAST(floor(p_partkey / 7) AS BIGINT), 1 FROM {part} AS part WHERE p_partkey >= 30 AND p_partkey % 7 = 0
+"""
+FOREST_NODES = "SELECT p_partkey AS cwe FROM {part} AS part"
+FOREST_MEMBERS = "SELECT p_partkey AS cwe, CAST(11 - p_partkey AS INT) AS ord FROM {part} AS part WHERE p_partkey <= 10 AND p_partkey <> 4"
+
+TEXTS = {"forest_edges": FOREST_EDGES, "forest_nodes": FOREST_NODES, "forest_members": FOREST_MEMBERS, "findings": FINDINGS, "spans": SPANS, "metadata": METADATA, "runs": RUNS, "edges": EDGES, "nodes": NODES, "view_members": VIEW_MEMBERS}
+
+
+BASES = ("lineitem", "supplier", "nation", "region", "part")
 
 
 class Tables:
@@ -65,11 +78,11 @@ class Tables:
 
     def get(self, name: str) -> DataFrame:
         text = TEXTS[name]
-        used = {t: self.base(t) for t in ("lineitem", "supplier", "nation", "region") if f"{{{t}}}" in text}
+        used = {t: self.base(t) for t in BASES if f"{{{t}}}" in text}
         return self.spark.sql(text, **used)
 
 
 def duckdb_ctes() -> str:
     """The projections as common table expressions over the tables of the same name."""
-    plain = {t: t for t in ("lineitem", "supplier", "nation", "region")}
+    plain = {t: t for t in BASES}
     return ",\n".join(f"{name} AS ({text.format(**plain)})" for name, text in TEXTS.items())

@@ -10,10 +10,10 @@ from tallyvane.plans.fixtures import Tables
 from tallyvane.session import cut
 
 
-def clusters_of(tables: Tables) -> DataFrame:
-    """All clusters of the seven rules, with representatives."""
+def clusters_of(tables: Tables, members: bool = False) -> DataFrame:
+    """All clusters of the seven rules, with representatives; their members only where asked for."""
     findings = vote.attach_functions(vote.prepare(tables.get("findings")), tables.get("spans"))
-    return clusters.all_clusters(findings, tables.get("edges"))
+    return clusters.all_clusters(findings, tables.get("edges"), members)
 
 
 def two_tool_labels(tables: Tables) -> DataFrame:

@@ -11,7 +11,7 @@ from tallyvane.functions import findings as fn
 from tallyvane.operators import audit, clusters, corpus, density, distributions, hierarchy, stats, vote
 from tallyvane.plans import flagship, raw_outputs
 from tallyvane.plans.fixtures import Tables, duckdb_ctes
-from tallyvane.session import cut
+from tallyvane.session import cut, scratch
 from tallyvane.sources import analyzers, documents, sinks
 
 PROJECT = ["class_name", "project"]
@@ -19,7 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 COMMON = """
-prep AS (
+prep AS MATERIALIZED (
   SELECT class_name, project, tool, replace(filename, '/workspace/src/./', 'src/') AS filename, line, CAST(substr(cwe, 5) AS INTEGER) AS num,
          concat('CWE-', substr(cwe, 5)) AS cwe, rule, finding_idx, row_number() OVER (PARTITION BY project ORDER BY finding_idx) AS position
   FROM findings WHERE cwe IS NOT NULL),
@@ -27,7 +27,7 @@ held AS (
   SELECT p.project, p.finding_idx, concat(s.filename, '::', CASE WHEN scope IS NULL THEN '' ELSE concat(scope, '::') END, name, ':', start_line, '-', end_line) AS function,
          row_number() OVER (PARTITION BY p.project, p.finding_idx ORDER BY end_line - start_line, start_line, end_line, name) AS r
   FROM prep p JOIN spans s ON p.project = s.project AND p.filename = s.filename AND p.line BETWEEN start_line AND end_line),
-placed AS (SELECT p.*, h.function FROM prep p LEFT JOIN held h ON p.project = h.project AND p.finding_idx = h.finding_idx AND r = 1),
+placed AS MATERIALIZED (SELECT p.*, h.function FROM prep p LEFT JOIN held h ON p.project = h.project AND p.finding_idx = h.finding_idx AND r = 1),
 anc AS (SELECT child AS cwe, parent AS ancestor FROM edges UNION SELECT a.cwe, e.parent FROM anc a JOIN edges e ON a.ancestor = e.child),
 rel AS (SELECT cwe AS a, ancestor AS b FROM anc UNION SELECT ancestor, cwe FROM anc UNION SELECT cwe, cwe FROM nodes),
 line_pairs AS (
@@ -40,27 +40,30 @@ any_pairs AS (
   JOIN placed b ON a.project = b.project AND a.filename = b.filename AND a.function = b.function AND a.tool <> b.tool),
 cwe_reach AS (SELECT project, finding_idx, finding_idx AS r FROM prep UNION SELECT c.project, c.finding_idx, p.j FROM cwe_reach c JOIN cwe_pairs p ON c.project = p.project AND c.r = p.i),
 any_reach AS (SELECT project, finding_idx, finding_idx AS r FROM prep UNION SELECT c.project, c.finding_idx, p.j FROM any_reach c JOIN any_pairs p ON c.project = p.project AND c.r = p.i),
-cwe_labels AS (SELECT project, finding_idx, min(r) AS label FROM cwe_reach GROUP BY project, finding_idx),
-any_labels AS (SELECT project, finding_idx, min(r) AS label FROM any_reach GROUP BY project, finding_idx),
+cwe_labels AS MATERIALIZED (SELECT project, finding_idx, min(r) AS label FROM cwe_reach GROUP BY project, finding_idx),
+any_labels AS MATERIALIZED (SELECT project, finding_idx, min(r) AS label FROM any_reach GROUP BY project, finding_idx),
 rule_table AS (SELECT * FROM (VALUES (2, 'two_out_of_four', 'two_out_four_no_cwe'), (3, 'three_out_of_four', 'three_out_four_no_cwe'), (4, 'four_out_of_four', 'four_out_four_no_cwe')) AS v(least, cwe_rule, any_rule)),
 grouped AS (
   SELECT class_name, p.project, label, 1 AS mode, count(DISTINCT tool) AS tools, count(*) AS size FROM prep p JOIN cwe_labels l ON p.project = l.project AND p.finding_idx = l.finding_idx GROUP BY ALL
   UNION ALL
   SELECT class_name, p.project, label, 2, count(DISTINCT tool), count(*) FROM prep p JOIN any_labels l ON p.project = l.project AND p.finding_idx = l.finding_idx GROUP BY ALL),
-clusters AS (
+clusters AS MATERIALIZED (
   SELECT class_name, project, CASE WHEN mode = 1 THEN cwe_rule ELSE any_rule END AS rule, label AS min_idx, tools, size, mode,
          row_number() OVER (PARTITION BY project, mode, least ORDER BY label) AS cluster_id FROM grouped JOIN rule_table ON tools >= least
   UNION ALL SELECT class_name, project, 'one_out_of_four', finding_idx, 1, 1, 0, position FROM prep),
-members AS (
+members AS MATERIALIZED (
   SELECT DISTINCT c.class_name, c.project, c.rule, c.cluster_id, p.num FROM clusters c JOIN
     (SELECT project, finding_idx, label, 1 AS mode FROM cwe_labels UNION ALL SELECT project, finding_idx, label, 2 FROM any_labels UNION ALL SELECT project, finding_idx, finding_idx, 0 FROM prep) l
       ON c.project = l.project AND c.min_idx = l.label AND c.mode = l.mode
   JOIN prep p ON p.project = l.project AND p.finding_idx = l.finding_idx),
-reps AS (
-  SELECT class_name, project, rule, cluster_id, min(top) AS representative FROM (
-    SELECT a.class_name, a.project, a.rule, a.cluster_id, a.num AS top, count(*) AS n, count(CASE WHEN a.num = b.num OR anc.cwe IS NOT NULL THEN 1 END) AS ok
-    FROM members a JOIN members b ON a.project = b.project AND a.rule = b.rule AND a.cluster_id = b.cluster_id
-    LEFT JOIN anc ON anc.cwe = b.num AND anc.ancestor = a.num GROUP BY ALL) WHERE n = ok GROUP BY ALL),
+csets AS (SELECT class_name, project, rule, cluster_id, list_sort(list(num)) AS cwes FROM members GROUP BY ALL),
+tops AS (SELECT cwes, unnest(cwes) AS top FROM (SELECT DISTINCT cwes FROM csets)),
+covers AS (SELECT cwes, top, unnest(cwes) AS num FROM tops),
+setreps AS (
+  SELECT cwes, min(top) AS representative FROM (
+    SELECT c.cwes, c.top, count(*) AS n, count(CASE WHEN c.top = c.num OR anc.cwe IS NOT NULL THEN 1 END) AS ok
+    FROM covers c LEFT JOIN (SELECT DISTINCT cwe, ancestor FROM anc) anc ON anc.cwe = c.num AND anc.ancestor = c.top GROUP BY ALL) WHERE n = ok GROUP BY cwes),
+reps AS (SELECT class_name, project, rule, cluster_id, representative FROM csets c JOIN setreps s ON c.cwes = s.cwes),
 counted AS (
   SELECT m.class_name, m.project, m.rule, m.num, count(*) AS n FROM members m LEFT JOIN reps r ON m.project = r.project AND m.rule = r.rule AND m.cluster_id = r.cluster_id
   WHERE r.representative IS NULL OR r.representative = m.num GROUP BY ALL),
@@ -94,13 +97,15 @@ def _counts(t: Tables) -> DataFrame:
     return _prepared(t).groupBy(*PROJECT, "cwe", F.substr("cwe", F.lit(5)).cast("int").alias("number")).agg(F.count("*").alias("n"))
 
 
-def _totals(t: Tables) -> DataFrame:
-    found = _prepared(t).groupBy(*PROJECT).agg(F.count("*").alias("tot_vulns"))
+def _totals(t: Tables, counts: DataFrame | None = None) -> DataFrame:
+    """Findings per project, zero included; from counts where these are there, so that findings are scanned once."""
+    found = (_counts(t) if counts is None else counts).groupBy(*PROJECT).agg(F.sum("n").alias("tot_vulns"))
     return t.get("metadata").select(*PROJECT).join(found, PROJECT, "left").fillna(0, ["tot_vulns"])
 
 
 def _shares(t: Tables) -> DataFrame:
-    return distributions.share_matrix(_counts(t), _totals(t))
+    counts = cut(_counts(t))
+    return distributions.share_matrix(counts, _totals(t, counts))
 
 
 def _vulns(t: Tables) -> DataFrame:
@@ -198,6 +203,24 @@ def _(t: Tables) -> DataFrame:
     return spans.groupBy(*PROJECT).agg(F.count("*").alias("spans"), F.sum((F.col("start_line") + F.col("end_line")).cast("long")).alias("lines"), F.count("scope").alias("scoped"))
 
 
+@query("a12_cwe_catalog", """SELECT 'name' AS part, kind, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, CAST(sum(length(name)) AS BIGINT) AS others, CAST(0 AS BIGINT) AS places FROM (
+ SELECT p_partkey AS id, p_name AS name, 'weakness' AS kind FROM part UNION ALL SELECT 10000000 + n_nationkey, n_name, 'category' FROM nation UNION ALL SELECT 20000000 + r_regionkey, r_name, 'view' FROM region) GROUP BY kind
+ UNION ALL SELECT 'parent', NULL, count(*), CAST(sum(child) AS BIGINT), CAST(sum(parent) AS BIGINT), CAST(sum(ord) AS BIGINT) FROM (
+ SELECT p_partkey AS child, p_partkey // 2 AS parent, 0 AS ord FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey, p_partkey // 3, 2 FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 10000000 + n_nationkey, 20000000 + n_regionkey, 0 FROM nation)
+ UNION ALL SELECT 'member', NULL, count(*), CAST(sum(owner) AS BIGINT), CAST(sum(member) AS BIGINT), CAST(sum(ord) AS BIGINT) FROM (
+ SELECT 10000000 + n_nationkey AS owner, 20000000 + n_regionkey AS member, 0 AS ord FROM nation UNION ALL SELECT 10000000 + p_partkey % 25, p_partkey, row_number() OVER (PARTITION BY p_partkey % 25 ORDER BY p_partkey) FROM part
+ UNION ALL SELECT 20000000 + n_regionkey, 10000000 + n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 FROM nation)""")
+def _(t: Tables) -> DataFrame:
+    tables = documents.parse_cwe_catalog(raw_outputs.cwe_catalog(t.base("part"), t.base("nation"), t.base("region")))
+    total = lambda c: F.sum(F.col(c).cast("long"))
+    names = tables["weaknesses"].groupBy("kind").agg(F.count("*").alias("n"), total("cwe").alias("ids"), F.sum(F.length("name").cast("long")).alias("others"))
+    out = names.select(F.lit("name").alias("part"), "kind", "n", "ids", "others", F.lit(0).cast("long").alias("places"))
+    for part, rows, one, two in (("parent", tables["parents"], "child", "parent"), ("member", tables["members"], "owner", "member")):
+        sums = rows.agg(F.count("*").alias("n"), total(one).alias("ids"), total(two).alias("others"), total("ord").alias("places"))
+        out = out.union(sums.select(F.lit(part), F.lit(None).cast("string"), "n", "ids", "others", "places"))
+    return out
+
+
 @query("a13_taxonomy", """SELECT project, string_agg(folder, ',' ORDER BY row_no) AS folders FROM (
  SELECT concat('n', CAST(c_nationkey AS STRING)) AS project, concat('d', CAST(c_custkey AS STRING)) AS folder, CAST(c_nationkey AS BIGINT) * 1000000000 + c_custkey AS row_no, c_custkey FROM customer) WHERE c_custkey % 3 = 0 GROUP BY project""")
 def _(t: Tables) -> DataFrame:
@@ -242,6 +265,28 @@ def _(t: Tables) -> DataFrame:
     return docs.select(*PROJECT, "LOC", F.coalesce(rule["tot_vulns"], F.lit(0)).alias("tot_vulns"), F.coalesce(F.size(rule["unique_cwes"]).cast("long"), F.lit(0)).alias("cwes"))
 
 
+_RULES = ", ".join(f"('{r}')" for r in [*clusters.CWE_RULES.values(), *clusters.ANY_RULES.values()])
+
+
+@query("b02_cluster_files", f"SELECT m.class_name, m.project, r.rule, coalesce(c.n, 0) AS clusters, coalesce(c.size, 0) AS findings FROM metadata m CROSS JOIN (SELECT * FROM (VALUES {_RULES}) AS v(rule)) r LEFT JOIN (SELECT project, rule, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM clusters GROUP BY ALL) c ON m.project = c.project AND r.rule = c.rule")
+def _(t: Tables) -> DataFrame:
+    """Written, one file for every project and rule, and read back; an empty rule has a file as well."""
+    path = scratch(t.spark, "clusters")
+    sinks.write_clusters(flagship.clusters_of(t, members=True), path, t.get("metadata"), documents.RULES)
+    back = documents.read_clusters(t.spark, path)
+    sizes = F.coalesce(F.sum(F.size("findings").cast("long")), F.lit(0)).alias("findings")
+    return back.groupBy(*PROJECT, "rule").agg(F.count("cluster_id").alias("clusters"), sizes)
+
+
+@query("b05_density_table", "SELECT class_name, project, loc, vulns, round(vulns * 1000.0 / functions, 6) AS per_kfunctions, round(vulns * 1000.0 / loc, 6) AS per_kloc FROM vulns")
+def _(t: Tables) -> DataFrame:
+    """Written as CSV and read back."""
+    path = scratch(t.spark, "density")
+    rows = density.with_densities(_vulns(t)).select(*PROJECT, "loc", "vulns", "per_kfunctions", "per_kloc")
+    sinks.write_table(rows, path)
+    return _round(t.spark.read.schema(rows.schema).option("header", True).csv(path), "per_kfunctions", "per_kloc")
+
+
 @query("b06_voting_totals", "SELECT rule, count(*) AS votes FROM clusters WHERE mode <> 2 GROUP BY rule UNION ALL SELECT 'TOTAL', count(*) FROM clusters WHERE mode <> 2")
 def _(t: Tables) -> DataFrame:
     found = flagship.clusters_of(t).where(F.col("rule").rlike("out_of_four$")).rollup("rule").agg(F.count("*").alias("votes"))
@@ -320,9 +365,11 @@ def _(t: Tables) -> DataFrame:
     return t.base("documents").select("doc_id", F.array_join(F.array_sort(names), ",").alias("names"))
 
 
-@query("c14_comment_stripping")
+@query("c14_comment_stripping", r"""SELECT page_id, length(text) AS chars, md5(text) AS digest FROM (SELECT page_id, regexp_replace(regexp_replace(array_to_string(list_transform(
+ regexp_extract_all(regexp_replace(html, '[^\x00-\x7F]', '', 'g'), '(?s)//[^\n]*|/\*.*?\*/|''(?:\\.|[^\\''])*''|"(?:\\.|[^\\"])*"|[^/''"]+|.'), lambda x: CASE WHEN x[1:2] IN ('//', '/*') THEN ' ' ELSE x END), ''),
+ '^\s+|\s+$', '', 'g'), '\n\s*\n+', chr(10), 'g') AS text FROM pages)""")
 def _(t: Tables) -> DataFrame:
-    return corpus.clean_code(t.base("pages").select("page_id", F.col("html").alias("text"))).select("page_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+    return corpus.clean_code(t.base("pages").select("page_id", F.col("html").alias("text"))).select("page_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
 
 
 @query("c15_ascii", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '^\s+|\s+$', '', 'g'), '\n\s*\n+', chr(10), 'g')) AS digest FROM documents")
@@ -363,6 +410,22 @@ def _(t: Tables) -> DataFrame:
     return audit.first_projects(t.get("metadata").withColumn("ord", F.struct("loc", "project")), limit=7).select(*PROJECT)
 
 
+@query("d04_classes", "SELECT class_name, CAST(row_number() OVER (ORDER BY CASE class_name WHEN 'kernel' THEN 1 WHEN 'application' THEN 2 ELSE 3 END, lower(class_name)) AS INTEGER) AS place, n FROM (SELECT class_name, count(*) AS n FROM (SELECT class_name FROM findings UNION ALL SELECT event_type FROM events) GROUP BY ALL)")
+def _(t: Tables) -> DataFrame:
+    rows = t.get("findings").select("class_name").union(t.base("events").select("event_type"))
+    return audit.classes(rows).join(rows.groupBy("class_name").agg(F.count("*").alias("n")), "class_name")
+
+
+@query("d04_requested_class", "SELECT class_name, tool, count(*) AS n FROM findings WHERE class_name = 'application' GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return audit.select_classes(t.get("findings"), ["application", "unknown"]).groupBy("class_name", "tool").agg(F.count("*").alias("n"))
+
+
+@query("d06_selected_tools", "SELECT tool, status, count(*) AS n FROM runs WHERE tool IN ('codeql', 'semgrep') GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return audit.select_tools(t.get("runs"), ["semgrep", "codeql"]).groupBy("tool", "status").agg(F.count("*").alias("n"))
+
+
 @query("e03_functions", "SELECT class_name, project, finding_idx, function FROM placed")
 def _(t: Tables) -> DataFrame:
     return vote.attach_functions(_prepared(t), t.get("spans")).select(*PROJECT, "finding_idx", "function")
@@ -454,7 +517,7 @@ def _(t: Tables) -> DataFrame:
 
 # Aggregations
 
-@query("f01_report_summary", "SELECT class_name, project, count(*) AS tools, count(CASE WHEN status = 'completed' THEN 1 END) AS completed, CAST(0 AS BIGINT) AS failed, count(CASE WHEN status = 'timeout' THEN 1 END) AS timeout, CAST(0 AS BIGINT) AS unavailable, CAST(coalesce(sum(findings), 0) AS BIGINT) AS findings FROM run_rows GROUP BY ALL")
+@query("f01_report_summary", "SELECT class_name, project, count(*) AS tools, count(CASE WHEN status = 'completed' THEN 1 END) AS completed, count(CASE WHEN status = 'failed' THEN 1 END) AS failed, count(CASE WHEN status = 'timeout' THEN 1 END) AS timeout, count(CASE WHEN status = 'unavailable' THEN 1 END) AS unavailable, CAST(coalesce(sum(findings), 0) AS BIGINT) AS findings FROM run_rows GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     return audit.report_summary(_runs(t))
 
@@ -533,7 +596,8 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     members = t.get("view_members").where("view_id = 1000").select("cwe", "ord")
     roots = hierarchy.view_roots(t.get("nodes"), members, t.get("edges"))
-    return _round(distributions.share_matrix(distributions.by_root(_counts(t), roots), _totals(t), "root"), "share")
+    counts = cut(_counts(t))
+    return _round(distributions.share_matrix(distributions.by_root(counts, roots), _totals(t, counts), "root"), "share")
 
 
 @query("f16_class_means", "SELECT class_name, cwe, round(avg(share), 6) AS mean_share, count(*) AS projects FROM shares GROUP BY ALL")
@@ -552,10 +616,12 @@ def _(t: Tables) -> DataFrame:
     return audit.chunk_status(t.base("orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("chunk"), status.alias("status")), ["o_custkey"])
 
 
-@query("f18_project_report", "SELECT class_name, project, vulns, functions, loc, round(vulns * 1000.0 / functions, 6) AS per_kfunctions, round(vulns * 1000.0 / loc, 6) AS per_kloc, '0 folders' AS taxonomy FROM vulns UNION ALL SELECT class_name, 'TOTAL', vulns, functions, loc, per_kfunctions, per_kloc, NULL FROM (" + _TOTALS.format("vulns") + ")")
+@query("f18_project_report", "SELECT class_name, project, vulns, functions, loc, round(vulns * 1000.0 / functions, 6) AS per_kfunctions, round(vulns * 1000.0 / loc, 6) AS per_kloc, concat(CAST(CASE WHEN n_folders = 3 THEN 5 ELSE coalesce(n_folders, 0) END AS STRING), ' folders') AS taxonomy FROM vulns UNION ALL SELECT class_name, 'TOTAL', vulns, functions, loc, per_kfunctions, per_kloc, NULL FROM (" + _TOTALS.format("vulns") + ")")
 def _(t: Tables) -> DataFrame:
-    empty = F.expr("cast(array() as array<string>)").alias("folders")
-    rows = density.folder_cells(_vulns(t), t.get("metadata").limit(0).select("project", empty), t.get("metadata").select(*PROJECT, empty))
+    """Projects with three folders have a hand-made selection of five; others their metadata's folders, or none."""
+    folders = lambda n: F.array_repeat(F.lit("src"), n)
+    chosen = t.get("metadata").where("n_folders = 3").select(F.upper("project").alias("project"), folders(F.lit(5)).alias("folders"))
+    rows = density.folder_cells(_vulns(t), chosen, t.get("metadata").select(*PROJECT, F.when(F.col("n_folders").isNotNull(), folders(F.col("n_folders"))).alias("folders")))
     shown = [*PROJECT, "vulns", "functions", "loc", "per_kfunctions", "per_kloc", "taxonomy"]
     total = density.class_totals(rows, ["class_name"]).withColumn("project", F.lit("TOTAL")).withColumn("taxonomy", F.lit(None).cast("string"))
     return _round(density.with_densities(rows).select(*shown).unionByName(total.select(*shown)), "per_kfunctions", "per_kloc")
@@ -627,6 +693,34 @@ def _(t: Tables) -> DataFrame:
     return _counts(t).groupBy("number").agg(F.sum("n").alias("n")).join(F.broadcast(paths), "number", "left")
 
 
+_CLIMB = """, up AS (SELECT child, parent FROM forest_edges WHERE ord = 0),
+climb AS (SELECT cwe, cwe AS here, 0 AS height FROM forest_nodes UNION ALL SELECT c.cwe, u.parent, height + 1 FROM climb c JOIN up u ON c.here = u.child)
+"""
+_WAYS = """, ways AS (SELECT cwe, cwe AS top, ord AS place, 1 AS depth, [cwe] AS path FROM forest_members
+ UNION ALL SELECT e.child, w.top, w.place, depth + 1, list_append(path, e.child) FROM ways w JOIN forest_edges e ON w.cwe = e.parent)
+"""
+
+
+@query("g06_forest_tops", _CLIMB + "SELECT cwe, CASE WHEN max(height) > 0 THEN arg_max(here, height) END AS top_parent FROM climb GROUP BY cwe")
+def _(t: Tables) -> DataFrame:
+    return hierarchy.top_parents(t.get("forest_nodes"), t.get("forest_edges")).select("cwe", "top_parent")
+
+
+@query("g08_forest_paths", _CLIMB + _WAYS + """, best AS (SELECT cwe, arg_min(path, [CAST(depth AS BIGINT)] || path) AS path FROM ways GROUP BY cwe),
+ near AS (SELECT c.cwe, min(height) AS height, arg_min(path, height) AS path FROM climb c JOIN best b ON c.here = b.cwe GROUP BY c.cwe)
+ SELECT n.cwe, array_to_string(CASE WHEN height = 0 THEN path ELSE list_append(path, n.cwe) END, '>') AS path FROM forest_nodes n LEFT JOIN near r ON n.cwe = r.cwe""")
+def _(t: Tables) -> DataFrame:
+    members = t.get("forest_members").select("cwe")
+    return hierarchy.paths_in_view(t.get("forest_nodes"), members, t.get("forest_edges")).select("cwe", F.array_join("path", ">").alias("path"))
+
+
+@query("g11_forest_roots", _CLIMB + _WAYS + """, claimed AS (SELECT cwe, arg_min(top, place) AS root FROM ways GROUP BY cwe),
+ near AS (SELECT c.cwe, arg_min(root, height) AS root FROM climb c JOIN claimed b ON c.here = b.cwe GROUP BY c.cwe)
+ SELECT n.cwe, root FROM forest_nodes n LEFT JOIN near r ON n.cwe = r.cwe""")
+def _(t: Tables) -> DataFrame:
+    return hierarchy.view_roots(t.get("forest_nodes"), t.get("forest_members"), t.get("forest_edges"))
+
+
 @query("g09_part_tree", """SELECT depth, count(*) AS n, CAST(sum(cwe) AS BIGINT) AS total FROM (
  SELECT p_partkey AS cwe, CAST(floor(log2(p_partkey)) AS INTEGER) + 1 AS depth FROM part WHERE p_partkey >= 1) WHERE depth <= 6 GROUP BY depth""")
 def _(t: Tables) -> DataFrame:
@@ -697,6 +791,14 @@ def _(t: Tables) -> DataFrame:
     return _round(stats.compare_classes(_shares(t)), "u", "delta", "z", "p", "q", "mean_1", "mean_2")
 
 
+@query("h07_comparison_order", _RANKED + """, z AS (SELECT cwe, 2.0 * u / (n1 * n2) - 1 AS delta, greatest(abs(u - n1 * n2 / 2.0) - 0.5, 0) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z FROM tested)
+ SELECT cwe, row_number() OVER (ORDER BY round(z, 9) DESC, round(abs(delta), 9) DESC, cwe) AS place FROM z""")
+def _(t: Tables) -> DataFrame:
+    """The order of compare_classes by p, effect and key; equal z have equal p."""
+    rows = stats.compare_classes(_shares(t)).select("cwe", F.struct(F.round(-F.col("z"), 9), F.round(-F.abs("delta"), 9), "cwe").alias("o"), F.struct("p", -F.abs("delta"), "cwe").alias("full"))
+    return rows.selectExpr("cwe", "cast(row_number() over (order by o) as bigint) as place")
+
+
 @query("h04_benjamini_yekutieli", """, p AS (SELECT project, (tot_vulns % 97 + 1) / 1000.0 AS p FROM totals), m AS (SELECT count(*) AS m FROM p), h AS (SELECT sum(1.0 / k) AS h FROM (SELECT row_number() OVER () AS k FROM p)),
  r AS (SELECT project, p, row_number() OVER (ORDER BY p, project) AS rank FROM p)
  SELECT project, round(least(min(p * h * m / rank) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS q FROM r, m, h""")
@@ -745,12 +847,21 @@ def _(t: Tables) -> DataFrame:
     return _round(stats.poisson_test(_rates(t)), "chi2", "chi2_p", "p")
 
 
-@query("j07_kendall", """, s AS (SELECT class_name, project, CAST(functions + loc AS DOUBLE) AS x, vulns * 1000.0 / loc AS y FROM vulns WHERE functions IS NOT NULL AND loc IS NOT NULL),
- g AS (SELECT a.class_name, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS c, count(CASE WHEN a.x = b.x THEN 1 END) AS tx, count(CASE WHEN a.y = b.y THEN 1 END) AS ty, count(*) AS pairs FROM s a JOIN s b ON a.class_name = b.class_name AND a.project < b.project GROUP BY ALL)
- SELECT g.class_name, n, CAST(c AS DOUBLE) AS concordance, CASE WHEN n >= 4 THEN round(c / sqrt((pairs - tx) * (pairs - ty)), 6) END AS tau FROM g JOIN (SELECT class_name, count(*) AS n FROM s GROUP BY ALL) k ON g.class_name = k.class_name""")
+_TIES = "SELECT class_name, size, sum(t * (t - 1)) AS t1, sum(t * (t - 1) * (t - 2)) AS t2, sum(t * (t - 1) * (2 * t + 5)) AS t3 FROM (SELECT class_name, size, {0}, count(*) * 1.0 AS t FROM s GROUP BY class_name, size, {0}) GROUP BY ALL"
+
+
+@query("j07_kendall", f""", b AS (SELECT class_name, project, 'loc' AS size, CAST(loc AS DOUBLE) AS x, vulns * 1000.0 / loc AS y FROM vulns WHERE loc IS NOT NULL UNION ALL SELECT class_name, project, 'functions', CAST(functions AS DOUBLE), vulns * 1000.0 / functions FROM vulns WHERE functions IS NOT NULL),
+ s AS (SELECT * FROM b UNION ALL SELECT 'combined', project, size, x, y FROM b),
+ g AS (SELECT a.class_name, a.size, CAST(sum(sign(a.x - b.x) * sign(a.y - b.y)) AS DOUBLE) AS c FROM s a JOIN s b ON a.class_name = b.class_name AND a.size = b.size AND a.project < b.project GROUP BY ALL),
+ tx AS ({_TIES.format("x")}), ty AS ({_TIES.format("y")}), k AS (SELECT class_name, size, count(*) AS n, count(*) * 1.0 AS m FROM s GROUP BY ALL)
+ SELECT k.class_name, k.size, n, c AS concordance, CASE WHEN n >= 4 AND (m * (m - 1) - tx.t1) * (m * (m - 1) - ty.t1) > 0 THEN round(2 * c / sqrt((m * (m - 1) - tx.t1) * (m * (m - 1) - ty.t1)), 6) END AS tau,
+ CASE WHEN n >= 4 AND (m * (m - 1) - tx.t1) * (m * (m - 1) - ty.t1) > 0 THEN round(abs(c) / sqrt((m * (m - 1) * (2 * m + 5) - tx.t3 - ty.t3) / 18 + tx.t1 * ty.t1 / (2 * m * (m - 1)) + tx.t2 * ty.t2 / (9 * m * (m - 1) * (m - 2))), 6) END AS z
+ FROM k JOIN g ON k.class_name = g.class_name AND k.size = g.size JOIN tx ON k.class_name = tx.class_name AND k.size = tx.size JOIN ty ON k.class_name = ty.class_name AND k.size = ty.size""")
 def _(t: Tables) -> DataFrame:
-    rows = density.with_densities(_vulns(t)).withColumn("size", F.col("functions") + F.col("loc"))
-    return _round(stats.kendall(rows, ["class_name"], "size", "per_kloc"), "tau")
+    rows = density.with_densities(_vulns(t))
+    sizes = [rows.select("class_name", F.lit(size).alias("size"), F.col(size).alias("x"), F.col(per).alias("y")) for size, per in (("loc", "per_kloc"), ("functions", "per_kfunctions"))]
+    both = sizes[0].union(sizes[1])
+    return _round(stats.kendall(both.union(both.withColumn("class_name", F.lit("combined"))), ["class_name", "size"], "x", "y"), "tau", "z")
 
 
 @query("j08_kendall_intervals")

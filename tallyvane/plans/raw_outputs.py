@@ -70,3 +70,21 @@ def metadata(rows: DataFrame) -> DataFrame:
     entry = F.concat(F.to_json(F.array("project")), F.to_json(value))
     item = F.concat(F.regexp_replace(entry, r'^\["(.*?)"\]', '"$1":'))
     return rows.groupBy("class_name").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(item), ","), F.lit(',"note":null}')).alias("raw"))
+
+
+def cwe_catalog(part: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
+    """Catalog texts: parts are weaknesses with one or two parents, nations categories of parts, regions views of nations."""
+    number = lambda c: F.col(c).cast("long")
+    link = lambda tag, nature, cwe: F.concat(F.lit(f'<{tag} Nature="{nature}" CWE_ID="'), cwe.cast("string"), F.lit('" View_ID="1000"/>'))
+    named = lambda tag, ident, name: F.concat(F.lit(f'<{tag} ID="'), ident.cast("string"), F.lit('" Name="'), name, F.lit('"'))
+    key = number("p_partkey")
+    parents = F.concat(F.when(key > 1, link("Related_Weakness", "ChildOf", F.expr("p_partkey div 2"))).otherwise(""), link("Related_Weakness", "PeerOf", key + 1), F.when(key % 3 == 0, link("Related_Weakness", "ChildOf", F.expr("p_partkey div 3"))).otherwise(""))
+    weakness = F.concat(named("Weakness", key, F.col("p_name")), F.when((key > 1) | (key % 3 == 0), F.concat(F.lit(">\n<Related_Weaknesses>"), parents, F.lit("</Related_Weaknesses></Weakness>"))).otherwise("/>"))
+    weaknesses = part.select((key % 64).alias("file"), weakness.alias("x")).groupBy("file").agg(F.array_join(F.collect_list("x"), "\n").alias("x"))
+    weaknesses = weaknesses.select(F.concat(F.lit("<Weakness_Catalog><Weaknesses>"), "x", F.lit("</Weaknesses></Weakness_Catalog>")).alias("raw"))
+    listed = part.select((key % 25).alias("n_nationkey"), F.struct(key.alias("k"), link("Has_Member", "Member", key).alias("x")).alias("m")).groupBy("n_nationkey").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    category = F.concat(named("Category", number("n_nationkey") + 10_000_000, F.col("n_name")), F.lit("><Relationships>"), link("Has_Member", "ChildOf", number("n_regionkey") + 20_000_000), F.array_join(F.transform(F.coalesce("m", F.array()), lambda m: m["x"]), ""), F.lit("</Relationships></Category>"))
+    categories = nation.join(listed, "n_nationkey", "left").select(F.concat(F.lit("<Categories>"), category, F.lit("</Categories>")).alias("raw"))
+    held = nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list(F.struct(number("n_nationkey").alias("k"), link("Has_Member", "Member", number("n_nationkey") + 10_000_000).alias("x")))).alias("m"))
+    view = F.concat(named("View", number("r_regionkey") + 20_000_000, F.col("r_name")), F.lit("><Members>"), F.array_join(F.transform("m", lambda m: m["x"]), ""), F.lit("</Members></View>"))
+    return weaknesses.union(categories).union(region.join(held, "r_regionkey").select(F.concat(F.lit("<Views>"), view, F.lit("</Views>")).alias("raw")))

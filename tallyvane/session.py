@@ -3,16 +3,33 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the cluster's shared checkpoint folder (a temporary one only where none is set) and cut its lineage."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder, from spark.checkpoint.dir. A temporary one only where none is named and all tasks
+    run in this process; on a cluster that is an error, as executors would not see it."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that are written and read back."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

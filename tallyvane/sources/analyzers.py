@@ -58,7 +58,8 @@ def _lookup(table: dict[str, str | None], key: Column) -> Column:
 def parse_sarif(raw: DataFrame, keys: list[str], tool: Column) -> DataFrame:
     """One row per result: its first location, and the CWE of its tags, its rule's tags or its message, in that order.
 
-    A rule id that occurs twice in a run means its last entry.
+    A rule id that occurs twice in a run means its last entry. Rules are looked up before the results become rows, so that
+    no row carries them.
     """
     runs = raw.select(*keys, tool.alias("tool"), F.posexplode(F.from_json(payload(F.col("raw"), "{"), SARIF)["runs"]).alias("run", "r"))
     rules = F.map_from_entries(
@@ -69,12 +70,13 @@ def parse_sarif(raw: DataFrame, keys: list[str], tool: Column) -> DataFrame:
             ),
         )
     )
-    results = runs.withColumn("rules", rules).select(*keys, "tool", "run", "rules", F.posexplode("r.results").alias("pos", "x"))
+    found = F.transform("r.results", lambda x: F.struct(x.alias("x"), F.col("rules")[x["ruleId"]].alias("tags")))
+    results = runs.withColumn("rules", rules).select(*keys, "tool", "run", F.posexplode(found).alias("pos", "y")).select(*keys, "tool", "run", "pos", "y.x", "y.tags")
     spot = F.get(F.col("x.locations"), F.lit(0))["physicalLocation"]
     text = F.col("x.message.text")
     return results.select(
         *keys, "run", "pos", "tool", spot["artifactLocation"]["uri"].alias("filename"), positive_line(spot["region"]["startLine"]).alias("line"),
-        F.coalesce(tag_cwe(F.col("x.properties.tags")), tag_cwe(F.col("rules")[F.col("x.ruleId")]), first_cwe(text)).alias("cwe"),
+        F.coalesce(tag_cwe(F.col("x.properties.tags")), tag_cwe(F.col("tags")), first_cwe(text)).alias("cwe"),
         F.col("x.ruleId").alias("rule"), F.coalesce(text, F.lit("")).alias("message"),
     )
 
@@ -126,18 +128,23 @@ def ikos_status(entry: Column) -> Column:
 def parse_ikos(raw: DataFrame, keys: list[str]) -> DataFrame:
     """Entries of the first list among results, checks and reports that are errors, warnings or unreachable code.
 
-    The place is that of the entry's statement, whose file is looked up, or else the entry's own location.
+    The place is that of the entry's statement, whose file is looked up, or else the entry's own location. Of statements
+    and files with the same id the last counts; those without an id are left out. Both are joined by output and id.
     """
-    doc = raw.select(*keys, F.from_json(payload(F.col("raw"), "{"), IKOS).alias("d"))
-    index = lambda a, v: F.map_from_entries(F.transform(F.coalesce(a, F.array()), lambda x: F.struct(x["id"], v(x))))
-    rows = doc.select(
-        *keys, index(F.col("d.files"), lambda x: x["path"]).alias("files"), index(F.col("d.statements"), lambda x: F.struct(x["file_id"], x["line"])).alias("statements"),
-        F.posexplode(F.coalesce("d.results", "d.checks", "d.reports")).alias("pos", "x"),
-    )
-    rows = rows.withColumn("s", F.col("statements")[F.col("x.statement_id")]).where(ikos_status(F.col("x")).isin("error", "warning", "unreachable"))
+    doc = raw.select(*keys, F.xxhash64(*keys).alias("k"), F.xxhash64("raw").alias("h"), F.from_json(payload(F.col("raw"), "{"), IKOS).alias("d"))
+
+    def last(items: str, value: Column) -> DataFrame:
+        rows = doc.select("k", "h", F.posexplode(items).alias("at", "i")).where("i.id is not null")
+        return rows.groupBy("k", "h", F.col("i.id").alias("id")).agg(F.max_by(value, "at").alias("v"))
+
+    statements = last("d.statements", F.struct("i.file_id", "i.line")).select("k", "h", F.col("id").alias("statement"), F.col("v").alias("s"))
+    files = last("d.files", F.col("i.path")).select("k", "h", F.col("id").alias("file"), F.col("v").alias("path"), F.lit(True).alias("known"))
+    rows = doc.select(*keys, "k", "h", F.posexplode(F.coalesce("d.results", "d.checks", "d.reports")).alias("pos", "x"))
+    rows = rows.where(ikos_status(F.col("x")).isin("error", "warning", "unreachable")).withColumn("statement", F.col("x.statement_id"))
+    rows = rows.join(statements, ["k", "h", "statement"], "left").withColumn("file", F.col("s.file_id")).join(files, ["k", "h", "file"], "left")
     rule = ikos_rule(F.col("x"))
     return rows.select(
-        *keys, F.lit(0).alias("run"), "pos", F.lit("ikos").alias("tool"), F.coalesce(F.col("files")[F.col("s.file_id")], F.col("x.location.file")).alias("filename"),
+        *keys, F.lit(0).alias("run"), "pos", F.lit("ikos").alias("tool"), F.when(F.col("known"), F.coalesce("path", F.lit(""))).otherwise(F.col("x.location.file")).alias("filename"),
         F.coalesce(positive_line(F.col("s.line").cast("string")), positive_line(F.col("x.location.line"))).alias("line"),
         _lookup(IKOS_WEAKNESSES, rule).alias("cwe"), rule.alias("rule"), F.coalesce(F.nullif("x.message", F.lit("")), F.nullif("x.description", F.lit("")), F.concat(F.lit("IKOS finding: "), rule)).alias("message"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,15 @@ def cluster_file_counts(raw: DataFrame) -> DataFrame:
     return raw.select("class_name", project.alias("project"), rule.alias("rule"), F.coalesce(size, F.lit(0)).cast("long").alias("clusters")).where("rule <> ''")
 
 
+CLUSTER = """class_name string, project string, rule string, cluster_id int, min_idx bigint, tools array<string>, cwes array<int>, size bigint, representative int,
+ findings array<struct<tool:string,filename:string,line:int,cwe:string,function:string>>"""
+
+
+def read_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """The files of sinks.write_clusters; a rule without clusters has one row whose cluster_id is null."""
+    return spark.read.schema(CLUSTER).json(path)
+
+
 def parse_ctags(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Function spans from JSON lines in the column `line`; other tags, and lines without name, path or line, are left out."""
     tags = lines.select(*keys, F.from_json("line", CTAG).alias("t")).where("t._type = 'tag' and t.kind = 'function' and t.name is not null and t.path is not null and t.line > 0")
@@ -92,22 +103,38 @@ def read_ctags(spark: SparkSession, path: str) -> DataFrame:
     return parse_ctags(spark.read.text(path).withColumnRenamed("value", "line"), [])
 
 
+RELATED = "Related_Weaknesses struct<Related_Weakness:array<struct<_Nature:string,_CWE_ID:int,_View_ID:int>>>"
+HAS_MEMBER = "struct<Has_Member:array<struct<_Nature:string,_CWE_ID:int,_View_ID:int>>>"
+CATALOG = {"Weakness": f"_ID int, _Name string, {RELATED}", "Category": f"_ID int, _Name string, Relationships {HAS_MEMBER}", "View": f"_ID int, _Name string, Members {HAS_MEMBER}"}
+
+
 def read_cwe_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """weaknesses(cwe, name, kind), parents(child, parent, nature, view_id, ord), members(owner, member, view_id, ord)."""
-    load = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
-    related = "Related_Weaknesses struct<Related_Weakness:array<struct<_Nature:string,_CWE_ID:int,_View_ID:int>>>"
-    member = "struct<Has_Member:array<struct<_CWE_ID:int,_View_ID:int>>>"
-    weaknesses = load("Weakness", f"_ID int, _Name string, {related}")
-    categories = load("Category", f"_ID int, _Name string, Relationships {member}")
-    views = load("View", f"_ID int, _Name string, Members {member}")
-    names = weaknesses.select(F.col("_ID").alias("cwe"), F.col("_Name").alias("name"), F.lit("weakness").alias("kind"))
-    for rows, kind in ((categories, "category"), (views, "view")):
-        names = names.union(rows.select("_ID", "_Name", F.lit(kind)))
-    edges = weaknesses.select(F.col("_ID").alias("child"), F.posexplode("Related_Weaknesses.Related_Weakness").alias("ord", "r"))
-    parents = edges.where("r._Nature = 'ChildOf'").select("child", F.col("r._CWE_ID").alias("parent"), F.col("r._Nature").alias("nature"), F.col("r._View_ID").alias("view_id"), "ord")
-    members = [rows.select(F.col("_ID").alias("owner"), F.posexplode(f"{field}.Has_Member").alias("ord", "m")) for rows, field in ((categories, "Relationships"), (views, "Members"))]
-    members = members[0].union(members[1]).select("owner", F.col("m._CWE_ID").alias("member"), F.col("m._View_ID").alias("view_id"), "ord")
-    return {"weaknesses": names.where("cwe is not null"), "parents": parents, "members": members}
+    """catalog_tables of the XML files under path."""
+    return catalog_tables({tag: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path) for tag, schema in CATALOG.items()})
+
+
+def parse_cwe_catalog(raw: DataFrame) -> dict[str, DataFrame]:
+    """catalog_tables of XML texts in the column raw."""
+    element = lambda tag: F.lit(rf'(?s)<{tag}\s(?:[^>"]|"[^"]*")*?(?:/>|>.*?</{tag}>)')
+    found = {tag: raw.select(F.explode(F.regexp_extract_all("raw", element(tag), F.lit(0))).alias("x")) for tag in CATALOG}
+    return catalog_tables({tag: rows.select(F.from_xml("x", CATALOG[tag]).alias("e")).select("e.*") for tag, rows in found.items()})
+
+
+def catalog_tables(elements: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """weaknesses(cwe, name, kind), parents(child, parent, nature, view_id, ord), members(owner, member, view_id, ord).
+
+    Parents are the ChildOf links of weaknesses, and those among the members of categories; ord is the place in the list.
+    """
+    kinds = {"Weakness": ("weakness", "Related_Weaknesses.Related_Weakness"), "Category": ("category", "Relationships.Has_Member"), "View": ("view", "Members.Has_Member")}
+    names = [elements[tag].select(F.col("_ID").alias("cwe"), F.col("_Name").alias("name"), F.lit(kind).alias("kind")) for tag, (kind, _) in kinds.items()]
+    links = {tag: elements[tag].select(F.col("_ID").alias("id"), F.posexplode(field).alias("ord", "r")) for tag, (_, field) in kinds.items()}
+    parents = links["Weakness"].union(links["Category"]).where("r._Nature = 'ChildOf'")
+    members = links["Category"].union(links["View"])
+    return {
+        "weaknesses": reduce(DataFrame.union, names).where("cwe is not null"),
+        "parents": parents.select(F.col("id").alias("child"), F.col("r._CWE_ID").alias("parent"), F.col("r._Nature").alias("nature"), F.col("r._View_ID").alias("view_id"), "ord"),
+        "members": members.select(F.col("id").alias("owner"), F.col("r._CWE_ID").alias("member"), F.col("r._View_ID").alias("view_id"), "ord"),
+    }
 
 
 def kernel_taxonomy(rows: DataFrame) -> DataFrame:

@@ -11,9 +11,12 @@ def write_reports(reports: DataFrame, path: str) -> None:
     reports.write.mode("overwrite").partitionBy("class_name", "project").json(path)
 
 
-def write_clusters(clusters: DataFrame, path: str) -> None:
-    """One folder per class, project and rule; which rules are empty is read from rule_totals, not from empty files."""
-    clusters.write.mode("overwrite").partitionBy("class_name", "project", "rule").json(path)
+def write_clusters(clusters: DataFrame, path: str, projects: DataFrame, rules: list[str]) -> None:
+    """One file per class, project and rule, a cluster on each line; a rule without clusters has one with an empty object."""
+    key = ["class_name", "project", "rule"]
+    wanted = projects.select(*key[:2]).distinct().withColumn("rule", F.explode(F.array(*map(F.lit, rules))))
+    rows = wanted.join(clusters, key, "left").repartition(*key).sortWithinPartitions(*key, "cluster_id")
+    rows.write.mode("overwrite").partitionBy(*key).json(path)
 
 
 def rule_totals(projects: DataFrame, clusters: DataFrame, rules: list[str]) -> DataFrame:

@@ -1,28 +1,37 @@
-"""Fresh findings as a stream: each micro-batch replaces the rows of the tools that ran again."""
+"""Fresh runs as a stream: each run replaces what its tool found in the project before."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyvane.operators.audit import merge_runs
-
-FINDING = "class_name string, project string, tool string, filename string, line int, cwe string, rule string, message string"
+RUN = """class_name string, project string, tool string, sequence bigint,
+ findings array<struct<filename:string,line:int,cwe:string,rule:string,message:string>>"""
+KEY = ["class_name", "project", "tool"]
 
 
 def merge_stream(spark: SparkSession, incoming: str, store: str, checkpoint: str) -> StreamingQuery:
-    """Follow a folder of finding files (JSON lines) and keep the merged state in versions of a Parquet store.
+    """Follow a folder of run files (JSON lines, a completed run on each) and add them to a Parquet store.
 
-    A batch writes store/v=<batch>, from the version before it, so a repeated batch writes the same version again.
+    A batch writes its own runs and findings under store/runs/v=<batch> and store/findings/v=<batch> and reads nothing, so
+    its work does not grow with the store, and a repeated batch writes the same files again. Of several runs of one tool
+    and project in a batch, the one with the largest sequence counts.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        fresh = batch.persist()
+        last = batch.groupBy(*KEY).agg(F.max_by("findings", F.coalesce("sequence", F.lit(0))).alias("findings")).persist()
         try:
-            old = spark.read.schema(FINDING).parquet(f"{store}/v={number - 1}") if number else spark.createDataFrame([], FINDING)
-            merge_runs(old, fresh, fresh).write.mode("overwrite").parquet(f"{store}/v={number}")
+            last.select(*KEY).write.mode("overwrite").parquet(f"{store}/runs/v={number}")
+            last.select(*KEY, F.explode("findings").alias("x")).select(*KEY, "x.*").write.mode("overwrite").parquet(f"{store}/findings/v={number}")
         finally:
-            fresh.unpersist()
+            last.unpersist()
 
-    stream = spark.readStream.schema(FINDING).json(incoming)
+    stream = spark.readStream.schema(RUN).json(incoming)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_findings(spark: SparkSession, store: str) -> DataFrame:
+    """The findings of each tool's latest run in each project; a run without findings has cleared the earlier ones."""
+    latest = spark.read.parquet(f"{store}/runs").groupBy(*KEY).agg(F.max("v").alias("v"))
+    return spark.read.parquet(f"{store}/findings").join(latest, [*KEY, "v"], "left_semi").drop("v")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 
 from tallyvane.operators import audit, clusters, density, hierarchy, stats, vote
 from tallyvane.plans.fixtures import Tables
-from tallyvane.streaming.reports import merge_stream
+from tallyvane.streaming.reports import current_findings, merge_stream
 
 FINDING = "class_name string, project string, tool string, filename string, line int, cwe string, rule string, finding_idx long"
 SPAN = "class_name string, project string, filename string, name string, scope string, start_line int, end_line int"
@@ -163,17 +164,96 @@ def test_benjamini_yekutieli(spark):
     assert got == pytest.approx({"c0": 0.004 * h, "c1": 0.08 * h / 3, "c2": 0.08 * h / 3, "c3": 1.0})
 
 
-def test_stream_replay_equals_batch(spark, tmp_path):
+def test_ranks_go_on_across_ranges(spark):
+    rng = np.random.default_rng(4)
+    p = np.round(rng.random(500) ** 2, 2)
+    rows = spark.createDataFrame([(f"c{k:03d}", float(v), "x") for k, v in enumerate(p)], "cwe string, p double, q0 string").repartition(7)
+    got = {r["cwe"]: r["q"] for r in stats.benjamini_yekutieli(rows).collect()}
+    order = sorted(range(500), key=lambda k: (p[k], k))
+    h, best, want = sum(1 / k for k in range(1, 501)), 1.0, {}
+    for rank in range(500, 0, -1):
+        k = order[rank - 1]
+        want[f"c{k:03d}"] = best = min(best, p[k] * h * 500 / rank)
+    assert got == pytest.approx(want)
+    assert stats.benjamini_yekutieli(rows.limit(0)).count() == 0
+
+
+def slow_tau(x, y):
+    sx, sy = (np.sign(v[:, None] - v[None, :]) for v in (x, y))
+    scale = np.sqrt(float((sx != 0).sum()) * float((sy != 0).sum()))
+    return float((sx * sy).sum()) / scale if scale else np.nan
+
+
+def test_tau_matches_all_pairs():
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 5, 20, 70):
+        for top in (1, 3, 1000):
+            x, y = rng.integers(0, top, n).astype(float), rng.integers(0, top, n).astype(float)
+            assert stats.tau_b(x, y) == pytest.approx(slow_tau(x, y), nan_ok=True)
+
+
+def test_intervals_match_plain_loops(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 20, 25).astype(float), rng.integers(0, 5, 25).astype(float)
+    names = sorted(f"p{k}" for k in range(25))
+    table = spark.createDataFrame([("k", n, float(a), float(b)) for n, a, b in zip(names, x, y)], "class_name string, project string, x double, y double")
+    got = stats.kendall_intervals(table, ["class_name"], "x", "y", "project", draws=300, block=70).first()
+    draw, taus = np.random.default_rng(42), []
+    for _ in range(300):
+        at = draw.integers(0, 25, size=25)
+        taus.append(slow_tau(x[at], y[at]))
+    low, high = np.percentile(np.array(taus)[~np.isnan(taus)], [2.5, 97.5])
+    assert (got["tau"], got["low"], got["high"]) == pytest.approx((slow_tau(x, y), low, high))
+
+    kernel, application = rng.integers(0, 4, 7).astype(float), rng.integers(0, 4, 18).astype(float)
+    shares = [("c", f"p{k:02d}", "kernel" if k < 7 else "application", float(v)) for k, v in enumerate([*kernel, *application])]
+    shares = spark.createDataFrame(shares, "cwe string, project string, class_name string, share double")
+    draw, ps, deltas = np.random.default_rng(42), [], []
+    for _ in range(200):
+        a, b = kernel[draw.integers(0, 7, size=7)], application[draw.integers(0, 18, size=18)]
+        u = sum((v > w) + 0.5 * (v == w) for v in a for w in b)
+        ties = np.unique([*a, *b], return_counts=True)[1].astype(float)
+        spread = math.sqrt(7 * 18 / 12 * (26 - (ties**3 - ties).sum() / (25 * 24)))
+        ps.append(min(1.0, math.erfc((abs(u - 63) - 0.5) / spread / math.sqrt(2))) if spread else 1.0)
+        deltas.append(2 * u / 126 - 1)
+    got = stats.bootstrap_exact_parity(shares, "cwe", draws=200).first()
+    assert [got[c] for c in ("p_low", "p_high", "delta_low", "delta_high")] == pytest.approx([*np.percentile(ps, [2.5, 97.5]), *np.percentile(deltas, [2.5, 97.5])])
+    near = stats.bootstrap_mann_whitney(shares, "cwe", draws=400).first()
+    assert abs(near["delta_low"] - got["delta_low"]) < 0.2 and abs(near["delta_high"] - got["delta_high"]) < 0.2
+
+
+def test_hot_file_and_long_chains_have_one_label(spark):
+    """Findings of one file in a chain of lines and functions; every label is the first finding's."""
+    n = 400
+    rows = [("k", "p", "abcd"[k % 2], "a.c", k // 2, "CWE-100", "r", k, f"f{(k + 1) // 2}") for k in range(n)]
+    placed = spark.createDataFrame(rows, FINDING + ", function string")
+    got = {r["finding_idx"]: r["label"] for r in vote.components(placed, vote.agreement_hubs(placed, None)).collect()}
+    assert got == dict.fromkeys(range(n), 0)
+
+
+def test_selections(spark):
+    rows = spark.createDataFrame([("zoo", "codeql"), ("application", "ikos"), ("Beta", "codeql"), ("kernel", "semgrep")], "class_name string, tool string")
+    assert [r["class_name"] for r in audit.classes(rows).orderBy("place").collect()] == ["kernel", "application", "Beta", "zoo"]
+    assert audit.select_classes(rows).count() == 4 and audit.select_classes(rows, ["zoo"]).count() == 1
+    assert audit.select_tools(rows, ["codeql"]).count() == 2
+
+
+def test_stream_keeps_the_latest_runs(spark, tmp_path):
     incoming = tmp_path / "in"
     incoming.mkdir()
-    row = lambda tool, line: json.dumps({"class_name": "k", "project": "a", "tool": tool, "filename": "f", "line": line, "cwe": None, "rule": "r", "message": "m"})
-    for k, lines in enumerate([[row("codeql", 1), row("semgrep", 2)], [row("codeql", 3)]]):
+
+    def run(tool, sequence, *lines):
+        found = [{"filename": "f", "line": n, "cwe": None, "rule": "r", "message": "m"} for n in lines]
+        return json.dumps({"class_name": "k", "project": "a", "tool": tool, "sequence": sequence, "findings": found})
+
+    batches = [[run("codeql", 1, 1), run("semgrep", 1, 2, 5), run("cppcheck", 1, 7)], [run("codeql", 2, 3), run("codeql", 3, 4), run("semgrep", 2)]]
+    for k, lines in enumerate(batches):
         (incoming / f"{k}.json").write_text("\n".join(lines))
         query = merge_stream(spark, str(incoming), str(tmp_path / "store"), str(tmp_path / "check"))
         query.awaitTermination(120)
         assert query.exception() is None
-    got = spark.read.parquet(str(tmp_path / "store" / "v=1")).collect()
-    assert sorted((r["tool"], r["line"]) for r in got) == [("codeql", 3), ("semgrep", 2)]
+    got = current_findings(spark, str(tmp_path / "store")).collect()
+    assert sorted((r["tool"], r["line"]) for r in got) == [("codeql", 4), ("cppcheck", 7)]
 
 
 def test_registered_bootstraps_run_all_draws(spark, monkeypatch):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyvane.functions import findings as fn
+from tallyvane.operators import corpus
 from tallyvane.sources import analyzers, documents, sinks
 
 KEYS = ["class_name", "project"]
@@ -60,6 +61,16 @@ def test_ikos(spark):
     assert got == [("a.c", 12, "CWE-369", "division-by-zero", "IKOS finding: division-by-zero"), ("b.c", 3, "CWE-415", "free", "mm"), (None, None, None, "ikos.unknown", "IKOS finding: ikos.unknown")]
 
 
+def test_ikos_takes_repeated_and_missing_ids(spark):
+    checks = [{"status": 1, "check": 4, "statement_id": k} for k in (9, 8, 7)] + [{"status": 1, "check": 4, "location": {"file": "own.c", "line": 4}}]
+    doc = {"files": [{"id": 1, "path": "old.c"}, {"path": "none.c"}, {"id": 1, "path": "new.c"}], "checks": checks,
+           "statements": [{"id": 9, "file_id": 1, "line": 1}, {"file_id": 1, "line": 2}, {"id": 9, "file_id": 1, "line": 3}, {"id": 8, "file_id": 5, "line": 6}]}
+    got = rows(analyzers.parse_ikos(raw(spark, json.dumps(doc), "", "{bad", None), KEYS))
+    assert [g[:2] for g in got] == [("new.c", 3), (None, 6), (None, None), ("own.c", 4)]
+    two = analyzers.parse_ikos(raw(spark, json.dumps(doc), json.dumps(doc | {"files": []})).withColumn("project", F.lit(None).cast("string")), KEYS)
+    assert sorted(str(r["filename"]) for r in two.collect()) == ["None"] * 5 + ["new.c", "own.c", "own.c"]
+
+
 def test_output_folders(spark, tmp_path):
     (tmp_path / "kernel" / "p1" / "semgrep").mkdir(parents=True)
     (tmp_path / "kernel" / "p1" / "semgrep" / "stdout.json").write_text('{"results": []}\n')
@@ -78,7 +89,11 @@ def test_scalar_functions(spark):
     assert [path(x) for x in given] == ["src/b.c", "x.c", "src/a.c", "c.c", "d.c", "", "../../e.c", "", "foo/x.c"]
     assert one("Owner/Repo-src", fn.name_candidates) == ["owner/repo-src", "repo-src", "owner", "repo"]
     code = 'a = "//no"; // yes\nb = \'"\'; /* x\ny */ c /* open'
-    assert one(code, fn.strip_comments) == 'a = "//no";  \nb = \'"\';   c  '
+    assert one(code, fn.strip_comments) == 'a = "//no";  \nb = \'"\';   c /* open'
+    for text, want in (("int a; /* open\nint b;", "int a; /* open\nint b;"), ("#error don't\nx; // c\ny = 'z';", "#error don't\nx; // c\ny = 'z';"), ('s = "a\n// b";', 's = "a\n// b";')):
+        assert one(text, fn.strip_comments) == want
+    strange = spark.createDataFrame([("a /\u00e9/ b\n \n\nc",)], "text string")
+    assert corpus.clean_code(strange).first()[0] == "a  \nc"
     assert one(" a\n \n\n b\n", fn.collapse_blank_lines) == "a\n b"
     assert one("é{x", lambda c: fn.payload(c, "{")) == "{x" and one("none", lambda c: fn.payload(c, "{")) is None
 
@@ -111,16 +126,17 @@ def test_documents(spark, tmp_path):
 CATALOG = """<Weakness_Catalog><Weaknesses>
 <Weakness ID="110" Name="Child"><Related_Weaknesses><Related_Weakness Nature="ChildOf" CWE_ID="100" View_ID="1000"/><Related_Weakness Nature="PeerOf" CWE_ID="5" View_ID="1000"/></Related_Weaknesses></Weakness>
 <Weakness ID="100" Name="Top"/></Weaknesses>
-<Categories><Category ID="7" Name="Cat"><Relationships><Has_Member CWE_ID="110" View_ID="699"/></Relationships></Category></Categories>
+<Categories><Category ID="7" Name="Cat"><Relationships><Has_Member CWE_ID="110" View_ID="699"/><Has_Member Nature="ChildOf" CWE_ID="9" View_ID="699"/></Relationships></Category></Categories>
 <Views><View ID="1000" Name="View"><Members><Has_Member CWE_ID="100" View_ID="1000"/></Members></View></Views></Weakness_Catalog>"""
 
 
 def test_cwe_catalog(spark, tmp_path):
     (tmp_path / "cwe.xml").write_text(CATALOG)
-    tables = documents.read_cwe_catalog(spark, str(tmp_path / "cwe.xml"))
-    assert sorted(tuple(r) for r in tables["weaknesses"].collect()) == [(7, "Cat", "category"), (100, "Top", "weakness"), (110, "Child", "weakness"), (1000, "View", "view")]
-    assert [tuple(r) for r in tables["parents"].collect()] == [(110, 100, "ChildOf", 1000, 0)]
-    assert sorted(tuple(r) for r in tables["members"].collect()) == [(7, 110, 699, 0), (1000, 100, 1000, 0)]
+    text = spark.createDataFrame([(CATALOG,), ("",), (None,), ("<Weakness",)], "raw string")
+    for tables in (documents.read_cwe_catalog(spark, str(tmp_path / "cwe.xml")), documents.parse_cwe_catalog(text)):
+        assert sorted(tuple(r) for r in tables["weaknesses"].collect()) == [(7, "Cat", "category"), (100, "Top", "weakness"), (110, "Child", "weakness"), (1000, "View", "view")]
+        assert sorted(tuple(r) for r in tables["parents"].collect()) == [(7, 9, "ChildOf", 699, 1), (110, 100, "ChildOf", 1000, 0)]
+        assert sorted(tuple(r) for r in tables["members"].collect()) == [(7, 9, 699, 1), (7, 110, 699, 0), (1000, 100, 1000, 0)]
 
 
 def test_taxonomy(spark):
@@ -132,8 +148,11 @@ def test_taxonomy(spark):
 
 def test_sinks(spark, tmp_path):
     found = spark.createDataFrame([("kernel", "a", "two_out_of_four", 1.25, None)], "class_name string, project string, rule string, v double, w string")
-    sinks.write_clusters(found, str(tmp_path / "c"))
-    assert (tmp_path / "c" / "class_name=kernel" / "project=a" / "rule=two_out_of_four").is_dir()
+    clusters = spark.createDataFrame([("kernel", "a", "two_out_of_four", 1, [("t", "f.c", 3)]), ("kernel", "a", "two_out_of_four", 2, [])], "class_name string, project string, rule string, cluster_id int, findings array<struct<tool:string,filename:string,line:int>>")
+    sinks.write_clusters(clusters, str(tmp_path / "c"), found, ["two_out_of_four", "four_out_of_four"])
+    assert (tmp_path / "c" / "class_name=kernel" / "project=a" / "rule=four_out_of_four").is_dir()
+    back = documents.read_clusters(spark, str(tmp_path / "c")).orderBy("rule", "cluster_id").collect()
+    assert [(r["rule"], r["cluster_id"], r["findings"] and r["findings"][0]["line"]) for r in back] == [("four_out_of_four", None, None), ("two_out_of_four", 1, 3), ("two_out_of_four", 2, [])]
     sinks.write_table(found, str(tmp_path / "t"))
     assert {line for f in (tmp_path / "t").glob("*.csv") for line in f.read_text().splitlines()} == {"class_name,project,rule,v,w", "kernel,a,two_out_of_four,1.25,"}
     totals = sinks.rule_totals(found, found, ["one_out_of_four", "two_out_of_four"]).collect()
