@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyvane.session import cut, shared_folder
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named (tests)."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints"))
+__all__ = ["cut", "ensure_checkpoint_dir", "fold", "without"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the folder that the cluster names in spark.checkpoint.dir."""
+    shared_folder(spark)
 
 
 def fold(id_col: str, modulus: int, remainder: int) -> Column:

@@ -37,13 +37,13 @@ def tokenizer_paths() -> tuple[str, str]:
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2,
-                 tokenizer: tuple[str, str] | None = None, special: bool = False) -> DataFrame:
+                 tokenizer: tuple[str, str] | None = None, special: bool = True) -> DataFrame:
     """Tokenise each whole text, append end_id, and cut documents of more than capacity ids into pieces.
 
     The remainder is the first piece, all later ones are full. Null text is an empty one: a single piece [end_id].
     The rank file gives the same ids as the JSON file of that vocabulary, several times faster (a test compares them).
-    With `special`, the added token of the JSON file gets its own id wherever texts hold it, as tokenizers does with that
-    file; without, text that looks like it is ordinary text.
+    The added token of the JSON file gets its own id wherever texts hold it, as tokenizers does with that file; without
+    `special`, text that looks like it is ordinary text. Rows without an id keep a null one; other columns are left out.
     """
     ranks_path, pattern = tokenizer or tokenizer_paths()
 
@@ -122,7 +122,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     for row in lengths.collect():
         counts[row["length"]] = row["n"]
     groups = lengths.select("length", F.ceil(F.col("n") / F.greatest(F.lit(500.0), F.sqrt("n"))).alias("groups"))
-    salted = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), "groups")).drop("groups")
+    salted = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "groups")).drop("groups")
     cells = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -159,6 +159,10 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 
 
 def best_fit_pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: tuple[str, str] | None = None,
-                  id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
-    """Tokenise, cut and pack whole documents; see token_pieces and pack. Repeated rows are packed as often as they occur."""
+                  id_col: str = "doc_id", text_col: str = "text", special: bool = True) -> DataFrame:
+    """Tokenise, cut and pack whole documents; see token_pieces and pack.
+
+    Null texts are empty ones, texts of any length are cut into pieces, repeated rows are packed as often as they occur,
+    ties go by hash, extra columns, whatever their names, are left out, and an empty table gives an empty result.
+    """
     return pack(token_pieces(docs, id_col, text_col, capacity, end_id, tokenizer, special), capacity)

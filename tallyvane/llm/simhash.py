@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyvane.llm._common import cut
-from tallyvane.llm.graph import connected_components
+from tallyvane.operators.graph import connected_components
 
 BITS = 64
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -33,26 +33,41 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter((digest(s, 42) for s in shingles), "<u8")
 
 
-def simhash(text: str | None, width: int = 3) -> int:
-    """The 64-bit fingerprint of one whole text: bit b is 1 if it is set in over half of its shingles' XXH64 values."""
-    hashes = shingle_hashes(text, width)
-    if not len(hashes):
-        return 0
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero without any."""
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 8192):
         ones += np.unpackbits(hashes[k : k + 8192].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.uint32)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per input row, fp the fingerprint's bits as a signed long. Null or wordless text has fp 0."""
+def simhash(text: str | None, width: int = 3) -> int:
+    """The 64-bit fingerprint of one whole text: bit b is 1 if it is set in over half of its shingles' XXH64 values."""
+    return _majority(shingle_hashes(text, width))
+
+
+def second_word(hashes: np.ndarray) -> int:
+    """64 more bits of a fingerprint, from the same shingles by other bits of their hashes."""
+    mixed = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0x9FB21C651E98DF25)
+    return _majority(mixed ^ mixed >> np.uint64(28))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1) -> DataFrame:
+    """(doc_id, fp): one row per input row, fp the fingerprint's bits as a signed long. Null or wordless text has fp 0.
+
+    With two words, fp2 holds 64 further bits.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = np.array([simhash(t, width) for t in batch["text"].array], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.view(np.int64)})
+            hashes = [shingle_hashes(t, width) for t in batch["text"].array]
+            out = {"doc_id": batch["doc_id"], "fp": np.array([*map(_majority, hashes)], dtype=np.uint64).view(np.int64)}
+            if words == 2:
+                out["fp2"] = np.array([*map(second_word, hashes)], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame(out)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + ", fp2 long" * (words == 2)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
 
 def _bit_moments(unique: DataFrame) -> tuple[int, np.ndarray]:
@@ -146,8 +161,11 @@ def _spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[label[rest]]
 
 
-def _links(keys: np.ndarray, fps: np.ndarray, reps: np.ndarray, probe: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of the pairs within the radius, among rows of equal key (rows are sorted by key)."""
+def _links(keys: np.ndarray, fps: np.ndarray, reps: np.ndarray, probe: np.ndarray, radius: int, more: np.ndarray | None = None, both: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges of the pairs within the radius, among rows of equal key (rows are sorted by key).
+
+    With second words in `more`, the bits that differ in both words together must be at most `both`.
+    """
     us, vs, held = [], [], 0
     at, step = np.arange(len(keys)), 1
     while True:
@@ -156,7 +174,10 @@ def _links(keys: np.ndarray, fps: np.ndarray, reps: np.ndarray, probe: np.ndarra
         if not len(at):
             break
         other = at + step
-        hit = (np.bitwise_count(fps[at] ^ fps[other]) <= radius) & (fps[at] != fps[other]) & ~(probe[at] & probe[other])
+        far = np.bitwise_count(fps[at] ^ fps[other])
+        hit = (far <= radius) & (reps[at] != reps[other]) & ~(probe[at] & probe[other])
+        if more is not None:
+            hit[hit] = far[hit] + np.bitwise_count(more[at[hit]] ^ more[other[hit]]) <= both
         us.append(reps[at[hit]])
         vs.append(reps[other[hit]])
         held += int(hit.sum())
@@ -167,14 +188,16 @@ def _links(keys: np.ndarray, fps: np.ndarray, reps: np.ndarray, probe: np.ndarra
     return _spanning(np.concatenate([np.empty(0, np.int64), *us]), np.concatenate([np.empty(0, np.int64), *vs]))
 
 
-def near_links(unique: DataFrame, radius: int = 3, block: int = 2048) -> DataFrame:
+def near_links(unique: DataFrame, radius: int = 3, block: int = 2048, total: int | None = None) -> DataFrame:
     """Edges (u, v) between representatives that connect all fingerprints within the radius of each other.
 
-    unique: (fp, rep), each fp once. Each part's value is a key; data rows carry it as it is, probe rows carry the values
+    unique: (fp, rep), each rep once. Each part's value is a key; data rows carry it as it is, probe rows carry the values
     within the part's threshold (from the smaller value only). A key with more than `block` rows is split into blocks,
     and each two of its blocks meet in one group, so that no task holds more than two blocks of a key. Every pair is
-    verified, and a group returns at most one edge per row.
+    verified, and a group returns at most one edge per row. With a total, unique has fp2 as well, and a pair is verified by
+    it too: at most `total` bits of both words may differ.
     """
+    extra = [] if total is None else ["fp2"]
     n, both = _bit_moments(unique)
     if n < 2:
         return unique.sparkSession.createDataFrame([], "u long, v long")
@@ -188,14 +211,14 @@ def near_links(unique: DataFrame, radius: int = 3, block: int = 2048) -> DataFra
                 for j, b in enumerate(bits):
                     own |= (fps >> np.uint64(b) & np.uint64(1)) << np.uint64(j)
                 top = np.uint64(part << 56)
-                yield pd.DataFrame({"key": (own | top).view(np.int64), "fp": fps.view(np.int64), "rep": reps, "probe": False})
+                yield pd.DataFrame({"key": (own | top).view(np.int64), "fp": fps.view(np.int64), "rep": reps, "probe": False} | {c: batch[c] for c in extra})
                 for e in range(1, t + 1):
                     for flips in combinations(range(len(bits)), e):
                         other = own ^ np.uint64(sum(1 << j for j in flips))
                         go = other > own
-                        yield pd.DataFrame({"key": (other[go] | top).view(np.int64), "fp": fps[go].view(np.int64), "rep": reps[go], "probe": True})
+                        yield pd.DataFrame({"key": (other[go] | top).view(np.int64), "fp": fps[go].view(np.int64), "rep": reps[go], "probe": True} | {c: batch[c].to_numpy()[go] for c in extra})
 
-    rows = unique.mapInPandas(emit, "key long, fp long, rep long, probe boolean")
+    rows = unique.mapInPandas(emit, "key long, fp long, rep long, probe boolean" + ", fp2 long" * len(extra))
     hot = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     if (large := hot.count()) == 0:
         rows = rows.withColumn("pair", F.lit(0))
@@ -219,7 +242,8 @@ def near_links(unique: DataFrame, radius: int = 3, block: int = 2048) -> DataFra
     def found(rows: pd.DataFrame) -> pd.DataFrame:
         key, pair = rows["key"].to_numpy(), rows["pair"].to_numpy()
         run = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))])
-        u, v = _links(run, rows["fp"].to_numpy().view(np.uint64), rows["rep"].to_numpy(), rows["probe"].to_numpy(), radius)
+        more = rows["fp2"].to_numpy().view(np.uint64) if extra else None
+        u, v = _links(run, rows["fp"].to_numpy().view(np.uint64), rows["rep"].to_numpy(), rows["probe"].to_numpy(), radius, more, total or 0)
         return pd.DataFrame({"u": u, "v": v})
 
     return rows.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInPandas(match, "u long, v long")
@@ -242,33 +266,47 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return marked.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For each of the sorted sets, the first one that links of at least this Jaccard similarity reach."""
-    sizes, label = np.array([len(s) for s in sets]), np.arange(len(sets))
-    for i, own in enumerate(sets):
-        least, most = np.minimum(sizes[i], sizes), np.maximum(sizes[i], sizes)
-        at = np.flatnonzero((label != label[i]) & (np.arange(len(sets)) > i) & (least > 0) & (least >= similarity * most))
-        if not len(at):
-            continue
-        every = np.concatenate([sets[j] for j in at])
-        place = np.minimum(np.searchsorted(own, every), len(own) - 1)
-        both = np.add.reduceat((own[place] == every).astype(np.int64), np.cumsum([0, *sizes[at][:-1]]))
-        joined = np.unique(np.append(label[at[both >= similarity * (sizes[i] + sizes[at] - both) - 1e-9]], label[i]))
-        label[np.isin(label, joined)] = joined[0]
+def alike(sets: list[np.ndarray], similarity: float, columns: int = 4096) -> np.ndarray:
+    """For each of the sorted sets, the first one that links of at least this Jaccard similarity reach.
+
+    Members that sets share are counted by products of their 0/1 matrix, `columns` members at a time.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    _, member, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    shared = times[member] > 1
+    order = np.argsort(place[member[shared]], kind="stable")
+    column, row = place[member[shared]][order], np.repeat(np.arange(n), sizes)[shared][order]
+    both = np.zeros((n, n), np.float32)
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        a, b = np.searchsorted(column, [first, first + columns])
+        part = np.zeros((n, columns), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        both += part @ part.T
+    near = (both >= similarity * (sizes[:, None] + sizes - both) - 1e-6) & (sizes > 0)
+    label = np.arange(n)
+    nodes, ends = _spanning(*np.nonzero(np.triu(near, 1)))
+    label[nodes] = ends
     return label
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 11, width: int = 5,
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 11, total: int = 30, width: int = 5,
                        similarity: float = 0.8, block: int = 512) -> DataFrame:
     """(doc_id, node, component_id) for each row of docs whose text links to another text; node is the hash of the text.
 
-    Candidates are the components of fingerprints within the radius. Inside each, two texts link if the Jaccard similarity
-    of their sets of shingles, all of them, is at least `similarity`; component_id is the smallest node that links reach.
-    A component with more than `block` texts is split into blocks, and each two of its blocks meet in one group.
+    Candidates are the components of fingerprints that differ in at most `radius` of their 64 bits and `total` of 128: the
+    second word keeps texts that have nothing in common from joining by chance, however many there are. Inside each, two
+    texts link if the Jaccard similarity of their sets of shingles, all of them, is at least `similarity`; component_id is
+    the smallest node that links reach. A component with more than `block` texts is split into blocks, and each two of its
+    blocks meet in one group. Null counts as empty text, texts without words link to none, repeated texts are one node, and
+    an empty table gives an empty result; other columns are left out.
     """
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    near = simhash_components(docs.select(node.alias("node"), text_col), "node", text_col, radius, width)
-    near = cut(near.select(F.col("doc_id").alias("node"), F.col("component_id").alias("near")).distinct())
+    marked = cut(fingerprints(docs.select(node.alias("node"), text_col), "node", text_col, width, 2).distinct())
+    unique = cut(marked.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep")))
+    found = connected_components(near_links(unique, radius, total=total))
+    classes = unique.join(found, unique["rep"] == found["node"], "left").select("fp", "fp2", F.coalesce("component", "rep").alias("near"))
+    near = cut(marked.join(classes, ["fp", "fp2"]).select(F.col("doc_id").alias("node"), "near"))
     sizes = near.groupBy("near").agg(F.count("*").alias("n")).where("n > 1").select("near", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     members = cut(near.join(sizes, "near"))
     few = members.limit(200_001).count() <= 200_000

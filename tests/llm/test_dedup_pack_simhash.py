@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from tallyvane.llm import exact_dedup, graph, packing, simhash
+from tallyvane.llm import exact_dedup, packing, simhash
 from tallyvane.llm._common import without
+from tallyvane.operators import graph
 
 
 def as_dict(df, key="doc_id"):
@@ -88,7 +89,6 @@ def test_packing_round_trip(make_docs, odd_rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = [(k, t, lang) for k, (_, t, lang) in enumerate(odd_rows)] + [(50, "<|endoftext|> it's 1,234\n\n  x", "en")]
     got = defaultdict(list)
     for r in packing.best_fit_pack(make_docs(rows), capacity=64).collect():
@@ -207,3 +207,52 @@ def test_packing_gives_the_added_token_its_id(spark, make_docs, tmp_path):
     for k, text in enumerate(texts):
         ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
         assert (got[k]["length"], got[k]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def brute_classes(sets, similarity):
+    """The smallest index that links of at least this Jaccard similarity reach, by all pairs."""
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and len(a & sets[j]) >= similarity * len(a | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("columns", [7, 4096])
+def test_alike_matches_all_pairs(columns):
+    rng = random.Random(8)
+    sets = []
+    for _ in range(60):
+        base = set(rng.sample(range(400), rng.randint(1, 40)))
+        sets += [base, {x if rng.random() > 0.08 else 1000 + rng.randrange(50) for x in base}]
+    sets += [set(), set(), sets[0]]
+    got = simhash.alike([np.array(sorted(s), "<u8") for s in sets], 0.8, columns)
+    assert got.tolist() == brute_classes(sets, 0.8)
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_similar_components_match_all_pairs(spark, make_docs, odd_rows, block):
+    """Near copies of near copies: classes are those of all pairs, whatever the size of the blocks."""
+    rng, rows = random.Random(9), []
+    for k in range(6):
+        words = [f"w{rng.randrange(3000)}" for _ in range(120)]
+        for j in range(20):
+            rows.append((100 * k + j, " ".join(words), "en"))
+            words = list(words)
+            words[rng.randrange(120)] = f"new{k}_{j}"
+    rows += [(1000 + k, t, lang) for k, (_, t, lang) in enumerate(odd_rows)]
+    words = [(t or "").lower().split() for _, t, _ in rows]
+    sets = [{tuple(w[n : n + 5]) for n in range(max(1, len(w) - 4))} - {()} for w in words]
+    texts = {}
+    want = defaultdict(set)
+    for (i, t, _), label in zip(rows, brute_classes(sets, 0.8)):
+        texts[i] = t
+        want[label].add(t or "")
+    got = defaultdict(set)
+    found = simhash.similar_components(make_docs(rows), block=block).collect()
+    for r in found:
+        got[r["component_id"]].add(texts[r["doc_id"]] or "")
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    assert simhash.similar_components(make_docs([])).count() == 0

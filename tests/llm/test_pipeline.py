@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 from collections import defaultdict
 
@@ -12,7 +13,7 @@ from tallyvane.llm import mixing, packing
 from tallyvane.llm.labelled import labelled_rows
 from tallyvane.llm.queries import labelled_domain
 
-from test_dedup_pack_simhash import brute_components, brute_fingerprint
+from test_dedup_pack_simhash import brute_classes
 
 
 @pytest.fixture
@@ -45,8 +46,9 @@ def test_run_matches_brute_force(spark, folder):
     for i, t in kept.items():
         groups[t].append(i)
     kept = {max(g): t for t, g in groups.items()}
-    classes = brute_components({i: brute_fingerprint(t) for i, t in kept.items()})
-    kept = {i: t for i, t in kept.items() if classes[i] == i}
+    ids, words = sorted(kept), {i: t.lower().split() for i, t in kept.items()}
+    label = brute_classes([{tuple(words[i][n : n + 5]) for n in range(max(1, len(words[i]) - 4))} for i in ids], 0.8)
+    kept = {i: kept[i] for n, i in enumerate(ids) if label[n] == n}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name in ("language_id", "exact_dedup", "simhash_near_dedup"):
         before = docs
@@ -69,12 +71,16 @@ def test_run_matches_brute_force(spark, folder):
 
 
 def test_stages_take_odd_and_empty_tables(spark, folder):
+    """Null ids and texts, repeated rows, an empty table, and extra columns with names that the operators use."""
     sf_dir, _ = folder
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     odd = docs.where("doc_id >= 600").unionByName(docs.limit(1).select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("string").alias("lang"), "source", "n_chars"))
-    for rows in (docs.limit(0), odd, odd.union(odd)):
+    clash = docs.limit(20).withColumns({c: F.lit(7) for c in ("rate", "node", "fp", "component_id", "keep_id", "text_sha256", "near", "tokens", "k", "group_size", "kept", "words", "piece")})
+    for rows in (docs.limit(0), odd, odd.union(odd), clash):
         for name, f in corpus_pipeline.STAGES:
-            f(spark, rows, sf_dir).collect()
+            out = f(spark, rows, sf_dir)
+            assert name == "best_fit_packing" or out.columns == rows.columns
+            out.collect()
 
 
 def test_rates_match_dense_projected_gradient(spark):
@@ -109,3 +115,38 @@ def test_near_stage_links_five_word_jaccard(spark, tmp_path):
     rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in stage("simhash_near_dedup")(spark, docs, "").collect()} == expected
+
+
+def test_posteriors_match_brute_force(spark, make_docs):
+    """Normal densities of the figures, computed here from the texts by other means."""
+    rng = random.Random(14)
+    kinds = {"a": ["river", "house", "over"], "b": ["BUY", "now!!", "2024", "cheap$"]}
+    rows = [(k, " ".join(rng.choice(kinds["ab"[k % 2]] + ["the", "of"]) for _ in range(rng.randint(1, 30))), "en") for k in range(80)] + [(90, None, "en"), (91, "", "en"), (92, "!!! ...", "en")]
+    labelled = [(t, "ab"[k % 2]) for k, t, _ in rows[:50]]
+    table = spark.createDataFrame(labelled, "text string, domain string")
+    lists = mixing.telling_words(table, ["a", "b"])
+    stops = set(" " + mixing.STOPS + mixing.MARKS)
+
+    def figures(text):
+        words = "".join(" " if c in stops else c for c in text.lower()).split()
+        share = lambda test: sum(map(test, text)) / max(len(text), 1)
+        shares = [share(lambda c: "A" <= c <= "Z"), share(lambda c: c in mixing.MARKS), share(lambda c: "0" <= c <= "9")]
+        return len(words), [math.log1p(len(words)), *shares, len(set(words)) / max(len(words), 1), *(math.log1p(len(set(words) & set(ws))) for ws in lists)]
+
+    known = {d: np.array([figures(t)[1] for t, x in labelled if x == d]) for d in "ab"}
+    got = {r["doc_id"]: r for r in mixing.domain_posteriors(make_docs(rows), table, ["a", "b"]).collect()}
+    for k, text, _ in rows:
+        tokens, x = figures(text or "")
+        logs = []
+        for d in "ab":
+            v = np.maximum(known[d].var(0), 1e-3)
+            logs.append(math.log(len(known[d]) / 50) + float((-((np.array(x) - known[d].mean(0)) ** 2) / (2 * v) - 0.5 * np.log(v)).sum()))
+        p = np.exp(np.array(logs) - max(logs))
+        assert got[k]["tokens"] == tokens and np.allclose([got[k]["p0"], got[k]["p1"]], p / p.sum())
+
+
+def test_unreachable_targets_are_reported(spark):
+    table = spark.createDataFrame([(1, 10.0, 0.5, 0.5), (2, 10.0, 0.5, 0.5)], "doc_id long, tokens double, p0 double, p1 double")
+    with pytest.warns(UserWarning, match="mixing totals"):
+        rates = mixing.fit_rates(table, [15.0, 5.0]).collect()
+    assert all(abs(r["rate"] - 1) < 1e-6 for r in rates)
