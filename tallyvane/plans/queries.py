@@ -206,7 +206,7 @@ def _(t: Tables) -> DataFrame:
 @query("a12_cwe_catalog", """SELECT 'name' AS part, kind, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, CAST(sum(length(name)) AS BIGINT) AS others, CAST(0 AS BIGINT) AS places FROM (
  SELECT p_partkey AS id, p_name AS name, 'weakness' AS kind FROM part UNION ALL SELECT 10000000 + n_nationkey, n_name, 'category' FROM nation UNION ALL SELECT 20000000 + r_regionkey, r_name, 'view' FROM region) GROUP BY kind
  UNION ALL SELECT 'parent', NULL, count(*), CAST(sum(child) AS BIGINT), CAST(sum(parent) AS BIGINT), CAST(sum(ord) AS BIGINT) FROM (
- SELECT p_partkey AS child, p_partkey // 2 AS parent, 0 AS ord FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey, p_partkey // 3, 2 FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 10000000 + n_nationkey, 20000000 + n_regionkey, 0 FROM nation)
+ SELECT p_partkey AS child, p_partkey // 2 AS parent, 0 AS ord FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey, p_partkey // 3, CASE WHEN p_partkey > 1 THEN 2 ELSE 1 END FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 10000000 + n_nationkey, 20000000 + n_regionkey, 0 FROM nation)
  UNION ALL SELECT 'member', NULL, count(*), CAST(sum(owner) AS BIGINT), CAST(sum(member) AS BIGINT), CAST(sum(ord) AS BIGINT) FROM (
  SELECT 10000000 + n_nationkey AS owner, 20000000 + n_regionkey AS member, 0 AS ord FROM nation UNION ALL SELECT 10000000 + p_partkey % 25, p_partkey, row_number() OVER (PARTITION BY p_partkey % 25 ORDER BY p_partkey) FROM part
  UNION ALL SELECT 20000000 + n_regionkey, 10000000 + n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 FROM nation)""")
@@ -708,7 +708,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("g08_forest_paths", _CLIMB + _WAYS + """, best AS (SELECT cwe, arg_min(path, [CAST(depth AS BIGINT)] || path) AS path FROM ways GROUP BY cwe),
  near AS (SELECT c.cwe, min(height) AS height, arg_min(path, height) AS path FROM climb c JOIN best b ON c.here = b.cwe GROUP BY c.cwe)
- SELECT n.cwe, array_to_string(CASE WHEN height = 0 THEN path ELSE list_append(path, n.cwe) END, '>') AS path FROM forest_nodes n LEFT JOIN near r ON n.cwe = r.cwe""")
+ SELECT n.cwe, array_to_string(CASE WHEN height = 0 THEN path WHEN height > 0 THEN list_append(path, n.cwe) END, '>') AS path FROM forest_nodes n LEFT JOIN near r ON n.cwe = r.cwe""")
 def _(t: Tables) -> DataFrame:
     members = t.get("forest_members").select("cwe")
     return hierarchy.paths_in_view(t.get("forest_nodes"), members, t.get("forest_edges")).select("cwe", F.array_join("path", ">").alias("path"))
