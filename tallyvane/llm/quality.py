@@ -85,8 +85,8 @@ def fit_quality(labelled: DataFrame, text_col: str = "text", label_col: str = "q
     """Fit on every row with a label of 0 or 1.
 
     Partitions add up their part of the normal equations, which are then summed by cell; the driver sees those sums
-    (features squared numbers) and `bins` counts for the calibration, whatever the number of rows. Without labelled rows
-    every score is 0.5.
+    (features squared numbers) and `bins` counts for the calibration, whatever the number of rows. Null texts count as
+    empty ones, repeated rows as often as they occur; scores that tie share a bin. Without labelled rows every score is 0.5.
     """
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("y"))
     points = cut(rows.mapInPandas(_stats_batches, "x array<double>, y double"))
@@ -134,5 +134,9 @@ def quality_score(text: Column, model: QualityModel) -> Column:
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row; other columns are left out."""
+    """(doc_id, score) of every row; other columns are left out, so their names cannot clash.
+
+    Null texts score as empty ones; texts of any length are read whole; repeated rows and equal texts give equal scores; an
+    empty table gives none.
+    """
     return docs.select(F.col(id_col).alias("doc_id"), quality_score(F.col(text_col), model).alias("score"))

@@ -291,6 +291,34 @@ def test_quality_separates_and_is_calibrated(spark, make_docs, odd_rows):
     assert quality.score_quality(make_docs([]), model).count() == 0
 
 
+def test_quality_matches_a_dense_fit(spark, make_docs, odd_rows):
+    """Scale, Fourier features, ridge weights and calibration, solved here over all rows at once."""
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(["river", "House", "walks!", "$$$", "2024", "the"]) for _ in range(rng.randint(1, 60))) for _ in range(300)] + ["", None]
+    y = np.array([float(rng.random() < (0.9 if "$" not in (t or "$") else 0.3)) for t in texts])
+    model = quality.fit_quality(spark.createDataFrame([(t, int(v)) for t, v in zip(texts, y)] + [("x", None), ("x", 5)], "text string, quality int").repartition(5))
+    x = np.stack([*map(quality.statistics, texts)])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.maximum(x.std(0), 1e-6))
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-6), -6, 6)
+    draw = np.random.default_rng(17)
+    frequencies = draw.normal(size=(x.shape[1], 192)) / 3.0
+    phi = np.hstack([np.cos(z @ frequencies + draw.uniform(0, 2 * np.pi, 192)) * np.sqrt(2 / 192), np.ones((len(x), 1))])
+    ridge = 1e-3 * len(x) / 193
+    dense = np.linalg.lstsq(np.vstack([phi, np.sqrt(ridge) * np.eye(193)]), np.append(y, np.zeros(193)), rcond=None)[0]
+    assert np.allclose(model.raw(x), phi @ dense, atol=1e-6)
+    bins = np.floor((np.clip(phi @ dense, -0.5, 1.5) + 0.5) / 2 * 1000).astype(int)
+    used, n = np.unique(bins, return_counts=True)
+    means = np.array([y[bins == b].mean() for b in used])
+    # Isotonic means by their definition: the largest over starts of the least over ends of the mean between.
+    mean = lambda i, j: np.average(means[i : j + 1], weights=n[i : j + 1])
+    iso = [max(min(mean(i, j) for j in range(k, len(used))) for i in range(k + 1)) for k in range(len(used))]
+    assert np.allclose(model.levels, iso, atol=1e-9)
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(make_docs([(k, t, "en") for k, t in enumerate(texts)]), model).collect()}
+    want = np.clip(np.interp(model.raw(x), model.edges, iso), 0, 1)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert got[300] == got[301]
+
+
 def test_pool_adjacent_is_isotonic_least_squares():
     x = np.arange(6.0)
     fit = quality.pool_adjacent(x, np.array([1, 3, 2, 2, 5, 4.0]), np.array([1, 1, 1, 2, 1, 1.0]))
