@@ -90,12 +90,13 @@ def test_rates_match_dense_projected_gradient(spark):
     targets = np.array([0.5, 0.3, 0.2]) * tokens.sum()
     table = spark.createDataFrame([(k, float(t), *map(float, row)) for k, (t, row) in enumerate(zip(tokens, p))], "doc_id long, tokens double, p0 double, p1 double, p2 double")
     got = {r["doc_id"]: r["rate"] for r in mixing.fit_rates(table, targets.tolist(), rounds=12, tolerance=0.0).collect()}
-    w, rate = tokens.sum(), np.ones(200)
+    w, rate, ahead, pace = tokens.sum(), np.ones(200), np.ones(200), 1.0
     gram = p.T @ (p * tokens[:, None]) / w
     weight = 1 / np.diag(gram)
     step = 1 / np.abs(gram * np.sqrt(np.outer(weight, weight))).sum(1).max()
     for _ in range(12):
-        rate = np.maximum(0, rate - p @ (step * weight * (p.T @ (rate * tokens) - targets) / w))
+        new, after = np.maximum(0, ahead - p @ (step * weight * (p.T @ (ahead * tokens) - targets) / w)), (1 + np.sqrt(1 + 4 * pace**2)) / 2
+        rate, ahead, pace = new, new + (pace - 1) / after * (new - rate), after
     assert np.allclose([got[k] for k in range(200)], rate)
     assert np.abs(p.T @ (rate * tokens) - targets).max() < 0.02 * w
 
