@@ -10,7 +10,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvane.llm._common import cut
@@ -290,16 +290,27 @@ def alike(sets: list[np.ndarray], similarity: float, columns: int = 4096) -> np.
     return label
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 0 if either is empty."""
+    if not len(a) or not len(b):
+        return 0.0
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return both / (len(a) + len(b) - both)
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 11, total: int = 30, width: int = 5,
-                       similarity: float = 0.8, block: int = 512) -> DataFrame:
+                       similarity: float = 0.8, block: int = 512, largest: int = 64, pivots: int = 8) -> DataFrame:
     """(doc_id, node, component_id) for each row of docs whose text links to another text; node is the hash of the text.
 
     Candidates are the components of fingerprints that differ in at most `radius` of their 64 bits and `total` of 128: the
     second word keeps texts that have nothing in common from joining by chance, however many there are. Inside each, two
     texts link if the Jaccard similarity of their sets of shingles, all of them, is at least `similarity`; component_id is
-    the smallest node that links reach. A component with more than `block` texts is split into blocks, and each two of its
-    blocks meet in one group. Null counts as empty text, texts without words link to none, repeated texts are one node, and
-    an empty table gives an empty result; other columns are left out.
+    the smallest node that links reach.
+
+    In the `largest` components every text first meets `pivots` of its component; those alike to the same pivot are linked
+    by it, and need not meet each other. What is left of a component is split into blocks of about `block` texts, and each
+    two blocks that no pivot has linked meet in one group, so no link is lost. Null counts as empty text, texts without
+    words link to none, repeated texts are one node, and an empty table gives an empty result; other columns are left out.
     """
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     marked = cut(fingerprints(docs.select(node.alias("node"), text_col), "node", text_col, width, 2).distinct())
@@ -307,8 +318,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = connected_components(near_links(unique, radius, total=total))
     classes = unique.join(found, unique["rep"] == found["node"], "left").select("fp", "fp2", F.coalesce("component", "rep").alias("near"))
     near = cut(marked.join(classes, ["fp", "fp2"]).select(F.col("doc_id").alias("node"), "near"))
-    sizes = near.groupBy("near").agg(F.count("*").alias("n")).where("n > 1").select("near", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    members = cut(near.join(sizes, "near"))
+    sizes = cut(near.groupBy("near").agg(F.count("*").alias("n")).where("n > 1"))
+    groups_of = sizes.select("near")
+    members = cut(near.join(F.broadcast(groups_of) if sizes.count() <= 200_000 else groups_of, "near"))
     few = members.limit(200_001).count() <= 200_000
     texts = docs.select(node.alias("node"), F.col(text_col).alias("text")).join(F.broadcast(members) if few else members, "node")
 
@@ -317,10 +329,33 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in batch["text"].array]
             yield batch.drop(columns="text").assign(shingles=sets)
 
-    rows = texts.select("node", "near", "blocks", "text").mapInPandas(shingled, "node long, near long, blocks int, shingles binary")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.least(b, mine) * F.col("blocks") + F.greatest(b, mine))
-    rows = rows.withColumn("pair", F.explode(pairs)).drop("blocks")
+    rows = cut(texts.select("node", "near", "text").mapInPandas(shingled, "node long, near long, shingles binary").dropDuplicates(["node"]))
+    big = [r["near"] for r in sizes.where(F.col("n") > 2 * block).orderBy(F.desc("n"), "near").limit(largest).collect()]
+    place = F.row_number().over(Window.partitionBy("near").orderBy(F.xxhash64("node"), "node"))
+    heads: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for r in rows.where(F.col("near").isin(big)).withColumn("r", place).where(F.col("r") <= pivots).collect() if big else []:
+        heads.setdefault(r["near"], []).append((r["node"], np.frombuffer(r["shingles"], "<u8")))
+
+    def against(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = (np.frombuffer(s, "<u8") for s in batch["shingles"])
+            links = [[p for p, head in heads.get(g, ()) if p == n or jaccard(own, head) >= similarity] for n, g, own in zip(batch["node"], batch["near"], sets)]
+            yield batch.assign(links=links)
+
+    rows = cut(rows.mapInPandas(against, "node long, near long, shingles binary, links array<long>").withColumn("label", F.get("links", F.lit(0))))
+    kinds = rows.groupBy("near", "label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    kinds = cut(kinds.withColumn("first", F.coalesce(F.sum("blocks").over(Window.partitionBy("near").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")))
+    cells = kinds.select("near", "label", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("cell"))
+    other = cells.select("near", F.col("label").alias("label2"), F.col("cell").alias("cell2"))
+    met = cells.join(other, "near").where("cell <= cell2 and not (label <=> label2 and label is not null)")
+    sides = F.explode(F.array_distinct(F.array("cell", "cell2"))).alias("side")
+    pairs = met.select("near", F.struct("cell", "cell2").alias("pair"), sides).groupBy("near", F.col("side").alias("cell")).agg(F.collect_list("pair").alias("pairs"))
+    split = kinds.where("blocks > 1 or first > 0").select("near", "label", "blocks", "first")
+    split = F.broadcast(split) if split.limit(100_001).count() <= 100_000 else split
+    dealt = rows.alias("r").join(split.alias("k"), (F.col("r.near") == F.col("k.near")) & F.col("r.label").eqNullSafe(F.col("k.label")), "left")
+    cell = F.coalesce(F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int")
+    dealt = dealt.select("node", F.col("r.near").alias("near"), "shingles", cell.alias("cell")).join(pairs, ["near", "cell"])
+    groups = dealt.select("node", "near", "shingles", F.explode("pairs").alias("p")).select("node", "near", "shingles", F.concat_ws("-", "p.cell", "p.cell2").alias("pair"))
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, nodes, sets = None, [], []
@@ -342,7 +377,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if len(nodes) > 1:
             yield edges()
 
-    links = rows.repartition("near", "pair").sortWithinPartitions("near", "pair", "node").mapInPandas(link, "u long, v long")
+    links = groups.repartition("near", "pair").sortWithinPartitions("near", "pair", "node").mapInPandas(link, "u long, v long")
+    links = links.union(rows.select(F.col("node").alias("u"), F.explode("links").alias("v")))
     components = cut(connected_components(links))
     few = components.limit(200_001).count() <= 200_000
     return docs.select(F.col(id_col).alias("doc_id"), node.alias("node")).join(
