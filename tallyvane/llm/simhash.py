@@ -302,10 +302,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        similarity: float = 0.8, block: int = 512, largest: int = 64, pivots: int = 8) -> DataFrame:
     """(doc_id, node, component_id) for each row of docs whose text links to another text; node is the hash of the text.
 
-    Candidates are the components of fingerprints that differ in at most `radius` of their 64 bits and `total` of 128: the
-    second word keeps texts that have nothing in common from joining by chance, however many there are. Inside each, two
-    texts link if the Jaccard similarity of their sets of shingles, all of them, is at least `similarity`; component_id is
-    the smallest node that links reach.
+    Candidates are the components of fingerprints of two words that differ in at most `radius` of the 64 bits of either
+    word and `total` of all 128. Each word is indexed and probed, so that similar texts are missed only where both are far
+    apart; both together keep texts that have nothing in common from joining by chance, however many there are. Inside
+    each component, two texts link if the Jaccard similarity of their sets of shingles, all of them, is at least
+    `similarity`; component_id is the smallest node that links reach.
 
     In the `largest` components every text first meets `pivots` of its component; those alike to the same pivot are linked
     by it, and need not meet each other. What is left of a component is split into blocks of about `block` texts, and each
@@ -315,7 +316,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     marked = cut(fingerprints(docs.select(node.alias("node"), text_col), "node", text_col, width, 2).distinct())
     unique = cut(marked.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep")))
-    found = connected_components(near_links(unique, radius, total=total))
+    swapped = unique.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "rep")
+    found = connected_components(near_links(unique, radius, total=total).union(near_links(swapped, radius, total=total)))
     classes = unique.join(found, unique["rep"] == found["node"], "left").select("fp", "fp2", F.coalesce("component", "rep").alias("near"))
     near = cut(marked.join(classes, ["fp", "fp2"]).select(F.col("doc_id").alias("node"), "near"))
     sizes = cut(near.groupBy("near").agg(F.count("*").alias("n")).where("n > 1"))
