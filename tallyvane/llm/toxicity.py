@@ -23,6 +23,7 @@ BUCKETS, SHORTEST, LONGEST = 1 << 22, 3, 10
 SIGNS, GAP = 28, 27  # a to z, any other letter, the space
 #: The channel, as log-probabilities: a letter doubled, a symbol for a letter, a symbol that is none.
 DOUBLED, SWAPPED, AS_IT_IS = -8.0, -1.0, -7.0
+WINDOW, REMEMBERED = 2000, 64  # units between settled ends of a long span; spans up to that length are kept in memory
 
 
 def chunks(texts: list[str], chars: int = 200_000) -> Iterator[list[str]]:
@@ -92,12 +93,22 @@ def viterbi(span: str, model: list) -> str:
     """The likeliest words behind one span: the best path through the lattice of its characters' readings.
 
     model[a][b][c] is the log-probability of sign c after a and b. A state is the last two letters of a reading; it keeps
-    its best predecessor, so time and memory are linear in the span.
+    its best predecessor. After `WINDOW` units the best path so far is settled and the search goes on from its end, so that
+    spans of any length take linear time and bounded memory.
     """
     units = [(m[0], m[1]) for m in UNIT.finditer(span)]
     sizes = [*map(len, PARTED.split(span))]
     letters_, twice = (sum(c is not None and c.isalpha() and len(u) in n for u, c in units) for n in ((1, 2), (2,)))
-    states, back, part = {(GAP, GAP): 0.0}, [], 0
+    states, back, part, settled = {(GAP, GAP): 0.0}, [], 0, []
+
+    def settle(state: tuple[int, int]) -> None:
+        out = []
+        for came in reversed(back):
+            state, reading = came[state]
+            out.append(reading)
+        settled.append("".join(reversed(out)))
+        back.clear()
+
     for k, (unit, char) in enumerate(units):
         if char is None:
             options, part = _gap(unit, part, sizes), part + 1
@@ -118,11 +129,12 @@ def viterbi(span: str, model: list) -> str:
                     following[x, y], came[x, y] = p, (state, reading)
         states = following
         back.append(came)
-    state, out = max(states, key=lambda s: states[s] + (model[s[0]][s[1]][GAP] if s[1] != GAP else 0.0)), []
-    for came in reversed(back):
-        state, reading = came[state]
-        out.append(reading)
-    return "".join(reversed(out))
+        if len(back) == WINDOW:
+            best = max(states, key=states.get)
+            settle(best)
+            states = {best: 0.0}
+    settle(max(states, key=lambda s: states[s] + (model[s[0]][s[1]][GAP] if s[1] != GAP else 0.0)))
+    return "".join(settled)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -183,7 +195,8 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model, rows = model, model.tolist()
-        self.decode = lru_cache(100_000)(lambda span: viterbi(span, rows))
+        short = lru_cache(100_000)(lambda span: viterbi(span, rows))
+        self.decode = lambda span: short(span) if len(span) <= REMEMBERED else viterbi(span, rows)
 
     def __call__(self, texts: list[str]) -> list[str]:
         out, codes = list(texts), _codes("\n".join(texts))

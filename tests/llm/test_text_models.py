@@ -192,6 +192,7 @@ def test_viterbi_restores_words():
     assert dict(zip(pairs, restore(list(pairs)))) == pairs
     long = "x" * 30 + "m0r0n" + "y" * 30_000
     assert "moron" in restore([long])[0]
+    assert restore(["m0r0n" * 3000]) == ["moron" * 3000]
     assert restore(["line\n1d10t\n", "l0ser"]) == ["line\nidiot\n", "loser"]
 
 
