@@ -165,6 +165,12 @@ def suspects(codes: np.ndarray, model: np.ndarray, doubt: float = 6.0) -> np.nda
     hit[1:] |= symbol[:-1] & letter[1:]
     near = np.flatnonzero(symbol[1:] & letter[:-1])
     hit[near[~np.isin(codes[near + 1], [*map(ord, ENDINGS)])]] = True
+    sign = np.concatenate([[False], letter | symbol, [False]])
+    single = np.flatnonzero(sign[1:-1] & ~sign[:-2] & ~sign[2:])
+    if len(single):
+        chain = np.cumsum(np.append(0, (np.diff(single) != 2) | (kinds[single[1:] - 1] != 3)))
+        spelled = (np.bincount(chain) >= 3) & (np.bincount(chain, letter[single]) > 0)
+        hit[single[spelled[chain]]] = True
     at = np.flatnonzero(letter)
     if len(at) < 2:
         return np.flatnonzero(hit)

@@ -187,7 +187,7 @@ def test_viterbi_restores_words():
     restore = toxicity.Restorer(character_model(INSULTS))
     pairs = {
         "1d10t": "idiot", "$tup1d": "stupid", "i d i o t": "idiot", "l.o.s.e.r": "loser", "stuuupid": "stupid", "stuupid": "stupid", "mmoorroonn": "moron", "tr@sh": "trash", "cl0wn": "clown",
-        "idi07": "idiot", "s c u m": "scum", "sc um": "scum", "id-iot": "idiot", "the,1d10t;l0ser": "the,idiot;loser", "the i d i o t": "the idiot", "nothing here": "nothing here", "": "", "a house": "a house",
+        "idi07": "idiot", "s c u m": "scum", "1 d 1 0 t": "idiot", "m_0_r_0_n": "moron", "sc um": "scum", "id-iot": "idiot", "the,1d10t;l0ser": "the,idiot;loser", "the i d i o t": "the idiot", "nothing here": "nothing here", "": "", "a house": "a house",
     }
     assert dict(zip(pairs, restore(list(pairs)))) == pairs
     long = "x" * 30 + "m0r0n" + "y" * 30_000
