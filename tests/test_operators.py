@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tallyvane.operators import audit, clusters, density, hierarchy, stats, vote
+from tallyvane.operators import audit, clusters, density, hierarchy, ranks, stats, vote
 from tallyvane.plans.fixtures import Tables
 from tallyvane.streaming.reports import current_findings, merge_stream
 
@@ -274,3 +275,18 @@ def test_registered_bootstraps_run_all_draws(spark, monkeypatch):
     queries.QUERIES["j03_bootstrap"](spark, "/root/testdata/sf0.001")
     queries.QUERIES["j08_kendall_intervals"](spark, "/root/testdata/sf0.001")
     assert called == [2000, ("loc", "per_kloc", 10_000, True), ("functions", "per_kfunctions", 10_000, True)]
+
+
+def test_running_numbers_of_one_large_key(spark):
+    rng = random.Random(6)
+    rows = [("big" if k % 3 else rng.choice(["a", "b", None]), rng.randrange(40), k) for k in range(3000)]
+    table = spark.createDataFrame(rows, "key string, v int, id int").repartition(7)
+    got = ranks.running_number(table, ["key"], [F.desc("v"), F.asc("id")], "nth").collect()
+    want, seen = {}, {}
+    for key, _, i in sorted(rows, key=lambda r: (-r[1], r[2])):
+        seen[key] = seen.get(key, 0) + 1
+        want[i] = seen[key]
+    assert got[0].__fields__ == ["key", "v", "id", "nth"] and {r["id"]: r["nth"] for r in got} == want
+    everything = ranks.running_number(table, [], ["id"]).collect()
+    assert sorted((r["id"], r["place"]) for r in everything) == [(k, k + 1) for k in range(3000)]
+    assert ranks.running_number(table.limit(0), ["key"], ["id"]).count() == 0
