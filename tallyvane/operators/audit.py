@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyvane.operators.ranks import running_number
+from tallyvane.session import cut, lean
+
 PROJECT = ["class_name", "project"]
 TOOL_ORDER = ["codeql", "cppcheck", "flawfinder", "semgrep", "ikos"]
 
@@ -17,8 +20,8 @@ def report_summary(runs: DataFrame) -> DataFrame:
 
 def ordered_findings(findings: DataFrame) -> DataFrame:
     """finding_idx in report order: file, line (none first), tool, rule, then the order of arrival."""
-    order = Window.partitionBy(*PROJECT).orderBy("filename", F.coalesce("line", F.lit(-1)), "tool", F.coalesce("rule", F.lit("")), "arrival")
-    return findings.withColumn("finding_idx", (F.row_number().over(order) - 1).cast("long"))
+    order = ["filename", F.coalesce("line", F.lit(-1)), "tool", F.coalesce("rule", F.lit("")), "arrival"]
+    return running_number(findings, PROJECT, order, "finding_idx").withColumn("finding_idx", F.col("finding_idx") - 1)
 
 
 def findings_per_tool(runs: DataFrame) -> DataFrame:
@@ -46,13 +49,39 @@ def merge_runs(old: DataFrame, fresh: DataFrame, fresh_runs: DataFrame) -> DataF
     return kept.unionByName(fresh)
 
 
+def merge_reports(old_runs: DataFrame, old_findings: DataFrame, fresh_runs: DataFrame, fresh_findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, findings) of the merged reports, for report_documents: fresh runs take the place of their tools' old ones,
+    with all their findings; other tools keep theirs.
+
+    Runs are in the order of the tools' names (ord, from 1). Findings are put in report order again and numbered anew; of
+    equal ones the kept come first, each lot in its own order. A project that has no old report has the fresh one.
+    """
+    again = cut(fresh_runs.select(*PROJECT, "tool").distinct())
+    kept = lambda rows: rows.join(lean(again), [*PROJECT, "tool"], "left_anti")
+    runs = kept(old_runs).unionByName(fresh_runs).drop("ord")
+    runs = runs.withColumn("ord", F.row_number().over(Window.partitionBy(*PROJECT).orderBy("tool")))
+    arrival = lambda rows, lot: rows.withColumn("arrival", F.struct(F.lit(lot).alias("lot"), "finding_idx")).drop("finding_idx")
+    found = arrival(kept(old_findings), 0).unionByName(arrival(fresh_findings, 1))
+    return runs, ordered_findings(found).drop("arrival")
+
+
+def merged_documents(old_runs: DataFrame, old_findings: DataFrame, fresh_runs: DataFrame, fresh_findings: DataFrame) -> DataFrame:
+    """The merged reports as documents; their summaries are counted anew, findings being those that the report lists."""
+    docs = report_documents(*merge_reports(old_runs, old_findings, fresh_runs, fresh_findings))
+    return docs.withColumn("summary", F.col("summary").withField("findings", F.size("findings").cast("long")))
+
+
 def chunk_status(chunks: DataFrame, by: list[str]) -> DataFrame:
-    """(by, status, message) over chunks (chunk, status): completed if all are, else failed, timeout, or failed."""
+    """(by, status, message) over chunks (chunk, status, exit_code): completed if all are, else failed, timeout, or failed.
+
+    The message tells how many completed and what became of the others; a run of completed chunks has none.
+    """
     status, done = F.col("status"), F.count_if(F.col("status") == "completed")
-    failed = F.array_join(F.array_sort(F.collect_list(F.when(status != "completed", F.col("chunk")))), ", ")
+    told = F.concat("chunk", F.lit(" ("), "status", F.when(F.col("exit_code").isNotNull(), F.concat(F.lit(", exit "), F.col("exit_code").cast("string"))).otherwise(""), F.lit(")"))
+    failed = F.array_sort(F.collect_list(F.when(status != "completed", F.struct("chunk", told.alias("told")))))
     rows = chunks.groupBy(*by).agg(F.bool_and(status == "completed").alias("all"), F.bool_or(status == "failed").alias("f"), F.bool_or(status == "timeout").alias("t"), done.alias("done"), F.count("*").alias("n"), failed.alias("failed"))
-    message = F.concat(F.col("done").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" chunks completed"), F.when(F.col("failed") != "", F.concat(F.lit("; failed: "), F.col("failed"))).otherwise(""))
-    return rows.select(*by, F.when(F.col("all"), "completed").when(F.col("f"), "failed").when(F.col("t"), "timeout").otherwise("failed").alias("status"), message.alias("message"))
+    message = F.concat(F.col("done").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" chunks completed; failed: "), F.array_join(F.col("failed.told"), ", "))
+    return rows.select(*by, F.when(F.col("all"), "completed").when(F.col("f"), "failed").when(F.col("t"), "timeout").otherwise("failed").alias("status"), F.when(~F.col("all"), message).alias("message"))
 
 
 def first_projects(projects: DataFrame, names: list[str] | None = None, limit: int | None = None) -> DataFrame:

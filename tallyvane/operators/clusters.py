@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyvane.functions.findings import format_cwe
 from tallyvane.operators.hierarchy import ancestors, related_pairs, representatives
-from tallyvane.operators.vote import PROJECT, agreement_hubs, components
+from tallyvane.operators.ranks import running_number
+from tallyvane.operators.vote import PROJECT, agree, line_labels, with_positions
 from tallyvane.session import cut
 
 #: Rule names by threshold; the last three let any two CWEs agree inside a function.
@@ -20,12 +21,13 @@ def _rules(rules: dict[int, str]) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("least"), F.lit(name).alias("rule")) for k, name in rules.items()))
 
 
-def build(labelled: DataFrame, rules: dict[int, str], members: bool = True) -> DataFrame:
+def build(labelled: DataFrame, rules: dict[int, str], members: bool = True, numbered: bool = True) -> DataFrame:
     """One row per cluster and rule whose threshold its distinct tools reach; thresholds are cumulative.
 
     Tools are sorted, CWEs distinct and in numeric order, findings by file, line (none first), tool, CWE and position.
     cluster_id counts each project's clusters of a rule from 1 by their earliest finding, after the threshold. Without
-    members the findings are left out: a summary then moves bounded rows, however large a cluster.
+    members the findings are left out: a summary then moves bounded rows, however large a cluster; it needs no ids either,
+    which are null unless numbered.
     """
     number = F.substr("cwe", F.lit(5)).cast("int")
     entry = F.struct("filename", F.coalesce("line", F.lit(-1)).alias("at"), "tool", "cwe", "finding_idx", "line", "function")
@@ -35,27 +37,30 @@ def build(labelled: DataFrame, rules: dict[int, str], members: bool = True) -> D
     )
     rows = rows.withColumn("r", F.explode(F.filter(_rules(rules), lambda r: r["least"] <= F.size("tools")))).withColumn("rule", F.col("r.rule"))
     findings = F.transform("entries", lambda e: F.struct(e["tool"].alias("tool"), e["filename"].alias("filename"), e["line"].alias("line"), e["cwe"].alias("cwe"), e["function"].alias("function")))
-    place = Window.partitionBy(*PROJECT, "rule").orderBy("min_idx")
-    rows = rows.withColumn("cluster_id", F.row_number().over(place))
-    return rows.select(*PROJECT, "rule", "cluster_id", "min_idx", "tools", "cwes", "size", *([findings.alias("findings")] if members else []))
+    rows = running_number(rows, [*PROJECT, "rule"], ["min_idx"], "cluster_id") if numbered else rows.withColumn("cluster_id", F.lit(None))
+    return rows.withColumn("cluster_id", F.col("cluster_id").cast("int")).select(*PROJECT, "rule", "cluster_id", "min_idx", "tools", "cwes", "size", *([findings.alias("findings")] if members else []))
 
 
-def single_clusters(findings: DataFrame, members: bool = True) -> DataFrame:
-    """The first rule: every finding with a CWE is a cluster, whose id is its position."""
+def single_clusters(findings: DataFrame, members: bool = True, numbered: bool = True) -> DataFrame:
+    """The first rule: every finding with a CWE is a cluster and its own representative; its id is its position."""
+    rows = with_positions(findings) if numbered else findings.withColumn("position", F.lit(None))
     one = [F.array(F.struct("tool", "filename", "line", "cwe", "function")).alias("findings")] if members else []
-    return findings.select(*PROJECT, F.lit(CWE_RULES[1]).alias("rule"), F.col("position").alias("cluster_id"), F.col("finding_idx").alias("min_idx"), F.array("tool").alias("tools"), F.array(F.substr("cwe", F.lit(5)).cast("int")).alias("cwes"), F.lit(1).cast("long").alias("size"), *one)
+    cwes = F.array(F.substr("cwe", F.lit(5)).cast("int")).alias("cwes")
+    rows = rows.select(*PROJECT, F.lit(CWE_RULES[1]).alias("rule"), F.col("position").cast("int").alias("cluster_id"), F.col("finding_idx").alias("min_idx"), F.array("tool").alias("tools"), cwes, F.lit(1).cast("long").alias("size"), *one)
+    return rows.withColumn("representative", F.get("cwes", F.lit(0)))
 
 
-def all_clusters(findings: DataFrame, edges: DataFrame, members: bool = True) -> DataFrame:
-    """The clusters of all seven rules, with their representative CWE; findings are prepared and have functions."""
+def all_clusters(findings: DataFrame, edges: DataFrame, members: bool = True, numbered: bool = True) -> DataFrame:
+    """The clusters of all seven rules, with their representative CWE; findings are prepared and have functions.
+
+    Only rules that ask for related CWEs have representatives; those of the other three are null.
+    """
     findings, closure = cut(findings), cut(ancestors(edges))
-    by_cwe = components(findings, agreement_hubs(findings, related_pairs(closure)))
-    by_place = components(findings, agreement_hubs(findings, None))
-    more = {k: v for k, v in CWE_RULES.items() if k > 1}
-    voted = cut(build(by_cwe, more, members).union(build(by_place, ANY_RULES, members)))
-    # A single finding is its own representative, so only voted clusters are looked up.
-    single = single_clusters(findings, members).withColumn("representative", F.get("cwes", F.lit(0)))
-    return single.unionByName(add_representatives(voted, closure))
+    lines = cut(line_labels(findings))
+    by_cwe = build(agree(findings, related_pairs(closure), lines), {k: v for k, v in CWE_RULES.items() if k > 1}, members, numbered)
+    by_place = build(agree(findings, None, lines), ANY_RULES, members, numbered)
+    voted = add_representatives(cut(by_cwe), closure).unionByName(by_place.withColumn("representative", F.lit(None).cast("int")))
+    return single_clusters(findings, members, numbered).unionByName(voted)
 
 
 def add_representatives(clusters: DataFrame, closure: DataFrame) -> DataFrame:
@@ -65,7 +70,7 @@ def add_representatives(clusters: DataFrame, closure: DataFrame) -> DataFrame:
 
 def rule_summary(clusters: DataFrame) -> DataFrame:
     """(project, rule, cwe, n, tot_vulns): a cluster counts for its representative, else for every CWE it holds."""
-    counted = clusters.select(*PROJECT, "rule", "cluster_id", F.explode(F.when(F.col("representative").isNotNull(), F.array("representative")).otherwise(F.col("cwes"))).alias("number"))
+    counted = clusters.select(*PROJECT, "rule", F.explode(F.when(F.col("representative").isNotNull(), F.array("representative")).otherwise(F.col("cwes"))).alias("number"))
     rows = counted.groupBy(*PROJECT, "rule", "number").agg(F.count("*").alias("n"))
     clusters_of = clusters.groupBy(*PROJECT, "rule").agg(F.count("*").alias("tot_vulns"))
     return rows.join(clusters_of, [*PROJECT, "rule"]).withColumn("cwe", format_cwe(F.col("number")))
@@ -78,9 +83,18 @@ def hits_per_tool(findings: DataFrame) -> DataFrame:
 
 
 def project_documents(summary: DataFrame, hits: DataFrame, sizes: DataFrame) -> DataFrame:
-    """One nested row per project: LOC, functions, hits_per_tool, and for each rule its CWEs, total and counts."""
-    per_rule = summary.groupBy(*PROJECT, "rule").agg(F.first("tot_vulns").alias("tot_vulns"), F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("number", "cwe", "n"))), lambda x: F.struct(x["cwe"], x["n"]))).alias("vulns_per_cwe"))
+    """One nested row per project: LOC, functions, hits_per_tool, and for each rule its CWEs, total and counts.
+
+    Every project has all rules and tools, with nothing where it has no cluster or hit; sizes it does not have are 0.
+    """
+    counts = F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("number", "cwe", "n"))), lambda x: F.struct(x["cwe"], x["n"])))
+    per_rule = summary.groupBy(*PROJECT, "rule").agg(F.first("tot_vulns").alias("tot_vulns"), counts.alias("vulns_per_cwe"))
     value = F.struct(F.map_keys("vulns_per_cwe").alias("unique_cwes"), "tot_vulns", "vulns_per_cwe")
     rules = per_rule.groupBy(*PROJECT).agg(F.map_from_entries(F.collect_list(F.struct(F.col("rule"), value))).alias("rules"))
-    tools = hits.groupBy(*PROJECT).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "hits")))).alias("hits_per_tool"))
-    return sizes.select(*PROJECT, F.col("loc").alias("LOC"), "functions").join(tools, PROJECT, "left").join(rules, PROJECT, "left")
+    tools = hits.groupBy(*PROJECT).agg(F.map_from_entries(F.collect_list(F.struct("tool", "hits"))).alias("found"))
+    nothing = F.struct(F.array().cast("array<string>").alias("unique_cwes"), F.lit(0).cast("long").alias("tot_vulns"), F.create_map().cast("map<string,bigint>").alias("vulns_per_cwe"))
+    zero = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))
+    every_tool = F.create_map(*(x for t in TOOLS for x in (F.lit(t), F.coalesce(F.col("found")[t], F.lit(0).cast("long")))))
+    every_rule = [F.coalesce(F.col("rules")[r], nothing).alias(r) for r in [*CWE_RULES.values(), *ANY_RULES.values()]]
+    rows = sizes.select(*PROJECT, zero("loc").alias("LOC"), zero("functions").alias("functions")).join(tools, PROJECT, "left").join(rules, PROJECT, "left")
+    return rows.select(*PROJECT, "LOC", "functions", every_tool.alias("hits_per_tool"), *every_rule)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyvane.functions.findings import category_code, name_candidates, per_thousand, project_key
+from tallyvane.functions.findings import per_thousand, project_key
+from tallyvane.session import lean
 
 PROJECT = ["class_name", "project"]
 
@@ -49,13 +50,15 @@ def class_totals(rows: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, "projects", "vulns", "functions", "loc", per_thousand(F.col("vf"), F.col("functions")).alias("per_kfunctions"), per_thousand(F.col("vl"), F.col("loc")).alias("per_kloc"))
 
 
-def category_density(rows: DataFrame) -> DataFrame:
-    """(code, category, projects, vulns, functions, density) per taxonomy category.
+def category_density(rows: DataFrame, size: str = "functions") -> DataFrame:
+    """(code, category, projects, vulns, size, density) per taxonomy category, per thousand of the column `size`.
 
-    A project without functions adds to the vulnerabilities only; categories without any functions are left out.
+    rows have taxonomy_code and taxonomy_label; projects without one are together, as Unclassified. A project without the
+    size adds to the vulnerabilities only; categories without any of it are left out.
     """
-    out = rows.groupBy(category_code(F.col("category")).alias("code"), "category").agg(F.count("*").alias("projects"), F.sum("vulns").alias("vulns"), F.coalesce(F.sum("functions"), F.lit(0)).alias("functions"))
-    return out.where("functions > 0").withColumn("density", per_thousand(F.col("vulns"), F.col("functions")))
+    key = (F.coalesce("taxonomy_code", F.lit("NULL")).alias("code"), F.coalesce("taxonomy_label", F.lit("Unclassified")).alias("category"))
+    out = rows.groupBy(*key).agg(F.count("*").alias("projects"), F.sum("vulns").alias("vulns"), F.coalesce(F.sum(size), F.lit(0)).alias(size))
+    return out.where(F.col(size) > 0).withColumn("density", per_thousand(F.col("vulns"), F.col(size)))
 
 
 def votes_per_rule(summary: DataFrame) -> DataFrame:
@@ -64,17 +67,45 @@ def votes_per_rule(summary: DataFrame) -> DataFrame:
 
 
 def with_taxonomy(projects: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """Add category: the first of a project's name candidates that the taxonomy (key, category) knows."""
-    names = projects.select(*PROJECT, F.posexplode(name_candidates(F.col("project"))).alias("place", "key"))
-    found = names.join(taxonomy, "key").groupBy(*PROJECT).agg(F.min_by("category", "place").alias("category"))
-    return projects.join(found, PROJECT, "left")
+    """Add code, category and subcategory of the project's name in the taxonomy (key, ...); null if it is not there."""
+    named = lean(taxonomy.select("key", "code", "category", "subcategory"))
+    return projects.join(named, project_key(projects["project"]) == F.col("key"), "left").drop("key")
 
 
-def folder_cells(projects: DataFrame, selection: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Add taxonomy, '<n> folders', from the hand-made selection or else the metadata's folders."""
-    chosen = selection.select(project_key(F.col("project")).alias("key"), F.col("folders").alias("chosen"))
-    rows = projects.join(chosen, project_key(projects["project"]) == F.col("key"), "left").drop("key").join(metadata.select(*PROJECT, "folders"), PROJECT, "left")
-    return rows.withColumn("taxonomy", F.concat(F.size(F.coalesce("chosen", "folders", F.array())).cast("string"), F.lit(" folders"))).drop("chosen", "folders")
+def taxonomy_cells(projects: DataFrame, selection: DataFrame, taxonomy: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Add taxonomy_code, taxonomy_label and folders.
+
+    An application has the code and name of its category. A kernel has '<n> folders' and their names, of the hand-made
+    selection (project, folders) or else of its metadata (class_name, project, folders), where it has any. Others have
+    nothing, and no folders.
+    """
+    chosen = lean(selection.select(project_key(F.col("project")).alias("key"), F.col("folders").alias("chosen")))
+    named = lean(taxonomy.select(F.col("key").alias("__key"), F.col("code").alias("__code"), F.col("category").alias("__label")))
+    rows = projects.drop("folders").join(named, project_key(F.col("project")) == F.col("__key"), "left")
+    rows = rows.join(chosen, project_key(F.col("project")) == F.col("key"), "left").drop("key")
+    rows = rows.join(metadata.select(*PROJECT, F.filter("folders", lambda f: f.isNotNull() & (f != "")).alias("own")), PROJECT, "left")
+    none = F.array().cast("array<string>")
+    folders = F.when(F.col("class_name") == "kernel", F.when(F.size("chosen") > 0, F.col("chosen")).otherwise(F.col("own")))
+    rows = rows.withColumn("folders", F.coalesce(folders, none))
+    application, some = F.col("class_name") == "application", F.size("folders") > 0
+    code = F.when(application, F.col("__code")).when(some, F.concat(F.size("folders").cast("string"), F.lit(" folders")))
+    label = F.when(application, F.col("__label")).when(some, F.array_join("folders", ", "))
+    return rows.withColumn("taxonomy_code", code).withColumn("taxonomy_label", label).select(*(c for c in projects.columns if c != "folders"), "taxonomy_code", "taxonomy_label", "folders")
+
+
+#: The columns of the density table, and where they come from.
+DENSITY_COLUMNS = {
+    "class": "class_name", "project": "project", "taxonomy code": "taxonomy_code", "taxonomy label": "taxonomy_label", "selected kernel folders": "folders",
+    "vulnerabilities": "vulns", "functions": "functions", "LOC": "loc", "vulns per 1k functions": "per_kfunctions", "vulns per KLOC": "per_kloc",
+    "denominator source": "denominator_source",
+}
+
+
+def density_table(reports: DataFrame) -> DataFrame:
+    """The density table of project reports, for sinks.write_table: folders in one cell, NULL as the source of no size."""
+    rows = reports.withColumn("folders", F.array_join("folders", "; ")).withColumn("denominator_source", F.coalesce("denominator_source", F.lit("NULL")))
+    rows = with_densities(rows).withColumn("functions", F.nullif("functions", F.lit(0))).withColumn("loc", F.nullif("loc", F.lit(0)))
+    return rows.select(*(F.col(source).alias(name) for name, source in DENSITY_COLUMNS.items()))
 
 
 def density_ranking(rows: DataFrame, column: str = "per_kfunctions") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyvane.session import lean
+
 PROJECT = ["class_name", "project"]
 
 
@@ -23,7 +25,7 @@ def share_matrix(counts: DataFrame, totals: DataFrame, value: str = "cwe") -> Da
 
 def by_root(counts: DataFrame, roots: DataFrame) -> DataFrame:
     """Counts per root instead of CWE; a CWE without a root goes to UNKNOWN."""
-    rows = counts.join(F.broadcast(roots.select(F.col("cwe").alias("number"), "root")), "number", "left")
+    rows = counts.join(lean(roots.select(F.col("cwe").alias("number"), "root")), "number", "left")
     return rows.groupBy(*PROJECT, F.coalesce(F.col("root").cast("string"), F.lit("UNKNOWN")).alias("root")).agg(F.sum("n").alias("n"))
 
 
@@ -38,7 +40,7 @@ def presence(counts: DataFrame, value: str = "cwe", classes: tuple[str, str] = (
 
 def set_sizes(found: DataFrame, top: DataFrame, value: str = "number") -> DataFrame:
     """One row: sizes of both classes' sets, union, intersection, exclusives, and members of the Top-25 table (value)."""
-    rows = found.join(F.broadcast(top.select(value).distinct().withColumn("top", F.lit(True))), value, "left")
+    rows = found.join(lean(top.select(value).distinct().withColumn("top", F.lit(True))), value, "left")
     k, a = F.col("in_kernel"), F.col("in_application")
     return rows.agg(
         F.count_if(k).alias("kernel"), F.count_if(a).alias("application"), F.count_if(k | a).alias("in_any"), F.count_if(k & a).alias("in_both"), F.count_if(k & ~a).alias("kernel_only"),

@@ -10,9 +10,8 @@ from tallyvane.session import cut
 
 def _star(edges: DataFrame, by: list[str], larger: bool) -> DataFrame:
     """One contraction. Neighbours hang below the smallest node of each neighbourhood (large star: the larger ones only)."""
-    near = edges.select(*by, "u", "v")
-    if larger:
-        near = near.union(edges.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
+    ways = [("u", "v"), ("v", "u")] if larger else [("u", "v")]
+    near = edges.select(*by, F.inline(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ways))))
     least = near.groupBy(*by, "u").agg(F.min("v").alias("m")).select(*by, "u", F.least("u", "m").alias("m"))
     joined = near.join(least, [*by, "u"])
     if larger:
@@ -38,8 +37,9 @@ def connected_components(edges: DataFrame, by: list[str] | None = None, max_roun
         if settled:
             break
         after = cut(_star(_star(now, by, True), by, False))
-        # Stars: every node hangs below one that hangs below none.
-        settled = after.join(after.select(*by, F.col("u").alias("v")), [*by, "v"], "left_semi").isEmpty() and after.groupBy(*by, "u").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+        # Stars: no node hangs below two, nor below one and above another.
+        places = after.select(*by, F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(after.select(*by, "v", F.lit(0), F.lit(1)))
+        settled = places.groupBy(*by, "node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below + above > 1 and below > 0").isEmpty()
         now = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tallyvane.functions.findings import dominance, effect_label
+from tallyvane.operators.ranks import running_total
 from tallyvane.session import cut
 
 
@@ -184,75 +187,150 @@ def poisson_test(totals: DataFrame) -> DataFrame:
     return rows.select("chi2", erfc(F.sqrt(F.col("chi2") / 2)).alias("chi2_p"), p.alias("p")).withColumn("significant", F.col("p") < 0.05)
 
 
-def kendall(rows: DataFrame, by: list[str], x: str, y: str, least: int = 4) -> DataFrame:
-    """(by, n, concordance, tau, z): Kendall's tau-b of x and y over rows that have both, and the size of its normal
-    deviate with the variance of ties; both null under `least` rows or where x or y is constant.
+def concordance(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> int:
+    """Concordant less discordant pairs of rows that count w times (once without w); ties in x or y count nothing.
+
+    Rows are taken in the order of x and split by the bits of y's ranks: of two different ranks, one has a 0 and the other
+    a 1 in their highest differing bit. So for each bit, among rows whose higher bits agree, rows with a 1 count those with
+    a 0 that have a smaller or larger x; that is one running sum per bit.
+    """
+    order = np.lexsort((y, x))
+    rx, ry = (np.unique(v[order], return_inverse=True)[1] for v in (x, y))
+    w = np.ones(len(x), np.int64) if w is None else w[order]
+    total = 0
+    for level in range(int(ry.max(initial=0)).bit_length()):
+        group = np.argsort(ry >> level + 1, kind="stable")
+        high, one, held = ry[group] >> level + 1, ry[group] >> level & 1, w[group]
+        zeros = np.concatenate([[0], np.cumsum((1 - one) * held)])
+        block, rest = np.searchsorted(high, high, "left"), np.searchsorted(high, high, "right")
+        # Within a group rows are still in the order of x; equal x are a run of it.
+        run = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (rx[group][1:] != rx[group][:-1])]))
+        length = np.diff(np.append(run, len(x)))
+        begin, end = np.repeat(run, length), np.repeat(run + length, length)
+        total += int((one * held * ((zeros[begin] - zeros[block]) - (zeros[rest] - zeros[end]))).sum())
+    return total
+
+
+def _ranges(rows: DataFrame, by: list[str], value: str, name: str, size: int) -> DataFrame:
+    """Add `name`, the range of the value within its group: about `size` rows each, in order. Equal values are in one range,
+    and a value with more than `size` rows has one of its own, whose number is odd."""
+    counts = rows.groupBy(*by, value).agg(F.sum("w").alias("__n"))
+    key = [F.col(c).alias(f"__{c}") for c in by]
+    placed = running_total(counts, by, value, "__n", "__before")
+    spot = F.floor(F.col("__before") / size) * 2 + F.when(F.col("__n") > size, 1).otherwise(0)
+    placed = placed.select(*key, F.col(value).alias("__value"), spot.alias(name))
+    same = F.col(value) == F.col("__value")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(placed, same).drop("__value", *(f"__{c}" for c in by))
+
+
+def concordances(rows: DataFrame, by: list[str], size: int = 4096, most: int = 1000) -> DataFrame:
+    """(by, s): concordant less discordant pairs of the rows (by, x, y, w) of each group, w how often a row counts.
+
+    Each axis is cut into ranges. Pairs that share neither are told from the counts of the cells alone, at most `most` ranges
+    each way; those that share a range of x are counted inside it, and those that share one of y, but not of x, inside that.
+    A range holds a bounded part of its group; one that is a single common value has no pairs to count.
+    """
+    total = cut(rows.groupBy(*by).agg(F.sum("w").alias("__total")))
+    largest = total.agg(F.max("__total")).first()[0] or 0
+    size = max(size, -(-largest // most))
+    cells = cut(_ranges(_ranges(rows, by, "x", "rx", size), by, "y", "ry", size))
+    kinds = dict(rows.dtypes)
+    head = "".join(f"{c} {kinds[c]}, " for c in by)
+
+    def keyed(pdf: pd.DataFrame, s: int) -> pd.DataFrame:
+        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in by} | {"s": [s]})
+
+    def along_x(pdf: pd.DataFrame) -> pd.DataFrame:
+        return keyed(pdf, concordance(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy()))
+
+    def along_y(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, w = (pdf[c].to_numpy() for c in "xyw")
+        inside = sum(concordance(x[at], y[at], w[at]) for at in (np.flatnonzero(pdf["rx"].to_numpy() == r) for r in pdf["rx"].unique()) if len(at) > 1)
+        return keyed(pdf, concordance(x, y, w) - inside)
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        (_, a), (_, b) = (np.unique(pdf[c].to_numpy(), return_inverse=True) for c in ("rx", "ry"))
+        grid = np.zeros((a.max() + 2, b.max() + 2), np.int64)
+        np.add.at(grid, (a + 1, b + 1), pdf["n"].to_numpy())
+        below = grid.cumsum(0).cumsum(1)
+        left = below[:-1, :-1] - (below[:-1, -1:] - below[:-1, 1:])  # earlier in x: those lower in y less those higher
+        return keyed(pdf, int((grid[1:, 1:] * left).sum()))
+
+    schema = f"{head}s long"
+    parts = cells.where("rx % 2 = 0").groupBy(*by, "rx").applyInPandas(along_x, schema)
+    parts = parts.union(cells.where("ry % 2 = 0").groupBy(*by, "ry").applyInPandas(along_y, schema))
+    parts = parts.union(cells.groupBy(*by, "rx", "ry").agg(F.sum("w").alias("n")).groupBy(*by).applyInPandas(across, schema))
+    return parts.groupBy(*by).agg(F.sum("s").alias("s"))
+
+
+def exact_kendall(n: int, inverted: int) -> float:
+    """The chance that an order of n untied values has at most that many, or at least as many less, inversions."""
+    fewer = min(inverted, n * (n - 1) // 2 - inverted)
+    if n < 3 or 4 * fewer == n * (n - 1):
+        return 1.0
+    if fewer < 2:
+        return math.exp(math.log(2) - math.lgamma(n + 1 - fewer))
+    ways = np.array([1.0])
+    for k in range(2, n + 1):
+        ways = np.convolve(ways, np.ones(k))[: fewer + 1] / k
+    return min(1.0, 2 * float(ways.sum()))
+
+
+def kendall(rows: DataFrame, by: list[str], x: str, y: str, least: int = 4, size: int = 4096) -> DataFrame:
+    """(by, n, concordance, tau, z, p): Kendall's tau-b of x and y over rows that have both, the size of its normal deviate
+    with the variance of ties, and the two-sided p; null under `least` rows or where x or y is constant.
 
-    No pairs are built. Of two different ranks of y, one has a 0 and the other a 1 in their highest differing bit; so for
-    each bit, among rows whose higher bits agree, rows with a 1 count those with a 0 that have a smaller or larger x. That
-    is one running sum per bit.
+    p is exact where no value is tied and either the group has at most 33 rows or at most one pair stands against the rest,
+    else that of the deviate. Equal rows are counted first; see concordances for the pairs.
     """
     kept = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    rank = lambda c: (F.dense_rank().over(Window.partitionBy(*by).orderBy(c)) - 1).cast("int")
-    ranked = kept.withColumn("rx", rank("x")).withColumn("ry", rank("y")).withColumn("top", F.max("ry").over(Window.partitionBy(*by)))
-    bits = ranked.withColumn("level", F.explode(F.sequence(F.lit(0), F.length(F.bin("top")) - 1))).withColumn("high", F.expr("shiftright(ry, level + 1)")).withColumn("one", F.expr("shiftright(ry, level) & 1"))
-    here = Window.partitionBy(*by, "level", "high").orderBy("rx")
-    zeros = lambda frame: F.coalesce(F.sum(1 - F.col("one")).over(frame), F.lit(0))
-    gain = zeros(here.rangeBetween(Window.unboundedPreceding, -1)) - zeros(here.rangeBetween(1, Window.unboundedFollowing))
-    signs = bits.withColumn("gain", F.col("one") * gain).groupBy(*by).agg(F.sum("gain").cast("double").alias("s"))
+    kept = cut(kept.groupBy(*by, "x", "y").agg(F.count("*").alias("w")))
     t = F.col("t")
 
     def ties(c: str) -> DataFrame:
-        counts = kept.groupBy(*by, c).agg(F.count("*").cast("double").alias("t"))
+        counts = kept.groupBy(*by, c).agg(F.sum("w").cast("double").alias("t"))
         sums = (t * (t - 1), t * (t - 1) * (t - 2), t * (t - 1) * (2 * t + 5))
         return counts.groupBy(*by).agg(*(F.sum(v).alias(f"{c}{k}") for k, v in enumerate(sums, 1)))
 
-    out = kept.groupBy(*by).agg(F.count("*").alias("n")).join(signs, by).join(ties("x"), by).join(ties("y"), by)
-    n = F.col("n").cast("double")
+    out = kept.groupBy(*by).agg(F.sum("w").alias("n")).join(concordances(kept, by, size), by).join(ties("x"), by).join(ties("y"), by)
+    n, s = F.col("n").cast("double"), F.col("s").cast("double")
     pairs = n * (n - 1)
     free = (pairs - F.col("x1")) * (pairs - F.col("y1"))
     spread = (pairs * (2 * n + 5) - F.col("x3") - F.col("y3")) / 18 + F.col("x1") * F.col("y1") / (2 * pairs) + F.col("x2") * F.col("y2") / (9 * pairs * (n - 2))
     known = (F.col("n") >= least) & (free > 0)
-    return out.select(*by, "n", F.col("s").alias("concordance"), F.when(known, 2 * F.col("s") / F.sqrt(free)).alias("tau"), F.when(known, F.abs("s") / F.sqrt(spread)).alias("z"))
+    inverted = (pairs / 2 - s) / 2
+    untied = (F.col("x1") == 0) & (F.col("y1") == 0) & ((n <= 33) | (F.least(inverted, pairs / 2 - inverted) <= 1))
+
+    @F.pandas_udf(DoubleType())
+    def chance(n: pd.Series, inverted: pd.Series, z: pd.Series, exact: pd.Series) -> pd.Series:
+        return pd.Series([exact_kendall(int(a), round(b)) if e else math.erfc(c / math.sqrt(2)) for a, b, c, e in zip(n, inverted, z, exact)], dtype=float)
+
+    out = out.select(*by, "n", s.alias("concordance"), F.when(known, 2 * s / F.sqrt(free)).alias("tau"), F.when(known, F.abs(s) / F.sqrt(spread)).alias("z"), inverted.alias("inverted"), untied.alias("untied"))
+    p = F.when(F.col("tau").isNotNull(), chance("n", "inverted", F.coalesce("z", F.lit(0.0)), "untied"))
+    return out.withColumn("p", p).drop("inverted", "untied")
 
 
 def tau_b(x: np.ndarray, y: np.ndarray) -> float:
-    """Kendall's tau-b; nan if either is constant. Pairs are counted as in kendall, one running sum for each bit of y's ranks."""
-    n, order = len(x), np.lexsort((y, x))
-    rx, ry = (np.unique(v[order], return_inverse=True)[1] for v in (x, y))
-    pairs = n * (n - 1) / 2
-    free = [pairs - float((c * (c - 1)).sum()) / 2 for c in map(np.bincount, (rx, ry))]
-    if min(free) <= 0:
-        return math.nan
-    total = 0
-    for level in range(int(ry.max()).bit_length()):
-        group = np.argsort(ry >> level + 1, kind="stable")
-        high, one = ry[group] >> level + 1, ry[group] >> level & 1
-        zeros = np.concatenate([[0], np.cumsum(1 - one)])
-        block = np.searchsorted(high, high, "left")
-        # Within a group rows are still in the order of x; equal x are a run of it.
-        run = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (rx[group][1:] != rx[group][:-1])]))
-        length = np.diff(np.append(run, n))
-        begin, end = np.repeat(run, length), np.repeat(run + length, length)
-        rest = np.searchsorted(high, high, "right")
-        total += int((one * ((zeros[begin] - zeros[block]) - (zeros[rest] - zeros[end]))).sum())
-    return total / math.sqrt(free[0] * free[1])
+    """Kendall's tau-b; nan if either is constant."""
+    pairs = len(x) * (len(x) - 1) / 2
+    free = [pairs - float((c * (c - 1)).sum()) / 2 for c in (np.unique(v, return_counts=True)[1] for v in (x, y))]
+    return concordance(x, y) / math.sqrt(free[0] * free[1]) if min(free) > 0 else math.nan
 
 
 def kendall_p(x: np.ndarray, y: np.ndarray) -> float:
-    """Two-sided p: exact by counting inversions for up to 33 values without ties, else normal with the variance of ties."""
+    """Two-sided p: exact by counting inversions for untied values, if at most 33 or with at most one pair against the rest,
+    else normal with the variance of ties."""
     n, tau = len(x), tau_b(x, y)
     if math.isnan(tau):
         return 1.0
     t, u = (np.unique(v, return_counts=True)[1].astype(float) for v in (x, y))
     pairs = n * (n - 1) / 2
     s = round(tau * math.sqrt((pairs - (t * (t - 1)).sum() / 2) * (pairs - (u * (u - 1)).sum() / 2)))
-    if n <= 33 and len(t) == n and len(u) == n:
-        ways = np.array([1.0])
-        for k in range(2, n + 1):
-            ways = np.convolve(ways, np.ones(k)) / k
-        inverted = round((pairs - abs(s)) / 2)
-        return min(1.0, 2 * float(ways[: inverted + 1].sum()))
+    inverted = round((pairs - s) / 2)
+    if len(t) == n and len(u) == n and (n <= 33 or min(inverted, pairs - inverted) <= 1):
+        return exact_kendall(n, inverted)
     v0, vt, vu = (float((c * (c - 1) * (2 * c + 5)).sum()) for c in (np.array([float(n)]), t, u))
     v1 = float((t * (t - 1)).sum() * (u * (u - 1)).sum()) / (2 * n * (n - 1))
     v2 = float((t * (t - 1) * (t - 2)).sum() * (u * (u - 1) * (u - 2)).sum()) / (9 * n * (n - 1) * (n - 2)) if n > 2 else 0.0
@@ -264,8 +342,9 @@ def kendall_intervals(rows: DataFrame, by: list[str], x: str, y: str, key: str,
     """(by, tau, p, low, high) of groups of at least four rows that have both values.
 
     Draws come from one numpy generator per group, in the order of key, and constant samples do not count, so the ends are
-    those of a plain loop. A task holds a group's sample, one pair of numbers per project, for `block` draws, and skips
-    those of earlier blocks; a draw costs n log n.
+    those of a plain loop. One pass per group draws without counting and notes the generator's state before every `block`
+    draws; a task is given a block's state and the group's sample, one pair of numbers per project, and makes those draws
+    alone. A draw costs n log n.
     """
     kept = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     pair = F.struct(F.col(key), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
@@ -275,19 +354,32 @@ def kendall_intervals(rows: DataFrame, by: list[str], x: str, y: str, key: str,
     def whole(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(tau_b(np.array(a), np.array(b)), kendall_p(np.array(a), np.array(b))) for a, b in zip(xs, ys)], columns=["tau", "p"])
 
-    @F.pandas_udf("array<double>")
-    def replicate(xs: pd.Series, ys: pd.Series, blocks: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<string>")
+    def borders(sizes: pd.Series) -> pd.Series:
         out = []
-        for a, b, k in zip(xs.map(np.array), ys.map(np.array), blocks):
-            rng, taus = np.random.default_rng(seed), []
-            for i in range(min((k + 1) * block, draws)):
+        for n in sizes.tolist():
+            rng, states = np.random.default_rng(seed), []
+            for i in range(draws):
+                if i % block == 0:
+                    states.append(json.dumps(rng.bit_generator.state))
+                rng.integers(0, n, size=n)
+            out.append(states)
+        return pd.Series(out)
+
+    @F.pandas_udf("array<double>")
+    def replicate(xs: pd.Series, ys: pd.Series, blocks: pd.Series, states: pd.Series) -> pd.Series:
+        out, rng = [], np.random.default_rng(seed)
+        for a, b, k, state in zip(xs.map(np.array), ys.map(np.array), blocks, states):
+            rng.bit_generator.state = json.loads(state)
+            taus = []
+            for _ in range(min(block, draws - k * block)):
                 at = rng.integers(0, len(a), size=len(a))
-                if i >= k * block:
-                    taus.append(tau_b(a[at], b[at]))
+                taus.append(tau_b(a[at], b[at]))
             out.append(taus)
         return pd.Series(out)
 
     points = sample.select(*by, whole("x", "y").alias("w")).select(*by, "w.tau", "w.p")
-    blocks = sample.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // block) - 1)))).repartition(*by, "block")
-    reps = blocks.select(*by, F.explode(replicate("x", "y", "block")).alias("t"))
+    starts = cut(sample.select(*by, borders(F.size("x")).alias("states"))).select(*by, F.posexplode("states").alias("block", "state"))
+    blocks = sample.join(starts, by).repartition(*by, "block")
+    reps = blocks.select(*by, F.explode(replicate("x", "y", "block", "state")).alias("t"))
     return points.join(percentile_interval(reps, by, "t"), by)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyvane.functions.findings import canonical_cwe, function_id, normalize_path
 from tallyvane.operators.graph import connected_components
-from tallyvane.session import cut, small
+from tallyvane.operators.ranks import running_number
+from tallyvane.session import cut, lean
 
 PROJECT = ["class_name", "project"]
 FILE = [*PROJECT, "filename"]
@@ -15,13 +16,14 @@ BUCKET = 256
 
 
 def prepare(findings: DataFrame) -> DataFrame:
-    """Canonical CWE and path; findings without a usable CWE are dropped before any vote, with the null check at the scan.
-
-    position counts what is left of each project from 1, in report order.
-    """
+    """Canonical CWE and path; findings without a usable CWE are dropped before any vote, with the null check at the scan."""
     rows = findings.withColumn("cwe", canonical_cwe(F.col("cwe"))).where("cwe is not null")
-    rows = rows.withColumn("filename", normalize_path(F.col("filename"), F.col("class_name"), F.col("project"))).withColumn("tool", F.lower(F.coalesce("tool", F.lit(""))))
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*PROJECT).orderBy("finding_idx")))
+    return rows.withColumn("filename", normalize_path(F.col("filename"), F.col("class_name"), F.col("project"))).withColumn("tool", F.lower(F.coalesce("tool", F.lit(""))))
+
+
+def with_positions(findings: DataFrame) -> DataFrame:
+    """Add position, which counts each project's findings from 1 in report order, also where one project has most of them."""
+    return running_number(findings, PROJECT, ["finding_idx"], "position")
 
 
 def attach_functions(findings: DataFrame, spans: DataFrame) -> DataFrame:
@@ -42,43 +44,51 @@ def attach_functions(findings: DataFrame, spans: DataFrame) -> DataFrame:
     return best.withColumn("function", F.when(F.col("s").isNotNull(), named)).drop("s")
 
 
-def _shared(findings: DataFrame, place: str, kind: str) -> DataFrame:
-    """Hubs at places (lines or functions) where at least two tools report; the test is a combined aggregate."""
-    here = findings.where(F.col(place).isNotNull())
-    agreed = here.groupBy(*FILE, place).agg(F.min("tool").alias("a"), F.max("tool").alias("b")).where("a <> b").select(*FILE, place)
-    return here.join(agreed, [*FILE, place], "left_semi").select(*FILE, "finding_idx", F.concat(F.lit(kind), F.col(place).cast("string")).alias("hub"))
+def line_labels(findings: DataFrame) -> DataFrame:
+    """Add label: the smallest finding_idx of the line, where at least two tools report it, else the finding's own.
+
+    Same-line agreement never looks at the CWE, and a finding has one line, so these components need no search.
+    """
+    here = findings.where("line is not null").groupBy(*FILE, "line").agg(F.min("tool").alias("a"), F.max("tool").alias("b"), F.min("finding_idx").alias("first"))
+    return findings.join(here.where("a <> b").drop("a", "b"), [*FILE, "line"], "left").withColumn("label", F.coalesce("first", "finding_idx")).select(*findings.columns, "label")
 
 
-def agreement_hubs(findings: DataFrame, related: DataFrame | None) -> DataFrame:
-    """(file, finding_idx, hub): findings attached to the places where tools agree; the edges are linear in the findings.
+def function_hubs(findings: DataFrame, related: DataFrame | None) -> DataFrame:
+    """(file, finding_idx, label, hub): findings attached to the functions where tools agree; linear in the findings.
 
     related: pairs of related CWEs; findings of a function then agree only if another tool's CWE there is equal or
-    related. None: the CWE does not matter. Same-line agreement never looks at the CWE.
+    related. None: the CWE does not matter.
     """
-    hubs = _shared(findings, "line", "l")
+    here = findings.where("function is not null")
     if related is None:
-        return hubs.union(_shared(findings, "function", "f"))
-    kinds = findings.where("function is not null").select(*FILE, "function", "tool", F.col("cwe")).distinct()
+        agreed = here.groupBy(*FILE, "function").agg(F.min("tool").alias("a"), F.max("tool").alias("b")).where("a <> b").select(*FILE, "function")
+        return here.join(agreed, [*FILE, "function"], "left_semi").select(*FILE, "finding_idx", "label", F.col("function").alias("hub"))
+    kinds = here.select(*FILE, "function", "tool", "cwe").distinct()
     one, two = (kinds.withColumnRenamed("tool", f"t{k}").withColumnRenamed("cwe", f"c{k}") for k in (1, 2))
     pairs = one.join(two, [*FILE, "function"]).where("t1 < t2")
     number = lambda c: F.substr(F.col(c), F.lit(5)).cast("int")
-    related = F.broadcast(related) if small(related) else related
-    pairs = pairs.join(related, (number("c1") == F.col("a")) & (number("c2") == F.col("b")), "left").where("c1 = c2 or a is not null")
-    pairs = pairs.withColumn("hub", F.concat_ws("|", F.lit("p"), "function", "t1", "c1", "t2", "c2"))
+    pairs = pairs.join(lean(related), (number("c1") == F.col("a")) & (number("c2") == F.col("b")), "left").where("c1 = c2 or a is not null")
+    pairs = pairs.withColumn("hub", F.concat_ws("|", "function", "t1", "c1", "t2", "c2"))
     ends = pairs.select(*FILE, "function", F.explode(F.array(F.struct(F.col("t1").alias("tool"), F.col("c1").alias("cwe")), F.struct(F.col("t2").alias("tool"), F.col("c2").alias("cwe")))).alias("e"), "hub")
     ends = ends.select(*FILE, "function", "e.tool", "e.cwe", "hub")
-    return hubs.union(findings.join(ends, [*FILE, "function", "tool", "cwe"]).select(*FILE, "finding_idx", "hub"))
+    return here.join(ends, [*FILE, "function", "tool", "cwe"]).select(*FILE, "finding_idx", "label", "hub")
 
 
 def components(findings: DataFrame, hubs: DataFrame) -> DataFrame:
-    """findings with label, the smallest finding_idx that shared hubs reach, itself included.
+    """findings with the smallest label that shared hubs reach, their own included, as their label.
 
-    Findings of a hub hang on its first one, so edges are linear in them; components then come from star contractions,
+    Labels of a hub hang on its first one, so edges are linear in them; components then come from star contractions,
     whose minima combine before each shuffle: neither a hub nor a file, however many findings it has, is one group.
     """
-    hubs = cut(hubs.distinct())
-    first = hubs.groupBy(*FILE, "hub").agg(F.min("finding_idx").alias("v"))
-    edges = hubs.join(first, [*FILE, "hub"]).select(*PROJECT, F.col("finding_idx").alias("u"), "v")
-    found = connected_components(edges, PROJECT)
-    labels = found.select(*PROJECT, F.col("node").alias("finding_idx"), F.col("component").alias("label"))
-    return findings.join(labels, [*PROJECT, "finding_idx"], "left").withColumn("label", F.coalesce("label", "finding_idx"))
+    hubs = cut(hubs.select(*FILE, "label", "hub").distinct())
+    first = hubs.groupBy(*FILE, "hub").agg(F.min("label").alias("v"))
+    edges = hubs.join(first, [*FILE, "hub"]).select(*PROJECT, F.col("label").alias("u"), "v")
+    found = connected_components(edges, PROJECT).select(*PROJECT, F.col("node").alias("label"), "component")
+    return findings.join(found, [*PROJECT, "label"], "left").withColumn("label", F.coalesce("component", "label")).drop("component")
+
+
+def agree(findings: DataFrame, related: DataFrame | None, lines: DataFrame | None = None) -> DataFrame:
+    """findings with label, the smallest finding_idx of those that agree with each: on a line, in a function, or by way of
+    others. lines: the findings with line_labels, where these are there already, as both ways to vote begin with them."""
+    lines = cut(line_labels(findings)) if lines is None else lines
+    return components(lines, function_hubs(lines, related))

@@ -58,10 +58,20 @@ SELECT p_partkey AS child, CAST(floor(p_partkey / 3) AS BIGINT) AS parent, 0 AS
 UNION ALL SELECT p_partkey, CAST(floor(p_partkey / 10) AS BIGINT), 0 FROM {part} AS part WHERE p_partkey >= 30
 UNION ALL SELECT p_partkey, CAST(floor(p_partkey / 7) AS BIGINT), 1 FROM {part} AS part WHERE p_partkey >= 30 AND p_partkey % 7 = 0
 """
-FOREST_NODES = "SELECT p_partkey AS cwe FROM {part} AS part"
-FOREST_MEMBERS = "SELECT p_partkey AS cwe, CAST(11 - p_partkey AS INT) AS ord FROM {part} AS part WHERE p_partkey <= 10 AND p_partkey <> 4"
+FOREST_NODES = """SELECT p_partkey AS cwe FROM {part} AS part
+UNION ALL SELECT * FROM (VALUES (CAST(900000 AS BIGINT)), (900001), (900002), (900003), (900004), (900005), (900006), (900007), (900009), (900011), (900012)) AS v(cwe)"""
+FOREST_MEMBERS = """SELECT p_partkey AS cwe, CAST(11 - p_partkey AS INT) AS ord FROM {part} AS part WHERE p_partkey <= 10 AND p_partkey <> 4
+UNION ALL SELECT * FROM (VALUES (CAST(900002 AS BIGINT), 0), (900000, 7), (900012, 12)) AS v(cwe, ord)"""
+#: Categories over the forest: every fifth weakness is in one of 17, and some categories hold others, one of them in two ways.
+FOREST_CATEGORIES = """
+SELECT 900000 + p_partkey % 17 AS owner, p_partkey AS member, p_partkey AS ord FROM {part} AS part WHERE p_partkey % 5 = 0
+UNION ALL SELECT * FROM (VALUES (CAST(900000 AS BIGINT), CAST(900001 AS BIGINT), CAST(3 AS BIGINT)), (900001, 900003, 7), (900001, 900005, 50), (900002, 900005, 1), (900003, 900007, 100000000),
+ (900004, 900009, 2), (900005, 900011, 4), (900002, 900011, 100000000), (900012, 4, 1)) AS v(owner, member, ord)
+"""
+#: Two views over the categories; the first lists one of them itself and by another.
+FOREST_VIEWS = """SELECT * FROM (VALUES (CAST(800001 AS BIGINT), CAST(900001 AS BIGINT), CAST(0 AS BIGINT)), (800001, 900000, 1), (800001, 7, 2), (800002, 900004, 0), (800002, 900002, 1), (800002, 3, 2), (800002, 5, 3)) AS v(view_id, cwe, ord)"""
 
-TEXTS = {"forest_edges": FOREST_EDGES, "forest_nodes": FOREST_NODES, "forest_members": FOREST_MEMBERS, "findings": FINDINGS, "spans": SPANS, "metadata": METADATA, "runs": RUNS, "edges": EDGES, "nodes": NODES, "view_members": VIEW_MEMBERS}
+TEXTS = {"forest_edges": FOREST_EDGES, "forest_nodes": FOREST_NODES, "forest_members": FOREST_MEMBERS, "forest_categories": FOREST_CATEGORIES, "forest_views": FOREST_VIEWS, "findings": FINDINGS, "spans": SPANS, "metadata": METADATA, "runs": RUNS, "edges": EDGES, "nodes": NODES, "view_members": VIEW_MEMBERS}
 
 
 BASES = ("lineitem", "supplier", "nation", "region", "part")

@@ -10,17 +10,16 @@ from tallyvane.plans.fixtures import Tables
 from tallyvane.session import cut
 
 
-def clusters_of(tables: Tables, members: bool = False) -> DataFrame:
-    """All clusters of the seven rules, with representatives; their members only where asked for."""
+def clusters_of(tables: Tables, members: bool = False, numbered: bool = True) -> DataFrame:
+    """All clusters of the seven rules, with representatives; their members, and their ids, only where asked for."""
     findings = vote.attach_functions(vote.prepare(tables.get("findings")), tables.get("spans"))
-    return clusters.all_clusters(findings, tables.get("edges"), members)
+    return clusters.all_clusters(findings, tables.get("edges"), members, numbered)
 
 
 def two_tool_labels(tables: Tables) -> DataFrame:
     """Findings with the label of their component in CWE mode."""
-    findings = cut(vote.attach_functions(vote.prepare(tables.get("findings")), tables.get("spans")))
-    related = hierarchy.related_pairs(cut(hierarchy.ancestors(tables.get("edges"))))
-    return vote.components(findings, vote.agreement_hubs(findings, related))
+    findings = vote.attach_functions(vote.prepare(tables.get("findings")), tables.get("spans"))
+    return vote.agree(findings, hierarchy.related_pairs(cut(hierarchy.ancestors(tables.get("edges")))))
 
 
 def vote_and_density(tables: Tables) -> DataFrame:

@@ -11,7 +11,7 @@ from tallyvane.functions import findings as fn
 from tallyvane.operators import audit, clusters, corpus, density, distributions, hierarchy, stats, vote
 from tallyvane.plans import flagship, raw_outputs
 from tallyvane.plans.fixtures import Tables, duckdb_ctes
-from tallyvane.session import cut, scratch
+from tallyvane.session import cut, lean, scratch
 from tallyvane.sources import analyzers, documents, sinks
 
 PROJECT = ["class_name", "project"]
@@ -52,11 +52,11 @@ clusters AS MATERIALIZED (
          row_number() OVER (PARTITION BY project, mode, least ORDER BY label) AS cluster_id FROM grouped JOIN rule_table ON tools >= least
   UNION ALL SELECT class_name, project, 'one_out_of_four', finding_idx, 1, 1, 0, position FROM prep),
 members AS MATERIALIZED (
-  SELECT DISTINCT c.class_name, c.project, c.rule, c.cluster_id, p.num FROM clusters c JOIN
-    (SELECT project, finding_idx, label, 1 AS mode FROM cwe_labels UNION ALL SELECT project, finding_idx, label, 2 FROM any_labels UNION ALL SELECT project, finding_idx, finding_idx, 0 FROM prep) l
+  SELECT DISTINCT c.class_name, c.project, c.rule, c.mode, c.cluster_id, p.num FROM clusters c JOIN
+    (SELECT project, finding_idx, label, 1 AS mode FROM cwe_labels UNION ALL SELECT project, finding_idx, label, 2 FROM any_labels) l
       ON c.project = l.project AND c.min_idx = l.label AND c.mode = l.mode
   JOIN prep p ON p.project = l.project AND p.finding_idx = l.finding_idx),
-csets AS (SELECT class_name, project, rule, cluster_id, list_sort(list(num)) AS cwes FROM members GROUP BY ALL),
+csets AS (SELECT class_name, project, rule, cluster_id, list_sort(list(num)) AS cwes FROM members WHERE mode = 1 GROUP BY ALL),
 tops AS (SELECT cwes, unnest(cwes) AS top FROM (SELECT DISTINCT cwes FROM csets)),
 covers AS (SELECT cwes, top, unnest(cwes) AS num FROM tops),
 setreps AS (
@@ -66,7 +66,8 @@ setreps AS (
 reps AS (SELECT class_name, project, rule, cluster_id, representative FROM csets c JOIN setreps s ON c.cwes = s.cwes),
 counted AS (
   SELECT m.class_name, m.project, m.rule, m.num, count(*) AS n FROM members m LEFT JOIN reps r ON m.project = r.project AND m.rule = r.rule AND m.cluster_id = r.cluster_id
-  WHERE r.representative IS NULL OR r.representative = m.num GROUP BY ALL),
+  WHERE r.representative IS NULL OR r.representative = m.num GROUP BY ALL
+  UNION ALL SELECT class_name, project, 'one_out_of_four', num, count(*) FROM prep GROUP BY ALL),
 counts AS (SELECT class_name, project, cwe, num, count(*) AS n FROM prep GROUP BY ALL),
 totals AS (SELECT m.class_name, m.project, coalesce(t.n, 0) AS tot_vulns FROM metadata m LEFT JOIN (SELECT project, count(*) AS n FROM prep GROUP BY project) t ON m.project = t.project),
 shares AS (
@@ -108,6 +109,13 @@ def _shares(t: Tables) -> DataFrame:
     return distributions.share_matrix(counts, _totals(t, counts))
 
 
+def _validated_shares(t: Tables) -> DataFrame:
+    found = cut(clusters.rule_summary(flagship.clusters_of(t, numbered=False)).where("rule = 'two_out_of_four'"))
+    per_project = found.groupBy(*PROJECT).agg(F.first("tot_vulns").alias("tot_vulns"))
+    totals = t.get("metadata").select(*PROJECT).join(per_project, PROJECT, "left").fillna(0, ["tot_vulns"])
+    return distributions.share_matrix(found.select(*PROJECT, "number", "n"), totals, "number")
+
+
 def _vulns(t: Tables) -> DataFrame:
     return t.get("metadata").join(_totals(t).withColumnRenamed("tot_vulns", "vulns"), PROJECT)
 
@@ -193,7 +201,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("a10_cluster_counts", "SELECT class_name, project, 'one_out_of_four' AS rule, count(*) AS clusters FROM prep GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    raw = _prepared(t).groupBy(*PROJECT).agg(F.to_json(F.collect_list(F.struct("position", "tool"))).alias("raw"))
+    raw = _prepared(t).groupBy(*PROJECT).agg(F.to_json(F.collect_list(F.struct("finding_idx", "tool"))).alias("raw"))
     return documents.cluster_file_counts(raw.select("class_name", F.concat("project", F.lit("_one_out_of_four.json")).alias("file"), "raw"))
 
 
@@ -239,6 +247,9 @@ def _(t: Tables) -> DataFrame:
 
 # Sinks
 
+_RULES = ", ".join(f"('{r}')" for r in [*clusters.CWE_RULES.values(), *clusters.ANY_RULES.values()])
+
+
 @query("b01_report_documents", """SELECT r.class_name, r.project, r.tools, r.completed, r.findings, coalesce(f.n, 0) AS listed, f.first_file FROM (SELECT class_name, project, count(*) AS tools, count(CASE WHEN status = 'completed' THEN 1 END) AS completed,
  CAST(coalesce(sum(findings), 0) AS BIGINT) AS findings FROM run_rows GROUP BY ALL) r LEFT JOIN (SELECT project, count(*) AS n, arg_min(filename, finding_idx) AS first_file FROM findings GROUP BY project) f ON r.project = f.project""")
 def _(t: Tables) -> DataFrame:
@@ -256,40 +267,65 @@ def _(t: Tables) -> DataFrame:
     return rows.select("project", "files", "loc", "functions")
 
 
-@query("b03_class_documents", "SELECT m.class_name, m.project, m.loc AS \"LOC\", coalesce(t.n, 0) AS tot_vulns, coalesce(t.k, 0) AS cwes FROM metadata m LEFT JOIN (SELECT project, count(*) AS n, count(DISTINCT cwe) AS k FROM prep GROUP BY project) t ON m.project = t.project")
+@query("b03_class_documents", f"""SELECT m.class_name, m.project, r.rule, coalesce(m.loc, 0) AS loc, coalesce(m.functions, 0) AS functions, coalesce(h.n, 0) AS hits, coalesce(v.n, 0) AS tot_vulns, coalesce(c.k, 0) AS cwes, coalesce(c.n, 0) AS counted, c.listed
+ FROM metadata m CROSS JOIN (SELECT * FROM (VALUES {_RULES}) AS v(rule)) r LEFT JOIN (SELECT project, count(*) AS n FROM prep GROUP BY project) h ON m.project = h.project
+ LEFT JOIN (SELECT project, rule, count(*) AS n FROM clusters GROUP BY ALL) v ON m.project = v.project AND r.rule = v.rule
+ LEFT JOIN (SELECT project, rule, count(*) AS k, CAST(sum(n) AS BIGINT) AS n, string_agg(concat('CWE-', CASE WHEN num < 100 THEN lpad(CAST(num AS VARCHAR), 3, '0') ELSE CAST(num AS VARCHAR) END), ',' ORDER BY num) AS listed FROM counted GROUP BY ALL) c ON m.project = c.project AND r.rule = c.rule""")
 def _(t: Tables) -> DataFrame:
-    findings = vote.prepare(t.get("findings")).withColumn("function", F.lit(None).cast("string"))
-    single = clusters.single_clusters(findings).withColumn("representative", F.get("cwes", F.lit(0)))
-    docs = clusters.project_documents(clusters.rule_summary(single), clusters.hits_per_tool(findings), t.get("metadata"))
-    rule = F.col("rules")["one_out_of_four"]
-    return docs.select(*PROJECT, "LOC", F.coalesce(rule["tot_vulns"], F.lit(0)).alias("tot_vulns"), F.coalesce(F.size(rule["unique_cwes"]).cast("long"), F.lit(0)).alias("cwes"))
-
-
-_RULES = ", ".join(f"('{r}')" for r in [*clusters.CWE_RULES.values(), *clusters.ANY_RULES.values()])
+    """Written, one document for each class, and read back; every project has all rules."""
+    path = scratch(t.spark, "summaries")
+    found = cut(flagship.clusters_of(t, numbered=False))
+    docs = clusters.project_documents(clusters.rule_summary(found), clusters.hits_per_tool(_prepared(t)), t.get("metadata"))
+    sinks.write_summaries(docs, path)
+    back = documents.read_class_summaries(t.spark, path)
+    total = lambda c: F.aggregate(F.map_values(c), F.lit(0).cast("long"), lambda a, x: a + x)
+    listed = F.when(F.size("vulns_per_cwe") > 0, F.array_join(F.map_keys("vulns_per_cwe"), ","))
+    return back.select(*PROJECT, "rule", "loc", "functions", total("hits").alias("hits"), "tot_vulns", F.size("vulns_per_cwe").cast("long").alias("cwes"), total("vulns_per_cwe").alias("counted"), listed.alias("listed"))
 
 
-@query("b02_cluster_files", f"SELECT m.class_name, m.project, r.rule, coalesce(c.n, 0) AS clusters, coalesce(c.size, 0) AS findings FROM metadata m CROSS JOIN (SELECT * FROM (VALUES {_RULES}) AS v(rule)) r LEFT JOIN (SELECT project, rule, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM clusters GROUP BY ALL) c ON m.project = c.project AND r.rule = c.rule")
+@query("b02_cluster_files", f"""SELECT m.class_name, m.project, r.rule, coalesce(c.n, 0) AS clusters, coalesce(c.size, 0) AS findings, coalesce(w.cwes, 0) AS cwes, p.representatives FROM metadata m CROSS JOIN (SELECT * FROM (VALUES {_RULES}) AS v(rule)) r
+ LEFT JOIN (SELECT project, rule, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM clusters GROUP BY ALL) c ON m.project = c.project AND r.rule = c.rule
+ LEFT JOIN (SELECT project, rule, count(*) AS cwes FROM members GROUP BY ALL UNION ALL SELECT project, 'one_out_of_four', count(*) FROM prep GROUP BY ALL) w ON m.project = w.project AND r.rule = w.rule
+ LEFT JOIN (SELECT project, rule, string_agg(concat('CWE-', CAST(representative AS VARCHAR)), ',' ORDER BY cluster_id) AS representatives FROM reps GROUP BY ALL UNION ALL SELECT project, 'one_out_of_four', string_agg(cwe, ',' ORDER BY position) FROM prep GROUP BY ALL) p ON m.project = p.project AND r.rule = p.rule""")
 def _(t: Tables) -> DataFrame:
     """Written, one file for every project and rule, and read back; an empty rule has a file as well."""
     path = scratch(t.spark, "clusters")
     sinks.write_clusters(flagship.clusters_of(t, members=True), path, t.get("metadata"), documents.RULES)
-    back = documents.read_clusters(t.spark, path)
-    sizes = F.coalesce(F.sum(F.size("findings").cast("long")), F.lit(0)).alias("findings")
-    return back.groupBy(*PROJECT, "rule").agg(F.count("cluster_id").alias("clusters"), sizes)
+    long = lambda c, name: F.coalesce(F.sum(F.size(c).cast("long")), F.lit(0).cast("long")).alias(name)
+    named = F.transform(F.array_sort(F.collect_list(F.when(F.col("representative_cwe").isNotNull(), F.struct("cluster_id", "representative_cwe")))), lambda x: x["representative_cwe"])
+    sums = documents.read_clusters(t.spark, path).groupBy(*PROJECT, "rule").agg(long("findings", "findings"), long("cwes", "cwes"), F.when(F.size(named) > 0, F.array_join(named, ",")).alias("representatives"))
+    return documents.read_cluster_counts(t.spark, path).join(sums, [*PROJECT, "rule"], "left").fillna(0, ["findings", "cwes"]).select(*PROJECT, "rule", "clusters", "findings", "cwes", "representatives")
+
+
+#: Taxonomy in both engines: applications by category but for one, kernels by a hand-made selection for projects with three folders.
+_CELLS = """cells AS (SELECT *, CASE WHEN class_name = 'application' THEN CASE WHEN category < 'E' THEN split_part(category, ' ', 1) END WHEN n_folders > 0 THEN concat(CASE WHEN n_folders = 3 THEN 5 ELSE n_folders END, ' folders') END AS taxonomy_code,
+ CASE WHEN class_name = 'application' THEN CASE WHEN category < 'E' THEN category END WHEN n_folders > 0 THEN array_to_string(list_transform(range(1, CASE WHEN n_folders = 3 THEN 6 ELSE n_folders + 1 END), lambda k: concat('src', k)), ', ') END AS taxonomy_label FROM vulns)"""
+
+
+def _reports(t: Tables) -> DataFrame:
+    folders = lambda n: F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("src"), k.cast("string")))
+    meta = t.get("metadata")
+    selection = meta.where("n_folders = 3").select(F.upper("project").alias("project"), folders(F.lit(5)).alias("folders"))
+    repos = meta.where("category < 'E'").select(F.concat(F.lit("Org/"), F.upper("project"), F.lit("-SRC ")).alias("repo"), "category", F.lit("").alias("subcategory"), F.monotonically_increasing_id().alias("row_no"))
+    own = meta.select(*PROJECT, F.when(F.col("n_folders") > 0, folders(F.col("n_folders"))).alias("folders"))
+    return density.taxonomy_cells(_vulns(t), selection, documents.application_taxonomy(repos), own)
 
 
-@query("b05_density_table", "SELECT class_name, project, loc, vulns, round(vulns * 1000.0 / functions, 6) AS per_kfunctions, round(vulns * 1000.0 / loc, 6) AS per_kloc FROM vulns")
+@query("b05_density_table", ", " + _CELLS + """ SELECT class_name, project, taxonomy_code, taxonomy_label, CASE WHEN class_name = 'kernel' THEN replace(taxonomy_label, ', ', '; ') END AS folders, CAST(vulns AS VARCHAR) AS vulns, CAST(functions AS VARCHAR) AS functions, CAST(loc AS VARCHAR) AS loc,
+ format('{:.12g}', vulns * 1000.0::DOUBLE / functions) AS per_kfunctions, format('{:.12g}', vulns * 1000.0::DOUBLE / loc) AS per_kloc, CASE WHEN functions IS NULL AND loc IS NULL THEN 'NULL' WHEN functions IS NULL OR loc IS NULL THEN 'metadata/partial' ELSE 'metadata' END AS denominator_source FROM cells""")
 def _(t: Tables) -> DataFrame:
-    """Written as CSV and read back."""
+    """Written as CSV and read back as text."""
     path = scratch(t.spark, "density")
-    rows = density.with_densities(_vulns(t)).select(*PROJECT, "loc", "vulns", "per_kfunctions", "per_kloc")
-    sinks.write_table(rows, path)
-    return _round(t.spark.read.schema(rows.schema).option("header", True).csv(path), "per_kfunctions", "per_kloc")
+    meta = t.get("metadata")
+    sources = density.denominators(meta.select(*PROJECT), meta, meta.limit(0)).select(*PROJECT, "denominator_source")
+    sinks.write_table(density.density_table(_reports(t).join(sources, PROJECT)), path)
+    schema = ", ".join(f"`{c}` string" for c in density.DENSITY_COLUMNS)
+    return t.spark.read.schema(schema).option("header", True).csv(path).toDF(*density.DENSITY_COLUMNS.values())
 
 
 @query("b06_voting_totals", "SELECT rule, count(*) AS votes FROM clusters WHERE mode <> 2 GROUP BY rule UNION ALL SELECT 'TOTAL', count(*) FROM clusters WHERE mode <> 2")
 def _(t: Tables) -> DataFrame:
-    found = flagship.clusters_of(t).where(F.col("rule").rlike("out_of_four$")).rollup("rule").agg(F.count("*").alias("votes"))
+    found = flagship.clusters_of(t, numbered=False).where(F.col("rule").rlike("out_of_four$")).rollup("rule").agg(F.count("*").alias("votes"))
     return found.select(F.coalesce("rule", F.lit("TOTAL")).alias("rule"), "votes")
 
 
@@ -397,7 +433,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("d01_with_cwe", "SELECT class_name, project, finding_idx, position FROM prep")
 def _(t: Tables) -> DataFrame:
-    return _prepared(t).select(*PROJECT, "finding_idx", F.col("position").cast("long").alias("position"))
+    return vote.with_positions(_prepared(t).select(*PROJECT, "finding_idx"))
 
 
 @query("d02_completed_runs", "SELECT class_name, project, tool, findings FROM run_rows")
@@ -444,8 +480,8 @@ def _(t: Tables) -> DataFrame:
  JOIN placed b ON a.project = b.project AND a.function = b.function AND a.tool < b.tool JOIN rel ON rel.a = a.num AND rel.b = b.num) GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
     rows = cut(vote.attach_functions(_prepared(t), t.get("spans")))
-    hubs = vote.agreement_hubs(rows, hierarchy.related_pairs(hierarchy.ancestors(t.get("edges")))).where("hub like 'p|%'")
-    parts = hubs.select("project", F.get(F.split("hub", r"\|"), F.lit(1)).alias("function"), "hub").distinct()
+    hubs = vote.function_hubs(vote.line_labels(rows), hierarchy.related_pairs(hierarchy.ancestors(t.get("edges"))))
+    parts = hubs.select("project", F.get(F.split("hub", r"\|"), F.lit(0)).alias("function"), "hub").distinct()
     return parts.groupBy("project", "function").agg(F.count("*").alias("pairs"))
 
 
@@ -473,7 +509,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("e10_taxonomy_join", "SELECT class_name, project, CASE WHEN category < 'B' THEN category END AS category FROM metadata")
 def _(t: Tables) -> DataFrame:
-    table = t.get("metadata").where("category < 'B'").select(F.concat(F.upper("project"), F.lit(" ")).alias("repo"), "category", F.lit(None).cast("string").alias("subcategory"), F.lit(1).alias("row_no"))
+    repo = F.concat(F.lit("Org/"), F.upper("project"), F.when(F.col("loc") % 2 == 0, "-Src ").otherwise(""))
+    table = t.get("metadata").where("category < 'B'").select(repo.alias("repo"), "category", F.lit(None).cast("string").alias("subcategory"), F.lit(1).alias("row_no"))
     return density.with_taxonomy(t.get("metadata").select(*PROJECT), documents.application_taxonomy(table)).select(*PROJECT, "category")
 
 
@@ -490,6 +527,34 @@ def _(t: Tables) -> DataFrame:
     return audit.merge_runs(rows, fresh, runs).groupBy("project", "tool").agg(F.count("*").alias("n"))
 
 
+@query("e12_merged_report", """, again AS (SELECT class_name, project, tool FROM runs WHERE tool = 'semgrep' OR tool = 'codeql' AND class_name = 'kernel'),
+ merged AS (SELECT f.*, 0 AS lot FROM findings f ANTI JOIN again a ON f.project = a.project AND f.tool = a.tool UNION ALL SELECT *, 1 FROM findings WHERE tool = 'codeql' AND class_name = 'kernel' AND finding_idx % 2 = 0),
+ placed_again AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY filename, coalesce(line, -1), tool, rule, lot, finding_idx) AS place FROM merged),
+ tools AS (SELECT class_name, project, tool, CASE WHEN tool = 'semgrep' OR tool = 'codeql' AND class_name = 'kernel' THEN 'completed' ELSE status END AS status FROM runs)
+ SELECT t.class_name, t.project, t.tools, t.completed, t.failed, coalesce(p.n, 0) AS findings, t.listed, p.sum_places FROM
+ (SELECT class_name, project, count(*) AS tools, count(CASE WHEN status = 'completed' THEN 1 END) AS completed, count(CASE WHEN status = 'failed' THEN 1 END) AS failed, string_agg(concat(tool, ':', status), ',' ORDER BY tool) AS listed FROM tools GROUP BY ALL) t
+ LEFT JOIN (SELECT project, count(*) AS n, CAST(sum(place * coalesce(line, 0)) AS BIGINT) AS sum_places FROM placed_again GROUP BY project) p ON t.project = p.project""")
+def _(t: Tables) -> DataFrame:
+    """Two tools ran again, one of them without findings; the merged reports as documents, in order."""
+    rows, runs = t.get("findings"), _runs(t)
+    again = "tool = 'semgrep' or tool = 'codeql' and class_name = 'kernel'"
+    fresh = rows.where("tool = 'codeql' and class_name = 'kernel' and finding_idx % 2 = 0")
+    docs = audit.merged_documents(runs, rows, runs.where(again).withColumn("status", F.lit("completed")), fresh)
+    listed = F.array_join(F.transform("tools", lambda x: F.concat(x["tool"], F.lit(":"), x["status"])), ",")
+    places = F.transform("findings", lambda x, k: (k + 1) * F.coalesce(x["line"], F.lit(0)).cast("long"))
+    total = F.when(F.size("findings") > 0, F.aggregate(places, F.lit(0).cast("long"), lambda a, x: a + x))
+    counted = [F.col(f"summary.{c}").cast("long").alias(c) for c in ("tools", "completed", "failed", "findings")]
+    return docs.select(*PROJECT, *counted, listed.alias("listed"), total.alias("sum_places"))
+
+
+@query("e13_validated_shares", """, v AS (SELECT project, count(*) AS n FROM clusters WHERE rule = 'two_out_of_four' GROUP BY project), c AS (SELECT * FROM counted WHERE rule = 'two_out_of_four')
+ SELECT m.class_name, m.project, g.num AS number, round(CASE WHEN v.n > 0 THEN coalesce(c.n, 0) * 100.0 / v.n ELSE 0.0 END, 6) AS share FROM metadata m
+ JOIN (SELECT DISTINCT class_name, num FROM c) g ON m.class_name = g.class_name LEFT JOIN v ON m.project = v.project LEFT JOIN c ON c.project = m.project AND c.num = g.num""")
+def _(t: Tables) -> DataFrame:
+    """Shares of the clusters that two tools agree on, each counted for its representative, or else for all its CWEs."""
+    return _round(_validated_shares(t), "share")
+
+
 @query("e13_share_matrix", "SELECT class_name, project, cwe, round(share, 6) AS share FROM shares")
 def _(t: Tables) -> DataFrame:
     return _round(_shares(t), "share")
@@ -545,7 +610,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("f07_rule_summary", "SELECT c.class_name, c.project, c.rule, c.num AS number, c.n, t.tot_vulns FROM counted c JOIN (SELECT project, rule, count(*) AS tot_vulns FROM clusters GROUP BY ALL) t ON c.project = t.project AND c.rule = t.rule")
 def _(t: Tables) -> DataFrame:
-    return clusters.rule_summary(flagship.clusters_of(t)).select(*PROJECT, "rule", "number", "n", "tot_vulns")
+    return clusters.rule_summary(flagship.clusters_of(t, numbered=False)).select(*PROJECT, "rule", "number", "n", "tot_vulns")
 
 
 _TOTALS = "SELECT class_name, count(*) AS projects, CAST(sum(vulns) AS BIGINT) AS vulns, CAST(sum(functions) AS BIGINT) AS functions, CAST(sum(loc) AS BIGINT) AS loc, round(sum(CASE WHEN functions IS NOT NULL THEN vulns END) * 1000.0 / sum(functions), 6) AS per_kfunctions, round(sum(CASE WHEN loc IS NOT NULL THEN vulns END) * 1000.0 / sum(loc), 6) AS per_kloc FROM {} GROUP BY class_name"
@@ -556,14 +621,16 @@ def _(t: Tables) -> DataFrame:
     return _round(density.class_totals(_vulns(t), ["class_name"]), "per_kfunctions", "per_kloc")
 
 
-@query("f09_category_density", "SELECT split_part(category, ' ', 1) AS code, category, count(*) AS projects, CAST(sum(vulns) AS BIGINT) AS vulns, CAST(sum(functions) AS BIGINT) AS functions, round(sum(vulns) * 1000.0 / sum(functions), 6) AS density FROM vulns GROUP BY ALL HAVING sum(functions) > 0")
+@query("f09_category_density", ", " + _CELLS + " SELECT 'functions' AS size, coalesce(taxonomy_code, 'NULL') AS code, coalesce(taxonomy_label, 'Unclassified') AS category, count(*) AS projects, CAST(sum(vulns) AS BIGINT) AS vulns, CAST(sum(functions) AS BIGINT) AS total, round(sum(vulns) * 1000.0 / sum(functions), 6) AS density FROM cells GROUP BY ALL HAVING sum(functions) > 0 UNION ALL SELECT 'loc', coalesce(taxonomy_code, 'NULL'), coalesce(taxonomy_label, 'Unclassified'), count(*), CAST(sum(vulns) AS BIGINT), CAST(sum(loc) AS BIGINT), round(sum(vulns) * 1000.0 / sum(loc), 6) FROM cells GROUP BY ALL HAVING sum(loc) > 0")
 def _(t: Tables) -> DataFrame:
-    return _round(density.category_density(_vulns(t)), "density")
+    rows = cut(_reports(t))
+    per = [density.category_density(rows, size).select(F.lit(size).alias("size"), "code", "category", "projects", "vulns", F.col(size).alias("total"), "density") for size in ("functions", "loc")]
+    return _round(per[0].union(per[1]), "density")
 
 
 @query("f10_votes_per_rule", "SELECT rule, count(*) AS votes FROM clusters WHERE mode <> 2 GROUP BY rule")
 def _(t: Tables) -> DataFrame:
-    found = flagship.clusters_of(t)
+    found = flagship.clusters_of(t, numbered=False)
     return density.votes_per_rule(sinks.rule_totals(t.get("metadata"), found, list(clusters.CWE_RULES.values()))).where("votes > 0")
 
 
@@ -606,25 +673,25 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("f17_chunk_status", """SELECT o_custkey, CASE WHEN count(*) = c THEN 'completed' WHEN f > 0 THEN 'failed' WHEN p > 0 THEN 'timeout' ELSE 'failed' END AS status,
- concat(CAST(c AS STRING), '/', CAST(count(*) AS STRING), ' chunks completed', CASE WHEN names IS NULL THEN '' ELSE concat('; failed: ', names) END) AS message FROM (
+ CASE WHEN c < count(*) THEN concat(CAST(c AS STRING), '/', CAST(count(*) AS STRING), ' chunks completed; failed: ', names) END AS message FROM (
  SELECT o_custkey, s, count(CASE WHEN s = 'completed' THEN 1 END) OVER w AS c, count(CASE WHEN s = 'failed' THEN 1 END) OVER w AS f, count(CASE WHEN s = 'timeout' THEN 1 END) OVER w AS p, n.names
  FROM (SELECT *, CASE o_orderkey % 9 WHEN 0 THEN 'failed' WHEN 1 THEN 'timeout' WHEN 2 THEN 'skipped' ELSE 'completed' END AS s FROM orders)
- LEFT JOIN (SELECT o_custkey AS k, string_agg(CAST(o_orderkey AS STRING), ', ' ORDER BY CAST(o_orderkey AS STRING)) AS names FROM orders WHERE o_orderkey % 9 < 3 GROUP BY o_custkey) n ON o_custkey = n.k
+ LEFT JOIN (SELECT o_custkey AS k, string_agg(concat(CAST(o_orderkey AS STRING), CASE o_orderkey % 9 WHEN 0 THEN concat(' (failed, exit ', CAST(o_orderkey % 200 AS STRING), ')') WHEN 1 THEN ' (timeout)' ELSE ' (skipped)' END), ', ' ORDER BY CAST(o_orderkey AS STRING)) AS names FROM orders WHERE o_orderkey % 9 < 3 GROUP BY o_custkey) n ON o_custkey = n.k
  WINDOW w AS (PARTITION BY o_custkey)) GROUP BY o_custkey, c, f, p, names""")
 def _(t: Tables) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, ["failed", "timeout", "skipped"] + ["completed"] * 6)), (F.col("o_orderkey") % 9 + 1).cast("int"))
-    return audit.chunk_status(t.base("orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("chunk"), status.alias("status")), ["o_custkey"])
+    code = F.when(F.col("o_orderkey") % 9 == 0, (F.col("o_orderkey") % 200).cast("int")).when(F.col("o_orderkey") % 9 > 2, 0)
+    return audit.chunk_status(t.base("orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("chunk"), status.alias("status"), code.alias("exit_code")), ["o_custkey"])
 
 
-@query("f18_project_report", "SELECT class_name, project, vulns, functions, loc, round(vulns * 1000.0 / functions, 6) AS per_kfunctions, round(vulns * 1000.0 / loc, 6) AS per_kloc, concat(CAST(CASE WHEN n_folders = 3 THEN 5 ELSE coalesce(n_folders, 0) END AS STRING), ' folders') AS taxonomy FROM vulns UNION ALL SELECT class_name, 'TOTAL', vulns, functions, loc, per_kfunctions, per_kloc, NULL FROM (" + _TOTALS.format("vulns") + ")")
+@query("f18_project_report", ", " + _CELLS + " SELECT class_name, project, vulns, functions, loc, round(vulns * 1000.0 / functions, 6) AS per_kfunctions, round(vulns * 1000.0 / loc, 6) AS per_kloc, taxonomy_code AS taxonomy FROM cells UNION ALL SELECT class_name, 'TOTAL', vulns, functions, loc, per_kfunctions, per_kloc, NULL FROM (" + _TOTALS.format("vulns") + ")")
 def _(t: Tables) -> DataFrame:
-    """Projects with three folders have a hand-made selection of five; others their metadata's folders, or none."""
-    folders = lambda n: F.array_repeat(F.lit("src"), n)
-    chosen = t.get("metadata").where("n_folders = 3").select(F.upper("project").alias("project"), folders(F.lit(5)).alias("folders"))
-    rows = density.folder_cells(_vulns(t), chosen, t.get("metadata").select(*PROJECT, F.when(F.col("n_folders").isNotNull(), folders(F.col("n_folders"))).alias("folders")))
+    """Applications show their category's code, kernels the number of their folders; either may be missing."""
+    rows = cut(_reports(t))
     shown = [*PROJECT, "vulns", "functions", "loc", "per_kfunctions", "per_kloc", "taxonomy"]
     total = density.class_totals(rows, ["class_name"]).withColumn("project", F.lit("TOTAL")).withColumn("taxonomy", F.lit(None).cast("string"))
-    return _round(density.with_densities(rows).select(*shown).unionByName(total.select(*shown)), "per_kfunctions", "per_kloc")
+    rows = density.with_densities(rows).withColumnRenamed("taxonomy_code", "taxonomy")
+    return _round(rows.select(*shown).unionByName(total.select(*shown)), "per_kfunctions", "per_kloc")
 
 
 # Graphs
@@ -632,13 +699,13 @@ def _(t: Tables) -> DataFrame:
 @query("g01_ancestor_counts", "SELECT a.ancestor, CAST(sum(c.n) AS BIGINT) AS n FROM counts c JOIN anc a ON c.num = a.cwe WHERE a.cwe <> a.ancestor GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     closure = hierarchy.ancestors(t.get("edges"))
-    return _counts(t).drop("cwe").join(F.broadcast(closure), F.col("number") == closure["cwe"]).groupBy("ancestor").agg(F.sum("n").alias("n"))
+    return _counts(t).drop("cwe").join(lean(closure), F.col("number") == closure["cwe"]).groupBy("ancestor").agg(F.sum("n").alias("n"))
 
 
 @query("g02_related", "SELECT a.num AS x, b.num AS y, count(*) AS projects FROM counts a JOIN counts b ON a.project = b.project JOIN (SELECT a, b FROM rel GROUP BY ALL) r ON r.a = a.num AND r.b = b.num WHERE a.num <> b.num GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     pairs = hierarchy.related_pairs(hierarchy.ancestors(t.get("edges")))
-    one = _counts(t).select("project", F.col("number").alias("x")).join(F.broadcast(pairs), F.col("x") == F.col("a"))
+    one = _counts(t).select("project", F.col("number").alias("x")).join(lean(pairs), F.col("x") == F.col("a"))
     two = _counts(t).select("project", F.col("number").alias("y"))
     return one.join(two, (one["project"] == two["project"]) & (F.col("b") == F.col("y"))).groupBy("x", "y").agg(F.count("*").alias("projects"))
 
@@ -653,7 +720,7 @@ def _(t: Tables) -> DataFrame:
     last = nation.groupBy("n_regionkey").agg((F.max("n_nationkey") + 1000).cast("long").alias("owner"))
     members = customer.select((F.col("n_nationkey") + 1000).cast("long").alias("owner"), person, F.col("c_custkey").cast("long").alias("ord"))
     again = customer.where("c_custkey % 10 = 0").join(F.broadcast(last), "n_regionkey").select("owner", person, F.col("c_custkey").cast("long").alias("ord"))
-    found = hierarchy.view_parents(hierarchy.view_membership(views, members.union(again)))
+    found = hierarchy.view_parents(views, members.union(again))
     return found.where("cwe >= 1000000").groupBy("view_id", "parent").agg(F.count("*").alias("n"))
 
 
@@ -661,7 +728,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     members = t.base("part").where("p_partkey > 1").select(F.expr("p_partkey div 2").alias("owner"), F.col("p_partkey").alias("member"), F.col("p_partkey").alias("ord"))
     starts = t.base("part").where("p_partkey in (2, 5)").select(F.col("p_partkey").alias("cwe"))
-    return hierarchy.category_descendants(starts, members, 5).groupBy("start", "depth").agg(F.count("*").alias("n"))
+    return hierarchy.category_descendants(starts, members, 5).groupBy("start", "depth").agg(F.sum("times").alias("n"))
 
 
 @query("g03_representatives", "SELECT c.class_name, c.project, c.rule, c.cluster_id, r.representative FROM clusters c LEFT JOIN reps r ON c.project = r.project AND c.rule = r.rule AND c.cluster_id = r.cluster_id WHERE c.mode > 0")
@@ -676,28 +743,32 @@ def _(t: Tables) -> DataFrame:
 
 @query("g05_vote_by_place", "SELECT p.class_name, p.project, p.finding_idx, label FROM prep p JOIN any_labels l ON p.project = l.project AND p.finding_idx = l.finding_idx")
 def _(t: Tables) -> DataFrame:
-    rows = cut(vote.attach_functions(_prepared(t), t.get("spans")))
-    return vote.components(rows, vote.agreement_hubs(rows, None)).select(*PROJECT, "finding_idx", "label")
+    return vote.agree(vote.attach_functions(_prepared(t), t.get("spans")), None).select(*PROJECT, "finding_idx", "label")
 
 
 @query("g06_top_parents", "SELECT c.num AS number, CASE WHEN c.num IN (110, 111, 112, 120, 121) THEN 100 WHEN c.num IN (210, 211) THEN 200 END AS top_parent, CAST(sum(c.n) AS BIGINT) AS n FROM counts c GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     found = hierarchy.top_parents(t.get("nodes"), t.get("edges")).select(F.col("cwe").alias("number"), "top_parent")
-    return _counts(t).groupBy("number").agg(F.sum("n").alias("n")).join(F.broadcast(found), "number", "left")
+    return _counts(t).groupBy("number").agg(F.sum("n").alias("n")).join(lean(found), "number", "left")
 
 
-@query("g08_view_paths", "SELECT c.num AS number, CASE c.num WHEN 100 THEN '100' WHEN 110 THEN '100>110' WHEN 111 THEN '100>110>111' WHEN 112 THEN '100>110>112' WHEN 120 THEN '100>120' WHEN 121 THEN '100>120>121' WHEN 210 THEN '200>210' WHEN 211 THEN '200>210>211' END AS path, CAST(sum(c.n) AS BIGINT) AS n FROM counts c GROUP BY ALL")
+@query("g08_view_paths", "SELECT c.num AS number, CASE c.num WHEN 100 THEN '100' WHEN 110 THEN '100>110' WHEN 111 THEN '100>111' WHEN 112 THEN '100>112' WHEN 120 THEN '100>120' WHEN 121 THEN '100>121' WHEN 210 THEN '200>210' WHEN 211 THEN '200>211' END AS path, CAST(sum(c.n) AS BIGINT) AS n FROM counts c GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    members = t.get("view_members").where("view_id = 1000").select("cwe")
-    paths = hierarchy.paths_in_view(t.get("nodes"), members, t.get("edges")).select(F.col("cwe").alias("number"), F.array_join("path", ">").alias("path"))
-    return _counts(t).groupBy("number").agg(F.sum("n").alias("n")).join(F.broadcast(paths), "number", "left")
+    """The view's only members are 100 and 200; CWEs between a CWE and the one it hangs below are not in its path."""
+    pairs, none = t.get("nodes").withColumn("view_id", F.lit(1000)), t.spark.createDataFrame([], "owner int, member int, ord int")
+    paths = hierarchy.paths_in_views(pairs, t.get("view_members"), none, t.get("edges")).select(F.col("cwe").alias("number"), F.array_join("path", ">").alias("path"))
+    return _counts(t).groupBy("number").agg(F.sum("n").alias("n")).join(lean(paths), "number", "left")
 
 
 _CLIMB = """, up AS (SELECT child, parent FROM forest_edges WHERE ord = 0),
 climb AS (SELECT cwe, cwe AS here, 0 AS height FROM forest_nodes UNION ALL SELECT c.cwe, u.parent, height + 1 FROM climb c JOIN up u ON c.here = u.child)
 """
-_WAYS = """, ways AS (SELECT cwe, cwe AS top, ord AS place, 1 AS depth, [cwe] AS path FROM forest_members
- UNION ALL SELECT e.child, w.top, w.place, depth + 1, list_append(path, e.child) FROM ways w JOIN forest_edges e ON w.cwe = e.parent)
+#: Every visit of a walk through the views, which enters a category each time; how a CWE hangs after the last; and the paths.
+_VISITS = """, visits AS (SELECT view_id, view_id AS parent, cwe, [ord] AS visit FROM forest_views
+ UNION ALL SELECT view_id, v.cwe, c.member, list_append(visit, c.ord) FROM visits v JOIN forest_categories c ON v.cwe = c.owner),
+hung AS (SELECT view_id, cwe, arg_max(parent, visit) AS parent FROM visits GROUP BY ALL),
+up_paths AS (SELECT view_id, cwe, cwe AS here, [cwe] AS path FROM hung UNION ALL SELECT u.view_id, u.cwe, h.parent, list_prepend(h.parent, path) FROM up_paths u JOIN hung h ON u.view_id = h.view_id AND u.here = h.cwe WHERE h.parent <> h.view_id),
+view_paths AS (SELECT view_id, cwe, arg_max(path, len(path)) AS path FROM up_paths GROUP BY ALL)
 """
 
 
@@ -706,34 +777,61 @@ def _(t: Tables) -> DataFrame:
     return hierarchy.top_parents(t.get("forest_nodes"), t.get("forest_edges")).select("cwe", "top_parent")
 
 
-@query("g08_forest_paths", _CLIMB + _WAYS + """, best AS (SELECT cwe, arg_min(path, [CAST(depth AS BIGINT)] || path) AS path FROM ways GROUP BY cwe),
- near AS (SELECT c.cwe, min(height) AS height, arg_min(path, height) AS path FROM climb c JOIN best b ON c.here = b.cwe GROUP BY c.cwe)
- SELECT n.cwe, array_to_string(CASE WHEN height = 0 THEN path WHEN height > 0 THEN list_append(path, n.cwe) END, '>') AS path FROM forest_nodes n LEFT JOIN near r ON n.cwe = r.cwe""")
+@query("g08_forest_paths", _CLIMB + _VISITS + """, asked AS (SELECT cwe, view_id FROM forest_nodes CROSS JOIN (SELECT * FROM (VALUES (800001), (800002), (800003)) AS v(view_id)) AS w),
+ near AS (SELECT c.cwe, b.view_id, min(height) AS height, arg_min(path, height) AS path FROM climb c JOIN view_paths b ON c.here = b.cwe GROUP BY ALL)
+ SELECT n.cwe, CAST(n.view_id AS BIGINT) AS view_id, array_to_string(CASE WHEN height = 0 THEN path WHEN height > 0 THEN list_append(path, n.cwe) END, '>') AS path FROM asked n LEFT JOIN near r ON n.cwe = r.cwe AND n.view_id = r.view_id""")
 def _(t: Tables) -> DataFrame:
-    members = t.get("forest_members").select("cwe")
-    return hierarchy.paths_in_view(t.get("forest_nodes"), members, t.get("forest_edges")).select("cwe", F.array_join("path", ">").alias("path"))
+    """Every node in two views and in one that the catalog does not have."""
+    pairs = t.get("forest_nodes").withColumn("view_id", F.explode(F.array(*(F.lit(v).cast("long") for v in (800001, 800002, 800003)))))
+    rows = hierarchy.paths_in_views(pairs, t.get("forest_views"), t.get("forest_categories"), t.get("forest_edges"))
+    return rows.select("cwe", "view_id", F.array_join("path", ">").alias("path"))
 
 
-@query("g11_forest_roots", _CLIMB + _WAYS + """, claimed AS (SELECT cwe, arg_min(top, place) AS root FROM ways GROUP BY cwe),
- near AS (SELECT c.cwe, arg_min(root, height) AS root FROM climb c JOIN claimed b ON c.here = b.cwe GROUP BY c.cwe)
- SELECT n.cwe, root FROM forest_nodes n LEFT JOIN near r ON n.cwe = r.cwe""")
+@query("g11_forest_roots", """, claims AS (SELECT cwe, cwe AS top, ord AS place FROM forest_members UNION SELECT c.member, b.top, b.place FROM claims b JOIN forest_categories c ON b.cwe = c.owner),
+ claimed AS (SELECT cwe, arg_min(top, place) AS root FROM claims GROUP BY cwe),
+ first_up AS (SELECT child, arg_min(parent, [part, seq, ord]) AS parent FROM (SELECT child, parent, 0 AS part, 0 AS seq, ord FROM forest_edges UNION ALL SELECT member, owner, 1, owner, ord FROM forest_categories) GROUP BY child),
+ climb AS (SELECT cwe, cwe AS here, 0 AS height FROM forest_nodes UNION ALL SELECT c.cwe, u.parent, height + 1 FROM climb c JOIN first_up u ON c.here = u.child WHERE c.here NOT IN (SELECT cwe FROM forest_members)),
+ near AS (SELECT c.cwe, arg_min(here, height) AS root FROM climb c WHERE here IN (SELECT cwe FROM forest_members) GROUP BY c.cwe)
+ SELECT n.cwe, coalesce(b.root, r.root) AS root FROM forest_nodes n LEFT JOIN claimed b ON n.cwe = b.cwe LEFT JOIN near r ON n.cwe = r.cwe""")
 def _(t: Tables) -> DataFrame:
-    return hierarchy.view_roots(t.get("forest_nodes"), t.get("forest_members"), t.get("forest_edges"))
+    categories = t.get("forest_categories")
+    links = t.get("forest_edges").select("child", "parent", F.lit("weakness").alias("kind"), F.lit(1000).alias("view_id"), F.lit(0).cast("long").alias("seq"), F.col("ord").cast("long").alias("ord"))
+    parents = hierarchy.root_parents(links, categories.select("*", F.lit("category").alias("kind"), F.col("owner").alias("seq")))
+    return hierarchy.view_roots(t.get("forest_nodes"), t.get("forest_members"), parents, categories)
 
 
 @query("g09_part_tree", """SELECT depth, count(*) AS n, CAST(sum(cwe) AS BIGINT) AS total FROM (
  SELECT p_partkey AS cwe, CAST(floor(log2(p_partkey)) AS INTEGER) + 1 AS depth FROM part WHERE p_partkey >= 1) WHERE depth <= 6 GROUP BY depth""")
 def _(t: Tables) -> DataFrame:
-    children = t.base("part").where("p_partkey > 1").select(F.expr("p_partkey div 2").alias("parent"), F.col("p_partkey").alias("child"))
-    root = t.base("part").where("p_partkey = 1").select(F.col("p_partkey").alias("cwe"))
-    return hierarchy.descendants(root, children, 6).groupBy("depth").agg(F.count("*").alias("n"), F.sum("cwe").alias("total"))
+    """A view, numbered 0, whose only member is part 1."""
+    links = t.base("part").where("p_partkey >= 1").select(F.expr("p_partkey div 2").alias("parent"), F.col("p_partkey").alias("child"), F.lit(1).cast("long").alias("times"))
+    found = hierarchy.descend(t.base("part").where("p_partkey = 1").select(F.lit(0).cast("long").alias("start")), links, None, 6)
+    return found.groupBy("depth").agg(F.sum("times").alias("n"), F.sum(F.col("cwe") * F.col("times")).alias("total"))
+
+
+@query("g09_typed_descendants", _VISITS + """, links AS (SELECT view_id, parent, cwe AS child, count(*) AS times FROM visits GROUP BY ALL),
+ asked AS (SELECT cwe AS id, CASE WHEN cwe < 900000 THEN 'Weakness' ELSE 'Category' END AS type FROM forest_nodes WHERE cwe % 4 <> 1 UNION ALL SELECT * FROM (VALUES (800001, 'View'), (800002, 'View'), (800003, 'Unknown')) AS v(id, type)),
+ roots AS (SELECT id, type, id AS view_id FROM asked WHERE type = 'View' UNION SELECT id, type, view_id FROM asked JOIN hung ON id = cwe WHERE type = 'Category'),
+ free AS (SELECT id, type FROM asked WHERE type = 'Category' AND id NOT IN (SELECT cwe FROM hung)),
+ inside AS (SELECT r.view_id, id, child AS cwe, 1 AS depth, times FROM roots r JOIN links l ON r.view_id = l.view_id AND id = parent
+  UNION ALL SELECT i.view_id, id, l.child, depth + 1, i.times * l.times FROM inside i JOIN links l ON i.view_id = l.view_id AND i.cwe = l.parent),
+ outside AS (SELECT id, member AS cwe, 1 AS depth FROM free JOIN forest_categories ON id = owner UNION ALL SELECT id, member, depth + 1 FROM outside JOIN forest_categories ON cwe = owner)
+ SELECT r.id, r.type, CAST(r.view_id AS VARCHAR) AS view, depth, cwe, CAST(sum(times) AS BIGINT) AS times FROM roots r LEFT JOIN inside i ON r.id = i.id AND r.view_id = i.view_id GROUP BY ALL
+ UNION ALL SELECT f.id, type, 'no_view', depth, cwe, nullif(count(cwe), 0) FROM free f LEFT JOIN outside o ON f.id = o.id GROUP BY ALL
+ UNION ALL SELECT id, type, NULL, NULL, NULL, NULL FROM asked WHERE type IN ('Weakness', 'Unknown')""")
+def _(t: Tables) -> DataFrame:
+    """Three quarters of all nodes, the views, and a number that nothing has."""
+    kind = F.when(F.col("cwe") < 900_000, "weakness").otherwise("category").alias("kind")
+    kinds = t.get("forest_nodes").select("cwe", kind).union(t.get("forest_views").select("view_id", F.lit("view")).distinct())
+    ids = t.get("forest_nodes").where("cwe % 4 <> 1").select(F.col("cwe").alias("id")).union(t.spark.range(800_001, 800_004))
+    return hierarchy.typed_descendants(ids, kinds, t.get("forest_views"), t.get("forest_categories"))
 
 
 @query("g11_view_roots", "SELECT c.num AS number, CASE WHEN c.num IN (100, 110, 111, 112, 120, 121) THEN 100 WHEN c.num IN (210, 211) THEN 200 END AS root, CAST(sum(c.n) AS BIGINT) AS n FROM counts c GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     members = t.get("view_members").where("view_id = 1000").select("cwe", "ord")
     roots = hierarchy.view_roots(t.get("nodes"), members, t.get("edges")).select(F.col("cwe").alias("number"), "root")
-    return _counts(t).groupBy("number").agg(F.sum("n").alias("n")).join(F.broadcast(roots), "number", "left")
+    return _counts(t).groupBy("number").agg(F.sum("n").alias("n")).join(lean(roots), "number", "left")
 
 
 # Windows and sets
@@ -853,15 +951,21 @@ _TIES = "SELECT class_name, size, sum(t * (t - 1)) AS t1, sum(t * (t - 1) * (t -
 @query("j07_kendall", f""", b AS (SELECT class_name, project, 'loc' AS size, CAST(loc AS DOUBLE) AS x, vulns * 1000.0 / loc AS y FROM vulns WHERE loc IS NOT NULL UNION ALL SELECT class_name, project, 'functions', CAST(functions AS DOUBLE), vulns * 1000.0 / functions FROM vulns WHERE functions IS NOT NULL),
  s AS (SELECT * FROM b UNION ALL SELECT 'combined', project, size, x, y FROM b),
  g AS (SELECT a.class_name, a.size, CAST(sum(sign(a.x - b.x) * sign(a.y - b.y)) AS DOUBLE) AS c FROM s a JOIN s b ON a.class_name = b.class_name AND a.size = b.size AND a.project < b.project GROUP BY ALL),
- tx AS ({_TIES.format("x")}), ty AS ({_TIES.format("y")}), k AS (SELECT class_name, size, count(*) AS n, count(*) * 1.0 AS m FROM s GROUP BY ALL)
- SELECT k.class_name, k.size, n, c AS concordance, CASE WHEN n >= 4 AND (m * (m - 1) - tx.t1) * (m * (m - 1) - ty.t1) > 0 THEN round(2 * c / sqrt((m * (m - 1) - tx.t1) * (m * (m - 1) - ty.t1)), 6) END AS tau,
- CASE WHEN n >= 4 AND (m * (m - 1) - tx.t1) * (m * (m - 1) - ty.t1) > 0 THEN round(abs(c) / sqrt((m * (m - 1) * (2 * m + 5) - tx.t3 - ty.t3) / 18 + tx.t1 * ty.t1 / (2 * m * (m - 1)) + tx.t2 * ty.t2 / (9 * m * (m - 1) * (m - 2))), 6) END AS z
- FROM k JOIN g ON k.class_name = g.class_name AND k.size = g.size JOIN tx ON k.class_name = tx.class_name AND k.size = tx.size JOIN ty ON k.class_name = ty.class_name AND k.size = ty.size""")
+ tx AS ({_TIES.format("x")}), ty AS ({_TIES.format("y")}), k AS (SELECT class_name, size, count(*) AS n, count(*) * 1.0 AS m FROM s GROUP BY ALL),
+ r AS (SELECT k.class_name, k.size, n, m, c, tx.t1 = 0 AND ty.t1 = 0 AND (n <= 33 OR least(m * (m - 1) / 2 - c, m * (m - 1) / 2 + c) <= 2) AS exact, greatest(least((m * (m - 1) / 2 - c) / 2, (m * (m - 1) / 2 + c) / 2), 0) AS fewer,
+ n >= 4 AND (m * (m - 1) - tx.t1) * (m * (m - 1) - ty.t1) > 0 AS known, 2 * c / sqrt((m * (m - 1) - tx.t1) * (m * (m - 1) - ty.t1)) AS tau,
+ abs(c) / sqrt((m * (m - 1) * (2 * m + 5) - tx.t3 - ty.t3) / 18 + tx.t1 * ty.t1 / (2 * m * (m - 1)) + tx.t2 * ty.t2 / (9 * m * (m - 1) * (m - 2))) AS z
+ FROM k JOIN g ON k.class_name = g.class_name AND k.size = g.size JOIN tx ON k.class_name = tx.class_name AND k.size = tx.size JOIN ty ON k.class_name = ty.class_name AND k.size = ty.size),
+ orders_of AS (SELECT 1 AS n, [1.0::DOUBLE] AS ways UNION ALL SELECT n + 1, list_transform(range(0, len(ways) + n), lambda i: list_sum(ways[greatest(i - n, 0) + 1 : i + 1]) / (n + 1)) FROM orders_of WHERE n < 33)
+ SELECT class_name, size, r.n, c AS concordance, CASE WHEN known THEN round(tau, 6) END AS tau, CASE WHEN known THEN round(z, 6) END AS z, round(CASE WHEN NOT known THEN NULL
+  WHEN exact AND r.n > 33 THEN 0 WHEN exact THEN least(1, 2 * list_sum(ways[1 : CAST(fewer AS INTEGER) + 1])) WHEN z > 8 THEN 0
+  ELSE 1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(0, 200), lambda j: CASE WHEN z > 0 THEN exp(2 * j * ln(2.0) + (2 * j + 1) * ln(z / sqrt(2.0)) + lgamma(j + 1.0) - lgamma(2 * j + 2.0)) ELSE 0 END)) END, 6) AS p
+ FROM r LEFT JOIN orders_of o ON o.n = r.n""")
 def _(t: Tables) -> DataFrame:
     rows = density.with_densities(_vulns(t))
     sizes = [rows.select("class_name", F.lit(size).alias("size"), F.col(size).alias("x"), F.col(per).alias("y")) for size, per in (("loc", "per_kloc"), ("functions", "per_kfunctions"))]
     both = sizes[0].union(sizes[1])
-    return _round(stats.kendall(both.union(both.withColumn("class_name", F.lit("combined"))), ["class_name", "size"], "x", "y"), "tau", "z")
+    return _round(stats.kendall(both.union(both.withColumn("class_name", F.lit("combined"))), ["class_name", "size"], "x", "y"), "tau", "z", "p")
 
 
 @query("j08_kendall_intervals")

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +39,11 @@ def small(df: DataFrame, rows: int = 100_000) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def lean(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df for one side of a join: marked for broadcast if it is small, else as it is, to be shuffled."""
+    return F.broadcast(df) if small(df, rows) else df
+
+
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and benches on one machine."""
     conf = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"}

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyvane.operators.ranks import running_number
 from tallyvane.functions.findings import first_cwe, payload, positive_line, tag_cwe
 
 SARIF = """struct<runs:array<struct<
@@ -97,17 +98,55 @@ def _cppcheck_rows(errors: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _cppcheck_elements(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(?s)<error\b(?:[^>\"]|\"[^\"]*\")*?(?:/>|>.*?</error>)"), F.lit(0))
+
+
 def parse_cppcheck(raw: DataFrame, keys: list[str]) -> DataFrame:
     """Every complete <error> element, so that a cut-off output keeps what it holds."""
-    text = payload(F.col("raw"), "<")
-    found = F.regexp_extract_all(text, F.lit(r"(?s)<error\b(?:[^>\"]|\"[^\"]*\")*?(?:/>|>.*?</error>)"), F.lit(0))
-    rows = raw.select(*keys, F.posexplode(found).alias("pos", "element"))
+    rows = raw.select(*keys, F.posexplode(_cppcheck_elements(payload(F.col("raw"), "<"))).alias("pos", "element"))
     return _cppcheck_rows(rows.withColumn("x", F.from_xml("element", CPPCHECK_ERROR)).where("x._id is not null"), keys)
 
 
+def choose_stream(outputs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, chunk, raw): of each run's outputs (keys, chunk, stream, raw) the standard error where it holds XML, else the
+    standard output; a run of one chunk may have null there. Which it is, is known by text alone, before any is parsed."""
+    held = F.trim(F.coalesce(payload(F.col("raw"), "<"), F.lit(""))) != ""
+    kind = F.when((F.col("stream") == "stderr") & held, 2).when(F.col("stream") == "stdout", 1)
+    rows = outputs.select(*keys, "chunk", kind.alias("__kind"), "raw").where("__kind is not null")
+    best = rows.groupBy(*keys, "chunk").agg(F.max("__kind").alias("__best"))
+    same = [rows[c].eqNullSafe(best[c]) for c in (*keys, "chunk")]
+    return rows.alias("r").join(best.alias("b"), [*same, F.col("__kind") == F.col("__best")]).select(*(F.col(f"r.{c}") for c in (*keys, "chunk", "raw")))
+
+
+def parse_cppcheck_chunks(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Findings of chunks (keys, chunk, raw), which together are one run for each of keys: pos numbers the elements of all its
+    chunks, in the order of the chunks' names and of their texts, from 0. A cut-off chunk keeps its whole elements."""
+    found = parse_cppcheck(chunks, [*keys, "chunk"])
+    numbered = running_number(found, keys, [F.col("chunk").asc_nulls_first(), "pos"], "__nth")
+    return numbered.withColumn("pos", (F.col("__nth") - 1).cast("int")).drop("__nth", "chunk")
+
+
+def merged_cppcheck(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, raw): one document of all whole elements of a run's chunks, in order, with the last chunk's version that is
+    given, 2 where none is. One text per run, as the analyzer itself would have written it."""
+    text = payload(F.col("raw"), "<")
+    version = F.nullif(F.regexp_extract(text, r'<cppcheck\s+version="([^"]+)"', 1), F.lit(""))
+    part = F.struct(F.coalesce("chunk", F.lit("")).alias("chunk"), version.alias("version"), F.array_join(_cppcheck_elements(text), "").alias("errors"))
+    rows = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    last = F.coalesce(F.element_at(F.concat(F.array(F.lit("2")), F.filter("parts.version", lambda v: v.isNotNull())), -1), F.lit("2"))
+    head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<results version="2"><cppcheck version="'), last, F.lit('" /><errors>'))
+    return rows.select(*keys, F.concat(head, F.array_join("parts.errors", ""), F.lit("</errors></results>")).alias("raw"))
+
+
 def read_cppcheck(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of all outputs under path/<class>/<project>/; banners and cut-off ends, which an XML reader refuses, are fine."""
-    return parse_cppcheck(read_outputs(spark, path), ["class_name", "project", "file"])
+    """Findings of all runs under path/<class>/<project>/: of each folder of outputs stderr.* where it holds XML, else
+    stdout.*; folders below the first are the run's chunks. Banners and cut-off ends, which an XML reader refuses, are fine."""
+    rows = read_outputs(spark, path)
+    inside = F.substring_index(F.col("folder"), "/", -1)
+    stream = F.regexp_extract("file", r"^(stderr|stdout)\b", 1)
+    outputs = rows.select("class_name", "project", F.when(F.col("folder") != "", inside).alias("chunk"), stream.alias("stream"), "raw")
+    return parse_cppcheck_chunks(choose_stream(outputs, ["class_name", "project"]), ["class_name", "project"])
 
 
 def _hyphened(name: Column) -> Column:
@@ -151,7 +190,7 @@ def parse_ikos(raw: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def read_outputs(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(class_name, project, file, raw) of every file under path/<class>/<project>/."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    """(class_name, project, folder, file, raw) of every file under path/<class>/<project>/; folder is what lies between."""
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     parts = F.split(F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + path.rstrip("/").replace(".", r"\."), ""), "/")
-    return rows.select(F.get(parts, F.lit(1)).alias("class_name"), F.get(parts, F.lit(2)).alias("project"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
+    return rows.select(F.get(parts, F.lit(1)).alias("class_name"), F.get(parts, F.lit(2)).alias("project"), F.array_join(F.slice(parts, 4, F.size(parts) - 4), "/").alias("folder"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))

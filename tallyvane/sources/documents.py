@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyvane.functions.findings import project_key
+from tallyvane.functions.findings import category_code, name_candidates
+from tallyvane.operators.ranks import running_number
 
 REPORT = """struct<summary:struct<tools:int,completed:int,failed:int,timeout:int,unavailable:int,findings:int>,
  tools:array<struct<tool:string,status:string,exit_code:int,findings:bigint,raw_output:string,stderr:string,message:string,duration_seconds:double>>,
@@ -43,7 +45,7 @@ def is_source_file(path: Column) -> Column:
 
 def read_source_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of the code files under path; the suffixes and folders are tested before any text is looked at."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     relative = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + path.rstrip("/").replace(".", r"\.") + "/", "")
     return rows.select(relative.alias("path"), F.col("value").alias("text")).where(is_source_file(F.col("path")))
 
@@ -83,13 +85,41 @@ def cluster_file_counts(raw: DataFrame) -> DataFrame:
     return raw.select("class_name", project.alias("project"), rule.alias("rule"), F.coalesce(size, F.lit(0)).cast("long").alias("clusters")).where("rule <> ''")
 
 
-CLUSTER = """class_name string, project string, rule string, cluster_id int, min_idx bigint, tools array<string>, cwes array<int>, size bigint, representative int,
+CLUSTER = """cluster_id int, rule string, tools array<string>, cwes array<string>, representative_cwe string,
  findings array<struct<tool:string,filename:string,line:int,cwe:string,function:string>>"""
 
 
+def _decoded(name: Column) -> Column:
+    """What a file's or folder's name stands for, from how paths are shown; see array_files.file_name."""
+    shown = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    for escaped, plain in (("%3A", ":"), ("%2F", "/"), ("%25", "%")):
+        shown = F.replace(shown, F.lit(escaped), F.lit(plain))
+    return shown
+
+
+def _named(rows: DataFrame, *columns: str) -> DataFrame:
+    """Add class_name and project from files <class>/<project>_<rule>.json."""
+    folder = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1)
+    project = F.regexp_extract("_metadata.file_name", rf"^(.*)_(?:{'|'.join(RULES)})\.json$", 1)
+    return rows.select(_decoded(folder).alias("class_name"), _decoded(project).alias("project"), *columns).where("project <> ''")
+
+
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
-    """The files of sinks.write_clusters; a rule without clusters has one row whose cluster_id is null."""
-    return spark.read.schema(CLUSTER).json(path)
+    """The clusters in files path/<class>/<project>_<rule>.json, a row for each element; an empty array has none."""
+    return _named(spark.read.schema(CLUSTER).option("multiLine", True).json(f"{path}/*/*.json"), *re.findall(r"(\w+) (?:int|string|array)", CLUSTER))
+
+
+def read_cluster_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(class_name, project, rule, clusters) of the same files, empty ones included; see cluster_file_counts."""
+    rows = spark.read.text(f"{path}/*/*.json", wholetext=True)
+    folder = _decoded(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1))
+    return cluster_file_counts(rows.select(folder.alias("class_name"), _decoded(F.col("_metadata.file_name")).alias("file"), F.col("value").alias("raw")))
+
+
+def read_class_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """parse_class_summary of the files path/<class>.json."""
+    rows = spark.read.text(f"{path}/*.json", wholetext=True)
+    return parse_class_summary(rows.select(F.regexp_replace(_decoded(F.col("_metadata.file_name")), r"\.json$", "").alias("class_name"), F.col("value").alias("raw")), ["class_name"])
 
 
 def parse_ctags(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,31 +139,42 @@ CATALOG = {"Weakness": f"_ID int, _Name string, {RELATED}", "Category": f"_ID in
 
 
 def read_cwe_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """catalog_tables of the XML files under path."""
-    return catalog_tables({tag: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path) for tag, schema in CATALOG.items()})
+    """catalog_tables of the XML files under path, in the order of their names."""
+    found = {}
+    for tag, schema in CATALOG.items():
+        rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+        # A file may be read in blocks, each by one task from its beginning on.
+        found[tag] = rows.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("nth")).alias("at"))
+    return catalog_tables(found)
 
 
-def parse_cwe_catalog(raw: DataFrame) -> dict[str, DataFrame]:
-    """catalog_tables of XML texts in the column raw."""
+def parse_cwe_catalog(raw: DataFrame, file: str | None = None) -> dict[str, DataFrame]:
+    """catalog_tables of XML texts in the column raw, in the order of the column `file`, or of the texts' hashes."""
     element = lambda tag: F.lit(rf'(?s)<{tag}\s(?:[^>"]|"[^"]*")*?(?:/>|>.*?</{tag}>)')
-    found = {tag: raw.select(F.explode(F.regexp_extract_all("raw", element(tag), F.lit(0))).alias("x")) for tag in CATALOG}
-    return catalog_tables({tag: rows.select(F.from_xml("x", CATALOG[tag]).alias("e")).select("e.*") for tag, rows in found.items()})
+    texts = raw.select("raw", (F.col(file) if file else F.xxhash64("raw")).alias("file"))
+    found = {tag: texts.select("file", F.posexplode(F.regexp_extract_all("raw", element(tag), F.lit(0))).alias("nth", "x")) for tag in CATALOG}
+    return catalog_tables({tag: rows.select(F.from_xml("x", CATALOG[tag]).alias("e"), F.struct("file", "nth").alias("at")).select("e.*", "at") for tag, rows in found.items()})
 
 
 def catalog_tables(elements: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """weaknesses(cwe, name, kind), parents(child, parent, nature, view_id, ord), members(owner, member, view_id, ord).
+    """weaknesses(cwe, name, kind, seq), parents(child, parent, nature, view_id, ord, kind, seq), members(owner, member,
+    view_id, ord, kind, seq).
 
-    Parents are the ChildOf links of weaknesses, and those among the members of categories; ord is the place in the list.
+    Parents are the ChildOf links of weaknesses, and those among the members of categories; ord is the place in the list,
+    kind and seq those of the element that states the link. seq numbers the elements of all files in one order: weaknesses
+    before categories before views, and each kind by `at`, which orders files and what is in them.
     """
     kinds = {"Weakness": ("weakness", "Related_Weaknesses.Related_Weakness"), "Category": ("category", "Relationships.Has_Member"), "View": ("view", "Members.Has_Member")}
-    names = [elements[tag].select(F.col("_ID").alias("cwe"), F.col("_Name").alias("name"), F.lit(kind).alias("kind")) for tag, (kind, _) in kinds.items()]
-    links = {tag: elements[tag].select(F.col("_ID").alias("id"), F.posexplode(field).alias("ord", "r")) for tag, (_, field) in kinds.items()}
-    parents = links["Weakness"].union(links["Category"]).where("r._Nature = 'ChildOf'")
-    members = links["Category"].union(links["View"])
+    link = "array<struct<_Nature:string,_CWE_ID:int,_View_ID:int>>"
+    parts = [elements[tag].select(F.lit(k).alias("part"), "at", F.col("_ID").alias("cwe"), F.col("_Name").alias("name"), F.lit(kind).alias("kind"), F.col(field).cast(link).alias("links")) for k, (tag, (kind, field)) in enumerate(kinds.items())]
+    rows = running_number(reduce(DataFrame.union, parts).where("cwe is not null"), [], ["part", "at"], "seq")
+    links = rows.select("cwe", "kind", "seq", F.posexplode("links").alias("ord", "r"))
+    parents, members = links.where("kind <> 'view' and r._Nature = 'ChildOf'"), links.where("kind <> 'weakness'")
+    rest = (F.col("r._View_ID").alias("view_id"), "ord", "kind", "seq")
     return {
-        "weaknesses": reduce(DataFrame.union, names).where("cwe is not null"),
-        "parents": parents.select(F.col("id").alias("child"), F.col("r._CWE_ID").alias("parent"), F.col("r._Nature").alias("nature"), F.col("r._View_ID").alias("view_id"), "ord"),
-        "members": members.select(F.col("id").alias("owner"), F.col("r._CWE_ID").alias("member"), F.col("r._View_ID").alias("view_id"), "ord"),
+        "weaknesses": rows.select("cwe", "name", "kind", "seq"),
+        "parents": parents.select(F.col("cwe").alias("child"), F.col("r._CWE_ID").alias("parent"), F.col("r._Nature").alias("nature"), *rest),
+        "members": members.select(F.col("cwe").alias("owner"), F.col("r._CWE_ID").alias("member"), *rest),
     }
 
 
@@ -149,8 +190,15 @@ def kernel_taxonomy(rows: DataFrame) -> DataFrame:
 
 
 def application_taxonomy(rows: DataFrame) -> DataFrame:
-    """(key, category, subcategory): the first row (by row_no) for each repository key wins."""
-    return rows.groupBy(project_key(F.col("repo")).alias("key")).agg(F.min_by("category", "row_no").alias("category"), F.min_by("subcategory", "row_no").alias("subcategory"))
+    """(key, code, category, subcategory): for each name that a repository may go by, the first row (by row_no) wins.
+
+    Rows without repository or category are left out.
+    """
+    cell = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    rows = rows.select(cell("repo").alias("repo"), cell("category").alias("category"), cell("subcategory").alias("subcategory"), "row_no").where("repo <> '' and category <> ''")
+    named = rows.select(F.explode(name_candidates(F.col("repo"))).alias("key"), "category", "subcategory", "row_no")
+    first = named.groupBy("key").agg(F.min_by(F.struct("category", "subcategory"), "row_no").alias("x"))
+    return first.select("key", category_code(F.col("x.category")).alias("code"), "x.category", "x.subcategory")
 
 
 def ordered_names(found: list[DataFrame], column: str, fixed: list[str]) -> DataFrame:

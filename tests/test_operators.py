@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import random
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyvane.operators import audit, clusters, density, hierarchy, ranks, stats, vote
 from tallyvane.plans.fixtures import Tables
-from tallyvane.streaming.reports import current_findings, merge_stream
+from tallyvane.streaming.reports import Store, current_findings, merge_stream
 
 FINDING = "class_name string, project string, tool string, filename string, line int, cwe string, rule string, finding_idx long"
 SPAN = "class_name string, project string, filename string, name string, scope string, start_line int, end_line int"
@@ -65,7 +66,7 @@ def test_votes_match_pairwise(spark, seed):
     rows = [(k, t, f, line, functions[k], c) for k, t, f, line, _, c in rows]
     pairs = hierarchy.related_pairs(hierarchy.ancestors(edges(spark)))
     for by_cwe, table in ((True, pairs), (False, None)):
-        got = {r["finding_idx"]: r["label"] for r in vote.components(placed, vote.agreement_hubs(placed, table)).collect()}
+        got = {r["finding_idx"]: r["label"] for r in vote.agree(placed, table).collect()}
         assert got == pairwise(rows, by_cwe)
 
 
@@ -92,10 +93,137 @@ def test_hierarchy(spark):
     members = t.get("view_members").where("view_id = 1000").select("cwe", "ord")
     roots = {r["cwe"]: r["root"] for r in hierarchy.view_roots(t.get("nodes"), members, edges(spark)).collect()}
     assert roots[121] == 100 and roots[211] == 200 and roots[301] is None and roots[300] is None
-    below = hierarchy.descendants(members.select("cwe"), edges(spark).select("parent", "child"), 2)
-    assert sorted(r["cwe"] for r in below.collect()) == [100, 110, 120, 200, 210]
-    paths = {r["cwe"]: r["path"] for r in hierarchy.paths_in_view(t.get("nodes"), spark.createDataFrame([(120,)], "cwe int"), edges(spark)).collect()}
-    assert paths[121] == [120, 121] and paths[111] is None
+
+
+def catalog(rng, weaknesses=14, categories=6):
+    """(first parents and further ones, categories' members, views' members), all with order; categories hold later ones."""
+    childof = [(c, p, k) for c in range(weaknesses) for k, p in enumerate(rng.sample(range(weaknesses), rng.randrange(3)))]
+    owners = range(100, 100 + categories)
+    members = [(o, m, k) for o in owners for k, m in enumerate(rng.sample([*range(weaknesses), *range(o + 1, 100 + categories)], rng.randrange(5)))]
+    views = [(v, m, k) for v in (1000, 2000) for k, m in enumerate(rng.sample([*range(weaknesses), *owners], rng.randrange(1, 6)))]
+    return childof, members, views
+
+
+def walk_view(view, members, views):
+    """What the book says: (where each CWE hangs at last, how often each membership is passed)."""
+    hung, passed = {}, {}
+
+    def enter(owner, rows):
+        for o, m, _ in rows:
+            if o == owner:
+                hung[m] = view if rows is views else owner
+                passed[(owner, m)] = passed.get((owner, m), 0) + 1
+                enter(m, members)
+
+    enter(view, views)
+    return hung, passed
+
+
+def walk_path(cwe, hung, view, up):
+    seen, at = set(), cwe
+    while at is not None and at not in seen:
+        seen.add(at)
+        if at in hung:
+            path, here = [], at
+            while here != view:
+                path.insert(0, here)
+                here = hung[here]
+            return path if at == cwe else [*path, cwe]
+        at = up.get(at)
+    return None
+
+
+def walk_root(cwe, members, tops, up):
+    claimed = {}
+
+    def claim(m, root):
+        if m not in claimed:
+            claimed[m] = root
+            for o, x, _ in members:
+                if o == m:
+                    claim(x, root)
+
+    for top in tops:
+        claim(top, top)
+    seen, at = set(), cwe
+    while cwe not in claimed and at is not None and at not in seen:
+        if at in tops:
+            return at
+        seen.add(at)
+        at = up.get(at)
+    return claimed.get(cwe)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_catalog_walks(spark, seed):
+    rng = random.Random(seed)
+    childof, members, views = catalog(rng)
+    E = spark.createDataFrame(childof, "child int, parent int, ord int")
+    M, V = spark.createDataFrame(members, "owner int, member int, ord int"), spark.createDataFrame(views, "view_id int, cwe int, ord int")
+    nodes = [*range(14), *range(100, 106), 77]
+    N = spark.createDataFrame([(n,) for n in nodes], "cwe int")
+    up = {c: p for c, p, k in childof if k == 0}
+    walks = {v: walk_view(v, members, views) for v in (1000, 2000)}
+
+    assert {(r["view_id"], r["cwe"]): r["parent"] for r in hierarchy.view_parents(V, M).collect()} == {(v, c): p for v, (hung, _) in walks.items() for c, p in hung.items()}
+    assert {(r["view_id"], r["parent"], r["child"]): r["times"] for r in hierarchy.view_links(V, M).collect()} == {(v, *k): n for v, (_, passed) in walks.items() for k, n in passed.items()}
+
+    pairs = spark.createDataFrame([(n, v) for n in nodes for v in (1000, 2000, 3000)], "cwe int, view_id int")
+    got = {(r["cwe"], r["view_id"]): r["path"] for r in hierarchy.paths_in_views(pairs, V, M, E).collect()}
+    assert got == {(n, v): walk_path(n, walks[v][0], v, up) if v in walks else None for n in nodes for v in (1000, 2000, 3000)}
+
+    links = E.select("child", "parent", F.lit("weakness").alias("kind"), F.lit(1000).alias("view_id"), F.lit(0).alias("seq"), "ord")
+    parents = hierarchy.root_parents(links, M.select("*", F.lit("category").alias("kind"), F.col("owner").alias("seq")))
+    over = dict(reversed([(m, o) for o, m, _ in members])) | up
+    tops = [m for v, m, _ in views if v == 1000]
+    roots = {r["cwe"]: r["root"] for r in hierarchy.view_roots(N, V.where("view_id = 1000"), parents, M).collect()}
+    assert roots == {n: walk_root(n, members, tops, over) for n in nodes}
+
+    chains = {r["node"]: (r["end"], r["chain"]) for r in hierarchy.follow(hierarchy.first_parents(E)).collect()}
+    for n in up:
+        chain = [n]
+        while up.get(chain[-1]) is not None and up[chain[-1]] not in chain:
+            chain.append(up[chain[-1]])
+        assert chains[n] == (None if chain[-1] in up else chain[-1], chain)
+
+    kinds = [(n, "weakness") for n in range(14)] + [(n, "category") for n in range(100, 106)] + [(1000, "view"), (2000, "view")]
+    for depth in (None, 0, 2):
+        want = []
+        for n in [*nodes, 1000]:
+            kind = dict(kinds).get(n, "unknown").capitalize()
+            graphs = {str(n): walks[n][1]} if kind == "View" else {}
+            if kind == "Category":
+                graphs = {str(v): passed for v, (hung, passed) in walks.items() if n in hung} or {"no_view": {(o, m): 1 for o, m, _ in members}}
+            want += [] if graphs else [(n, kind, None, None, None, None)]
+            for view, graph in graphs.items():
+                level, found, d = {n: 1}, [], 0
+                while level and (depth is None or d < depth):
+                    d, below = d + 1, {}
+                    for (o, m), k in graph.items():
+                        if o in level:
+                            below[m] = below.get(m, 0) + level[o] * k
+                    level = below
+                    found += [(n, kind, view, d, m, k) for m, k in level.items()]
+                want += found or [(n, kind, view, None, None, None)]
+        got = hierarchy.typed_descendants(spark.createDataFrame([(n,) for n in [*nodes, 1000]], "id int"), spark.createDataFrame(kinds, "cwe int, kind string"), V, M, depth)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_roots_and_paths_of_a_small_catalog(spark):
+    """A member's descendants by ChildOf are not its own where a first parent leads elsewhere; ancestors between are left out."""
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    E = frame([(9, 1, 0), (9, 6, 1), (6, 5, 0)], "child int, parent int, ord int")
+    roots = hierarchy.view_roots(frame([(9,), (6,)], "cwe int"), frame([(5, 0), (1, 1)], "cwe int, ord int"), E)
+    assert {tuple(r) for r in roots.collect()} == {(9, 1), (6, 5)}
+    E, none = frame([(111, 110, 0), (110, 100, 0)], "child int, parent int, ord int"), frame([], "owner int, member int, ord int")
+    paths = hierarchy.paths_in_views(frame([(111, 1)], "cwe int, view_id int"), frame([(1, 100, 0)], "view_id int, cwe int, ord int"), none, E)
+    assert paths.first()["path"] == [100, 111]
+    ring = frame([(7, 8, 0), (8, 7, 0)], "owner int, member int, ord int")
+    with pytest.raises(ValueError, match="contain themselves"):
+        hierarchy.view_parents(frame([(1, 7, 0)], "view_id int, cwe int, ord int"), ring)
+    with pytest.raises(ValueError, match="contain themselves"):
+        hierarchy.category_descendants(frame([(7,)], "cwe int"), ring)
+    assert {(r["depth"], r["cwe"]) for r in hierarchy.category_descendants(frame([(7,)], "cwe int"), ring, 3).collect()} == {(1, 8), (2, 7), (3, 8)}
 
 
 def test_denominators_and_totals(spark):
@@ -119,14 +247,31 @@ def test_audit(spark):
     assert {r["tool"]: r["findings"] for r in audit.findings_per_tool(runs).collect()} == {"codeql": 5, "TOTAL": 5}
     table = {r["project"]: (r["codeql"], r["semgrep"]) for r in audit.tool_table(runs, ["codeql", "semgrep"]).collect()}
     assert table == {"a": (5, None), "b": (None, None)}
-    chunks = spark.createDataFrame([(1, "x", "completed"), (1, "y", "timeout"), (2, "x", "completed"), (3, "x", "skipped")], "id int, chunk string, status string")
+    chunks = spark.createDataFrame([(1, "x", "completed", 0), (1, "y", "timeout", None), (2, "x", "completed", 0), (3, "x", "skipped", None), (4, "b", "failed", 137), (4, "a", "failed", None)], "id int, chunk string, status string, exit_code int")
     got = {r["id"]: (r["status"], r["message"]) for r in audit.chunk_status(chunks, ["id"]).collect()}
-    assert got == {1: ("timeout", "1/2 chunks completed; failed: y"), 2: ("completed", "1/1 chunks completed"), 3: ("failed", "0/1 chunks completed; failed: x")}
+    assert got == {1: ("timeout", "1/2 chunks completed; failed: y (timeout)"), 2: ("completed", None), 3: ("failed", "0/1 chunks completed; failed: x (skipped)"), 4: ("failed", "0/2 chunks completed; failed: a (failed), b (failed, exit 137)")}
     old = spark.createDataFrame([("k", "a", "codeql"), ("k", "a", "semgrep"), ("k", "b", "semgrep")], key)
     merged = audit.merge_runs(old, old.limit(0), spark.createDataFrame([("k", "a", "semgrep")], key))
     assert sorted((r["project"], r["tool"]) for r in merged.collect()) == [("a", "codeql"), ("b", "semgrep")]
 
 
+def test_merged_reports(spark):
+    key = "class_name string, project string, tool string"
+    runs, found = key + ", status string, findings long, ord int", key + ", filename string, line int, cwe string, rule string, finding_idx long"
+    old = spark.createDataFrame([("k", "a", "semgrep", "completed", 2, 1), ("k", "a", "codeql", "failed", 0, 2), ("k", "b", "ikos", "completed", 1, 1)], runs)
+    fresh = spark.createDataFrame([("k", "a", "codeql", "completed", 2, 1), ("k", "a", "semgrep", "timeout", 0, 2), ("k", "c", "ikos", "skipped", 0, 1)], runs)
+    had = spark.createDataFrame([("k", "a", "semgrep", "z.c", 1, None, "r", 0), ("k", "a", "semgrep", "z.c", 2, None, "r", 1), ("k", "b", "ikos", "b.c", None, None, None, 0)], found)
+    new = spark.createDataFrame([("k", "a", "codeql", "b.c", 5, None, "q", 0), ("k", "a", "codeql", "b.c", None, None, None, 1)], found)
+    got = {r["project"]: r for r in audit.merged_documents(old, had, fresh, new).collect()}
+    assert sorted(got) == ["a", "b", "c"]
+    assert got["a"]["summary"].asDict() == {"tools": 2, "completed": 1, "failed": 0, "timeout": 1, "unavailable": 0, "findings": 2}
+    assert [t["tool"] for t in got["a"]["tools"]] == ["codeql", "semgrep"] and [(f["line"], f["rule"]) for f in got["a"]["findings"]] == [(None, None), (5, "q")]
+    assert got["b"]["summary"]["findings"] == 1 and got["c"]["findings"] == [] and got["c"]["summary"]["tools"] == 1
+    same = spark.createDataFrame([("k", "a", "codeql", "z.c", 2, None, "r", 0), ("k", "a", "codeql", "z.c", 2, None, "r", 1)], found)
+    runs_, rows = audit.merge_reports(old, had, fresh.where("tool = 'codeql'"), same)
+    assert [(r["tool"], r["line"]) for r in rows.where("project = 'a'").orderBy("finding_idx").collect()] == [("semgrep", 1), ("codeql", 2), ("codeql", 2), ("semgrep", 2)]
+
+
 def test_mann_whitney_and_kendall(spark):
     rng = np.random.default_rng(1)
     rows = [("c", f"p{k}", "kernel" if k < 7 else "application", float(v)) for k, v in enumerate(rng.integers(0, 6, 30))]
@@ -185,6 +330,36 @@ def slow_tau(x, y):
     return float((sx * sy).sum()) / scale if scale else np.nan
 
 
+def slow_p(n, inverted):
+    """By listing all orders."""
+    counts = [sum(a > b for i, a in enumerate(p) for b in p[i + 1 :]) for p in itertools.permutations(range(n))]
+    fewer = min(inverted, n * (n - 1) // 2 - inverted)
+    return min(1.0, 2 * sum(c <= fewer for c in counts) / len(counts))
+
+
+def test_exact_p_of_kendall():
+    for n in range(3, 8):
+        for inverted in range(n * (n - 1) // 2 + 1):
+            assert stats.exact_kendall(n, inverted) == pytest.approx(slow_p(n, inverted))
+    x = np.arange(60.0)
+    swapped = x.copy()
+    swapped[[3, 4]] = swapped[[4, 3]]
+    assert stats.kendall_p(x, x) == pytest.approx(2 / math.factorial(60)) and stats.kendall_p(x, -swapped) == pytest.approx(2 / math.factorial(59))
+
+
+@pytest.mark.parametrize("top", [2, 9, 10_000])
+def test_kendall_over_ranges(spark, top):
+    """Ranges of a few rows, with a value that most rows have, against all pairs."""
+    rng = np.random.default_rng(top)
+    x, y = rng.integers(0, top, 160).astype(float), rng.integers(0, top, 160).astype(float)
+    x[:70], y[40:100] = 1.0, 1.0
+    rows = [("a" if k < 120 else None, float(v), float(w)) for k, (v, w) in enumerate(zip(x, y))] + [("few", 1.0, 2.0), ("few", 2.0, None), ("flat", 1.0, 1.0)] + [("flat", 1.0, float(k)) for k in range(5)] + [("line", float(k), 2.0 * k) for k in range(40)]
+    got = {r["key"]: r for r in stats.kendall(spark.createDataFrame(rows, "key string, x double, y double"), ["key"], "x", "y", size=16).where("key is not null").collect()}
+    assert got["few"]["tau"] is None and got["few"]["p"] is None and got["flat"]["p"] is None and got["flat"]["n"] == 6
+    assert got["line"]["tau"] == 1 and got["line"]["p"] == pytest.approx(2 / math.factorial(40))
+    assert got["a"]["n"] == 120 and got["a"]["tau"] == pytest.approx(slow_tau(x[:120], y[:120])) and got["a"]["p"] == pytest.approx(stats.kendall_p(x[:120], y[:120]))
+
+
 def test_tau_matches_all_pairs():
     rng = np.random.default_rng(5)
     for n in (2, 3, 5, 20, 70):
@@ -228,7 +403,7 @@ def test_hot_file_and_long_chains_have_one_label(spark):
     n = 400
     rows = [("k", "p", "abcd"[k % 2], "a.c", k // 2, "CWE-100", "r", k, f"f{(k + 1) // 2}") for k in range(n)]
     placed = spark.createDataFrame(rows, FINDING + ", function string")
-    got = {r["finding_idx"]: r["label"] for r in vote.components(placed, vote.agreement_hubs(placed, None)).collect()}
+    got = {r["finding_idx"]: r["label"] for r in vote.agree(placed, None).collect()}
     assert got == dict.fromkeys(range(n), 0)
 
 
@@ -257,6 +432,39 @@ def test_stream_keeps_the_latest_runs(spark, tmp_path):
     assert sorted((r["tool"], r["line"]) for r in got) == [("codeql", 4), ("cppcheck", 7)]
 
 
+def test_late_runs_and_compaction(spark, tmp_path):
+    """An older run in a later batch changes nothing, before compaction and after; a store stopped half-way is whole."""
+    store = Store(spark, str(tmp_path / "store"))
+    schema = "class_name string, project string, tool string, sequence bigint, findings array<struct<filename:string,line:int,cwe:string,rule:string,message:string>>"
+
+    def add(number, *runs):
+        store.add(spark.createDataFrame([("k", "a", tool, sequence, [("f", n, None, "r", "m") for n in lines]) for tool, sequence, lines in runs], schema), number)
+
+    def lines():
+        return sorted((r["tool"], r["line"]) for r in current_findings(spark, str(tmp_path / "store")).collect())
+
+    assert lines() == []
+    add(0, ("codeql", 5, [1, 2]), ("semgrep", 2, [3]), ("ikos", None, [8]))
+    add(1, ("codeql", 3, [9]), ("semgrep", 4, []), ("cppcheck", 1, [7]))
+    want = [("codeql", 1), ("codeql", 2), ("cppcheck", 7), ("ikos", 8)]
+    assert lines() == want
+    store.compact()
+    assert lines() == want and store.layout() == (1, [])
+    add(1, ("codeql", 9, [50]))  # a repeated batch that the base holds
+    add(2, ("codeql", 4, [9]), ("semgrep", 3, [9]), ("cppcheck", 1, [6]))
+    assert lines() == [("codeql", 1), ("codeql", 2), ("cppcheck", 6), ("ikos", 8)] and store.layout() == (1, [2])
+    add(3, ("semgrep", 6, [4]))
+    runs, findings = store.latest()
+    store._write(findings, "findings", "base", 3)  # stopped before the runs
+    want = [("codeql", 1), ("codeql", 2), ("cppcheck", 6), ("ikos", 8), ("semgrep", 4)]
+    assert store.layout() == (1, [2, 3]) and lines() == want
+    store.compact()
+    assert store.layout() == (3, []) and lines() == want
+    assert sorted(p.name for p in (tmp_path / "store" / "runs").iterdir()) == ["base-3"]
+    store.compact()
+    assert store.layout() == (3, []) and lines() == want
+
+
 def test_registered_bootstraps_run_all_draws(spark, monkeypatch):
     from tallyvane.plans import queries
 
@@ -287,6 +495,8 @@ def test_running_numbers_of_one_large_key(spark):
         seen[key] = seen.get(key, 0) + 1
         want[i] = seen[key]
     assert got[0].__fields__ == ["key", "v", "id", "nth"] and {r["id"]: r["nth"] for r in got} == want
+    totals = {(r["key"], r["v"]): r["sum"] for r in ranks.running_total(table.groupBy("key", "v").agg(F.sum("id").alias("n")), ["key"], "v", "n", "sum").collect()}
+    assert totals == {(key, v): sum(i for k, w, i in rows if k == key and w < v) for key, v, _ in rows}
     everything = ranks.running_number(table, [], ["id"]).collect()
     assert sorted((r["id"], r["place"]) for r in everything) == [(k, k + 1) for k in range(3000)]
     assert ranks.running_number(table.limit(0), ["key"], ["id"]).count() == 0

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyvane.functions import findings as fn
-from tallyvane.operators import corpus
+from tallyvane.operators import clusters, corpus, density, hierarchy
 from tallyvane.sources import analyzers, documents, sinks
 
 KEYS = ["class_name", "project"]
@@ -73,9 +74,9 @@ def test_ikos_takes_repeated_and_missing_ids(spark):
 
 def test_output_folders(spark, tmp_path):
     (tmp_path / "kernel" / "p1" / "semgrep").mkdir(parents=True)
-    (tmp_path / "kernel" / "p1" / "semgrep" / "stdout.json").write_text('{"results": []}\n')
+    (tmp_path / "kernel" / "p1" / "semgrep" / "stdout.json").write_text('{"results":\n []}\n')
     (row,) = analyzers.read_outputs(spark, str(tmp_path)).collect()
-    assert (row["class_name"], row["project"], row["file"]) == ("kernel", "p1", "stdout.json") and row["raw"].startswith("{")
+    assert (row["class_name"], row["project"], row["file"]) == ("kernel", "p1", "stdout.json") and row["raw"] == '{"results":\n []}\n' and row["folder"] == "semgrep"
 
 
 def test_scalar_functions(spark):
@@ -102,8 +103,9 @@ def test_source_files(spark, tmp_path):
     names = ["src/a.C", "Tests/b.c", "lib/c.tar.hpp", "x/d.py", "e", "vcpkg_installed/f.h"]
     for name in names:
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / name).write_text("int x;\n")
+        (tmp_path / name).write_text("int x;\nint y;\n")
     got = documents.read_source_files(spark, str(tmp_path)).collect()
+    assert {r["text"] for r in got} == {"int x;\nint y;\n"}
     assert sorted(r["path"] for r in got) == ["lib/c.tar.hpp", "src/a.C"]
 
 
@@ -134,25 +136,130 @@ def test_cwe_catalog(spark, tmp_path):
     (tmp_path / "cwe.xml").write_text(CATALOG)
     text = spark.createDataFrame([(CATALOG,), ("",), (None,), ("<Weakness",)], "raw string")
     for tables in (documents.read_cwe_catalog(spark, str(tmp_path / "cwe.xml")), documents.parse_cwe_catalog(text)):
-        assert sorted(tuple(r) for r in tables["weaknesses"].collect()) == [(7, "Cat", "category"), (100, "Top", "weakness"), (110, "Child", "weakness"), (1000, "View", "view")]
-        assert sorted(tuple(r) for r in tables["parents"].collect()) == [(7, 9, "ChildOf", 699, 1), (110, 100, "ChildOf", 1000, 0)]
-        assert sorted(tuple(r) for r in tables["members"].collect()) == [(7, 9, 699, 1), (7, 110, 699, 0), (1000, 100, 1000, 0)]
+        assert sorted(tuple(r) for r in tables["weaknesses"].collect()) == [(7, "Cat", "category", 3), (100, "Top", "weakness", 2), (110, "Child", "weakness", 1), (1000, "View", "view", 4)]
+        assert sorted(tuple(r) for r in tables["parents"].collect()) == [(7, 9, "ChildOf", 699, 1, "category", 3), (110, 100, "ChildOf", 1000, 0, "weakness", 1)]
+        assert sorted(tuple(r) for r in tables["members"].collect()) == [(7, 9, 699, 1, "category", 3), (7, 110, 699, 0, "category", 3), (1000, 100, 1000, 0, "view", 4)]
+
+
+def test_catalog_order_over_files(spark, tmp_path):
+    """Elements of many files have one order, by file and place; the first parent follows from it."""
+    rng = random.Random(3)
+    folder, texts, ids = tmp_path / "catalog", [], [*range(1, 301)]
+    folder.mkdir()
+    rng.shuffle(ids)
+    for k in range(6):
+        own = ids[k * 50 : (k + 1) * 50]
+        weak = "\n".join(f'<Weakness ID="{i}" Name="w"><Related_Weaknesses><Related_Weakness Nature="ChildOf" CWE_ID="{i + 1000}" View_ID="{1000 if i % 2 else 5}"/></Related_Weaknesses></Weakness>' for i in own)
+        cats = "\n".join(f'<Category ID="{i + 5000}" Name="c"><Relationships><Has_Member CWE_ID="{m}"/></Relationships></Category>' for i in own[:5] for m in (7,))
+        texts.append(f"<Weakness_Catalog><Weaknesses>{weak}</Weaknesses><Categories>{cats}</Categories></Weakness_Catalog>")
+        (folder / f"part-{k}.xml").write_text(texts[-1])
+    listed = spark.createDataFrame([(f"part-{k}", t) for k, t in enumerate(texts)], "name string, raw string").repartition(4)
+    wanted = [*ids, *(i + 5000 for k in range(6) for i in ids[k * 50 : k * 50 + 5])]
+    for tables in (documents.read_cwe_catalog(spark, str(folder)), documents.parse_cwe_catalog(listed, "name")):
+        rows = tables["weaknesses"].orderBy("seq").collect()
+        assert [r["cwe"] for r in rows] == wanted and [r["seq"] for r in rows] == list(range(1, len(wanted) + 1))
+        parents = hierarchy.root_parents(tables["parents"], tables["members"])
+        first = {r["node"]: r["next"] for r in hierarchy.first_parents(parents).collect()}
+        assert first == {i: i + 1000 for i in ids if i % 2} and sorted(r["parent"] for r in parents.where("child = 7").collect()) == sorted([1007, *(i + 5000 for k in range(6) for i in ids[k * 50 : k * 50 + 5])])
 
 
 def test_taxonomy(spark):
     sheet = spark.createDataFrame([(1, "a", "x", "X"), (2, "", "y", ""), (3, None, "z", " x"), (4, "b", "w", "x")], "row_no int, project string, folder string, marker string")
     assert {r["project"]: r["folders"] for r in documents.kernel_taxonomy(sheet).collect()} == {"a": ["x", "z"], "b": ["w"]}
     apps = spark.createDataFrame([(2, "O/R", "late", "s"), (1, " o/r", "first", "s")], "row_no int, repo string, category string, subcategory string")
-    assert [tuple(r) for r in documents.application_taxonomy(apps).collect()] == [("o/r", "first", "s")]
+    assert sorted(tuple(r) for r in documents.application_taxonomy(apps).collect()) == [(k, "first", "first", "s") for k in ("o", "o/r", "r")]
+
+
+def cluster(project, rule, number, cwes, top, *findings):
+    return ("kernel", project, rule, number, ["codeql", "semgrep"], cwes, top, [("codeql", "f.c", line, "CWE-100", None) for line in findings])
+
+
+CLUSTER = "class_name string, project string, rule string, cluster_id int, tools array<string>, cwes array<int>, representative int, findings array<struct<tool:string,filename:string,line:int,cwe:string,function:string>>"
+
+
+def test_cluster_documents(spark, tmp_path):
+    """One array for each project and rule, in order, also where a name is odd, written twice, or has nothing."""
+    rows = [cluster("a:b c++", "two_out_of_four", k, [20, 7], 7 if k % 2 else None, k) for k in range(1, 41)] + [cluster("x", "four_out_of_four", 1, [100], 100), cluster("x", "unlisted", 1, [100], 100)]
+    found = spark.createDataFrame(rows, CLUSTER).repartition(5)
+    projects = spark.createDataFrame([("kernel", "a:b c++"), ("kernel", "x"), ("application", "y")], "class_name string, project string")
+    for _ in range(2):
+        sinks.write_clusters(found, str(tmp_path / "out"), projects, ["two_out_of_four", "four_out_of_four"])
+    names = sorted(p.relative_to(tmp_path / "out").as_posix() for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.startswith("."))
+    assert names == [f"{c}/{p}_{r}_out_of_four.json" for c, p in (("application", "y"), ("kernel", "a%3Ab c++"), ("kernel", "x")) for r in ("four", "two")]
+    docs = {n: json.loads((tmp_path / "out" / n).read_text()) for n in names}
+    assert docs["application/y_two_out_of_four.json"] == [] and docs["kernel/x_four_out_of_four.json"][0]["findings"] == []
+    many = docs["kernel/a%3Ab c++_two_out_of_four.json"]
+    assert [d["cluster_id"] for d in many] == list(range(1, 41))
+    assert many[0] == {"cluster_id": 1, "rule": "two_out_of_four", "tools": ["codeql", "semgrep"], "cwes": ["CWE-020", "CWE-007"], "representative_cwe": "CWE-007",
+                       "findings": [{"tool": "codeql", "filename": "f.c", "line": 1, "cwe": "CWE-100", "function": None}]}
+    assert many[1]["representative_cwe"] is None and list(many[0]) == ["cluster_id", "rule", "tools", "cwes", "representative_cwe", "findings"]
+    back = documents.read_clusters(spark, str(tmp_path / "out")).collect()
+    assert sorted((r["class_name"], r["project"], r["rule"], r["cluster_id"]) for r in back) == sorted(("kernel", p, r, k) for _, p, r, k, *_ in rows if r != "unlisted")
+    counts = {(r["class_name"], r["project"], r["rule"]): r["clusters"] for r in documents.read_cluster_counts(spark, str(tmp_path / "out")).collect()}
+    assert len(counts) == 6 and counts["kernel", "a:b c++", "two_out_of_four"] == 40 and counts["application", "y", "two_out_of_four"] == 0
+
+
+def test_class_documents(spark, tmp_path):
+    key = "class_name string, project string"
+    summary = spark.createDataFrame([("kernel", "b", "two_out_of_four", 1000, 2, 3, "CWE-1000"), ("kernel", "b", "two_out_of_four", 99, 1, 3, "CWE-099")], key + ", rule string, number int, n long, tot_vulns long, cwe string")
+    hits = spark.createDataFrame([("kernel", "b", "codeql", 4)], key + ", tool string, hits long")
+    sizes = spark.createDataFrame([("kernel", "b", 10, None), ("kernel", "a", None, 5), ("application", "c", 1, 2)], key + ", loc long, functions long")
+    sinks.write_summaries(clusters.project_documents(summary, hits, sizes), str(tmp_path))
+    got = json.loads((tmp_path / "kernel.json").read_text())
+    assert [list(d) for d in got] == [["a"], ["b"]] and sorted(p.name for p in tmp_path.glob("*.json")) == ["application.json", "kernel.json"]
+    own, nothing = got[1]["b"], {"unique_cwes": [], "tot_vulns": 0, "vulns_per_cwe": {}}
+    assert (own["LOC"], own["functions"], own["hits_per_tool"]) == (10, 0, {"codeql": 4, "cppcheck": 0, "flawfinder": 0, "semgrep": 0})
+    assert own["two_out_of_four"] == {"unique_cwes": ["CWE-099", "CWE-1000"], "tot_vulns": 3, "vulns_per_cwe": {"CWE-099": 1, "CWE-1000": 2}}
+    assert list(own)[3:] == documents.RULES and all(own[r] == nothing for r in documents.RULES if r != "two_out_of_four") and got[0]["a"]["one_out_of_four"] == nothing
+    back = documents.read_class_summaries(spark, str(tmp_path)).where("rule = 'two_out_of_four'").orderBy("project").collect()
+    assert [(r["class_name"], r["project"], r["tot_vulns"], r["vulns_per_cwe"]) for r in back] == [("kernel", "a", 0, {}), ("kernel", "b", 3, {"CWE-099": 1, "CWE-1000": 2}), ("application", "c", 0, {})]
+
+
+def test_numbers_in_tables(spark, tmp_path):
+    values = [1e-15, 1234567.123456789, 1e20, 0.1, 2.5, 100.0, 1e-5, 123456789012345.0, -0.0, None, 1 / 3]
+    rows = spark.createDataFrame([(k, v, v) for k, v in enumerate(values)], "k int, `a b` double, c double").coalesce(1)
+    sinks.write_table(rows, str(tmp_path / "t"), {"c": 3})
+    (file,) = (tmp_path / "t").glob("*.csv")
+    lines = file.read_text().splitlines()
+    assert lines[0] == "k,a b,c"
+    assert lines[1:] == [f"{k}," + ("" if v is None else f"{v:.12g}") + "," + ("" if v is None else f"{v:.3f}") for k, v in enumerate(values)]
+
+
+def test_taxonomy_cells(spark):
+    key = "class_name string, project string"
+    projects = spark.createDataFrame([("kernel", "Linux", 1), ("kernel", "bsd", 2), ("kernel", "bare", 3), ("application", "App", 4), ("application", "other", 5), ("tool", "App", 6)], key + ", vulns long")
+    selection = spark.createDataFrame([(" LINUX", ["a", "b"]), ("app", ["z"])], "project string, folders array<string>")
+    apps = documents.application_taxonomy(spark.createDataFrame([(1, "Owner/App-src", "C1 Tools", ""), (2, "x/app", "C2 Late", ""), (3, "", "C3", ""), (4, "other", " ", "")], "row_no int, repo string, category string, subcategory string"))
+    meta = spark.createDataFrame([("kernel", "Linux", ["m"]), ("kernel", "bsd", ["q", "", None, "r"]), ("kernel", "bare", None), ("application", "App", ["f"])], key + ", folders array<string>")
+    got = {(r["class_name"], r["project"]): (r["taxonomy_code"], r["taxonomy_label"], r["folders"]) for r in density.taxonomy_cells(projects, selection, apps, meta).collect()}
+    assert got == {("kernel", "Linux"): ("2 folders", "a, b", ["a", "b"]), ("kernel", "bsd"): ("2 folders", "q, r", ["q", "r"]), ("kernel", "bare"): (None, None, []),
+                   ("application", "App"): ("C1", "C1 Tools", []), ("application", "other"): (None, None, []), ("tool", "App"): (None, None, [])}
+
+
+def test_cppcheck_streams_and_chunks(spark, tmp_path):
+    error = lambda i, more="": f'<error id="{i}" msg="m"{more}><location file="a.c" line="{len(i)}"/></error>'
+    head = '<?xml version="1.0"?><results version="2"><cppcheck version="2.17"/><errors>'
+    texts = {
+        "kernel/p/cppcheck/stderr.txt": head + error("err"), "kernel/p/cppcheck/stdout.xml": head + error("out"),
+        "kernel/q/cppcheck/chunks/b/stderr.txt": "Checking ...\nno elements", "kernel/q/cppcheck/chunks/b/stdout.xml": "banner\n" + head + error("b1", ' cwe="7"') + error("b22") + '<error id="cut" msg="',
+        "kernel/q/cppcheck/chunks/a/stderr.txt": error("a1") + "</errors></results>", "kernel/q/cppcheck/chunks/a/notes.md": "<error id='no'/>",
+        "kernel/r/cppcheck/stderr.txt": "",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = analyzers.read_cppcheck(spark, str(tmp_path)).orderBy("project", "pos").collect()
+    assert [(r["project"], r["pos"], r["rule"], r["line"]) for r in got] == [("p", 0, "err", 3), ("q", 0, "a1", 2), ("q", 1, "b1", 2), ("q", 2, "b22", 3)]
+    chunks = spark.createDataFrame([("kernel", "q", "b", head + error("b1") + "<error"), ("kernel", "q", "a", error("a1")), ("kernel", "s", None, None)], "class_name string, project string, chunk string, raw string")
+    merged = {r["project"]: r["raw"] for r in analyzers.merged_cppcheck(chunks, KEYS).collect()}
+    assert merged["q"] == '<?xml version="1.0" encoding="UTF-8"?>\n<results version="2"><cppcheck version="2.17" /><errors>' + error("a1") + error("b1") + "</errors></results>"
+    assert merged["s"].endswith('<cppcheck version="2" /><errors></errors></results>')
+    again = analyzers.parse_cppcheck(spark.createDataFrame([("kernel", "q", merged["q"])], "class_name string, project string, raw string"), KEYS)
+    assert [r["rule"] for r in again.orderBy("pos").collect()] == ["a1", "b1"]
 
 
 def test_sinks(spark, tmp_path):
     found = spark.createDataFrame([("kernel", "a", "two_out_of_four", 1.25, None)], "class_name string, project string, rule string, v double, w string")
-    clusters = spark.createDataFrame([("kernel", "a", "two_out_of_four", 1, [("t", "f.c", 3)]), ("kernel", "a", "two_out_of_four", 2, [])], "class_name string, project string, rule string, cluster_id int, findings array<struct<tool:string,filename:string,line:int>>")
-    sinks.write_clusters(clusters, str(tmp_path / "c"), found, ["two_out_of_four", "four_out_of_four"])
-    assert (tmp_path / "c" / "class_name=kernel" / "project=a" / "rule=four_out_of_four").is_dir()
-    back = documents.read_clusters(spark, str(tmp_path / "c")).orderBy("rule", "cluster_id").collect()
-    assert [(r["rule"], r["cluster_id"], r["findings"] and r["findings"][0]["line"]) for r in back] == [("four_out_of_four", None, None), ("two_out_of_four", 1, 3), ("two_out_of_four", 2, [])]
     sinks.write_table(found, str(tmp_path / "t"))
     assert {line for f in (tmp_path / "t").glob("*.csv") for line in f.read_text().splitlines()} == {"class_name,project,rule,v,w", "kernel,a,two_out_of_four,1.25,"}
     totals = sinks.rule_totals(found, found, ["one_out_of_four", "two_out_of_four"]).collect()
