@@ -30,10 +30,12 @@ TOP = {"body", "html", "#root"}
 #: What a start tag closes, of the open elements above the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NO_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
-#: Words in class, id or role that mark adverts and reader comments, anywhere, and other parts, outside articles.
+#: Words in class, id or role that mark adverts and reader comments, and other parts outside articles.
 ADVERTS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "comment", "comments", "disqus"}
 NOISE = ADVERTS | {"banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "sidebar", "sidenav", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "masthead", "topbar", "share", "sharing", "social", "related", "recommended", "widget", "reply", "replies", "respond", "contentinfo", "complementary", "search", "login", "toolbar", "skip"}
 WORDS = re.compile(r"[a-z]+")
+#: Whole names of adverts and comment lists, which go inside articles as well: such a word, or with what kind of block it is.
+WHOLE = re.compile(rf"(?:{'|'.join(sorted(ADVERTS))})s?(?:[-_ ]?(?:list|section|area|thread|box|slot|unit|block|wrapper|container|body|form|banner))?")
 
 
 class Node:
@@ -138,35 +140,32 @@ def prune(root: Node) -> None:
         node.kids = kept
 
 
-def prune_named(root: Node) -> None:
+def prune_named(root: Node, order: list[Node]) -> None:
     """Take out adverts, reader comments, notices and sidebars that class, id or role name as such.
 
-    Outside articles any word of a name counts; inside, the whole name, or its first word where that marks adverts or
-    comments, so that a section called related-work stays. What holds an article is not noise, whatever its name; on a page
-    without any, nor is what holds half of the text outside links, unless it is named as adverts or comments.
+    Outside articles any word of a name counts. Inside, nothing goes but what is by its whole name adverts or a list of
+    comments, so sections called search, promotion-history or comment-syntax stay. What holds an article is not noise,
+    whatever its name; on a page without any, nor is what holds the largest density sum (of order, the measured nodes).
     """
-    whole, holds = root.chars - root.link_chars, set()
-    for node in walk(root):
-        if node.tag in ARTICLE:
-            while (node := node.parent) is not None and node not in holds:
-                holds.add(node)
+    holds, articles = set(), [n for n in order if n.tag in ARTICLE]
+    for node in articles or [max(order, key=lambda n: n.total)]:
+        node = node.parent if articles else node
+        while node is not None and node not in holds:
+            holds.add(node)
+            node = node.parent
     inside = {root: False}
     for node in walk(root):
         within = inside[node] or node.tag in ARTICLE
         kept = []
         for k in node.kids:
             if not isinstance(k, str):
-                if k.attrs and k.tag not in INLINE and k.tag not in HEADINGS and k.tag not in TOP and k.tag != "main" and k not in holds:
+                if k.attrs and k.tag not in INLINE and k.tag not in HEADINGS and k.tag not in TOP and k.tag != "main":
                     said = attributes(k)
                     names = " ".join(said.get(a, "") for a in ("class", "id", "role", "aria-label")).split()
-                    words = [WORDS.findall(n) for n in names]
-                    if any(w[:1] and w[0] in ADVERTS for w in words):
+                    if any(WHOLE.fullmatch(n) for n in names) and (k not in holds or not articles):
                         continue
-                    if within or k.tag == "article":
-                        noise = any(n in NOISE for n in names)
-                    else:
-                        noise = any(x in NOISE or x == "header" for w in words for x in w) and (holds or 2 * (k.chars - k.link_chars) < whole)
-                    if noise:
+                    words = [] if within or k.tag == "article" or k in holds else [w for n in names for w in WORDS.findall(n)]
+                    if any(w in NOISE or w == "header" for w in words):
                         continue
                 inside[k] = within
             kept.append(k)
@@ -200,12 +199,23 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def article(node: Node) -> Node:
+    """The outermost article or main around a node, itself included, or else the node."""
+    out, at = node, node
+    while at is not None:
+        if at.tag in ARTICLE:
+            out = at
+        at = at.parent
+    return out
+
+
 def select(order: list[Node]) -> list[Node]:
     """The subtrees of the main text in page order, by the threshold of the path from the largest density sum to the body.
 
     The first is the subtree with the largest density sum (the first of equal ones), raised below the body while siblings
     reach the threshold. To it comes every other block that reaches the threshold, wherever it stands, with its own subtree
-    of the largest density sum, and the headings that stand before a part among its siblings or those of its ancestors.
+    of the largest density sum, and the headings that stand before a part among its siblings or those of its ancestors. A
+    part inside an article or main stands for all of it: of the outermost one nothing is left out.
     """
     best = max(order, key=lambda n: n.total)
     if best.total == 0:
@@ -221,11 +231,11 @@ def select(order: list[Node]) -> list[Node]:
         best = node
     for node in reversed(order):
         node.best = max([node, *(k.best for k in node.elements())], key=lambda n: n.total)
-    above, kept, stack = set(path), {best}, [order[0]]
+    above, kept, stack = set(path), {article(best)}, [order[0]]
     while stack:
         node = stack.pop()
         if node not in kept and node not in above and reaches(node) and node.tag not in INLINE and node.tag not in VOID:
-            kept.add(node.best)
+            kept.add(article(node.best))
         if node not in kept:
             stack += node.elements()
     for node in [*kept]:
@@ -279,8 +289,7 @@ def main_text(page: str | None) -> str:
     root = build(page)
     body = next((k for h in [root, *root.elements()] for k in h.elements() if k.tag == "body"), root)
     prune(body)
-    measure(body)
-    prune_named(body)
+    prune_named(body, measure(body))
     return " ".join(filter(None, map(blocks, select(measure(body)))))
 
 

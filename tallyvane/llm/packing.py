@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator
 from functools import cache, partial
 
 import numpy as np
@@ -16,8 +15,6 @@ from tallyvane.llm._common import cut
 
 #: The added token of byte_bpe_50k.json, which the rank file does not hold.
 SPECIAL = {"<|endoftext|>": 50256}
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 @cache
@@ -47,20 +44,23 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     ranks_path, pattern = tokenizer or tokenizer_paths()
 
-    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_up(texts: pd.Series) -> pd.DataFrame:
         encoder = _encoder(ranks_path, pattern)
         encode = partial(encoder.encode, allowed_special=set(SPECIAL)) if special else encoder.encode_ordinary
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"].array):
-                ids = np.array([*encode(text or ""), end_id], dtype="<u4")
-                first = len(ids) % capacity or capacity
-                edges = [0, *range(first, len(ids) + 1, capacity)]
-                doc_id = None if pd.isna(doc_id) else doc_id
-                out += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut_up, PIECES)
+        firsts, checks = [], []
+        for text in texts.array:
+            ids = np.array([*encode(text or ""), end_id], dtype="<u4")
+            firsts.append(len(ids) % capacity or capacity)
+            edges = [0, *range(firsts[-1], len(ids) + 1, capacity)]
+            checks.append([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(edges, edges[1:])])
+        return pd.DataFrame({"first": firsts, "checks": checks})
+
+    # Only texts go through Python, so ids, null or of any size, stay as they are.
+    cuts = F.pandas_udf(cut_up, "first long, checks array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), cuts(F.col(text_col)).alias("c")).select("doc_id", "c.first", F.posexplode("c.checks").alias("piece", "ids_crc32"))
+    begin = F.when(F.col("piece") == 0, F.lit(0).cast("long")).otherwise(F.col("first") + (F.col("piece") - 1) * F.lit(capacity).cast("long"))
+    length = F.when(F.col("piece") == 0, F.col("first")).otherwise(F.lit(capacity).cast("long"))
+    return rows.select("doc_id", "piece", begin.alias("start"), length.alias("length"), "ids_crc32")
 
 
 def fullest(counts: np.ndarray, room: int) -> list[tuple[int, int]]:
@@ -142,20 +142,20 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
         sequence += bins
     tables = {length: np.array(rows, np.int64).T for length, rows in runs.items()}
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sequence_id, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            lengths, ranks = batch["length"].to_numpy(), batch["rank"].to_numpy()
-            for length in np.unique(lengths).tolist():
-                at = np.flatnonzero(lengths == length)
-                begin, copies, first, shift = tables[length]
-                run = np.searchsorted(begin, ranks[at], "right") - 1
-                nth = ranks[at] - begin[run]
-                sequence_id[at] = first[run] + nth // copies[run]
-                offset[at] = shift[run] + nth % copies[run] * length
-            yield batch.assign(sequence_id=sequence_id, offset=offset).drop(columns="rank")
-
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, PLACED)
+    def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        lengths, ranks = lengths.to_numpy(), ranks.to_numpy()
+        sequence_id, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        for length in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == length)
+            begin, copies, first, shift = tables[length]
+            run = np.searchsorted(begin, ranks[at], "right") - 1
+            nth = ranks[at] - begin[run]
+            sequence_id[at] = first[run] + nth // copies[run]
+            offset[at] = shift[run] + nth % copies[run] * length
+        return pd.DataFrame({"sequence_id": sequence_id, "offset": offset})
+
+    places = F.pandas_udf(place, "sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", places("length", "rank").alias("p")).select("doc_id", "piece", "start", "length", "ids_crc32", "p.*")
 
 
 def best_fit_pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: tuple[str, str] | None = None,

@@ -55,19 +55,18 @@ def second_word(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1) -> DataFrame:
     """(doc_id, fp): one row per input row, fp the fingerprint's bits as a signed long. Null or wordless text has fp 0.
 
-    With two words, fp2 holds 64 further bits.
+    With two words, fp2 holds 64 further bits. Only texts go through Python, so ids, null or of any size, stay as they are.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hashes = [shingle_hashes(t, width) for t in batch["text"].array]
-            out = {"doc_id": batch["doc_id"], "fp": np.array([*map(_majority, hashes)], dtype=np.uint64).view(np.int64)}
-            if words == 2:
-                out["fp2"] = np.array([*map(second_word, hashes)], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame(out)
-
-    schema = "doc_id long, fp long" + ", fp2 long" * (words == 2)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        hashes = [shingle_hashes(t, width) for t in texts.array]
+        out = {"fp": np.array([*map(_majority, hashes)], dtype=np.uint64).view(np.int64)}
+        if words == 2:
+            out["fp2"] = np.array([*map(second_word, hashes)], dtype=np.uint64).view(np.int64)
+        return pd.DataFrame(out)
+
+    marks = F.pandas_udf(run, "fp long" + ", fp2 long" * (words == 2))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), marks(F.col(text_col)).alias("m")).select("doc_id", "m.*")
 
 
 def _bit_moments(unique: DataFrame) -> tuple[int, np.ndarray]:

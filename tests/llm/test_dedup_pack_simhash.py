@@ -256,3 +256,17 @@ def test_similar_components_match_all_pairs(spark, make_docs, odd_rows, block):
         got[r["component_id"]].add(texts[r["doc_id"]] or "")
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
     assert simhash.similar_components(make_docs([])).count() == 0
+
+
+def test_null_and_large_ids_stay_whole(spark, make_docs):
+    """A null id beside ids that doubles cannot hold."""
+    ids = [2**53 + 1, None, 2**53 + 3, -(2**60) - 7, 2**62 + 1]
+    docs = make_docs([(i, "the same words again and again " * (k % 2 + 1) * 300, "en") for k, i in enumerate(ids)]).coalesce(1)
+    by = lambda r: (r is not None, r or 0)
+    assert sorted((r["doc_id"] for r in simhash.simhash_components(docs).collect()), key=by) == sorted(ids, key=by)
+    assert {r["component_id"] for r in simhash.simhash_components(docs).collect()} <= set(ids)
+    pieces = packing.best_fit_pack(docs).collect()
+    assert {r["doc_id"] for r in pieces} == set(ids) and pieces[0].__fields__ == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    for i in ids:
+        own = sorted((r["piece"], r["start"], r["length"]) for r in pieces if r["doc_id"] == i)
+        assert [p for p, _, _ in own] == list(range(len(own))) and all(a + n == b for (_, a, n), (_, b, _) in zip(own, own[1:])) and all(n == 1024 for _, _, n in own[1:])

@@ -117,6 +117,77 @@ def test_html_keeps_all_of_the_article():
     assert html_text.main_text(page) == "Intro text that is long enough to matter. Earlier work did this. We searched and found. one two three"
 
 
+def test_html_drops_nothing_inside_articles():
+    long = "<p>" + "Words of a long paragraph of the story. " * 12 + "</p>"
+    words = " ".join(("Words of a long paragraph of the story. " * 12).split())
+    for tag in ("article", "main"):
+        page = lambda inside: html_text.main_text(f"<body><nav><a>Menu</a></nav><{tag}>{inside}</{tag}><footer>End</footer></body>")  # noqa: E731, B023
+        assert page(f"<div>{long}{long}</div><div><p>Short closing remark.</p></div>") == f"{words} {words} Short closing remark."
+        assert page(f"<div class=lead>A lead line.</div><div>{long}{long}</div>") == f"A lead line. {words} {words}"
+        for name in ("id=search", "id=promotion-history", "class=comment-syntax", "class=related", "class='notice'"):
+            assert page(f"{long}<section {name}><p>What was found.</p></section>{long}") == f"{words} What was found. {words}", name
+        for name in ("class=ad", "class='ads box'", "class=comments", "id=comment-list", "class=comments-section", "id=disqus_thread", "class=sponsored"):
+            assert page(f"{long}<div {name}><p>{'Buy this now. ' * 40}</p></div>{long}") == f"{words} {words}", name
+    # Without an article, the wrapper of the largest density sum stays whatever its name; other noise goes.
+    assert html_text.main_text(f"<body><div class='page-with-sidebar'><div>{long}{long}</div></div><div class=sidebar><p>Side text here.</p></div></body>") == f"{words} {words}"
+    assert html_text.main_text(f"<body><div class=notice><p>{'We use cookies here. ' * 3}</p></div><div>{long}</div></body>") == words
+
+
+def test_html_pruning_keeps_what_it_should():
+    """Against a plain reading of the rules, over random pages: which leaves are gone."""
+    rng = random.Random(5)
+    names = ["", "ad", "comments", "sidebar", "site-notice", "search", "comment-syntax", "story"]
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.3:
+            grow.n += 1
+            return ("p", "", f"w{grow.n} " + "text goes on here and there " * rng.randrange(1, 12))
+        return (rng.choice(["div", "section", "div", "article"]) if depth < 4 else "div", rng.choice(names), [grow(depth - 1) for _ in range(rng.randrange(1, 4))])
+
+    def show(node):
+        tag, name, inside = node
+        return f"<{tag}{f' class={name}' if name else ''}>{inside if isinstance(inside, str) else ''.join(map(show, inside))}</{tag}>"
+
+    for _ in range(60):
+        grow.n = 0
+        tree = ("body", "", [grow(4) for _ in range(3)])
+        root = html_text.build(show(tree))
+        order = html_text.measure(root)
+        best = max(order, key=lambda n: n.total)
+        chain = set()
+        while best is not None:
+            chain.add(best)
+            best = best.parent
+        articles = [n for n in order if n.tag == "article"]
+        want = []
+
+        def read(node, within, gone):
+            own = (node.attrs.partition("class=")[2] or "").strip()
+            holds = any(a is not node and node in parents(a) for a in articles) if articles else node in chain  # noqa: B023
+            if own in ("ad", "comments") and (not holds or not articles):  # noqa: B023
+                gone = True
+            if own in ("sidebar", "site-notice", "search", "comment-syntax") and not (within or node.tag == "article" or holds):
+                gone = True
+            within = within or node.tag == "article"
+            for k in node.kids:
+                if isinstance(k, str):
+                    if not gone:
+                        want.append(k)  # noqa: B023
+                else:
+                    read(k, within, gone)
+
+        def parents(node):
+            out = set()
+            while node is not None:
+                out.add(node)
+                node = node.parent
+            return out
+
+        read(root, False, False)
+        html_text.prune_named(root, order)
+        assert [k for n in html_text.walk(root) for k in n.kids if isinstance(k, str)] == want
+
+
 def test_html_time_grows_with_the_page():
     shapes = ['<a href="x ', '<a b=">" ', "<!", "<a ", "<p title='", "<b><i></b>", "<li><b></li>", "<ul><li>", '<a b="']
     halves = [("<div>", "</p>"), ("<b>", "<p>"), ("<p>", "</b>")]
