@@ -16,14 +16,14 @@ from tallyvane.llm.langid import SPACE, _letters, letters
 
 #: Which letters a symbol can stand for (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
-#: What may part the letters of one word, up to three at a time; symbols that also end ordinary words.
-SEPARATORS, ENDINGS = " .-_*/", "!|+(*$"
+#: What may part the letters of one word, up to three at a time; symbols that also begin, and that also end ordinary words.
+SEPARATORS, OPENINGS, ENDINGS = " .-_*/", "(*", "!|+(*$"
 UNIT, PARTED = re.compile(r"[ .\-_/]+|(.)\1*", re.S), re.compile(r"[ .\-_/]+")
 BUCKETS, SHORTEST, LONGEST = 1 << 22, 3, 10
 SIGNS, GAP = 28, 27  # a to z, any other letter, the space
 #: The channel, as log-probabilities: a letter doubled, a symbol for a letter, a symbol that is none.
 DOUBLED, SWAPPED, AS_IT_IS = -8.0, -1.0, -7.0
-WINDOW, REMEMBERED = 2000, 64  # units between settled ends of a long span; spans up to that length are kept in memory
+WINDOW, REMEMBERED = 2000, 64  # units of a span that are held before the part all paths share is settled; spans up to that length are kept in memory
 
 
 def chunks(texts: list[str], chars: int = 200_000) -> Iterator[list[str]]:
@@ -62,17 +62,18 @@ def learn_character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray
     return np.log(counts / counts.sum(2, keepdims=True))
 
 
-def _options(char: str, run: int, doubled: float, edge: bool) -> list[tuple[str, float]]:
+def _options(char: str, run: int, doubled: float, free: bool) -> list[tuple[str, float]]:
     """What one observed character, repeated `run` times, can stand for, with the channel's log-probability.
 
-    doubled: the share of the span's letters that are doubled, which makes each of them less of a surprise.
+    doubled: the share of the span's letters that are doubled besides the first such, which makes each of them less of a
+    surprise; a single doubled letter is none. free: whether the symbol may stand there in an ordinary text.
     """
     if char.isalpha():
         if run == 1:
             return [(char, 0.0)]
         return [(char * 2, 0.0 if run == 2 else -1.5), (char, DOUBLED * (1 - doubled) if run == 2 else -0.5)]
     stands = LEET.get(char, "")
-    out = [(" ", 0.0 if not stands or edge and char in ENDINGS else AS_IT_IS)] + [(c, SWAPPED) for c in stands]
+    out = [(" ", 0.0 if not stands or free else AS_IT_IS)] + [(c, SWAPPED) for c in stands]
     return out + [(c * 2, 2 * SWAPPED) for c in stands if run == 2] + ([("", -4.0)] if char in SEPARATORS else [])
 
 
@@ -93,27 +94,27 @@ def viterbi(span: str, model: list) -> str:
     """The likeliest words behind one span: the best path through the lattice of its characters' readings.
 
     model[a][b][c] is the log-probability of sign c after a and b. A state is the last two letters of a reading; it keeps
-    its best predecessor. After `WINDOW` units the best path so far is settled and the search goes on from its end, so that
-    spans of any length take linear time and bounded memory.
+    its best predecessor. Where the paths of all states have their beginning in common, it is settled and forgotten, as soon
+    as `WINDOW` units are held; so a span of any length has its likeliest reading, and is held no longer than paths differ.
     """
     units = [(m[0], m[1]) for m in UNIT.finditer(span)]
     sizes = [*map(len, PARTED.split(span))]
     letters_, twice = (sum(c is not None and c.isalpha() and len(u) in n for u, c in units) for n in ((1, 2), (2,)))
-    states, back, part, settled = {(GAP, GAP): 0.0}, [], 0, []
+    states, back, part, settled, held = {(GAP, GAP): 0.0}, [], 0, [], WINDOW
 
-    def settle(state: tuple[int, int]) -> None:
+    def settle(state: tuple[int, int], end: int) -> None:
         out = []
-        for came in reversed(back):
+        for came in reversed(back[:end]):
             state, reading = came[state]
             out.append(reading)
         settled.append("".join(reversed(out)))
-        back.clear()
+        del back[:end]
 
     for k, (unit, char) in enumerate(units):
         if char is None:
             options, part = _gap(unit, part, sizes), part + 1
         else:
-            options = _options(char, len(unit), twice / max(letters_, 1), k in (0, len(units) - 1))
+            options = _options(char, len(unit), max(twice - 1, 0) / max(letters_, 1), not k and char in OPENINGS or k and k == len(units) - 1 and char in ENDINGS)
         following: dict[tuple[int, int], float] = {}
         came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
         for state, logp in states.items():
@@ -129,11 +130,15 @@ def viterbi(span: str, model: list) -> str:
                     following[x, y], came[x, y] = p, (state, reading)
         states = following
         back.append(came)
-        if len(back) == WINDOW:
-            best = max(states, key=states.get)
-            settle(best)
-            states = {best: 0.0}
-    settle(max(states, key=lambda s: states[s] + (model[s[0]][s[1]][GAP] if s[1] != GAP else 0.0)))
+        if len(back) >= held:
+            ends, at = {*states}, len(back)
+            while at and len(ends) > 1:
+                at -= 1
+                ends = {back[at][state][0] for state in ends}
+            if at and len(ends) == 1:
+                settle(ends.pop(), at)
+            held = max(WINDOW, 2 * len(back))
+    settle(max(states, key=lambda s: states[s] + (model[s[0]][s[1]][GAP] if s[1] != GAP else 0.0)), len(back))
     return "".join(settled)
 
 
@@ -157,14 +162,17 @@ def suspects(codes: np.ndarray, model: np.ndarray, doubt: float = 6.0) -> np.nda
 
     Letters beside a symbol; a letter three times running, or twice where the model finds one of them much likelier; gaps
     of one to three separators that the model would rather not have, and single letters in a row. Endings such as the ! of
-    an ordinary word count only before a letter.
+    an ordinary word count only before a letter or another symbol. What has no letter at all is a number and stays.
     """
     kinds = _kinds()[codes]
     letter, symbol = kinds == 1, (kinds == 2) | (codes == ord("*"))
     hit = np.zeros(len(codes), bool)
     hit[1:] |= symbol[:-1] & letter[1:]
+    # What follows a run of endings: an ordinary word has no letter or other symbol there.
+    after = np.append(~(symbol & np.isin(codes, [*map(ord, ENDINGS)])), True)
+    following = np.minimum.accumulate(np.where(after, np.arange(len(after)), len(after))[::-1])[::-1]
     near = np.flatnonzero(symbol[1:] & letter[:-1])
-    hit[near[~np.isin(codes[near + 1], [*map(ord, ENDINGS)])]] = True
+    hit[near[np.append(symbol | letter, False)[following[near + 1]]]] = True
     sign = np.concatenate([[False], letter | symbol, [False]])
     single = np.flatnonzero(sign[1:-1] & ~sign[:-2] & ~sign[2:])
     if len(single):

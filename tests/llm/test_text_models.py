@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import re
 import time
 
 import numpy as np
@@ -272,13 +273,13 @@ def every_reading(span, model):
     units = [(m[0], m[1]) for m in toxicity.UNIT.finditer(span)]
     sizes, part, options = [*map(len, toxicity.PARTED.split(span))], 0, []
     letters = [u for u, c in units if c and c.isalpha() and len(u) < 3]
-    doubled = sum(len(u) == 2 for u in letters) / max(len(letters), 1)
+    doubled = max(sum(len(u) == 2 for u in letters) - 1, 0) / max(len(letters), 1)
     for k, (unit, char) in enumerate(units):
         if char is None:
             options.append(toxicity._gap(unit, part, sizes))
             part += 1
         else:
-            options.append(toxicity._options(char, len(unit), doubled, k in (0, len(units) - 1)))
+            options.append(toxicity._options(char, len(unit), doubled, k == 0 and char in toxicity.OPENINGS or 0 < k == len(units) - 1 and char in toxicity.ENDINGS))
     best = {}
     for chosen in itertools.product(*options):
         logp, x, y = 0.0, 27, 27
@@ -302,6 +303,43 @@ def test_viterbi_finds_the_best_of_all_readings():
         assert abs(found[toxicity.viterbi(span, model.tolist())] - max(found.values())) < 1e-9, span
 
 
+def test_long_spans_have_the_reading_of_the_whole_lattice(monkeypatch):
+    rng, model = random.Random(8), character_model(INSULTS).tolist()
+    spans = ["".join(rng.choice("aidostmorn1@$0!.-*") * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randint(1, 120))) for _ in range(120)]
+    whole = [toxicity.viterbi(s, model) for s in spans]
+    for window in (1, 7, 20):
+        monkeypatch.setattr(toxicity, "WINDOW", window)
+        assert [toxicity.viterbi(s, model) for s in spans] == whole
+
+
+def test_ordinary_words_stay():
+    """With a model of the words themselves, and of words that share their beginnings without the doubled letter."""
+    said = INSULTS + " good god goods room rom rooms book books price dollars in is the see three letter little add three " * 40
+    restore = toxicity.Restorer(character_model(said))
+    for text in ("good!", "room 101 book", "book (see the book)", "three 3 books", "good room", "a letter!", "little add in 2024", "* good *", "price is 100 dollars in 2024"):
+        assert re.findall(r"\w+", restore([text])[0]) == re.findall(r"\w+", text), text
+    assert restore(["|d|ot"])[0] == "idiot" and restore(["!d10t"])[0] == "idiot"
+
+
+def test_gate_passes_what_decoding_everything_changes():
+    """Words of the model's own text, obfuscated or not: where the likeliest reading of a piece differs, the gate lets it in."""
+    rng, model = random.Random(9), character_model(INSULTS)
+    restore, rows = toxicity.Restorer(model), model.tolist()
+    stands = {v: k for k, vs in reversed(toxicity.LEET.items()) for v in vs}
+    lost = 0
+    for _ in range(1500):
+        word = rng.choice(INSULTS.split())
+        kind = rng.randrange(4)
+        if kind == 1:
+            word = "".join(stands.get(c, c) if rng.random() < 0.4 else c for c in word)
+        elif kind == 2:
+            word = "".join(c * rng.choice([1, 1, 2, 3]) for c in word)
+        elif kind == 3:
+            word = rng.choice([".", "-", " "]).join(word)
+        lost += any(map(str.isalpha, word)) and toxicity.viterbi(word, rows) != restore([word])[0]
+    assert lost == 0
+
+
 def test_sequences_have_whole_words_of_any_length():
     long = "unbelievablydisgusting"
     same = toxicity.sequences([long])[0].tolist()
