@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tallyvane.functions.findings import dominance, effect_label
-from tallyvane.operators.ranks import running_total
-from tallyvane.session import cut
+from tallyvane.operators.ranks import running_number, running_total
+from tallyvane.session import cut, lean
 
 
 @F.pandas_udf(DoubleType())
@@ -84,6 +84,23 @@ def compare_classes(samples: DataFrame, key: str = "cwe", alpha: float = 0.05) -
     return rows.withColumn("significant", F.col("p") < alpha).orderBy("p", F.desc(F.abs("delta")), key)
 
 
+#: The columns of the comparison table, where they come from, and the digits of those with a fixed number.
+COMPARISON_COLUMNS = {
+    "ID": "key", "Name": "name", "Mann-Whitney U": "u", "p-value": "p", "p-value CI low": "p_low", "p-value CI high": "p_high", "q-value (BY)": "q",
+    "Cliff's delta": "delta", "delta CI low": "delta_low", "delta CI high": "delta_high", "Cliff's interpretation": "label", "Dominance": "dominance",
+    "kernel mean %": "mean_1", "application mean %": "mean_2",
+}
+COMPARISON_DIGITS = {name: 6 for name, source in COMPARISON_COLUMNS.items() if source in ("u", "delta", "delta_low", "delta_high", "mean_1", "mean_2")}
+
+
+def comparison_table(tested: DataFrame, intervals: DataFrame, names: DataFrame, key: str = "cwe") -> DataFrame:
+    """The table of compare_classes' rows, for sinks.write_table with COMPARISON_DIGITS: each with its intervals (key, p_low,
+    p_high, delta_low, delta_high), if there are any, and its name (key, name), or Unknown."""
+    rows = tested.join(intervals, key, "left").join(lean(names.select(key, "name")), key, "left").fillna({"name": "Unknown"})
+    rows = rows.withColumn("key", F.col(key).cast("string")).orderBy("p", F.desc(F.abs("delta")), key)
+    return rows.select(*(F.col(source).alias(name) for name, source in COMPARISON_COLUMNS.items()))
+
+
 def percentile_interval(rows: DataFrame, by: list[str], value: str, level: float = 0.95) -> DataFrame:
     """Linear-interpolated lower and upper percentile of the values that are numbers; null without any."""
     tail = (1 - level) / 2
@@ -98,15 +115,14 @@ def bootstrap_mann_whitney(samples: DataFrame, key: str, value: str = "share", d
     Draw i of a replicate takes the member pmod(hash(seed, class, replicate, i), n), so a repeated or lost task gives the
     same draws. The weights of members per replicate are joined to the values; each replicate is one Mann-Whitney test.
     """
-    place = Window.partitionBy("class_name").orderBy("project")
-    members = samples.select("class_name", "project").distinct().withColumn("at", (F.row_number().over(place) - 1).cast("long"))
+    members = running_number(samples.select("class_name", "project").distinct(), ["class_name"], ["project"], "at").withColumn("at", F.col("at") - 1)
     sizes = members.groupBy("class_name").agg(F.count("*").alias("n"))
     spots = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
     drawn = sizes.select("class_name", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("rep")).select("class_name", "n", "rep", spots.alias("i"))
     drawn = drawn.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "class_name", "rep", "i"), F.col("n"))).groupBy("class_name", "rep", "at").agg(F.count("*").alias("w"))
     weights = drawn.join(members, ["class_name", "at"]).select("class_name", "project", "rep", "w")
     both = samples.groupBy(key).agg(F.count_distinct("class_name").alias("c")).where("c = 2").select(key)
-    rows = samples.join(F.broadcast(both), key).join(weights, ["class_name", "project"])
+    rows = samples.join(lean(both), key).join(weights, ["class_name", "project"])
     tested = cut(with_p(mann_whitney(rows, [key, "rep"], value, weight="w")).select(key, "p", "delta"))
     p, delta = percentile_interval(tested, [key], "p"), percentile_interval(tested, [key], "delta")
     return p.select(key, F.col("low").alias("p_low"), F.col("high").alias("p_high")).join(delta.select(key, F.col("low").alias("delta_low"), F.col("high").alias("delta_high")), key)

@@ -547,9 +547,12 @@ def _(t: Tables) -> DataFrame:
     return docs.select(*PROJECT, *counted, listed.alias("listed"), total.alias("sum_places"))
 
 
-@query("e13_validated_shares", """, v AS (SELECT project, count(*) AS n FROM clusters WHERE rule = 'two_out_of_four' GROUP BY project), c AS (SELECT * FROM counted WHERE rule = 'two_out_of_four')
- SELECT m.class_name, m.project, g.num AS number, round(CASE WHEN v.n > 0 THEN coalesce(c.n, 0) * 100.0 / v.n ELSE 0.0 END, 6) AS share FROM metadata m
- JOIN (SELECT DISTINCT class_name, num FROM c) g ON m.class_name = g.class_name LEFT JOIN v ON m.project = v.project LEFT JOIN c ON c.project = m.project AND c.num = g.num""")
+_VALIDATED = """, v AS (SELECT project, count(*) AS n FROM clusters WHERE rule = 'two_out_of_four' GROUP BY project), c AS (SELECT * FROM counted WHERE rule = 'two_out_of_four'),
+ validated AS (SELECT m.class_name, m.project, g.num AS cwe, CASE WHEN v.n > 0 THEN coalesce(c.n, 0) * 100.0 / v.n ELSE 0.0 END AS share FROM metadata m
+ JOIN (SELECT DISTINCT class_name, num FROM c) g ON m.class_name = g.class_name LEFT JOIN v ON m.project = v.project LEFT JOIN c ON c.project = m.project AND c.num = g.num)"""
+
+
+@query("e13_validated_shares", _VALIDATED + "SELECT class_name, project, cwe AS number, round(share, 6) AS share FROM validated")
 def _(t: Tables) -> DataFrame:
     """Shares of the clusters that two tools agree on, each counted for its representative, or else for all its CWEs."""
     return _round(_validated_shares(t), "share")
@@ -577,7 +580,7 @@ def _(t: Tables) -> DataFrame:
 @query("e15_top_members", "SELECT class_name, project, CAST(sum(n) AS BIGINT) AS n FROM counts WHERE num IN (111, 121, 300) GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     top = t.get("view_members").where("view_id = 1435").select(F.col("cwe").alias("number"))
-    return _counts(t).join(F.broadcast(top), "number", "left_semi").groupBy(*PROJECT).agg(F.sum("n").alias("n"))
+    return _counts(t).join(lean(top), "number", "left_semi").groupBy(*PROJECT).agg(F.sum("n").alias("n"))
 
 
 # Aggregations
@@ -884,11 +887,31 @@ def _(t: Tables) -> DataFrame:
     return _round(stats.mann_whitney(_shares(t), ["cwe"]), "u", "delta", "z", "mean_1", "mean_2")
 
 
-@query("j02_comparison")
+def _chance(z: str) -> str:
+    """Two-sided p of a normal deviate in SQL: the series of erf, whose terms are all positive."""
+    term = f"exp(2 * j * ln(2.0) + (2 * j + 1) * ln({z} / sqrt(2.0)) + lgamma(j + 1.0) - lgamma(2 * j + 2.0))"
+    return f"CASE WHEN {z} > 8 THEN 0 WHEN {z} > 0 THEN 1 - 2 / sqrt(pi()) * exp(-{z} * {z} / 2) * list_sum(list_transform(range(0, 200), lambda j: {term})) ELSE 1 END"
+
+
+_COMPARED = _RANKED + f""", z AS (SELECT *, 2.0 * u / (n1 * n2) - 1 AS delta, coalesce(greatest(abs(u - n1 * n2 / 2.0) - 0.5, 0) / nullif(sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie / ((n1 + n2) * (n1 + n2 - 1.0)))), 0), 0) AS z FROM tested),
+ p AS (SELECT *, {_chance("z")} AS p FROM z), m AS (SELECT count(*) AS m FROM p), h AS (SELECT sum(1.0 / k) AS h FROM (SELECT row_number() OVER () AS k FROM p)), k AS (SELECT *, row_number() OVER (ORDER BY p, cwe) AS rank FROM p)
+ SELECT cwe, n1, n2, round(u, 6) AS u, round(delta, 6) AS delta, round(z, 6) AS z, round(mean_1, 6) AS mean_1, round(mean_2, 6) AS mean_2, round(p, 6) AS p,
+ round(least(min(p * h * m / rank) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS q,
+ CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS label, CASE WHEN delta > 0 THEN 'kernel' WHEN delta < 0 THEN 'application' ELSE 'equal' END AS dominance, p < 0.05 AS significant FROM k, m, h"""
+
+
+@query("j02_comparison", _COMPARED)
 def _(t: Tables) -> DataFrame:
     return _round(stats.compare_classes(_shares(t)), "u", "delta", "z", "p", "q", "mean_1", "mean_2")
 
 
+@query("j02_validated_comparison", _VALIDATED + _COMPARED.replace("FROM shares", "FROM validated"))
+def _(t: Tables) -> DataFrame:
+    """The comparison over the clusters that two tools agree on."""
+    shares = _validated_shares(t).withColumnRenamed("number", "cwe")
+    return _round(stats.compare_classes(shares), "u", "delta", "z", "p", "q", "mean_1", "mean_2")
+
+
 @query("h07_comparison_order", _RANKED + """, z AS (SELECT cwe, 2.0 * u / (n1 * n2) - 1 AS delta, greatest(abs(u - n1 * n2 / 2.0) - 0.5, 0) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z FROM tested)
  SELECT cwe, row_number() OVER (ORDER BY round(z, 9) DESC, round(abs(delta), 9) DESC, cwe) AS place FROM z""")
 def _(t: Tables) -> DataFrame:
@@ -958,8 +981,8 @@ _TIES = "SELECT class_name, size, sum(t * (t - 1)) AS t1, sum(t * (t - 1) * (t -
  FROM k JOIN g ON k.class_name = g.class_name AND k.size = g.size JOIN tx ON k.class_name = tx.class_name AND k.size = tx.size JOIN ty ON k.class_name = ty.class_name AND k.size = ty.size),
  orders_of AS (SELECT 1 AS n, [1.0::DOUBLE] AS ways UNION ALL SELECT n + 1, list_transform(range(0, len(ways) + n), lambda i: list_sum(ways[greatest(i - n, 0) + 1 : i + 1]) / (n + 1)) FROM orders_of WHERE n < 33)
  SELECT class_name, size, r.n, c AS concordance, CASE WHEN known THEN round(tau, 6) END AS tau, CASE WHEN known THEN round(z, 6) END AS z, round(CASE WHEN NOT known THEN NULL
-  WHEN exact AND r.n > 33 THEN 0 WHEN exact THEN least(1, 2 * list_sum(ways[1 : CAST(fewer AS INTEGER) + 1])) WHEN z > 8 THEN 0
-  ELSE 1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(0, 200), lambda j: CASE WHEN z > 0 THEN exp(2 * j * ln(2.0) + (2 * j + 1) * ln(z / sqrt(2.0)) + lgamma(j + 1.0) - lgamma(2 * j + 2.0)) ELSE 0 END)) END, 6) AS p
+  WHEN exact AND r.n > 33 THEN 0 WHEN exact THEN least(1, 2 * list_sum(ways[1 : CAST(fewer AS INTEGER) + 1])) 
+  ELSE {_chance("z")} END, 6) AS p
  FROM r LEFT JOIN orders_of o ON o.n = r.n""")
 def _(t: Tables) -> DataFrame:
     rows = density.with_densities(_vulns(t))

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvane.operators.ranks import running_number
 from tallyvane.functions.findings import first_cwe, payload, positive_line, tag_cwe
+from tallyvane.operators.ranks import running_number
+from tallyvane.session import cut
 
 SARIF = """struct<runs:array<struct<
  tool:struct<driver:struct<rules:array<struct<id:string,properties:struct<tags:array<string>>>>>>,
@@ -63,16 +64,13 @@ def parse_sarif(raw: DataFrame, keys: list[str], tool: Column) -> DataFrame:
     no row carries them.
     """
     runs = raw.select(*keys, tool.alias("tool"), F.posexplode(F.from_json(payload(F.col("raw"), "{"), SARIF)["runs"]).alias("run", "r"))
-    rules = F.map_from_entries(
-        F.aggregate(
-            F.coalesce(F.col("r.tool.driver.rules"), F.array()), F.expr("cast(array() as array<struct<id:string,tags:array<string>>>)"),
-            lambda done, x: F.when(x["id"].isNull(), done).otherwise(
-                F.concat(F.filter(done, lambda d: d["id"] != x["id"]), F.array(F.struct(x["id"].alias("id"), x["properties"]["tags"].alias("tags"))))
-            ),
-        )
-    )
+    listed = F.transform(F.coalesce(F.col("r.tool.driver.rules"), F.array()), lambda x, k: F.struct(x["id"].alias("id"), k.alias("k"), x["properties"]["tags"].alias("tags")))
+    # In the order of ids and places, a rule counts if the next one has another id.
+    ordered = F.array_sort(F.filter(listed, lambda x: x["id"].isNotNull()))
+    last = F.transform(F.filter("ordered", lambda x, k: F.coalesce(F.get(F.col("ordered"), k + 1)["id"] != x["id"], F.lit(True))), lambda x: F.struct(x["id"], x["tags"]))
+    runs = runs.withColumn("ordered", ordered).withColumn("rules", F.map_from_entries(last))
     found = F.transform("r.results", lambda x: F.struct(x.alias("x"), F.col("rules")[x["ruleId"]].alias("tags")))
-    results = runs.withColumn("rules", rules).select(*keys, "tool", "run", F.posexplode(found).alias("pos", "y")).select(*keys, "tool", "run", "pos", "y.x", "y.tags")
+    results = runs.select(*keys, "tool", "run", F.posexplode(found).alias("pos", "y")).select(*keys, "tool", "run", "pos", "y.x", "y.tags")
     spot = F.get(F.col("x.locations"), F.lit(0))["physicalLocation"]
     text = F.col("x.message.text")
     return results.select(
@@ -170,7 +168,7 @@ def parse_ikos(raw: DataFrame, keys: list[str]) -> DataFrame:
     The place is that of the entry's statement, whose file is looked up, or else the entry's own location. Of statements
     and files with the same id the last counts; those without an id are left out. Both are joined by output and id.
     """
-    doc = raw.select(*keys, F.xxhash64(*keys).alias("k"), F.xxhash64("raw").alias("h"), F.from_json(payload(F.col("raw"), "{"), IKOS).alias("d"))
+    doc = cut(raw.select(*keys, F.xxhash64(*keys).alias("k"), F.xxhash64("raw").alias("h"), F.from_json(payload(F.col("raw"), "{"), IKOS).alias("d")))
 
     def last(items: str, value: Column) -> DataFrame:
         rows = doc.select("k", "h", F.posexplode(items).alias("at", "i")).where("i.id is not null")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import csv
 import json
 import random
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyvane.functions import findings as fn
-from tallyvane.operators import clusters, corpus, density, hierarchy
+from tallyvane.operators import clusters, corpus, density, hierarchy, stats
 from tallyvane.sources import analyzers, documents, sinks
 
 KEYS = ["class_name", "project"]
@@ -225,6 +226,22 @@ def test_numbers_in_tables(spark, tmp_path):
     assert lines[1:] == [f"{k}," + ("" if v is None else f"{v:.12g}") + "," + ("" if v is None else f"{v:.3f}") for k, v in enumerate(values)]
 
 
+def test_comparison_table(spark, tmp_path):
+    shares = [(f"CWE-{c}", f"p{k}", "kernel" if k < 6 else "application", float((k * c) % 7)) for c in (3, 5, 9) for k in range(15)]
+    tested = stats.compare_classes(spark.createDataFrame(shares, "cwe string, project string, class_name string, share double"))
+    intervals = spark.createDataFrame([("CWE-3", 0.01, 1.0, -0.5, 1 / 3)], "cwe string, p_low double, p_high double, delta_low double, delta_high double")
+    names = spark.createDataFrame([("CWE-3", "Three, or so")], "cwe string, name string")
+    sinks.write_table(stats.comparison_table(tested, intervals, names).coalesce(1), str(tmp_path / "t"), stats.COMPARISON_DIGITS)
+    (file,) = (tmp_path / "t").glob("*.csv")
+    header, *rows = csv.reader(file.open())
+    assert ",".join(header) == "ID,Name,Mann-Whitney U,p-value,p-value CI low,p-value CI high,q-value (BY),Cliff's delta,delta CI low,delta CI high,Cliff's interpretation,Dominance,kernel mean %,application mean %"
+    want = {r["cwe"]: r for r in tested.collect()}
+    assert [r[0] for r in rows] == sorted(want, key=lambda c: (want[c]["p"], -abs(want[c]["delta"]), c))
+    own, r = next(r for r in rows if r[0] == "CWE-3"), want["CWE-3"]
+    assert own == ["CWE-3", "Three, or so", f"{r['u']:.6f}", f"{r['p']:.12g}", "0.01", "1", f"{r['q']:.12g}", f"{r['delta']:.6f}", "-0.500000", "0.333333", r["label"], r["dominance"], f"{r['mean_1']:.6f}", f"{r['mean_2']:.6f}"]
+    assert [r[1:2] + r[4:6] for r in rows if r[0] != "CWE-3"] == [["Unknown", "", ""]] * 2
+
+
 def test_taxonomy_cells(spark):
     key = "class_name string, project string"
     projects = spark.createDataFrame([("kernel", "Linux", 1), ("kernel", "bsd", 2), ("kernel", "bare", 3), ("application", "App", 4), ("application", "other", 5), ("tool", "App", 6)], key + ", vulns long")
