@@ -407,6 +407,23 @@ def test_hot_file_and_long_chains_have_one_label(spark):
     assert got == dict.fromkeys(range(n), 0)
 
 
+def test_one_project_holds_all_findings(spark):
+    """Positions, report order and cluster ids of a project that lies in many ranges."""
+    rng, n = random.Random(12), 2000
+    found = [("k", "p", rng.choice(["codeql", "semgrep", "cppcheck"]), f"f{rng.randrange(6)}.c", rng.choice([None, *range(1, 300)]), f"CWE-{rng.choice([100, 110, 200])}", rng.choice(["r", None]), k) for k in range(n)]
+    table = spark.createDataFrame(found, FINDING).repartition(6)
+    placed = vote.attach_functions(vote.prepare(table), spark.createDataFrame([], SPAN))
+    got = clusters.all_clusters(placed, edges(spark), members=False).collect()
+    for rule in {r["rule"] for r in got}:
+        own = sorted((r["min_idx"], r["cluster_id"]) for r in got if r["rule"] == rule)
+        assert [c for _, c in own] == list(range(1, len(own) + 1)), rule
+    assert sum(r["rule"] == "one_out_of_four" for r in got) == n and any(r["rule"] == "three_out_of_four" for r in got)
+    assert all(r["representative"] is None for r in got if r["rule"].endswith("no_cwe")) and any(r["representative"] for r in got if r["rule"] == "two_out_of_four")
+    order = {r["arrival"]: r["finding_idx"] for r in audit.ordered_findings(table.withColumnRenamed("finding_idx", "arrival")).collect()}
+    want = sorted(found, key=lambda f: (f[3], f[4] or -1, f[2], f[6] or "", f[7]))
+    assert order == {f[7]: k for k, f in enumerate(want)}
+
+
 def test_selections(spark):
     rows = spark.createDataFrame([("zoo", "codeql"), ("application", "ikos"), ("Beta", "codeql"), ("kernel", "semgrep")], "class_name string, tool string")
     assert [r["class_name"] for r in audit.classes(rows).orderBy("place").collect()] == ["kernel", "application", "Beta", "zoo"]
