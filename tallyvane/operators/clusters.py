@@ -55,7 +55,7 @@ def all_clusters(findings: DataFrame, edges: DataFrame, members: bool = True, nu
 
     Only rules that ask for related CWEs have representatives; those of the other three are null.
     """
-    findings, closure = cut(findings), cut(ancestors(edges))
+    findings, closure = cut(findings), ancestors(edges)
     lines = cut(line_labels(findings))
     by_cwe = build(agree(findings, related_pairs(closure), lines), {k: v for k, v in CWE_RULES.items() if k > 1}, members, numbered)
     by_place = build(agree(findings, None, lines), ANY_RULES, members, numbered)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tallyvane.operators import clusters, density, hierarchy, vote
 from tallyvane.plans.fixtures import Tables
-from tallyvane.session import cut
 
 
 def clusters_of(tables: Tables, members: bool = False, numbered: bool = True) -> DataFrame:
@@ -19,7 +18,7 @@ def clusters_of(tables: Tables, members: bool = False, numbered: bool = True) ->
 def two_tool_labels(tables: Tables) -> DataFrame:
     """Findings with the label of their component in CWE mode."""
     findings = vote.attach_functions(vote.prepare(tables.get("findings")), tables.get("spans"))
-    return vote.agree(findings, hierarchy.related_pairs(cut(hierarchy.ancestors(tables.get("edges")))))
+    return vote.agree(findings, hierarchy.related_pairs(hierarchy.ancestors(tables.get("edges"))))
 
 
 def vote_and_density(tables: Tables) -> DataFrame:

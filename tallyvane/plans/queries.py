@@ -109,11 +109,15 @@ def _shares(t: Tables) -> DataFrame:
     return distributions.share_matrix(counts, _totals(t, counts))
 
 
-def _validated_shares(t: Tables) -> DataFrame:
+def _validated(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(counts, totals) of the clusters that two tools agree on, each counted for its representative, or else for all its CWEs."""
     found = cut(clusters.rule_summary(flagship.clusters_of(t, numbered=False)).where("rule = 'two_out_of_four'"))
     per_project = found.groupBy(*PROJECT).agg(F.first("tot_vulns").alias("tot_vulns"))
-    totals = t.get("metadata").select(*PROJECT).join(per_project, PROJECT, "left").fillna(0, ["tot_vulns"])
-    return distributions.share_matrix(found.select(*PROJECT, "number", "n"), totals, "number")
+    return found.select(*PROJECT, "number", "n"), t.get("metadata").select(*PROJECT).join(per_project, PROJECT, "left").fillna(0, ["tot_vulns"])
+
+
+def _validated_shares(t: Tables) -> DataFrame:
+    return distributions.share_matrix(*_validated(t), "number")
 
 
 def _vulns(t: Tables) -> DataFrame:
@@ -172,6 +176,16 @@ def _(t: Tables) -> DataFrame:
     return _digest(analyzers.parse_cppcheck(raw_outputs.cppcheck(t.get("findings")), PROJECT), "class_name", "tool", "cwe", "rule")
 
 
+@query("a05_cppcheck_chunks", """SELECT class_name, project, count(*) AS n, CAST(sum(coalesce(line, -1)) AS BIGINT) AS lines, CAST(sum(pos * coalesce(line, -1)) AS BIGINT) AS places, count(cwe) AS cwes FROM (
+ SELECT *, row_number() OVER (PARTITION BY project ORDER BY finding_idx % 3, finding_idx) - 1 AS pos FROM findings WHERE tool = 'cppcheck') GROUP BY ALL""")
+def _(t: Tables) -> DataFrame:
+    """Each run is three chunks of two streams; the elements of all have one order."""
+    chunks = analyzers.choose_stream(raw_outputs.cppcheck_streams(t.get("findings")), PROJECT)
+    line = F.coalesce(F.col("line"), F.lit(-1)).cast("long")
+    rows = analyzers.parse_cppcheck_chunks(chunks, PROJECT)
+    return rows.groupBy(*PROJECT).agg(F.count("*").alias("n"), F.sum(line).alias("lines"), F.sum(F.col("pos") * line).alias("places"), F.count("cwe").alias("cwes"))
+
+
 @query("a06_ikos", """SELECT class_name, 'ikos' AS tool, CASE finding_idx % 3 WHEN 0 THEN 'CWE-119' WHEN 1 THEN 'CWE-369' ELSE 'CWE-190' END AS cwe,
  CASE finding_idx % 3 WHEN 0 THEN 'buffer-overflow' WHEN 1 THEN 'division-by-zero' ELSE 'signed-int-overflow' END AS rule, count(*) AS n, CAST(sum(coalesce(line, -1)) AS BIGINT) AS lines
  FROM findings WHERE finding_idx % 4 <> 0 GROUP BY ALL""")
@@ -554,7 +568,7 @@ _VALIDATED = """, v AS (SELECT project, count(*) AS n FROM clusters WHERE rule =
 
 @query("e13_validated_shares", _VALIDATED + "SELECT class_name, project, cwe AS number, round(share, 6) AS share FROM validated")
 def _(t: Tables) -> DataFrame:
-    """Shares of the clusters that two tools agree on, each counted for its representative, or else for all its CWEs."""
+    """Shares of the clusters that two tools agree on."""
     return _round(_validated_shares(t), "share")
 
 
@@ -670,6 +684,15 @@ def _(t: Tables) -> DataFrame:
     return _round(distributions.share_matrix(distributions.by_root(counts, roots), _totals(t, counts), "root"), "share")
 
 
+@query("f15_validated_roots", _VALIDATED + """, w AS (SELECT class_name, project, CASE WHEN num IN (100, 110, 111, 112, 120, 121) THEN '100' WHEN num IN (200, 210, 211) THEN '200' ELSE 'UNKNOWN' END AS root, sum(n) AS n FROM c GROUP BY ALL)
+ SELECT m.class_name, m.project, g.root, round(CASE WHEN v.n > 0 THEN coalesce(w.n, 0) * 100.0 / v.n ELSE 0.0 END, 6) AS share FROM metadata m JOIN (SELECT DISTINCT class_name, root FROM w) g ON m.class_name = g.class_name LEFT JOIN v ON m.project = v.project LEFT JOIN w ON w.project = m.project AND w.root = g.root""")
+def _(t: Tables) -> DataFrame:
+    """Root shares of the clusters that two tools agree on."""
+    roots = hierarchy.view_roots(t.get("nodes"), t.get("view_members").where("view_id = 1000").select("cwe", "ord"), t.get("edges"))
+    counts, totals = _validated(t)
+    return _round(distributions.share_matrix(distributions.by_root(counts, roots), totals, "root"), "share")
+
+
 @query("f16_class_means", "SELECT class_name, cwe, round(avg(share), 6) AS mean_share, count(*) AS projects FROM shares GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     return _round(distributions.class_means(_shares(t)), "mean_share")

@@ -37,12 +37,22 @@ def semgrep(findings: DataFrame) -> DataFrame:
     return _texts(findings.where("tool = 'semgrep'"), PROJECT, item, '{"results":[', ",", "]}")
 
 
-def cppcheck(findings: DataFrame) -> DataFrame:
+def cppcheck(findings: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Every output ends in the middle of an element, as a stopped run leaves it."""
     number = F.regexp_extract("cwe", r"(\d+)", 1)
     item = F.concat(F.lit('<error id="'), "rule", F.lit('" severity="style" msg="m &lt;x&gt;" verbose="v"'), F.when(F.col("cwe").isNotNull(), F.concat(F.lit(' cwe="'), number, F.lit('"'))).otherwise(""),
                     F.lit('><location file="'), "filename", F.lit('" line="'), F.coalesce(F.col("line").cast("string"), F.lit("0")), F.lit('"/></error>'))
-    return _texts(findings.where("tool = 'cppcheck'"), PROJECT, item, 'Checking...\n<?xml version="1.0"?><results version="2"><errors>', "\n", '\n<error id="cut" msg="')
+    return _texts(findings.where("tool = 'cppcheck'"), by or PROJECT, item, 'Checking...\n<?xml version="1.0"?><results version="2"><errors>', "\n", '\n<error id="cut" msg="')
+
+
+def cppcheck_streams(findings: DataFrame) -> DataFrame:
+    """Three chunks for each project, each with two streams: an even one has its elements in stderr and an empty document in
+    stdout, an odd one only a banner in stderr."""
+    raw = cppcheck(findings.withColumn("chunk", F.concat(F.lit("c"), (F.col("finding_idx") % 3).cast("string"))), [*PROJECT, "chunk"])
+    even = F.col("chunk") != "c1"
+    stream = lambda name, text: F.struct(F.lit(name).alias("stream"), text.alias("raw"))
+    streams = F.array(stream("stderr", F.when(even, F.col("raw")).otherwise("Checking f.c ...\n")), stream("stdout", F.when(even, '<results version="2"/>').otherwise(F.col("raw"))))
+    return raw.select(*PROJECT, "chunk", F.inline(streams))
 
 
 def ikos(findings: DataFrame) -> DataFrame:

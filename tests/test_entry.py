@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CORE = sorted(n for n in entry.queries() if not n.startswith("op") and n != "pipeline")
 #: The rest are compared at every size by the driver; these cover each module here.
-SAMPLE = ["a12_cwe_catalog", "b02_cluster_files", "b03_class_documents", "b05_density_table", "c14_comment_stripping", "d04_classes", "f01_report_summary", "f18_project_report", "g06_forest_tops", "g08_forest_paths", "g09_typed_descendants", "g11_forest_roots", "h04_benjamini_yekutieli", "h07_comparison_order", "a03_sarif", "a04_semgrep", "a05_cppcheck", "a06_ikos", "a09_class_summary", "c06_paths", "e03_functions", "e07_denominators", "e12_merged_report", "e13_validated_shares", "f03_tool_table", "f07_rule_summary", "f15_root_shares", "flagship_vote_density", "g03_representatives", "g05_vote_by_place", "j01_mann_whitney", "j02_comparison", "j02_validated_comparison", "j07_kendall"]
+SAMPLE = ["a12_cwe_catalog", "b02_cluster_files", "b03_class_documents", "b05_density_table", "c14_comment_stripping", "d04_classes", "f01_report_summary", "f18_project_report", "g06_forest_tops", "g08_forest_paths", "g09_typed_descendants", "g11_forest_roots", "h04_benjamini_yekutieli", "h07_comparison_order", "a03_sarif", "a04_semgrep", "a05_cppcheck", "a05_cppcheck_chunks", "a06_ikos", "a09_class_summary", "c06_paths", "e03_functions", "e07_denominators", "e12_merged_report", "e13_validated_shares", "f03_tool_table", "f07_rule_summary", "f15_root_shares", "f15_validated_roots", "flagship_vote_density", "g03_representatives", "g05_vote_by_place", "j01_mann_whitney", "j02_comparison", "j02_validated_comparison", "j07_kendall"]
 
 
 def plain(value):
