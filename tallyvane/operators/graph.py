@@ -10,8 +10,10 @@ from tallyvane.session import cut
 
 def _star(edges: DataFrame, by: list[str], larger: bool) -> DataFrame:
     """One contraction. Neighbours hang below the smallest node of each neighbourhood (large star: the larger ones only)."""
-    ways = [("u", "v"), ("v", "u")] if larger else [("u", "v")]
-    near = edges.select(*by, F.inline(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ways))))
+    # Every edge leads down, so the condition holds for all; it stands so that no checkpoint is a part of the union itself.
+    near = edges.where("u > v").select(*by, "u", "v")
+    if larger:
+        near = near.union(edges.where("u > v").select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
     least = near.groupBy(*by, "u").agg(F.min("v").alias("m")).select(*by, "u", F.least("u", "m").alias("m"))
     joined = near.join(least, [*by, "u"])
     if larger:
