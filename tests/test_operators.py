@@ -226,6 +226,13 @@ def test_roots_and_paths_of_a_small_catalog(spark):
     assert {(r["depth"], r["cwe"]) for r in hierarchy.category_descendants(frame([(7,)], "cwe int"), ring, 3).collect()} == {(1, 8), (2, 7), (3, 8)}
 
 
+def test_nodes_that_are_listed_twice(spark):
+    """A number that is a weakness and a category: one row in the tops, as many rows as nodes have in the roots."""
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    nodes, E = frame([(9,), (9,), (1,)], "cwe int"), frame([(9, 1, 0)], "child int, parent int, ord int")
+    assert sorted((r["cwe"], r["top_parent"]) for r in hierarchy.top_parents(nodes, E).collect()) == [(1, None), (9, 1)]
+
+
 def test_denominators_and_totals(spark):
     key = "class_name string, project string"
     projects = spark.createDataFrame([("k", p) for p in "abcd"], key)
