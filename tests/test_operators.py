@@ -231,6 +231,8 @@ def test_nodes_that_are_listed_twice(spark):
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     nodes, E = frame([(9,), (9,), (1,)], "cwe int"), frame([(9, 1, 0)], "child int, parent int, ord int")
     assert sorted((r["cwe"], r["top_parent"]) for r in hierarchy.top_parents(nodes, E).collect()) == [(1, None), (9, 1)]
+    roots = hierarchy.view_roots(nodes, frame([(1, 0)], "cwe int, ord int"), E)
+    assert sorted(tuple(r) for r in roots.collect()) == [(1, 1), (9, 1), (9, 1)]
 
 
 def test_denominators_and_totals(spark):
