@@ -226,6 +226,41 @@ def test_roots_and_paths_of_a_small_catalog(spark):
     assert {(r["depth"], r["cwe"]) for r in hierarchy.category_descendants(frame([(7,)], "cwe int"), ring, 3).collect()} == {(1, 8), (2, 7), (3, 8)}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_categories_that_contain_themselves(spark, seed):
+    """With rings a walk does not enter a category that it is in; plain walks over catalogs whose categories hold any other."""
+    rng = random.Random(seed)
+    owners = range(100, 105)
+    members = [(100, 101, 9), (101, 100, 9)] + [(o, m, k) for o in owners for k, m in enumerate(rng.sample([*range(4), *owners], 3)) if (o, m) not in ((100, 101), (101, 100))]
+    views = [(1000, 100, 0), (1000, 102, 1), (2000, 103, 0)]
+    hung, passed = {}, {}
+
+    def enter(view, owner, path, rows):
+        for o, m, _ in sorted((r for r in rows if r[0] == owner), key=lambda r: r[2]):
+            if m not in path:
+                hung[(view, m)] = owner
+                passed[(view, owner, m)] = passed.get((view, owner, m), 0) + 1
+                enter(view, m, [*path, m], members)
+
+    for view in (1000, 2000):
+        enter(view, view, [], views)
+    M, V = spark.createDataFrame(members, "owner int, member int, ord int"), spark.createDataFrame(views, "view_id int, cwe int, ord int")
+    assert {(r["view_id"], r["cwe"]): r["parent"] for r in hierarchy.view_parents(V, M, rings=True).collect()} == hung
+    assert {(r["view_id"], r["parent"], r["child"]): r["times"] for r in hierarchy.view_links(V, M, rings=True).collect()} == passed
+    want = {}
+
+    def descend(start, at, path, depth):
+        for o, m, _ in members:
+            if o == at and m not in path:
+                want[(start, depth, m)] = want.get((start, depth, m), 0) + 1
+                descend(start, m, [*path, m], depth + 1)
+
+    for start in owners:
+        descend(start, start, [start], 1)
+    found = hierarchy.category_descendants(spark.createDataFrame([(o,) for o in owners], "cwe int"), M, rings=True)
+    assert {(r["start"], r["depth"], r["cwe"]): r["times"] for r in found.collect()} == want
+
+
 def test_nodes_that_are_listed_twice(spark):
     """A number that is a weakness and a category: one row in the tops, as many rows as nodes have in the roots."""
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
