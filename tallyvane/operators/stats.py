@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from tallyvane.functions.findings import dominance, effect_label
 from tallyvane.operators.ranks import running_number, running_total
-from tallyvane.session import cut, lean
+from tallyvane.session import cut, keep, lean
 
 
 @F.pandas_udf(DoubleType())
@@ -109,21 +109,69 @@ def percentile_interval(rows: DataFrame, by: list[str], value: str, level: float
     return rows.groupBy(*by).agg(pair.alias("ci")).select(*by, F.get("ci", F.lit(0)).alias("low"), F.get("ci", F.lit(1)).alias("high"))
 
 
-def bootstrap_mann_whitney(samples: DataFrame, key: str, value: str = "share", draws: int = 2000, seed: int = 42) -> DataFrame:
-    """(key, p_low, p_high, delta_low, delta_high) from resampling the projects of each class, all as aggregations.
+def _hashed(i: np.ndarray) -> np.ndarray:
+    """What xxhash64 of a long makes of the number before its seed comes in."""
+    with np.errstate(over="ignore"):
+        mixed = i.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return (mixed << np.uint64(31) | mixed >> np.uint64(33)) * np.uint64(0x9E3779B185EBCA87)
 
-    Draw i of a replicate takes the member pmod(hash(seed, class, replicate, i), n), so a repeated or lost task gives the
-    same draws. The weights of members per replicate are joined to the values; each replicate is one Mann-Whitney test.
+
+def _seeded(seed: int, mixed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of longs, given _hashed of them, with a seed (the hash of the columns before)."""
+    one, two, three, four, five = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    with np.errstate(over="ignore"):
+        h = (np.int64(seed).astype(np.uint64) + five + np.uint64(8)) ^ mixed
+        h = (h << np.uint64(27) | h >> np.uint64(37)) * one + four
+        h = (h ^ h >> np.uint64(33)) * two
+        h = (h ^ h >> np.uint64(29)) * three
+        return (h ^ h >> np.uint64(32)).view(np.int64)
+
+
+def bootstrap_mann_whitney(samples: DataFrame, key: str, value: str = "share", draws: int = 2000, seed: int = 42, block: int = 50) -> DataFrame:
+    """(key, p_low, p_high, delta_low, delta_high) from resampling the projects of each class.
+
+    Draw i of a replicate takes the member pmod(xxhash64(seed, class, replicate, i), n), so a repeated or lost task gives the
+    same draws. A task makes `block` replicates of one key: it holds the key's sample, sorted, one value per project, and
+    each replicate is a count of draws per project and one running sum over the sorted values.
     """
+    names = ["kernel", "application"]
     members = running_number(samples.select("class_name", "project").distinct(), ["class_name"], ["project"], "at").withColumn("at", F.col("at") - 1)
-    sizes = members.groupBy("class_name").agg(F.count("*").alias("n"))
-    spots = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
-    drawn = sizes.select("class_name", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("rep")).select("class_name", "n", "rep", spots.alias("i"))
-    drawn = drawn.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "class_name", "rep", "i"), F.col("n"))).groupBy("class_name", "rep", "at").agg(F.count("*").alias("w"))
-    weights = drawn.join(members, ["class_name", "at"]).select("class_name", "project", "rep", "w")
+    members = keep(members.where(F.col("class_name").isin(names)))
+    sizes = members.agg(*(F.count_if(F.col("class_name") == c).alias(f"n{k}") for k, c in enumerate(names)))
     both = samples.groupBy(key).agg(F.count_distinct("class_name").alias("c")).where("c = 2").select(key)
-    rows = samples.join(lean(both), key).join(weights, ["class_name", "project"])
-    tested = cut(with_p(mann_whitney(rows, [key, "rep"], value, weight="w")).select(key, "p", "delta"))
+    rows = samples.join(lean(both), key).join(members, ["class_name", "project"])
+    spot = F.struct(F.col(value).cast("double").alias("v"), (F.col("class_name") == names[1]).alias("second"), "at")
+    sample = rows.groupBy(key).agg(F.array_sort(F.collect_list(spot)).alias("s")).select(key, "s.v", "s.second", "s.at")
+    sample = keep(sample.crossJoin(F.broadcast(sizes)))
+    reps = samples.sparkSession.range(draws).select(F.col("id").cast("int").alias("rep"))
+    hashes = [F.transform(F.array_sort(F.collect_list("rep")), lambda r, c=c: F.xxhash64(F.lit(seed), F.lit(c), r)).alias(f"h{k}") for k, c in enumerate(names)]
+    seeds = cut(reps.groupBy(F.floor(F.col("rep") / block).alias("block")).agg(*hashes))
+
+    @F.pandas_udf("array<struct<p:double,delta:double>>")
+    def replicates(v: pd.Series, second: pd.Series, at: pd.Series, n0: pd.Series, n1: pd.Series, h0: pd.Series, h1: pd.Series) -> pd.Series:
+        out = []
+        for values, side, place, sizes, seeds in zip(v, second, at, zip(n0, n1), zip(h0, h1)):
+            values, side, place, found = np.asarray(values), np.asarray(side, bool), np.asarray(place, np.int64), []
+            runs = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            mixed = [_hashed(np.arange(n)) for n in sizes]
+            for pair in zip(*seeds):
+                drawn = [np.bincount(_seeded(h, m) % n, minlength=n) for h, m, n in zip(pair, mixed, sizes)]
+                k1 = np.add.reduceat(np.where(side, 0, drawn[0][np.where(side, 0, place)]), runs)
+                k2 = np.add.reduceat(np.where(side, drawn[1][np.where(side, place, 0)], 0), runs)
+                a, b, t = int(k1.sum()), int(k2.sum()), (k1 + k2).astype(float)
+                if a and b:
+                    u = float((k1 * (np.cumsum(t) - t + (t + 1) / 2)).sum()) - a * (a + 1) / 2
+                    n = a + b
+                    spread = math.sqrt(max(a * b / 12 * ((n + 1) - float((t * t * t - t).sum()) / (n * (n - 1))), 0.0))
+                    z = max(abs(u - a * b / 2) - 0.5, 0.0) / spread if spread else 0.0
+                    found.append((min(1.0, math.erfc(z / math.sqrt(2))), 2 * u / (a * b) - 1))
+            out.append([{"p": p, "delta": d} for p, d in found])
+        return pd.Series(out)
+
+    # As many tasks as there are blocks, or as a shuffle has: rows are few and long, so that none may be put together.
+    tasks = max(1, min(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), 10 * -(-draws // block)))
+    work = sample.crossJoin(F.broadcast(seeds)).repartition(tasks, key, "block")
+    tested = cut(work.select(key, F.inline(replicates("v", "second", "at", "n0", "n1", "h0", "h1"))))
     p, delta = percentile_interval(tested, [key], "p"), percentile_interval(tested, [key], "delta")
     return p.select(key, F.col("low").alias("p_low"), F.col("high").alias("p_high")).join(delta.select(key, F.col("low").alias("delta_low"), F.col("high").alias("delta_high")), key)
 
@@ -335,6 +383,36 @@ def tau_b(x: np.ndarray, y: np.ndarray) -> float:
     return concordance(x, y) / math.sqrt(free[0] * free[1]) if min(free) > 0 else math.nan
 
 
+class Resampled:
+    """tau_b of resamples of one sample: what concordance sorts is the same for all of them, and only weights change."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        order = np.lexsort((y, x))
+        self.order, self.levels = order, []
+        self.rx, self.ry = (np.unique(v[order], return_inverse=True)[1] for v in (x, y))
+        for level in range(int(self.ry.max(initial=0)).bit_length()):
+            group = np.argsort(self.ry >> level + 1, kind="stable")
+            high, one = self.ry[group] >> level + 1, (self.ry[group] >> level & 1).astype(bool)
+            block, rest = np.searchsorted(high, high, "left"), np.searchsorted(high, high, "right")
+            run = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (self.rx[group][1:] != self.rx[group][:-1])]))
+            length = np.diff(np.append(run, len(x)))
+            places = (np.repeat(run, length), np.repeat(run + length, length), block, rest)
+            self.levels.append((group.astype(np.int32), ~one, np.flatnonzero(one).astype(np.int32), *(v[one].astype(np.int32) for v in places)))
+
+    def tau(self, at: np.ndarray) -> float:
+        """That of the rows at these places; nan if either side is constant."""
+        n = len(self.order)
+        w, total = np.bincount(at, minlength=n)[self.order], 0
+        for group, zero, ones, begin, end, block, rest in self.levels:
+            held = w[group]
+            zeros = np.concatenate([[0], np.cumsum(held * zero)])
+            total += int((held[ones] * (zeros[begin] - zeros[block] - zeros[rest] + zeros[end])).sum())
+        pairs = len(at) * (len(at) - 1) / 2
+        counts = (np.bincount(r, w).astype(np.int64) for r in (self.rx, self.ry))
+        free = [pairs - float((c * (c - 1)).sum()) / 2 for c in counts]
+        return total / math.sqrt(free[0] * free[1]) if min(free) > 0 else math.nan
+
+
 def kendall_p(x: np.ndarray, y: np.ndarray) -> float:
     """Two-sided p: exact by counting inversions for untied values, if at most 33 or with at most one pair against the rest,
     else normal with the variance of ties."""
@@ -359,8 +437,8 @@ def kendall_intervals(rows: DataFrame, by: list[str], x: str, y: str, key: str,
 
     Draws come from one numpy generator per group, in the order of key, and constant samples do not count, so the ends are
     those of a plain loop. One pass per group draws without counting and notes the generator's state before every `block`
-    draws; a task is given a block's state and the group's sample, one pair of numbers per project, and makes those draws
-    alone. A draw costs n log n.
+    draws; a task is given a block's state and the group's sample, one pair of numbers per project, sorts that once, and makes
+    those draws alone. A draw costs n log n, in running sums.
     """
     kept = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     pair = F.struct(F.col(key), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
@@ -387,15 +465,13 @@ def kendall_intervals(rows: DataFrame, by: list[str], x: str, y: str, key: str,
         out, rng = [], np.random.default_rng(seed)
         for a, b, k, state in zip(xs.map(np.array), ys.map(np.array), blocks, states):
             rng.bit_generator.state = json.loads(state)
-            taus = []
-            for _ in range(min(block, draws - k * block)):
-                at = rng.integers(0, len(a), size=len(a))
-                taus.append(tau_b(a[at], b[at]))
-            out.append(taus)
+            resampled = Resampled(a, b)
+            out.append([resampled.tau(rng.integers(0, len(a), size=len(a))) for _ in range(min(block, draws - k * block))])
         return pd.Series(out)
 
     points = sample.select(*by, whole("x", "y").alias("w")).select(*by, "w.tau", "w.p")
     starts = cut(sample.select(*by, borders(F.size("x")).alias("states"))).select(*by, F.posexplode("states").alias("block", "state"))
-    blocks = sample.join(starts, by).repartition(*by, "block")
+    # Rows are few and long: with a number of partitions none are put together into one task.
+    blocks = sample.join(starts, by).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "block")
     reps = blocks.select(*by, F.explode(replicate("x", "y", "block", "state")).alias("t"))
     return points.join(percentile_interval(reps, by, "t"), by)

@@ -561,3 +561,27 @@ def test_running_numbers_of_one_large_key(spark):
     everything = ranks.running_number(table, [], ["id"]).collect()
     assert sorted((r["id"], r["place"]) for r in everything) == [(k, k + 1) for k in range(3000)]
     assert ranks.running_number(table.limit(0), ["key"], ["id"]).count() == 0
+
+
+def test_resamples_are_those_of_the_plain_forms(spark):
+    """Draws of the bootstrap by Spark's own hash, and tau of resamples by tau_b of the drawn rows."""
+    rng = np.random.default_rng(3)
+    i = np.array([0, 1, 7, 123_456, 2**40])
+    want = spark.createDataFrame([(int(v),) for v in i], "i long").select(F.xxhash64(F.lit(42), F.lit("kernel"), F.lit(5), "i"), F.xxhash64(F.lit(42), F.lit("kernel"), F.lit(5))).collect()
+    assert stats._seeded(want[0][1], stats._hashed(i)).tolist() == [r[0] for r in want]
+    for n in (4, 50, 300):
+        x, y = rng.integers(0, n // 2, n).astype(float), rng.integers(0, n, n).astype(float)
+        resampled = stats.Resampled(x, y)
+        for _ in range(5):
+            at = rng.integers(0, n, n)
+            assert np.array_equal(resampled.tau(at), stats.tau_b(x[at], y[at]), equal_nan=True)
+
+
+def test_paths_without_and_with_ways_up(spark):
+    from tallyvane.functions.findings import normal_path
+
+    cases = ["src/./a.c", "./a", "a/", "a//b/./", "/", ".", "", "a/../b", "../a/..", "a/.b/..c", "a.", "./.", "a/./.hid"]
+    plain = lambda p: [x for x in p.split("/") if x not in ("", ".")]
+    got = spark.createDataFrame([(c,) for c in cases], "p string").select("p", normal_path(F.col("p")).alias("n")).collect()
+    assert {r["p"]: r["n"] for r in got if ".." not in r["p"]} == {c: "/".join(plain(c)) for c in cases if ".." not in c}
+    assert {r["p"]: r["n"] for r in got if ".." in r["p"]} == {"a/../b": "b", "../a/..": "..", "a/.b/..c": "a/.b/..c"}
