@@ -144,7 +144,10 @@ def bootstrap_mann_whitney(samples: DataFrame, key: str, value: str = "share", d
     sample = rows.groupBy(key).agg(F.array_sort(F.collect_list(spot)).alias("s")).select(key, "s.v", "s.second", "s.at")
     sample = keep(sample.crossJoin(F.broadcast(sizes)))
     reps = samples.sparkSession.range(draws).select(F.col("id").cast("int").alias("rep"))
-    hashes = [F.transform(F.array_sort(F.collect_list("rep")), lambda r, c=c: F.xxhash64(F.lit(seed), F.lit(c), r)).alias(f"h{k}") for k, c in enumerate(names)]
+    reps = reps.select("rep", *(F.xxhash64(F.lit(seed), F.lit(c), "rep").alias(f"x{k}") for k, c in enumerate(names)))
+    # In one order for both classes: the pair of a replicate is sorted as one.
+    pairs = F.array_sort(F.collect_list(F.struct("rep", "x0", "x1")))
+    hashes = [F.transform(pairs, lambda r: r["x0"]).alias("h0"), F.transform(pairs, lambda r: r["x1"]).alias("h1")]
     seeds = cut(reps.groupBy(F.floor(F.col("rep") / block).alias("block")).agg(*hashes))
 
     @F.pandas_udf("array<struct<p:double,delta:double>>")
