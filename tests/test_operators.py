@@ -585,3 +585,17 @@ def test_paths_without_and_with_ways_up(spark):
     got = spark.createDataFrame([(c,) for c in cases], "p string").select("p", normal_path(F.col("p")).alias("n")).collect()
     assert {r["p"]: r["n"] for r in got if ".." not in r["p"]} == {c: "/".join(plain(c)) for c in cases if ".." not in c}
     assert {r["p"]: r["n"] for r in got if ".." in r["p"]} == {"a/../b": "b", "../a/..": "..", "a/.b/..c": "a/.b/..c"}
+
+
+def test_findings_of_a_function_need_no_search(spark, monkeypatch):
+    """Clusters of functions come from one row for each, without star contractions; those of long ones, by these, are the same."""
+    rng = random.Random(5)
+    found = [("kernel", "p", rng.choice(clusters.TOOLS), rng.choice("ab"), rng.choice([None, *range(1, 150)]), f"CWE-{rng.choice([100, 110, 111, 121, 200, 211, 300])}", "r", k) for k in range(150)]
+    spans = [("kernel", "p", f, f"f{k}", None, 20 * k + 1, 20 * k + 18) for f in "ab" for k in range(7)]
+    placed = vote.attach_functions(vote.prepare(spark.createDataFrame(found, FINDING)), spark.createDataFrame(spans, SPAN), keyed=True).cache()
+    rows = lambda: sorted(map(repr, clusters.all_clusters(placed, edges(spark)).collect()))
+    monkeypatch.setattr(clusters, "LONG", 0)
+    searched = rows()
+    monkeypatch.undo()
+    monkeypatch.setattr(vote, "connected_components", lambda *_: pytest.fail("searched"))
+    assert rows() == searched and any("three_out_of_four" in r for r in searched)
