@@ -599,3 +599,20 @@ def test_findings_of_a_function_need_no_search(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(vote, "connected_components", lambda *_: pytest.fail("searched"))
     assert rows() == searched and any("three_out_of_four" in r for r in searched)
+
+
+def test_summaries_read_no_function_names(spark, monkeypatch):
+    """Numbers of spans stand for functions, and findings are numbered by shares of a report; both give the rows of the cluster files."""
+    from tallyvane.plans import flagship
+
+    rng = random.Random(8)
+    found = [("kernel", "p", rng.choice(clusters.TOOLS), rng.choice("ab"), rng.choice([None, *range(1, 300)]), f"CWE-{rng.choice([100, 110, 111, 121, 200, 211, 300])}", "r", 3 * k) for k in range(300)]
+    lines = [(a, a + rng.choice([0, 3, 20, 90])) for a in rng.sample(range(-3, 300), 40)]
+    spans = [("kernel", "p", rng.choice("ab"), name, None, a, b) for a, b in lines for name in rng.choice(["x", "xy", "x_"])] + [("kernel", "p", "a", None, None, 1, 300), ("kernel", "p", "a", "back", None, 90, 10)]
+    tables = {"findings": spark.createDataFrame(found, FINDING), "spans": spark.createDataFrame(spans, SPAN), "edges": edges(spark)}
+    given = type("Given", (), {"get": lambda self, name: tables[name]})()
+    rows = lambda members: sorted(map(repr, flagship.clusters_of(given, members).select("project", "rule", "cluster_id", "min_idx", "tools", "cwes", "size", "representative").collect()))
+    want = rows(True)
+    monkeypatch.setattr(vote, "SHARE", 7)
+    monkeypatch.setattr(vote, "attach_functions", lambda *a, **k: pytest.fail("names"))
+    assert rows(False) == want and any("three_out_of_four" in r for r in want)
