@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -616,3 +617,53 @@ def test_summaries_read_no_function_names(spark, monkeypatch):
     monkeypatch.setattr(vote, "SHARE", 7)
     monkeypatch.setattr(vote, "attach_functions", lambda *a, **k: pytest.fail("names"))
     assert rows(False) == want and any("three_out_of_four" in r for r in want)
+
+
+def test_functions_in_blocks_of_lines(spark, monkeypatch):
+    """Functions inside of a block, in many, and too long for one row give the rows of the cluster files, numbered or not,
+    also where a block has more findings than are taken at a time."""
+    from tallyvane.plans import flagship
+
+    rng = random.Random(21)
+    cwes = [100, 110, 111, 121, 200, 211, 300]
+    found = [("kernel", rng.choice("pq"), rng.choice([*clusters.TOOLS, None]), rng.choice(["a", "b", None]), rng.choice([None, *range(1, 200)]), f"CWE-{rng.choice(cwes)}", "r", k) for k in range(500)]
+    found += [("kernel", "p", t, "hot", 5 + k % 2, "CWE-100", "r", 500 + 2 * k + (t == "semgrep")) for k in range(150) for t in ("codeql", "semgrep")]
+    lines = [(a, a + rng.choice([0, 3, 9, 20, 60, 150])) for a in rng.sample(range(-5, 200), 50)]
+    spans = [("kernel", rng.choice("pq"), rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), None, a, b) for a, b in lines] + [("kernel", "p", "hot", "x", None, 1, 9)] * 2
+    tables = {"findings": spark.createDataFrame(found, FINDING), "spans": spark.createDataFrame(spans, SPAN), "edges": edges(spark)}
+    given = type("Given", (), {"get": lambda self, name: tables[name]})()
+    columns = ["project", "rule", "tools", "cwes", "representative"]
+    rows = lambda *more, **how: sorted(map(repr, flagship.clusters_of(given, **how).select(*columns, *more).collect()))
+    numbers = ["cluster_id", "min_idx", "size"]
+    want, plain = rows(*numbers, members=True), rows(members=True)
+    assert rows(*numbers) == want and rows(numbered=False) == plain
+    monkeypatch.setattr(vote, "BATCH", 40)
+    monkeypatch.setattr(vote, "BLOCK", 16)
+    assert rows(*numbers) == want
+    monkeypatch.setattr(clusters, "LONG", 30)
+    assert rows(*numbers) == want and rows(numbered=False) == plain
+    pieces = vote.place_pieces(vote.prepare(tables["findings"]), tables["spans"]).where("open").agg(F.max("length"), F.min("length")).first()
+    assert pieces[0] > 30 >= pieces[1]
+
+
+def test_blocks_of_the_same_hash_stay_apart():
+    rng = random.Random(4)
+    rows = [(rng.choice("pq"), rng.choice("ab"), rng.choice(clusters.TOOLS), (rng.randrange(1, 60) << 32) + 100, None) for _ in range(300)]
+    rows += [(p, f, None, b << 32, [(1 << 32) + 20, (25 << 32) + 3]) for p in "pq" for f in "ab" for b in (0, 32)]
+    kept = []
+    for near in (lambda p, f, at: ("pq".index(p) * 2 + "ab".index(f)) * 2 + (at >> 32) // 32, lambda *_: 7):
+        made = sorted((near(p, f, at), n, "k", p, f, tool, at, held) for n, (p, f, tool, at, held) in enumerate(rows))
+        names = ["near", "class_name", "project", "filename", "tool", "at", "held"]
+        columns = [[r[k] for r in made] for k in (0, 2, 3, 4, 5, 6, 7)]
+        types = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.list_(pa.int64())]
+        batch = pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names)
+        kept.append(sorted(repr({**r, "entries": sorted(map(repr, r["entries"]))}) for b in vote._pieces([batch], 32, 10**6) for r in b.to_pylist()))
+    assert kept[0] == kept[1] and len(kept[0]) > 20
+
+
+def test_ids_are_read_alike_with_and_without_a_search(spark):
+    from tallyvane.functions.findings import canonical_cwe
+
+    cases = {"cwe_7": "CWE-007", "CWE-079": "CWE-079", "Cwe 1000": "CWE-1000", "cwe_0": "CWE-000", "cwe_2147483647": "CWE-2147483647", "cwe_2147483648": None, "cwe_7\n": "CWE-007", "cwe_ 7": None, "cwe_+7": None, "CWE7": "CWE-007", "a/cwe-0079": "CWE-079"}
+    got = spark.createDataFrame([(c,) for c in cases], "c string").select("c", canonical_cwe(F.col("c")).alias("n")).collect()
+    assert {r["c"]: r["n"] for r in got} == cases
