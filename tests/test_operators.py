@@ -667,3 +667,21 @@ def test_ids_are_read_alike_with_and_without_a_search(spark):
     cases = {"cwe_7": "CWE-007", "CWE-079": "CWE-079", "Cwe 1000": "CWE-1000", "cwe_0": "CWE-000", "cwe_2147483647": "CWE-2147483647", "cwe_2147483648": None, "cwe_7\n": "CWE-007", "cwe_ 7": None, "cwe_+7": None, "CWE7": "CWE-007", "a/cwe-0079": "CWE-079"}
     got = spark.createDataFrame([(c,) for c in cases], "c string").select("c", canonical_cwe(F.col("c")).alias("n")).collect()
     assert {r["c"]: r["n"] for r in got} == cases
+
+
+def test_density_moves_findings_once_without_names(spark, monkeypatch):
+    """The flagship's clusters are those of the labels, from one row for each function and block: no name, window or search."""
+    from tallyvane.plans import flagship
+
+    rng = random.Random(31)
+    found = [(c, rng.choice("pq"), rng.choice(clusters.TOOLS), rng.choice(["a", "b", None]), rng.choice([None, *range(1, 120)]), f"CWE-{rng.choice([100, 110, 111, 121, 200, 211, 300])}", "r", k) for k in range(300) for c in ("kernel", "application")]
+    spans = [(c, p, f, f"f{k}", None, 12 * k + 1, 12 * k + 10) for c in ("kernel", "application") for p in "pq" for f in "ab" for k in range(9)]
+    sizes = [(c, p, 1000, 50) for c in ("kernel", "application") for p in "pqz"]
+    tables = {"findings": spark.createDataFrame(found, FINDING), "spans": spark.createDataFrame(spans, SPAN), "edges": edges(spark), "metadata": spark.createDataFrame(sizes, "class_name string, project string, loc int, functions long")}
+    given = type("Given", (), {"get": lambda self, name: tables[name]})()
+    placed = vote.attach_functions(vote.prepare(tables["findings"].where("filename is not null")), tables["spans"])
+    rows = vote.agree(placed, hierarchy.related_pairs(hierarchy.ancestors(edges(spark)))).groupBy(*vote.PROJECT, "label").agg(F.countDistinct("tool").alias("n")).where("n > 1")
+    want = {r["class_name"]: r["count"] for r in rows.groupBy("class_name").count().collect()}
+    for step in ("attach_functions", "agree", "line_labels", "connected_components"):
+        monkeypatch.setattr(vote, step, lambda *a, **k: pytest.fail("names"))
+    assert {r["class_name"]: r["vulns"] for r in flagship.vote_and_density(given).collect()} == want and min(want.values()) > 10
