@@ -685,3 +685,40 @@ def test_density_moves_findings_once_without_names(spark, monkeypatch):
     for step in ("attach_functions", "agree", "line_labels", "connected_components"):
         monkeypatch.setattr(vote, step, lambda *a, **k: pytest.fail("names"))
     assert {r["class_name"]: r["vulns"] for r in flagship.vote_and_density(given).collect()} == want and min(want.values()) > 10
+
+
+def test_labels_in_blocks_of_lines(spark, monkeypatch):
+    """Findings that are voted on in blocks have the labels of the search: inside of blocks, beyond them, in long functions and
+    in blocks of which no task holds all; without a line or file they are alone."""
+    from tallyvane.plans import flagship
+
+    rng = random.Random(17)
+    cwes = [100, 110, 111, 121, 200, 211, 300]
+    found = [("kernel", rng.choice("pq"), rng.choice([*clusters.TOOLS, None]), rng.choice(["a", "b", None]), rng.choice([None, *range(1, 200)]), f"CWE-{rng.choice(cwes)}", "r", k) for k in range(500)]
+    found += [("kernel", "p", rng.choice(clusters.TOOLS), "hot", rng.randrange(1, 40), f"CWE-{rng.choice(cwes)}", "r", 500 + k) for k in range(200)]
+    lines = [(a, a + rng.choice([0, 3, 9, 20, 60, 150])) for a in rng.sample(range(-5, 200), 50)]
+    spans = [("kernel", rng.choice("pq"), rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), None, a, b) for a, b in lines]
+    spans += [("kernel", "p", "hot", "x", None, a, a + n) for a, n in ((1, 9), (1, 9), (4, 2), (14, 7), (23, 3))]
+    tables = {"findings": spark.createDataFrame(found, FINDING).repartition(5), "spans": spark.createDataFrame(spans, SPAN), "edges": edges(spark)}
+    given = type("Given", (), {"get": lambda self, name: tables[name]})()
+    table = vote.attach_functions(vote.prepare(tables["findings"].where("filename is not null")), tables["spans"]).cache()
+    pairs, want = hierarchy.related_pairs(hierarchy.ancestors(edges(spark))), {}
+    for related in (True, False):
+        rows = vote.agree(table, pairs if related else None).select("project", "finding_idx", "label").collect()
+        want[related] = sorted([tuple(r) for r in rows] + [(f[1], f[7], f[7]) for f in found if f[3] is None])
+    monkeypatch.setattr(vote, "attach_functions", lambda *a, **k: pytest.fail("names"))
+    got = lambda related: sorted(tuple(r) for r in flagship.labels(given, related).select("project", "finding_idx", "label").collect())
+    assert [got(k) for k in (True, False)] == [want[True], want[False]] and sum(i != x for _, i, x in want[True]) > 100
+    monkeypatch.setattr(vote, "BATCH", 20)
+    monkeypatch.setattr(vote, "BLOCK", 16)
+    monkeypatch.setattr(vote, "PACKED", 3)
+    assert got(True) == want[True]
+    monkeypatch.setattr(clusters, "LONG", 30)
+    assert got(True) == want[True]
+    monkeypatch.setattr(vote, "HOT", 45)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        assert vote.place_members(vote.prepare(tables["findings"]), tables["spans"]).where("hot").count() > 0
+        assert [got(k) for k in (True, False)] == [want[True], want[False]]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
