@@ -722,3 +722,27 @@ def test_labels_in_blocks_of_lines(spark, monkeypatch):
         assert [got(k) for k in (True, False)] == [want[True], want[False]]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pairs_of_functions_need_no_search(spark, monkeypatch):
+    """Pairs of tool and CWE that agree in a function, also beyond blocks and of spans of the same lines, against a plain loop."""
+    rng = random.Random(11)
+    cwes = [100, 110, 111, 121, 200, 211, 300]
+    found = [(c, rng.choice("pq") + c[0], rng.choice(clusters.TOOLS), rng.choice(["a", "b", None]), rng.choice([None, *range(1, 200)]), f"CWE-{rng.choice(cwes)}", "r", k) for k in range(300) for c in ("kernel", "application")]
+    lines = [(a, a + rng.choice([0, 3, 9, 20, 60, 150])) for a in rng.sample(range(-5, 200), 40)]
+    spans = [(c, q + c[0], f, name, scope, a, b) for c in ("kernel", "application") for q in "pq" for f in ("a", "b") for a, b in lines for name, scope in rng.sample([("y", None), ("x", "t"), ("x", "s"), ("xy", None), (None, None)], 2)]
+    rows, tables = spark.createDataFrame(found, FINDING), spark.createDataFrame(spans, SPAN)
+    placed = vote.attach_functions(vote.prepare(rows), tables).where("function is not null").select("project", "function", "tool", F.substr("cwe", F.lit(5)).cast("int").alias("number")).distinct().collect()
+    want = {}
+    for a in placed:
+        for b in placed:
+            if a[:2] == b[:2] and a["tool"] < b["tool"] and related(a["number"], b["number"]):
+                want[a[:2]] = want.get(a[:2], 0) + 1
+    for step in ("attach_functions", "line_labels", "function_hubs"):
+        monkeypatch.setattr(vote, step, lambda *a, **k: pytest.fail("names"))
+    found = vote.prepare(rows).drop("finding_idx")
+    got = lambda: {r[:2]: r["pairs"] for r in clusters.function_pairs(vote.place_pieces(found, tables, named=True), edges(spark)).select("project", "function", "pairs").collect()}
+    assert got() == want and sum(want.values()) > 50
+    monkeypatch.setattr(vote, "BATCH", 20)
+    monkeypatch.setattr(vote, "BLOCK", 16)
+    assert got() == want
