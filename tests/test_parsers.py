@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import csv
 import json
+import pickle
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,3 +286,27 @@ def test_sinks(spark, tmp_path):
     sinks.write_documents(found, str(tmp_path / "d"))
     sinks.write_reports(found.drop("rule"), str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).count() == 1
+
+
+def test_cluster_files_are_listed_in_tasks(spark, tmp_path, monkeypatch):
+    """The driver neither names nor lists files: a task's message is its folder, and no reader of Spark is given their paths."""
+    from pyspark.sql import DataFrameReader
+
+    from tallyvane.sources import array_files
+
+    out = tmp_path / "out"
+    writer = array_files.ArrayWriter(str(out))
+    names = [("k", f"{p}_{r}.json") for p in ("a%b", "c/d", "e:f", ".g", "_h") for r in ("two_out_of_four", "four_out_of_four")]
+    batch = pa.record_batch([[f for f, _ in names], [n for _, n in names], ["{}"] * len(names)], ["folder", "file", "item"])
+    message = writer.write(iter([batch]))
+    assert len(pickle.dumps(message)) < 400 and len(pickle.dumps(writer.write(iter([batch.slice(0, 1)])))) == len(pickle.dumps(message))
+    writer.commit([message, None])
+    assert sorted(p.name for p in out.iterdir()) == ["k"] and len(list((out / "k").iterdir())) == 10
+    (out / "k" / "z_two_out_of_four.json").write_text('﻿[{"cluster_id": 3,\n "rule": "two_out_of_four"}]')
+    (out / "k" / "y_two_out_of_four.json").write_text("no list")
+    for reader in ("json", "text"):
+        monkeypatch.setattr(DataFrameReader, reader, lambda *a, **k: pytest.fail("listed"))
+    counts = {(r["project"], r["rule"]): r["clusters"] for r in documents.read_cluster_counts(spark, str(out)).collect()}
+    assert counts == {(p, r): 1 for p in ("a%b", "c/d", "e:f", ".g", "_h") for r in ("two_out_of_four", "four_out_of_four")} | {("z", "two_out_of_four"): 1, ("y", "two_out_of_four"): 0}
+    back = sorted((r["project"], r["cluster_id"]) for r in documents.read_clusters(spark, str(out)).select("project", "cluster_id").where("project in ('y', 'z')").collect())
+    assert back == [("y", None), ("z", 3)]
