@@ -19,8 +19,10 @@ from tallyvane.operators.graph import connected_components
 BITS = 64
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: What a probe row costs in the threshold allocation, and a candidate pair checked inside a task.
+#: What a value that is looked up costs in the threshold allocation, and a candidate pair checked inside a task.
 ROW_COST, PAIR_COST = 1.0, 0.02
+#: Rows of a group of the index, and pairs that are compared at a time in it.
+GROUP, PAIRS = 1 << 21, 1 << 20
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -160,92 +162,151 @@ def _spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[label[rest]]
 
 
-def _links(keys: np.ndarray, fps: np.ndarray, reps: np.ndarray, probe: np.ndarray, radius: int, more: np.ndarray | None = None, both: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of the pairs within the radius, among rows of equal key (rows are sorted by key).
+def _value(fps: np.ndarray, bits: list[int]) -> np.ndarray:
+    """The given bits of each fingerprint as one number, the first of them lowest."""
+    out = np.zeros(len(fps), np.uint64)
+    for j, b in enumerate(bits):
+        out |= (fps >> np.uint64(b) & np.uint64(1)) << np.uint64(j)
+    return out
+
+
+def _flips(bits: int, most: int, least: int = 0) -> list[int]:
+    """Masks of least to most of so many bits."""
+    return [sum(1 << j for j in flips) for e in range(least, most + 1) for flips in combinations(range(bits), e)]
+
+
+def group_prefix(n: int, both: np.ndarray, bits: list[int], t: int) -> tuple[list[int], int]:
+    """The bits of a part, the most even first, and how many of them name its groups: the fewest for which a group has GROUP
+    rows at most, with those that visit it."""
+    bits = sorted(bits, key=lambda b: (abs(both[b, b] / max(n, 1) - 0.5), b))
+    rows = lambda g: n / 2**g * (1 + sum(comb(g, e) for e in range(1, t + 1)) / 2)
+    return bits, next((g for g in range(min(4, len(bits)), len(bits)) if rows(g) <= GROUP), len(bits))
+
 
-    With second words in `more`, the bits that differ in both words together must be at most `both`.
+def _links(fps: np.ndarray, reps: np.ndarray, role: np.ndarray, group: int, bits: list[int], prefix: int, t: int, radius: int, more: np.ndarray | None = None, both: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges of the pairs within the radius between rows that ask and rows that are indexed (role 1, 0, or 2 for both)
+    in one group, of those whose bits of the part differ in t at most.
+
+    Rows that ask may come from other groups; inside of the group a pair is asked by its smaller value, or else by its
+    smaller representative. With second words in `more`, the bits that differ in both words together must be at most `both`.
     """
+    low = _value(fps, bits[prefix:])
+    index = np.flatnonzero(role != 1)
+    index = index[np.argsort(low[index], kind="stable")]
+    keys, first, times = np.unique(low[index], return_index=True, return_counts=True)
+    away = np.bitwise_count(_value(fps, bits[:prefix]) ^ np.uint64(group))
+    asks = np.flatnonzero(role != 0)
+    asks = asks[np.argsort(low[asks], kind="stable")]
     us, vs, held = [], [], 0
-    at, step = np.arange(len(keys)), 1
-    while True:
-        at = at[at < len(keys) - step]
-        at = at[keys[at] == keys[at + step]]
-        if not len(at):
-            break
-        other = at + step
-        far = np.bitwise_count(fps[at] ^ fps[other])
-        hit = (far <= radius) & (reps[at] != reps[other]) & ~(probe[at] & probe[other])
-        if more is not None:
-            hit[hit] = far[hit] + np.bitwise_count(more[at[hit]] ^ more[other[hit]]) <= both
-        us.append(reps[at[hit]])
-        vs.append(reps[other[hit]])
-        held += int(hit.sum())
-        if held > 500_000:
-            u, v = _spanning(np.concatenate(us), np.concatenate(vs))
-            us, vs, held = [u], [v], 0 if len(u) > 250_000 else len(u)
-        step += 1
+    for e in range(t + 1 if len(keys) else 0):
+        asking = asks[away[asks] == e]
+        for mask in _flips(len(bits) - prefix, t - e) if len(asking) else []:
+            wanted = low[asking] ^ np.uint64(mask)
+            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            hit = keys[place] == wanted
+            if e == 0 and mask:
+                hit &= wanted > low[asking]
+            one, place = asking[hit], place[hit]
+            ends = np.cumsum(times[place])
+            done = 0
+            while done < len(one):
+                # As many rows that ask as make PAIRS pairs, or one.
+                last = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS, "right")))
+                n = times[place[done:last]]
+                x = np.repeat(one[done:last], n)
+                y = index[np.repeat(first[place[done:last]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                far = np.bitwise_count(fps[x] ^ fps[y])
+                near = np.flatnonzero((far <= radius) & (reps[x] != reps[y] if e or mask else reps[x] < reps[y]))
+                if more is not None:
+                    near = near[far[near] + np.bitwise_count(more[x[near]] ^ more[y[near]]) <= both]
+                us.append(reps[x[near]])
+                vs.append(reps[y[near]])
+                held += len(near)
+                if held > 500_000:
+                    u, v = _spanning(np.concatenate(us), np.concatenate(vs))
+                    us, vs, held = [u], [v], 0 if len(u) > 250_000 else len(u)
+                done = last
     return _spanning(np.concatenate([np.empty(0, np.int64), *us]), np.concatenate([np.empty(0, np.int64), *vs]))
 
 
-def near_links(unique: DataFrame, radius: int = 3, block: int = 2048, total: int | None = None) -> DataFrame:
+def near_links(unique: DataFrame, radius: int = 3, block: int = 1 << 20, total: int | None = None, pairs: int = 1 << 28) -> DataFrame:
     """Edges (u, v) between representatives that connect all fingerprints within the radius of each other.
 
-    unique: (fp, rep), each rep once. Each part's value is a key; data rows carry it as it is, probe rows carry the values
-    within the part's threshold (from the smaller value only). A key with more than `block` rows is split into blocks,
-    and each two of its blocks meet in one group, so that no task holds more than two blocks of a key. Every pair is
-    verified, and a group returns at most one edge per row. With a total, unique has fp2 as well, and a pair is verified by
-    it too: at most `total` bits of both words may differ.
+    unique: (fp, rep), each rep once. In each part, rows whose first bits are the same are a group, and a row also visits the
+    groups of larger bits that differ in no more of them than the part's threshold; there its values within the threshold
+    are looked up among the group's, so these are never rows. A group with more than `block` rows, or more than `pairs`
+    pairs of equal values, is split into cells of a block of its rows and a share of those that ask, so that no task holds
+    more. Every pair is verified, and a cell returns at most one edge per row. With a total, unique has fp2 as well, and a
+    pair is verified by it too: at most `total` bits of both words may differ.
     """
     extra = [] if total is None else ["fp2"]
     n, both = _bit_moments(unique)
     if n < 2:
         return unique.sparkSession.createDataFrame([], "u long, v long")
-    plan = allocate(n, both, radius)
+    plan = [(*group_prefix(n, both, bits, t), t) for bits, t in allocate(n, both, radius)]
+    top = lambda part, value: (value | np.uint64(part << 56)).view(np.int64)
+
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fps = batch["fp"].to_numpy().view(np.uint64)
+            for part, (bits, prefix, _) in enumerate(plan):
+                yield pd.DataFrame({"group": top(part, _value(fps, bits[:prefix])), "value": _value(fps, bits[prefix:]).view(np.int64)})
+
+    counted = unique.select("fp").mapInPandas(values, "group long, value long").groupBy("group", "value").agg(F.count("*").alias("n"))
+    counted = counted.groupBy("group").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs")).where((F.col("n") > block) | (F.col("pairs") > pairs))
+    # At most as many as there are groups, which a part's bits bound.
+    cells = {r["group"]: (-(-r["n"] // block), max(1, -int(-r["pairs"] // pairs))) for r in counted.collect()}
+
+    def dealt(group: np.ndarray, rows: pd.DataFrame, own: bool) -> Iterator[pd.DataFrame]:
+        """Rows that ask in their groups, and are indexed there if these are their own."""
+        split = np.isin(group, list(cells)) if cells else np.zeros(len(group), bool)
+        yield rows[~split].assign(group=group[~split], cell=0, role=2 if own else 1)
+        mixed = (rows["rep"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64)
+        for g in np.unique(group[split]):
+            here, (blocks, shares) = group == g, cells[g]
+            some = rows[here].assign(group=g)
+            yield from (some.assign(cell=b * shares + mixed[here] % shares, role=1) for b in range(blocks))
+            if own:
+                yield from (some.assign(cell=mixed[here] // shares % blocks * shares + k, role=0) for k in range(shares))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps, reps = batch["fp"].to_numpy().view(np.uint64), batch["rep"].to_numpy()
-            for part, (bits, t) in enumerate(plan):
-                own = np.zeros(len(fps), np.uint64)
-                for j, b in enumerate(bits):
-                    own |= (fps >> np.uint64(b) & np.uint64(1)) << np.uint64(j)
-                top = np.uint64(part << 56)
-                yield pd.DataFrame({"key": (own | top).view(np.int64), "fp": fps.view(np.int64), "rep": reps, "probe": False} | {c: batch[c] for c in extra})
-                for e in range(1, t + 1):
-                    for flips in combinations(range(len(bits)), e):
-                        other = own ^ np.uint64(sum(1 << j for j in flips))
-                        go = other > own
-                        yield pd.DataFrame({"key": (other[go] | top).view(np.int64), "fp": fps[go].view(np.int64), "rep": reps[go], "probe": True} | {c: batch[c].to_numpy()[go] for c in extra})
-
-    rows = unique.mapInPandas(emit, "key long, fp long, rep long, probe boolean" + ", fp2 long" * len(extra))
-    hot = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    if (large := hot.count()) == 0:
-        rows = rows.withColumn("pair", F.lit(0))
-    else:
-        rows = rows.join(F.broadcast(hot) if large <= 100_000 else hot, "key", "left")
-        mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.least(b, mine) * F.col("blocks") + F.greatest(b, mine))
-        rows = rows.withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs))).drop("blocks")
+            fps = batch["fp"].to_numpy().view(np.uint64)
+            for part, (bits, prefix, t) in enumerate(plan):
+                own = _value(fps, bits[:prefix])
+                yield from dealt(top(part, own), batch, True)
+                for mask in _flips(prefix, min(t, prefix), 1):
+                    other = own ^ np.uint64(mask)
+                    go = other > own
+                    yield from dealt(top(part, other[go]), batch[go], False)
+
+    columns = ["fp", "rep", *extra]
+    rows = unique.select(*columns).mapInPandas(emit, ", ".join(f"{c} long" for c in columns) + ", group long, cell int, role byte")
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        key, held = None, []
         for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            last = (rest["key"] == rest["key"].iloc[-1]) & (rest["pair"] == rest["pair"].iloc[-1])
-            whole, rest = rest[~last], rest[last]
-            if len(whole):
-                yield found(whole)
-        if rest is not None and len(rest):
-            yield found(rest)
+            at = batch["group"].to_numpy(), batch["cell"].to_numpy()
+            cuts = np.flatnonzero((at[0][1:] != at[0][:-1]) | (at[1][1:] != at[1][:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(batch)]):
+                if b > a and (at[0][a], at[1][a]) != key:
+                    if held:
+                        yield found(pd.concat(held))
+                    key, held = (at[0][a], at[1][a]), []
+                held.append(batch.iloc[a:b])
+        if held:
+            yield found(pd.concat(held))
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
-        key, pair = rows["key"].to_numpy(), rows["pair"].to_numpy()
-        run = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))])
+        group = int(rows["group"].iloc[0])
+        bits, prefix, t = plan[group >> 56]
         more = rows["fp2"].to_numpy().view(np.uint64) if extra else None
-        u, v = _links(run, rows["fp"].to_numpy().view(np.uint64), rows["rep"].to_numpy(), rows["probe"].to_numpy(), radius, more, total or 0)
+        u, v = _links(rows["fp"].to_numpy().view(np.uint64), rows["rep"].to_numpy(), rows["role"].to_numpy(), group & (1 << 56) - 1, bits, prefix, t, radius, more, total or 0)
         return pd.DataFrame({"u": u, "v": v})
 
-    return rows.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInPandas(match, "u long, v long")
+    # Of few bytes and many pairs: as many tasks as a shuffle has, whatever their bytes.
+    tasks = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "group", "cell").sortWithinPartitions("group", "cell").mapInPandas(match, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:

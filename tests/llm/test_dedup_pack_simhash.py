@@ -270,3 +270,35 @@ def test_null_and_large_ids_stay_whole(spark, make_docs):
     for i in ids:
         own = sorted((r["piece"], r["start"], r["length"]) for r in pieces if r["doc_id"] == i)
         assert [p for p, _, _ in own] == list(range(len(own))) and all(a + n == b for (_, a, n), (_, b, _) in zip(own, own[1:])) and all(n == 1024 for _, _, n in own[1:])
+
+
+@pytest.mark.parametrize("how", [{}, {"block": 16, "pairs": 64}])
+def test_values_within_the_threshold_are_no_rows(spark, monkeypatch, how):
+    """Rows of the index do not grow with the values that are looked up, and no pair within both bounds is lost, also in split groups."""
+    rng, fps = random.Random(15), set()
+    for _ in range(6):
+        one = [rng.getrandbits(64), rng.getrandbits(64)]
+        for _ in range(50):
+            one = list(one)
+            for _ in range(rng.randrange(1, 14)):
+                one[rng.randrange(2)] ^= 1 << rng.randrange(64)
+            fps.add(tuple(one))
+    fps = sorted(fps)
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    unique = spark.createDataFrame([(signed(a), signed(b), 10 * k - 900) for k, (a, b) in enumerate(fps)], "fp long, fp2 long, rep long")
+    monkeypatch.setattr(simhash, "allocate", lambda *_: [(list(range(k, 64, 4)), 2) for k in range(4)])
+    made, plain = [], type(unique).mapInPandas
+    monkeypatch.setattr(type(unique), "mapInPandas", lambda self, f, schema, *more: made.append((schema, plain(self, f, schema, *more))) or made[-1][1])
+    edges = simhash.near_links(unique, 11, total=30, **how)
+    got = {10 * k - 900: 10 * k - 900 for k in range(len(fps))} | {r["node"]: r["component"] for r in graph.connected_components(edges).collect()}
+    parent = {k: k for k in range(len(fps))}
+    for a in range(len(fps)):
+        for b in range(a):
+            near = (fps[a][0] ^ fps[b][0]).bit_count()
+            if near <= 11 and near + (fps[a][1] ^ fps[b][1]).bit_count() <= 30:
+                old, new = max(parent[a], parent[b]), min(parent[a], parent[b])
+                parent = {k: new if v == old else v for k, v in parent.items()}
+    assert got == {10 * k - 900: 10 * v - 900 for k, v in parent.items()} and 6 <= len(set(parent.values())) < len(fps) - 50
+    if not how:
+        rows = [df for schema, df in made if "rep" in schema]
+        assert len(rows) == 1 and rows[0].count() < 40 * len(fps)
